@@ -25,7 +25,7 @@ CHARS_PER_TOKEN = 4
 
 
 def unit(x: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x.cast("double"))), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x.cast("double"), F.lit(0.0))))
 
 
 def priorities(entities: DataFrame, style: str = "default") -> DataFrame:

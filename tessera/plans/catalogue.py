@@ -669,7 +669,7 @@ def priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with u as (select event_id as run_id, case user_id % 4 when 0 then 'gemini-3.1-flash-lite-001' when 1 then 'gemini-3.1-flash-002' when 2 then 'gemini-3.1-pro' else 'other-model' end as model,
-    case when event_type = 'view' then null else cast(floor(value) as bigint) end as i, case when event_type = 'view' then null else cast(floor(value * 2) as bigint) end as o, cast(floor(value * 3) as bigint) as t from events),
+    case when event_type = 'view' then null else 20 * cast(floor(value) as bigint) end as i, case when event_type = 'view' then null else 20 * cast(floor(value * 2) as bigint) end as o, 20 * cast(floor(value * 3) as bigint) as t from events),
     p(prefix, ip, op) as (values ('gemini-3.1-flash-lite', 0.10, 0.40), ('gemini-3.1-flash', 0.30, 2.50), ('gemini-3.1-pro', 1.25, 10.00), ('mock', 0.0, 0.0)),
     m as (select u.*, p.*, row_number() over (partition by run_id order by length(prefix) desc) as n from u left join p on starts_with(model, prefix))
     select run_id, model, prefix, round(case when i is null and o is null then t / 1e6 * ip else coalesce(i, 0) / 1e6 * ip + coalesce(o, 0) / 1e6 * op end::double, 6) as cost from m where n = 1"""
@@ -677,7 +677,7 @@ def priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.col("event_type") != "view"
     model = F.element_at(F.array(F.lit("gemini-3.1-flash-lite-001"), F.lit("gemini-3.1-flash-002"), F.lit("gemini-3.1-pro"), F.lit("other-model")), (F.col("user_id") % 4 + 1).cast("int"))
-    whole = lambda x: F.floor(x).cast("long")
+    whole = lambda x: F.floor(x).cast("long") * 20
     usage = view(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), model.alias("model"), F.when(known, whole(F.col("value"))).alias("input_tokens"), F.when(known, whole(F.col("value") * 2)).alias("output_tokens"), whole(F.col("value") * 3).alias("total_tokens"))
     return planning.price_of(usage, planning.price_table(spark))
 
