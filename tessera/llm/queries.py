@@ -65,5 +65,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_telephony_media, op2_unit_dedup, op3_jaccard_join, op4_source_mix, op5_decontaminate, op6_quality_discriminant, op7_licence_patience, op8_external_shuffle, op9_kneser_ney, op10_role_repair)
 }
 
-#: Digests, alignments, models and seeded choices have no SQL form here; those queries are tested against brute force.
-ORACLE: dict[str, str] = {}
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
+
+UNITS_SQL = f"""
+with line as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as li from documents),
+placed as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by li rows between unbounded preceding and 1 preceding), 0) as lead from line),
+piece as (select doc_id, li, lead, unnest(regexp_extract_all(line, '{GAP}*{WORD}')) as piece, generate_subscripts(regexp_extract_all(line, '{GAP}*{WORD}'), 1) as wi from placed),
+word as (select doc_id, li, wi, regexp_replace(piece, '^{GAP}+', '') as word, lead + sum(length(piece)) over (partition by doc_id, li order by wi) as e from piece),
+cut as (select *, e - length(word) as s, coalesce(sum(case when right(word, 1) in ('.', '!', '?') then 1 else 0 end) over (partition by doc_id, li order by wi rows between unbounded preceding and 1 preceding), 0) as si from word),
+sentences as (select doc_id, li, count(distinct si) as n from cut group by 1, 2),
+unit as (select doc_id, li, 'line' as kind, min(s) as s, max(e) as e, count(*) as n, {LOWER.format("string_agg(word, ' ' order by wi)")} as t from cut group by 1, 2
+    union all select c.doc_id, c.li, 'sentence', min(s), max(e), count(*), {LOWER.format("string_agg(word, ' ' order by wi)")} from cut c join sentences x on c.doc_id = x.doc_id and c.li = x.li where x.n > 1 group by c.doc_id, c.li, si),
+ranked as (select *, first_value(doc_id) over w as kept, first_value(s) over w as kept_s from unit where n >= {units.MIN_WORDS} window w as (partition by t order by doc_id, s)),
+gone as (select * from ranked where doc_id <> kept or s <> kept_s)
+select g.doc_id, cast(g.s as bigint) as start, cast(g.e as bigint) as "end", g.kind, g.kept as kept_doc_id, cast(strlen(substr(d.text, 1, cast(g.kept_s as int))) as bigint) as kept_start_byte from gone g join documents d on g.kept = d.doc_id
+where g.kind = 'line' or not exists (select 1 from gone h where h.doc_id = g.doc_id and h.li = g.li and h.kind = 'line')
+"""
+
+JACCARD_SQL = f"""
+with recursive doc as (select doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{WORD}') as a from documents),
+shingle as (select distinct doc_id, unnest(case when len(a) = 0 then [] when len(a) < 5 then [array_to_string(a, ' ')] else list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' ')) end) as g from doc),
+size as (select doc_id, count(*) as n from shingle group by 1),
+met as (select x.doc_id as a, y.doc_id as b, count(*) as c from shingle x join shingle y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+pair as (select m.a, m.b, m.c = x.n and m.c = y.n as same from met m join size x on m.a = x.doc_id join size y on m.b = y.doc_id where 100 * m.c >= 75 * (x.n + y.n - m.c)),
+way as (select a, b from pair union all select b, a from pair),
+reach(v, c) as (select doc_id, doc_id from documents union select w.b, r.c from reach r join way w on w.a = r.v where r.c < w.b),
+least as (select v, min(c) as c from (select v, c from reach) z group by 1)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, l.c as component_id, coalesce(k.a, d.doc_id) as class_id from documents d left join size s on d.doc_id = s.doc_id join least l on d.doc_id = l.v
+left join (select b, min(a) as a from pair where same group by 1) k on d.doc_id = k.b
+"""
+
+#: Of those that SQL can express. Media digests, seeded choices, alignments and models can't be; those queries are tested against brute force.
+ORACLE: dict[str, str] = {"op2_unit_dedup": UNITS_SQL, "op3_jaccard_join": JACCARD_SQL}
