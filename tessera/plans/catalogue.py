@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
 from tessera.functions.vectors import hash_embed
-from tessera.operators import evaluation, extract, graph, incremental, ownership, planning, retrieval, review
+from tessera.operators import evaluation, extract, graph, incremental, ownership, planning, retrieval, review, synthesis
 from tessera.sources.tables import table
 from tessera.streaming import maintenance
 
@@ -747,3 +747,51 @@ def pull_request_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = view(spark, sf_dir, "events").select(F.col("event_id").alias("sha"), message.alias("message"))
     pulls = view(spark, sf_dir, "customer").where("c_custkey <= 50").select(F.col("c_custkey").alias("number"), (F.col("c_custkey") * 3).alias("merge_commit_sha"))
     return ownership.link_pull_requests(commits, pulls).select("sha", F.col("pr_number").cast("long").alias("pr_number"))
+
+
+@query(f"select replace(path, chr(92), '/') as path, count(*) as symbol_count, min(start_line) as start_line from symbols where {LAYER} = 'worker' group by 1 order by 2 desc, 1 limit 40")
+def component_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthesis.component_members(view(spark, sf_dir, "symbols"), "worker")
+
+
+@query(
+    """with w as (select s_suppkey as ref, concat('b', s_suppkey % 25) as path, concat('n', s_nationkey) as preferred from supplier), y as (select concat('b', p_partkey % 25) as path, p_partkey as symbol_id, concat('n', p_size) as name, case p_size % 3 when 0 then 'class' else 'function' end as kind, p_size as start_line from part),
+    m as (select w.ref, y.symbol_id, row_number() over (partition by ref order by case when name = preferred then 0 when kind = 'function' then 1 else 2 end, start_line, symbol_id) as n from w join y on w.path = y.path) select ref, symbol_id from m where n = 1"""
+)
+def handler_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = view(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ref"), F.concat(F.lit("b"), F.col("s_suppkey") % 25).alias("path"), F.concat(F.lit("n"), "s_nationkey").alias("preferred"))
+    symbols = view(spark, sf_dir, "part").select(F.concat(F.lit("b"), F.col("p_partkey") % 25).alias("path"), F.col("p_partkey").alias("symbol_id"), F.concat(F.lit("n"), "p_size").alias("name"), F.when(F.col("p_size") % 3 == 0, "class").otherwise("function").alias("kind"), F.col("p_size").alias("start_line"))
+    return synthesis.pick_handlers(wanted, symbols)
+
+
+@query("select user_id, sum(case when event_type = 'view' then 0 else cast(floor(value) as bigint) end) as input_tokens, sum(cast(floor(value * 2) as bigint)) as output_tokens, 0 as total_tokens from events group by 1")
+def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") != "view", F.floor("value")).alias("input_tokens"), F.floor(F.col("value") * 2).alias("output_tokens"), F.lit(None).cast("long").alias("total_tokens"))
+    return synthesis.usage_totals(rows, ["user_id"])
+
+
+@query("select n_regionkey as parent_key, string_agg(concat('n', n_nationkey), ',' order by concat('n', n_nationkey)) as children from nation group by 1")
+def module_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = view(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("key"), F.concat(F.lit("r"), "n_regionkey").alias("parent_key"))
+    regions = view(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("key"), F.lit(None).cast("string").alias("parent_key"))
+    tree = synthesis.module_tree(nations.unionByName(regions)).where(F.size("children") > 0)
+    return tree.select(F.expr("cast(substring(key, 2) as int)").alias("parent_key"), F.array_join("children", ",").alias("children"))
+
+
+@query("select concat('c', conv_id) as id, count(*) as turns, cast(sum(length(text)) as bigint) as chars, max(turn) as last_turn from conversations where role <> 'system' group by 1")
+def conversation_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "conversations").where("role <> 'system'")
+    return rows.groupBy(F.concat(F.lit("c"), "conv_id").alias("id")).agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"), F.max("turn").alias("last_turn"))
+
+
+@query(
+    """with s as (select n_regionkey as repo_id, case n_nationkey % 4 when 0 then 'backend_api' when 1 then 'frontend' when 2 then 'cli' else 'library' end as style, n_nationkey / 10.0 as score from nation),
+    w as (select repo_id, coalesce(sum(score) filter (where style = 'backend_api'), 0) as b, coalesce(sum(score) filter (where style = 'frontend'), 0) as f, coalesce(sum(score) filter (where style = 'cli'), 0) as c, coalesce(sum(score) filter (where style = 'library'), 0) as l from s group by 1),
+    d as (select *, case when b >= 3 and f >= 3 then 'fullstack_monorepo' when c >= 3 and c >= b and f < 3 then 'cli' when l >= 3 and b < 3 and f < 3 and c < 3 then 'library' when greatest(b, f, c, l) < 2.5 then 'unknown'
+    when b >= greatest(f, c, l) then 'backend_api' when c >= greatest(f, l) then 'cli' when f >= l then 'frontend' else 'library' end as style from w),
+    v as (select *, case style when 'backend_api' then b when 'frontend' then f when 'cli' then c when 'library' then l else 0 end as own, greatest(case when style = 'backend_api' then 0 else b end, case when style = 'frontend' then 0 else f end, case when style = 'cli' then 0 else c end, case when style = 'library' then 0 else l end) as rival from d)
+    select repo_id, style, round(case when style = 'unknown' then 0.2 when rival <= 0 then least(0.9, 0.55 + own / 20) else least(0.97, greatest(0.45, own / (own + rival))) end, 3)::double as confidence from v"""
+)
+def style_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    style = F.element_at(F.array(*[F.lit(x) for x in ("backend_api", "frontend", "cli", "library")]), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    return synthesis.decide_style(view(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("repo_id"), style.alias("style"), (F.col("n_nationkey") / 10.0).alias("score")))
