@@ -98,8 +98,10 @@ def price_table(spark) -> DataFrame:
 
 def token_budget(blocks: DataFrame, budget: int, header: int = 0, order: list[Column] | None = None, key: str | None = None) -> DataFrame:
     """Blocks (cost) in order until the first that would pass the budget; the first block always stays."""
-    w = Window.partitionBy(key) if key else Window.partitionBy()
-    w = w.orderBy(*(order or [F.col("path")]))
+    order = order or [F.col("path")]
+    if key is None:  # each block costs one at least, so no more than the budget can stay: a top-k bounds the one task
+        blocks = blocks.where("cost > 0").orderBy(*order).limit(budget + 1)
+    w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(*order)
     used = F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + header
     rows = blocks.withColumn("used", used).withColumn("over", (F.col("used") > budget) & (F.row_number().over(w) > 1))
     return rows.withColumn("cut", F.max(F.col("over").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("cut = 0").drop("over", "cut")

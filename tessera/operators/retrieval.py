@@ -6,13 +6,38 @@ Queries are rows too, so a batch of questions is one plan. A ranked list is
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import overlap_tokens, query_identifiers, similarity, trigrams
+from tessera.functions.text import overlap_tokens, query_identifiers, trigrams
 from tessera.functions.vectors import cosine_distance
 
 K, MOST_LINES, LINE_CLIP = 60, 200, 1000
+#: Rows of a broadcast block of queries (a vector query is some hundred bytes, a name some tens).
+MOST_QUERIES = 5000
+
+
+def in_blocks(queries: DataFrame, key: str = "query_id", most: int = MOST_QUERIES) -> list[DataFrame]:
+    """A stated query set in broadcast blocks of at most ``most`` rows, by key range; one pass over the data each."""
+    count = queries.count()
+    if count <= most:
+        return [F.broadcast(queries)]
+    cuts = [r[0] for r in queries.select(key).withColumn("_n", F.row_number().over(Window.orderBy(key))).where(F.col("_n") % most == 0).collect()]
+    edges = [None, *cuts, None]
+    out = []
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        part = queries if lo is None else queries.where(F.col(key) > lo)
+        out.append(F.broadcast(part if hi is None else part.where(F.col(key) <= hi)))
+    return out
+
+
+def _each(queries: DataFrame, meet: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    first, *rest = map(meet, in_blocks(queries))
+    for x in rest:
+        first = first.unionByName(x)
+    return first
 
 
 def _rank(rows: DataFrame, order: list[Column], limit: int | None, key: str = "query_id") -> DataFrame:
@@ -23,11 +48,10 @@ def _rank(rows: DataFrame, order: list[Column], limit: int | None, key: str = "q
 def nearest(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, vec_id, distance, rank) by exact cosine distance, ties by id.
 
-    ``queries`` is a stated query set: every row meets every query, nothing is
-    shuffled but each task's best per query.
+    ``queries`` is a stated query set: every row meets every query, in blocks.
     """
     asked = queries.select("query_id", F.col("embedding").alias("q"))
-    met = vectors.crossJoin(F.broadcast(asked)).select("query_id", "vec_id", cosine_distance(F.col("embedding"), F.col("q")).alias("distance"))
+    met = _each(asked, lambda block: vectors.crossJoin(block).select("query_id", "vec_id", cosine_distance(F.col("embedding"), F.col("q")).alias("distance")))
     return _rank(met, [F.col("distance"), F.col("vec_id")], limit)
 
 
@@ -46,17 +70,19 @@ def symbol_ladder(symbols: DataFrame, names: DataFrame, limit: int | None = None
     name, q = F.col("name"), F.trim("query")
     low, ql = F.lower(name), F.lower(q)
     score = F.when(name == q, 100).when(low == ql, 90).when(low.startswith(ql), 70).when(low.contains(ql), 50)
-    met = symbols.crossJoin(F.broadcast(names)).withColumn("score", score).where("score is not null")
+    met = _each(names, lambda block: symbols.crossJoin(block).withColumn("score", score).where("score is not null"))
     best = first_per_key(met, ["query_id", "path"], [F.desc("score"), F.col("start_line"), F.col("symbol_id")])
     return _rank(best, [F.desc("score"), F.col("path"), F.col("start_line")], limit).select("query_id", "rank", "path", "symbol_id", "name", "start_line", "score")
 
 
 def fuzzy_symbols(symbols: DataFrame, names: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Trigram similarity of at least ``threshold``. Pairs that share no trigram never meet."""
+    """Trigram similarity of at least ``threshold``: an inverted join, so pairs without a common trigram never meet."""
     left = symbols.select("symbol_id", "name", trigrams(F.col("name")).alias("t"))
+    left = left.select("symbol_id", "name", F.size("t").alias("n"), F.explode("t").alias("gram"))
     right = names.select("query_id", trigrams(F.col("query")).alias("q"))
-    met = left.crossJoin(F.broadcast(right)).where(F.arrays_overlap("t", "q"))
-    return met.select("query_id", "symbol_id", "name", similarity(F.col("t"), F.col("q")).alias("similarity")).where(F.col("similarity") >= threshold)
+    right = right.select("query_id", F.size("q").alias("m"), F.explode("q").alias("gram"))
+    met = left.join(right, "gram").groupBy("query_id", "symbol_id", "name", "n", "m").agg(F.count("*").alias("k"))
+    return met.select("query_id", "symbol_id", "name", (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -79,7 +105,7 @@ def wiki_overlap(pages: DataFrame, queries: DataFrame, limit: int | None = None)
     asked = queries.select("query_id", overlap_tokens(F.col("query")).alias("q"))
     tokens = asked.select("query_id", F.size("q").alias("n"), F.explode("q").alias("token"))
     have = pages.select("slug", F.explode(overlap_tokens(F.concat_ws(" ", "title", "body"))).alias("token"))
-    met = have.join(F.broadcast(tokens), "token").groupBy("query_id", "slug").agg((F.count("*") / F.first("n")).alias("score"))
+    met = have.join(tokens, "token").groupBy("query_id", "slug").agg((F.count("*") / F.first("n")).alias("score"))
     return _rank(met, [F.desc("score"), F.col("slug")], limit)
 
 

@@ -6,6 +6,8 @@ written table under ``spark.checkpoint.dir``; nothing is kept on one machine.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -31,6 +33,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        atexit.register(self.close)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -40,6 +43,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def close(self) -> None:
+        """Delete the whole folder; runs when the driver ends, as results may be read until then."""
+        with contextlib.suppress(Exception):
+            self.drop(".")
+
     def drop(self, *names: str) -> None:
         """Delete tables no later step reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

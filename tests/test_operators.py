@@ -221,3 +221,11 @@ def test_repo_map_budget(spark):
     assert planning.repo_map(s).count() == 2
     assert "    def run" in planning.repo_map(s).where("path = 'a.py'").first()["block"]
     assert planning.repo_map(s, 16).count() == 1
+
+
+def test_query_blocks_give_the_same_rows(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(30)], "vec_id long, embedding array<float>")
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    whole = rows(retrieval.nearest(v, q, 3), "query_id", "vec_id", "rank")
+    monkeypatch.setattr(retrieval.in_blocks, "__defaults__", ("query_id", 7))
+    assert rows(retrieval.nearest(v, q, 3), "query_id", "vec_id", "rank") == whole and len(retrieval.in_blocks(q)) > 3
