@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
-from tessera.operators import graph, ownership, retrieval
+from tessera.functions import paths
+from tessera.functions.vectors import hash_embed
+from tessera.operators import extract, graph, ownership, retrieval
 from tessera.sources import tables
 
 TOOLS: dict[str, Callable[..., DataFrame]] = {
@@ -57,10 +60,70 @@ def run_tool(name: str, *args: object, **kwargs: object) -> dict:
         return {"ok": False, "error": str(e)}
 
 
-def register(spark: SparkSession) -> None:
-    """SQL functions: categorize_path, assign_layer, assign_domain by SQL body; hash_embed as a pandas function."""
-    from tessera.functions.vectors import hash_embed
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _has(text: str, *parts: str) -> str:
+    return "(" + " or ".join(f"contains({text}, '{x}')" for x in parts) + ")"
+
+
+#: Bodies of the SQL functions, in the order they are made (later ones call earlier ones).
+NORMAL = "regexp_replace(translate(coalesce(p, ''), '\\\\', '/'), '^[./]+', '')"
+LEAD, AROUND = "concat('/', l)", "concat('/', l, '/')"
+IN_APP = f"(startswith(l, 'app/') or contains({LEAD}, '/app/'))"
+SQL_FUNCTIONS = {
+    "normalize_path(p string) returns string": NORMAL,
+    "categorize_path(p string, n string) returns string": f"""case when lower(translate(coalesce(p, ''), '\\\\', '/')) rlike {_quoted(paths.TEST)} or startswith(lower(coalesce(n, '')), 'test_') then 'tests'
+        when lower(coalesce(p, '')) rlike {_quoted(paths.CRON)} or lower(coalesce(n, '')) rlike {_quoted(paths.CRON)} then 'cron'
+        when lower(translate(coalesce(p, ''), '\\\\', '/')) rlike {_quoted(paths.WORKER)} then 'workers' when lower(translate(coalesce(p, ''), '\\\\', '/')) rlike {_quoted(paths.ROUTE)} then 'routes' else 'other' end""",
+    "layer_of_lower(l string) returns string": f"""case when {_has(AROUND, "/tests/", "/test/", "/__tests__/")} or startswith(element_at(split(l, '/'), -1), 'test_') or {_has("element_at(split(l, '/'), -1)", ".test.", ".spec.")} then 'test'
+        when {_has("l", "alembic/", "migrations/")} then 'data' when (contains({LEAD}, '/models.py') or contains({AROUND}, '/models/')) and not startswith(l, 'packages/') and not startswith(l, 'libs/') then 'data'
+        when {IN_APP} and (contains({AROUND}, '/api/') or endswith(l, '/route.ts') or endswith(l, '/route.js')) then 'api' when {IN_APP} then 'web'
+        when startswith(l, 'components/') or startswith(l, 'pages/') or startswith(l, 'src/components') then 'web' when {_has("l", "apps/web", "frontend/", "src/pages")} and not startswith(l, 'apps/api') then 'web'
+        when {_has("l", "apps/worker", "/workers/", "/worker/", "celery", "/jobs/", "/tasks/")} and not contains(l, 'node_modules') then 'worker'
+        when {_has("l", "apps/api", "backend/", "/routes/", "/controllers/", "webhooks")} then 'api' else 'lib' end""",
+    "assign_layer(p string) returns string": "layer_of_lower(lower(normalize_path(p)))",
+}
+
+
+@udtf(returnType=extract.SYMBOLS.removeprefix("path string, "))
+class SymbolsOf:
+    """Definitions of one file: extract_symbols(path, text)."""
+
+    def eval(self, path: str, text: str):
+        try:
+            yield from list(extract._python_symbols(text) if path.endswith((".py", ".pyi")) else extract._js_symbols(text))[: extract.MOST_SYMBOLS] if text else ()
+        except (SyntaxError, ValueError, RecursionError):
+            return
 
+
+@udtf(returnType=extract.REFERENCES.removeprefix("path string, "))
+class ReferencesOf:
+    """Calls and imports of one file: extract_references(path, text)."""
+
+    def eval(self, path: str, text: str):
+        try:
+            yield from list(extract._python_references(text) if path.endswith((".py", ".pyi")) else extract._js_references(text)) if text else ()
+        except (SyntaxError, ValueError, RecursionError):
+            return
+
+
+@udtf(returnType="start_line int, end_line int, content string")
+class ChunksOf:
+    """Line windows of one file: chunk_file(text)."""
+
+    def eval(self, text: str):
+        lines = (text or "").splitlines(keepends=True)
+        for i, j in extract.split_lines(lines, extract.CHUNK_CHARS):
+            yield i + 1, j, "".join(lines[i:j])
+
+
+def register(spark: SparkSession) -> None:
+    """SQL functions with JVM bodies (normalize_path, categorize_path, assign_layer), hash_embed, and the table functions extract_symbols, extract_references and chunk_file."""
+    for head, body in SQL_FUNCTIONS.items():
+        name, _, kind = head.partition(" returns ")
+        spark.sql(f"create or replace temporary function {name} returns {kind} return {body}")
     spark.udf.register("hash_embed", hash_embed(64))
-    for name, pattern in (("is_test_path", r"(^|/)(tests?|__tests__)(/|$)|(^|/)test_|_test\\.|\\.test\\.|\\.spec\\."),):
-        spark.sql(f"create or replace temporary function {name}(p string) returns boolean return lower(p) rlike '{pattern}'")
+    for name, f in (("extract_symbols", SymbolsOf), ("extract_references", ReferencesOf), ("chunk_file", ChunksOf)):
+        spark.udtf.register(name, f)

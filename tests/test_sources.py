@@ -42,3 +42,20 @@ def test_push_stream(spark, tmp_path):
     q = maintenance.push_stream(spark, str(tmp_path / "in"), lambda changed, full, n: got.extend(sorted(tuple(r) for r in changed.collect())), str(tmp_path / "cp"))
     q.awaitTermination()
     assert got == [(7, "a"), (7, "b")]
+
+
+def test_registered_sql_functions(spark):
+    from tessera.functions import paths
+
+    registry.register(spark)
+    rows = ["tests/test_a.py", "./apps\\api/routes/x.py", "apps/worker/tasks/y.py", "jobs/nightly_cron.py", "app/api/a/route.ts", "app/page.tsx", "packages/a/models/b.py", "src/models/b.py", "components/B.tsx", "alembic/1.py", "frontend/x.js", None]
+    df = spark.createDataFrame([(x,) for x in rows], "p string")
+    got = df.selectExpr("categorize_path(p, null)", "assign_layer(p)", "normalize_path(p)").collect()
+    want = df.select(paths.categorize_path(F.col("p")), paths.assign_layer(F.col("p")), paths.normalize_path(F.col("p"))).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    files = spark.createDataFrame([("a.py", "def f():\n    return g('x')\n"), ("b.py", "def ("), ("c.py", None)], "path string, text string")
+    files.createOrReplaceTempView("registry_files")
+    assert [tuple(r) for r in spark.sql("select path, s.name, s.kind from registry_files, lateral extract_symbols(path, text) s").collect()] == [("a.py", "f", "function")]
+    assert [tuple(r) for r in spark.sql("select r.name, r.str_arg from registry_files, lateral extract_references(path, text) r").collect()] == [("g", "x")]
+    assert spark.sql("select c.* from registry_files, lateral chunk_file(text) c").count() == 2
+    assert len(spark.sql("select hash_embed('a b') as v").first()["v"]) == 64
