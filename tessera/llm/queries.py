@@ -75,13 +75,19 @@ placed as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id or
 piece as (select doc_id, li, lead, unnest(regexp_extract_all(line, '{GAP}*{WORD}')) as piece, generate_subscripts(regexp_extract_all(line, '{GAP}*{WORD}'), 1) as wi from placed),
 word as (select doc_id, li, wi, regexp_replace(piece, '^{GAP}+', '') as word, lead + sum(length(piece)) over (partition by doc_id, li order by wi) as e from piece),
 cut as (select *, e - length(word) as s, coalesce(sum(case when right(word, 1) in ('.', '!', '?') then 1 else 0 end) over (partition by doc_id, li order by wi rows between unbounded preceding and 1 preceding), 0) as si from word),
-sentences as (select doc_id, li, count(distinct si) as n from cut group by 1, 2),
-unit as (select doc_id, li, 'line' as kind, min(s) as s, max(e) as e, count(*) as n, {LOWER.format("string_agg(word, ' ' order by wi)")} as t from cut group by 1, 2
-    union all select c.doc_id, c.li, 'sentence', min(s), max(e), count(*), {LOWER.format("string_agg(word, ' ' order by wi)")} from cut c join sentences x on c.doc_id = x.doc_id and c.li = x.li where x.n > 1 group by c.doc_id, c.li, si),
+marked as (select *, strlen(word) * 31 + cast(concat('0x', left(hex({LOWER.format("word")}), 2)) as int) * 7 + cast(concat('0x', right(hex({LOWER.format("word")}), 2)) as int) * 13 as own from cut),
+mark as (select *, (own * 17 + coalesce(lead(own) over (partition by doc_id, li order by wi), 0) * 29) % 1009 as m from marked),
+least as (select *, m < coalesce(min(m) over (partition by doc_id, li order by wi rows between {units.REACH} preceding and 1 preceding), 2000) and m <= coalesce(min(m) over (partition by doc_id, li order by wi rows between 1 following and {units.REACH} following), 2000) as opens from mark),
+parts as (select *, sum(case when opens and wi > 1 then 1 else 0 end) over (partition by doc_id, li order by wi) as pi from least),
+counts as (select doc_id, li, count(distinct si) as sentences, count(distinct pi) as stretches from parts group by 1, 2),
+line_u as (select doc_id, 'line' as kind, min(s) as s, max(e) as e, count(*) as n, {LOWER.format("string_agg(word, ' ' order by wi)")} as t from parts group by doc_id, li),
+sentence_u as (select p.doc_id, 'sentence' as kind, min(s) as s, max(e) as e, count(*) as n, {LOWER.format("string_agg(word, ' ' order by wi)")} as t from parts p join counts c on p.doc_id = c.doc_id and p.li = c.li where c.sentences > 1 group by p.doc_id, p.li, si),
+stretch_u as (select p.doc_id, 'stretch' as kind, min(s) as s, max(e) as e, count(*) as n, {LOWER.format("string_agg(word, ' ' order by wi)")} as t from parts p join counts c on p.doc_id = c.doc_id and p.li = c.li where c.stretches > 1 group by p.doc_id, p.li, pi),
+unit as (select * from line_u union all select * from sentence_u union all select * from stretch_u x where not exists (select 1 from sentence_u y where x.doc_id = y.doc_id and x.s = y.s and x.e = y.e)),
 ranked as (select *, first_value(doc_id) over w as kept, first_value(s) over w as kept_s from unit where n >= {units.MIN_WORDS} window w as (partition by t order by doc_id, s)),
-gone as (select * from ranked where doc_id <> kept or s <> kept_s)
-select g.doc_id, cast(g.s as bigint) as start, cast(g.e as bigint) as "end", g.kind, g.kept as kept_doc_id, cast(strlen(substr(d.text, 1, cast(g.kept_s as int))) as bigint) as kept_start_byte from gone g join documents d on g.kept = d.doc_id
-where g.kind = 'line' or not exists (select 1 from gone h where h.doc_id = g.doc_id and h.li = g.li and h.kind = 'line')
+gone as (select *, coalesce(max(e) over (partition by doc_id order by s, e desc rows between unbounded preceding and 1 preceding), 0) as reach from ranked where doc_id <> kept or s <> kept_s)
+select g.doc_id, cast(greatest(g.s, g.reach) as bigint) as start, cast(g.e as bigint) as "end", g.kind, g.kept as kept_doc_id, cast(strlen(substr(d.text, 1, cast(g.kept_s as int))) as bigint) as kept_start_byte
+from gone g join documents d on g.kept = d.doc_id where g.e > g.reach
 """
 
 JACCARD_SQL = f"""

@@ -1,10 +1,12 @@
-"""Substring deduplication by line and sentence hashing.
+"""Substring deduplication by line, sentence and stretch hashing.
 
 A unit is a line, and within it each sentence (a piece ended by ``.``, ``!`` or
-``?`` before white space). Units are normalised (A-Z lower-cased, white space
+``?`` before white space) and each stretch (words up to the next one whose mark,
+a small number of its and the next word's bytes, is least within REACH words), so
+that a passage inside a line is found too. Units are normalised (A-Z lower-cased, white space
 runs as one space, ends trimmed), hashed to 128 bits and grouped globally; the
 first occurrence by (doc_id, offset) stays and every later one is removed, with
-its offsets in the original text kept. Units under ``min_words`` words are left
+its offsets in the original text kept; what overlaps is listed once. Units under ``min_words`` words are left
 alone, so that common short lines of clean documents stay.
 
 The groups' first occurrences are stored as sorted hash arrays; a second scan
@@ -26,11 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hashstore import HashStore, build
-from tessera.llm.textkit import blocks, mix, row_bounds, utf8, word_hashes, words
+from tessera.llm.textkit import LOWER, blocks, mix, row_bounds, utf8, word_hashes, words
 from tessera.sources.scratch import Scratch
 
 MIN_WORDS = 6
-LINE, SENTENCE = 0, 1
+LINE, SENTENCE, STRETCH = 0, 1, 2
+KINDS = np.array(["line", "sentence", "stretch"])
+#: Words on either side among which a stretch opens at the least mark.
+REACH = 4
 _NONE = 2**63 - 1
 
 
@@ -46,6 +51,20 @@ def _digest(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, salt: int)
     return mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
 
 
+def _opens_stretch(data: np.ndarray, start: np.ndarray, end: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Words whose mark is less than those of the REACH words before and no more than those of the REACH after, in their line."""
+    own = (end - start) * 31 + LOWER[data[start]].astype(np.int64) * 7 + LOWER[data[end - 1]].astype(np.int64) * 13
+    after = np.append(own[1:], 0)
+    after[:-1][line[1:] != line[:-1]] = 0
+    mark = (own * 17 + after * 29) % 1009
+    least = np.ones(len(mark), bool)
+    for k in range(1, REACH + 1):
+        same = line[k:] == line[:-k]
+        least[k:] &= ~same | (mark[k:] < mark[:-k])
+        least[:-k] &= ~same | (mark[:-k] <= mark[k:])
+    return least
+
+
 def units(data: np.ndarray, off: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
     """Every unit of a block: row, kind, start and end (bytes from the row's start), digests d1 and d2."""
     start, end, row = words(data, off)
@@ -62,12 +81,18 @@ def units(data: np.ndarray, off: np.ndarray, min_words: int) -> dict[str, np.nda
     new_sentence = new_line.copy()
     new_sentence[1:] |= stop[:-1]
     found = []
-    for kind, opens in ((LINE, new_line), (SENTENCE, new_sentence)):
+    sentences = np.zeros(0, np.int64)
+    for kind, opens in ((LINE, new_line), (SENTENCE, new_sentence), (STRETCH, new_line | _opens_stretch(data, start, end, np.cumsum(new_line)))):
         first = np.flatnonzero(opens)
         last = np.append(first[1:], n)
-        if kind == SENTENCE:  # a line of one sentence is a unit once
+        if kind != LINE:  # the same words are a unit once
             whole = new_line[first] & np.append(new_line, True)[last]
             first, last = first[~whole], last[~whole]
+        if kind == SENTENCE:
+            sentences = first * (n + 1) + last
+        elif kind == STRETCH:
+            other = ~np.isin(first * (n + 1) + last, sentences)
+            first, last = first[other], last[other]
         keep = last - first >= min_words
         first, last = first[keep], last[keep]
         found.append((row[first], np.full(len(first), kind), start[first] - off[row[first]], end[last - 1] - off[row[first]], _digest(hashes, first, last, 1), _digest(hashes, first, last, 2)))
@@ -115,12 +140,12 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, with_text: bool
             hit, got = store.lookup(u["d1"])
             again = hit & (got["d2"] == u["d2"].view(np.int64)) & ((got["doc"] != ids[u["row"]]) | (got["start"] != u["start"]))
             pick = np.flatnonzero(again)
-            pick = pick[np.lexsort((u["kind"][pick], u["start"][pick], u["row"][pick]))]
-            # A sentence inside a removed line is gone with it.
-            reach, keep = np.full(b.num_rows, -1), np.zeros(len(pick), bool)
-            for i, (r, e) in enumerate(zip(u["row"][pick].tolist(), u["end"][pick].tolist(), strict=True)):
-                if e > reach[r]:
-                    keep[i], reach[r] = True, e
+            pick = pick[np.lexsort((-u["end"][pick], u["start"][pick], u["row"][pick]))]
+            # What an earlier unit has removed is not listed again.
+            begin, reach, keep = u["start"].copy(), np.zeros(b.num_rows, np.int64), np.zeros(len(pick), bool)
+            for i, (k, r) in enumerate(zip(pick.tolist(), u["row"][pick].tolist(), strict=True)):
+                if u["end"][k] > reach[r]:
+                    keep[i], begin[k], reach[r] = True, max(begin[k], reach[r]), u["end"][k]
             pick = pick[keep]
             row = u["row"][pick]
             runes = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -128,9 +153,9 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, with_text: bool
             first = got["doc"][pick]
             spans = {
                 "doc_id": pa.array(ids[row], mask=ids[row] == _NONE),
-                "start": char(u["start"][pick]),
+                "start": char(begin[pick]),
                 "end": char(u["end"][pick]),
-                "kind": pa.array(np.where(u["kind"][pick] == LINE, "line", "sentence"), pa.string()),
+                "kind": pa.array(KINDS[u["kind"][pick]], pa.string()),
                 "kept_doc_id": pa.array(first, mask=first == _NONE),
                 "kept_start_byte": got["start"][pick].astype(np.int64),
             }
@@ -142,7 +167,7 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, with_text: bool
             for r in range(b.num_rows):
                 left, kept = int(off[r]), []
                 for k in pick[at[r] : at[r + 1]].tolist():
-                    kept.append(raw[left : off[r] + u["start"][k]])
+                    kept.append(raw[left : off[r] + begin[k]])
                     left = int(off[r] + u["end"][k])
                 out.append(b"".join([*kept, raw[left : off[r + 1]]]).decode())
             cells = pa.StructArray.from_arrays([pa.array(spans["start"]), pa.array(spans["end"]), spans["kind"], spans["kept_doc_id"], pa.array(spans["kept_start_byte"])], ["start", "end", "kind", "kept_doc_id", "kept_start_byte"])

@@ -1,5 +1,8 @@
+import random
 import re
 
+from wordmaker import prose, vocabulary
+
 from tessera.llm import units
 
 
@@ -17,25 +20,52 @@ def plain(rows, least):
                     groups.append(now)
                     now = []
             groups += [now] if now else []
-            for kind, g in [("line", words)] + ([("sentence", g) for g in groups] if len(groups) > 1 else []):
+            stretches = cut(words)
+            named = [words] + (groups if len(groups) > 1 else []) + [g for g in stretches if len(stretches) > 1 and not (len(groups) > 1 and g in groups)]
+            for g in named:
                 if len(g) >= least:
                     norm = re.sub("[A-Z]", lambda x: x.group().lower(), " ".join(w.group() for w in g))
                     a, b = m.start() + g[0].start(), m.start() + g[-1].end()
-                    key = (1, norm)
                     rank = (i if i is not None else 2**63, len(t[:a].encode()))
-                    spans.append((i, a, b, key, rank))
-                    first[key] = min(first.get(key, rank), rank)
-    gone = {(i, a, b) for i, a, b, key, rank in spans if rank != first[key]}
-    return {x for x in gone if not any(y[0] == x[0] and y != x and y[1] <= x[1] and x[2] <= y[2] for y in gone)}
+                    spans.append((i, a, b, norm, rank))
+                    first[norm] = min(first.get(norm, rank), rank)
+    out, reach = set(), {}
+    for i, a, b, norm, rank in sorted(spans, key=lambda x: (str(x[0]), x[1], -x[2])):
+        if rank != first[norm] and b > reach.get(i, 0):
+            out.add((i, max(a, reach.get(i, 0)), b))
+            reach[i] = b
+    return out
+
+
+def cut(words):
+    """Words of a line in stretches, by a direct reading of the rule."""
+    low = [re.sub("[A-Z]", lambda x: x.group().lower(), w.group()).encode() for w in words]
+    own = [len(w) * 31 + w[0] * 7 + w[-1] * 13 for w in low] + [0]
+    mark = [(own[k] * 17 + own[k + 1] * 29) % 1009 for k in range(len(words))]
+    out = []
+    for k, w in enumerate(words):
+        if k == 0 or (all(mark[k] < x for x in mark[max(0, k - units.REACH) : k]) and all(mark[k] <= x for x in mark[k + 1 : k + 1 + units.REACH])):
+            out.append([])
+        out[-1].append(w)
+    return out
 
 
 def test_lines_and_sentences_against_a_plain_reading(spark, edge_rows):
     shared = "a passage of quite a few words that several documents hold."
-    rows = [(i, t) for i, t, *_ in edge_rows] + [(200, f"Start here.\n{shared}\nthe end"), (201, f"other words {shared} Another sentence of more than six words follows."), (202, f"lead. {shared.upper()} tail of it"), (203, "Another sentence of more than six words follows.")]
-    # A line and a sentence of the same words are one unit only where each is the same kind; the plain reading keys both alike, so keep to cases where that agrees.
+    rows = [(i, t) for i, t, *_ in edge_rows if i != 11] + [(200, f"Start here.\n{shared}\nthe end"), (201, f"other words {shared} Another sentence of more than six words follows."), (202, f"lead. {shared.upper()} tail of it"), (203, "Another sentence of more than six words follows.")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {(r["doc_id"], r["start"], r["end"]) for r in units.repeated_units(df).collect()}
-    assert {x for x in plain(rows, units.MIN_WORDS)} == got
+    assert plain(rows, units.MIN_WORDS) == got
+
+
+def test_a_passage_inside_lines_is_found(spark):
+    r, words = random.Random(2), vocabulary(7)
+    passage = " ".join(r.choices(words, k=55))
+    rows = [(i, prose(r, words, 40) + " " + passage + " " + prose(r, words, 40)) for i in range(20)] + [(100 + i, prose(r, words, 100)) for i in range(20)]
+    got = {}
+    for x in units.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[x["doc_id"]] = got.get(x["doc_id"], 0) + x["end"] - x["start"]
+    assert set(got) == set(range(1, 20)) and min(got.values()) > 0.6 * len(passage)
 
 
 def test_cleaned_texts_and_offsets(spark, edge, edge_rows, none):
