@@ -30,7 +30,7 @@ FEATURES = (
     "bytes", "words", "word_length", "word_spread", "upper", "digit", "mark", "symbol", "pipe", "other_punctuation", "non_ascii",
     "lines", "line_length", "shouted", "symbol_words", "repeat_next", "distinct", "top_share", "short_words", "space", "ended",
 )
-SHORT = 30.0
+SHORT = 60.0
 _CLASS = {name: np.zeros(256, np.float64) for name in ("upper", "lower", "digit", "mark", "symbol", "pipe", "other", "space", "line", "high")}
 _CLASS["upper"][65:91] = _CLASS["lower"][97:123] = _CLASS["digit"][48:58] = _CLASS["high"][192:] = 1
 _CLASS["mark"][list(b"!?")] = _CLASS["symbol"][list(b"*$%&#@^~=+<>")] = _CLASS["pipe"][list(b"|")] = _CLASS["line"][10] = 1
