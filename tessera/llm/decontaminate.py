@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.textkit import LOWER, SPACE, blocks, utf8
 
 #: Gram length, edits as a share of an item's bytes, shortest item matched with edits, bytes of items in a block.
-Q, EDITS, SHORT, ITEM_BYTES = 12, 0.05, 48, 4 << 20
+Q, EDITS, SHORT, ITEM_BYTES = 8, 0.1, 48, 4 << 20
 _COST = 32
 
 
@@ -46,14 +46,14 @@ def normalise(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def grams(data: np.ndarray) -> np.ndarray:
-    """Hash of the Q bytes from each place; Q is 12: eight bytes packed, four more mixed in."""
+    """The Q bytes from each place, packed (Q is 8) and multiplied by an odd constant, so equal codes are equal grams."""
     n = len(data) - Q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     one = data.astype(np.uint64)
     two = one[:-1] | one[1:] << np.uint64(8)
     four = two[:-2] | two[2:] << np.uint64(16)
-    return (four[:n] | four[4 : n + 4] << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) ^ four[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (four[:n] | four[4 : n + 4] << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def slots(codes: np.ndarray) -> np.ndarray:
