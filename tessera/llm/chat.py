@@ -7,8 +7,10 @@ programming over the automaton of last roles finds the cheapest repair.
 
 The program composes: a run of turns is a 4 x 4 matrix of least costs. Turns are
 handled in chunks of a conversation, so a conversation of any length never meets
-in one task: chunks give their matrices, matrices give each chunk's entry and
-exit role, and chunks are repaired again between those.
+in one task. Where a conversation has several chunks, they give their matrices,
+matrices give each chunk's entry and exit role, and chunks are repaired between
+those; others are repaired at once. Tasks read sorted rows as a stream and hold
+one chunk at a time.
 
 Defined results: turns go by turn number, null last, ties by role and text; role
 names are trimmed and lower-cased, and any other or null role is relabelled at
@@ -18,10 +20,11 @@ are turns of their own; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,26 +111,83 @@ def ends(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def repair(codes: list[int], entry: int, leave: int) -> list[Step]:
-    """A cheapest step for each turn from the entry role to the exit role."""
+@cache
+def moves(code: int) -> tuple[tuple[int, int, int], ...]:
+    """(from, to, cost) of a turn's steps, in a fixed order."""
+    return tuple((s, t, step[0]) for (s, t), step in sorted(steps(code).items()))
+
+
+def repair(codes: list[int], entry: int, leave: int | None) -> tuple[list[Step], int]:
+    """A cheapest step for each turn from the entry role to the exit role (None: the best to close from), and the exit role."""
     cost, back = {entry: 0}, []
     for c in codes:
         best: dict[int, tuple[int, int]] = {}
-        for (s, t), step in sorted(steps(c).items()):
-            if s in cost and (t not in best or cost[s] + step[0] < best[t][0]):
-                best[t] = (cost[s] + step[0], s)
+        for s, t, toll in moves(c):
+            if s in cost and (t not in best or cost[s] + toll < best[t][0]):
+                best[t] = (cost[s] + toll, s)
         back.append(best)
         cost = {t: v for t, (v, _) in best.items()}
-    out, state = [], leave
+    state = leave if leave is not None else min(cost, key=lambda t: (cost[t] + closing(t)[0], t))
+    out, last = [], state
     for c, best in zip(codes[::-1], back[::-1], strict=True):
         before = best[state][1]
         out.append(steps(c)[before, state])
         state = before
-    return out[::-1]
+    return out[::-1], last
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of equal first ``keys`` columns, from batches sorted by them."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][:keys] != row[:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+_MATRIX = pa.schema([("conv", pa.string()), ("chunk", pa.int64()), ("m", pa.list_(pa.int64()))])
+_PLAN = pa.schema([("conv", pa.string()), ("chunk", pa.int64()), ("entry", pa.int32()), ("leave", pa.int32()), ("last", pa.bool_())])
+_TURN = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("pos", pa.int64()), ("turn", pa.int64()), ("role_in", pa.string()), ("action", pa.string()), ("role", pa.string()), ("cost", pa.int64()), ("segment", pa.string())])
+
 
+def _chunk_ends(rows: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Entry and exit roles of the chunks of conversations that have several; None if no conversation has."""
+    several = scratch.table(rows.groupBy("conv").agg((F.min("chunk") < F.max("chunk")).alias("several")).where("several").select("conv"), "several")
+    if several.isEmpty():
+        return None
 
-def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["turn", "code", *(["text"] if "text" in pdf else [])], kind="stable", na_position="last", ignore_index=True)
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(((run[0][0], run[0][1], matrix([r[2] for r in run]).reshape(-1).tolist()) for run in _runs(batches, 2)), _MATRIX)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for run in _runs(batches, 1):
+                found = ends([np.array(r[2]).reshape(4, 4) for r in run])
+                for k, (r, (e, x)) in enumerate(zip(run, found, strict=True)):
+                    yield r[0], r[1], e, x, k == len(run) - 1
+
+        yield from _batches(each(), _PLAN)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turns = rows.select("conv", "chunk", "code", "turn").join(several, "conv", "left_semi").repartition(parts, "conv", "chunk")
+    sums = turns.sortWithinPartitions("conv", "chunk", F.col("turn").asc_nulls_last(), "code").select("conv", "chunk", "code").mapInArrow(summary, "conv string, chunk long, m array<long>")
+    dealt = sums.repartition(parts, "conv").sortWithinPartitions("conv", "chunk")
+    return scratch.table(dealt.mapInArrow(link, "conv string, chunk long, entry int, leave int, last boolean"), "plan")
 
 
 def repair_roles(turns: DataFrame) -> DataFrame:
@@ -141,56 +201,49 @@ def repair_roles(turns: DataFrame) -> DataFrame:
     role = F.lower(F.trim(F.col("role").cast("string")))
     code = F.when(role == "system", SYSTEM).when(role == "user", USER).when(role == "assistant", ASSISTANT).otherwise(OTHER)
     rows = turns.select(
+        F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit("")).alias("conv"),
+        F.coalesce(F.floor(F.col("turn").cast("long") / CHUNK).cast("long"), F.lit(2**62)).alias("chunk"),
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role_in"),
         code.cast("int").alias("code"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK).cast("long"), F.lit(2**62)))
-    rows = rows.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-
-    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = matrix(_ordered(pdf)["code"].tolist())
-        return pd.DataFrame({"conv": [pdf["conv"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "m": [m.reshape(-1).tolist()]})
-
-    chunks = rows.select("conv", "chunk", "turn", "code").groupBy("conv", "chunk").applyInPandas(summary, "conv string, chunk long, m array<long>")
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk", ignore_index=True)
-        found = ends([np.array(m).reshape(4, 4) for m in pdf["m"]])
-        last = np.arange(len(pdf)) == len(pdf) - 1
-        return pd.DataFrame({"conv": pdf["conv"], "chunk": pdf["chunk"], "entry": [e for e, _ in found], "leave": [x for _, x in found], "last": last})
-
-    plan = scratch.table(chunks.groupBy("conv").applyInPandas(link, "conv string, chunk long, entry int, leave int, last boolean"), "plan")
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _ordered(pdf)
-        codes, entry, leave, last = pdf["code"].tolist(), int(pdf["entry"].iloc[0]), int(pdf["leave"].iloc[0]), bool(pdf["last"].iloc[0])
+    )
+    plan = _chunk_ends(rows, scratch)
+    if plan is None:
+        rows = rows.select("*", F.lit(BEGIN).alias("entry"), F.lit(None).cast("int").alias("leave"), F.lit(True).alias("last"))
+    else:
+        met = rows.join(plan, ["conv", "chunk"], "left")
+        rows = met.select(*rows.columns, F.coalesce("entry", F.lit(BEGIN)).alias("entry"), "leave", F.coalesce("last", F.lit(True)).alias("last"))
+
+    def repaired(run: list[tuple]) -> Iterator[tuple]:
+        _, chunk, conv_id, *_, entry, leave, last = run[0]
+        found, leave = repair([r[5] for r in run], entry, leave)
         out: list[tuple] = []
         state = entry
 
         def add(turn: int | None, role_in: str | None, action: str, to: int, cost: int, text: str) -> None:
             nonlocal state
             lead = "\n" if action == "merge" else ("<|end|>\n" if state != BEGIN else "") + f"<|{NAMES[to]}|>\n"
-            out.append((turn, role_in, action, NAMES[to], cost, lead + text))
+            out.append((conv_id, chunk, len(out), turn, role_in, action, NAMES[to], cost, lead + text))
             state = to
 
-        for turn, role_in, text, (cost, action, path, to) in zip(pdf["turn"].tolist(), pdf["role_in"].tolist(), pdf["text"].tolist(), repair(codes, entry, leave), strict=True):
+        for r, (cost, action, path, to) in zip(run, found, strict=True):
             for p in path:
                 add(None, None, "insert", p, INSERT, "")
-            add(None if pd.isna(turn) else int(turn), role_in, action, to, cost - INSERT * len(path), text)
+            add(r[3], r[4], action, to, cost - INSERT * len(path), r[6])
         if last:
             for p in closing(leave)[1]:
                 add(None, None, "insert", p, INSERT, "")
-            out[-1] = (*out[-1][:5], out[-1][5] + "<|end|>\n")
-        t, role_in, action, to, cost, segment = zip(*out, strict=True)
-        return pd.DataFrame({
-            "conv_id": pd.array([pdf["conv_id"].iloc[0] if pd.notna(pdf["conv_id"].iloc[0]) else pd.NA] * len(out), "Int64"), "chunk": pdf["chunk"].iloc[0], "pos": range(len(out)),
-            "turn": pd.array(t, "Int64"), "role_in": role_in, "action": action, "role": to, "cost": cost, "segment": segment,
-        })
-
-    joined = rows.join(plan, ["conv", "chunk"])
-    return joined.groupBy("conv", "chunk").applyInPandas(write, "conv_id long, chunk long, pos long, turn long, role_in string, action string, role string, cost long, segment string")
+            out[-1] = (*out[-1][:8], out[-1][8] + "<|end|>\n")
+        yield from out
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches((row for run in _runs(batches, 2) for row in repaired(run)), _TURN)
+
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "conv", "chunk").sortWithinPartitions("conv", "chunk", F.col("turn").asc_nulls_last(), "code", "text")
+    return dealt.mapInArrow(write, "conv_id long, chunk long, pos long, turn long, role_in string, action string, role string, cost long, segment string")
 
 
 def render(repaired: DataFrame) -> DataFrame:
