@@ -1,7 +1,8 @@
 """Interpolated modified Kneser-Ney bigram model.
 
-Spark counts; workers score. Each task packs its distinct bigrams into one blob
-a context range, so the shuffle moves few bytes a bigram; a reducer merges the
+Spark counts; workers score. A first pass names heavy contexts (a bounded list);
+their bigrams are dealt by the pair, all others by the context. Each task packs
+its distinct bigrams into one blob a range, so the shuffle moves few bytes a bigram; a reducer merges the
 blobs of its range and writes the range's sorted hash arrays (bigram counts, and
 a context's total with its numbers of successors seen once, twice and more). A
 second, smaller shuffle gathers each word's count and number of distinct
@@ -38,7 +39,7 @@ from tessera.sources.scratch import Scratch
 
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Bytes of text tokenised at once; a task folds that much into its distinct bigrams before it packs them.
-BLOCK, HELD = 4 << 20, 2_000_000
+BLOCK, HELD = 2 << 20, 2_000_000
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,9 +59,17 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return out, before, bounds
 
 
-def bigram_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Top 24 bits of the context (so a context's bigrams share its part), 40 bits of the pair's hash."""
-    return (u & ~np.uint64((1 << 40) - 1)) | (mix(u * np.uint64(0x9E3779B97F4A7C15) + w) >> np.uint64(24))
+def is_in(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Membership in a sorted array."""
+    if not len(listed):
+        return np.zeros(len(values), bool)
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
+
+
+def bigram_key(u: np.ndarray, w: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Top 24 bits of the context (so its bigrams share its part), 40 bits of the pair's hash; of the pair's hash alone for heavy contexts."""
+    pair = mix(u * np.uint64(0x9E3779B97F4A7C15) + w)
+    return np.where(is_in(u, heavy), pair, (u & ~np.uint64((1 << 40) - 1)) | (pair >> np.uint64(24)))
 
 
 def _merge(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,6 +84,33 @@ def _merge(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.
     return u[at], w[at], np.add.reduceat(c, at)
 
 
+def _merge_keys(k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(k)
+    k, c = k[order], c[order]
+    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[at], np.add.reduceat(c, at) if len(k) else c
+
+
+def heavy_contexts(texts: DataFrame, parts: int) -> np.ndarray:
+    """Contexts of at least 1 / (2 parts) of all tokens, as far as tasks see them; fewer than 2 parts + 1 by construction. Any list gives the same model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        for b in blocks(batches, "text", BLOCK):
+            w, u, _ = tokens(*utf8(b.column("text")))
+            k, c = np.unique(u, return_counts=True)
+            total += len(w)
+            keys, counts = _merge_keys(np.concatenate([keys, k]), np.concatenate([counts, c]))
+            keep = counts * (8 * parts) >= total
+            keys, counts = keys[keep], counts[keep]
+        yield pa.RecordBatch.from_pydict({"k": np.append(keys.view(np.int64), 0), "c": np.append(counts, total), "all": np.append(np.zeros(len(keys), bool), True)})
+
+    seen = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "k long, c long, all boolean").groupBy("all", "k").agg(F.sum("c").alias("c"))
+    # The row of all tokens, then the most frequent contexts: no more than 2 parts of them can qualify.
+    (_, _, total), *top = seen.orderBy(F.desc("all"), F.desc("c"), "k").limit(2 * parts + 1).collect() or [(True, 0, 0)]
+    return np.sort(np.array([k for _, k, c in top if c * 2 * parts >= total], np.int64).view(np.uint64))
+
+
 def pack(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
     """Distinct contexts with run lengths, successors, and counts (compressed)."""
     at = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
@@ -112,6 +148,8 @@ class Model:
     high: tuple[float, float, float]
     low: tuple[float, float, float]
     low_free: float
+    heavy: np.ndarray
+    heavy_sums: np.ndarray
 
     def stores(self) -> tuple[HashStore, HashStore, HashStore]:
         return (
@@ -129,11 +167,14 @@ class Model:
         if self.bigrams:
             cut = np.array((0.0, *self.low))[np.minimum(b, 3).astype(int)]
             q = np.maximum(b - cut, 0) / self.bigrams + self.low_free * q
-        _, at = context.lookup(u)
-        _, pair = bigram.lookup(bigram_key(u, w))
-        c, total = pair["c"].astype(np.float64), at["c"].astype(np.float64)
+        _, found = context.lookup(u)
+        at = np.stack([found[c] for c in ("c", "n1", "n2", "n3")], axis=1).astype(np.float64)
+        hot = is_in(u, self.heavy)
+        at[hot] = self.heavy_sums[np.searchsorted(self.heavy, u[hot])]
+        _, pair = bigram.lookup(bigram_key(u, w, self.heavy))
+        c, total = pair["c"].astype(np.float64), at[:, 0]
         cut = np.array((0.0, *self.high))[np.minimum(c, 3).astype(int)]
-        free = self.high[0] * at["n1"] + self.high[1] * at["n2"] + self.high[2] * at["n3"]
+        free = at[:, 1:] @ np.array(self.high)
         seen = total > 0
         some = np.where(seen, total, 1)
         return np.where(seen, np.maximum(c - cut, 0) / some + np.where(seen, free / some, 1) * q, q), count
@@ -144,6 +185,7 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     uri = scratch.path("model")
+    heavy = heavy_contexts(texts, parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -152,7 +194,10 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 u, w, c = _merge(*map(np.concatenate, zip(*held, strict=True)))
-                cut = np.searchsorted(part_of(u, parts), np.arange(parts + 1))
+                part = part_of(bigram_key(u, w, heavy), parts)
+                order = np.argsort(part, kind="stable")
+                u, w, c = u[order], w[order], c[order]
+                cut = np.searchsorted(part[order], np.arange(parts + 1))
                 some = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
                 yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "blob": pa.array([pack(*(x[cut[p] : cut[p + 1]] for x in (u, w, c))) for p in some], pa.binary())})
                 held.clear()
@@ -176,15 +221,19 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
             u, w, c = _merge(*map(np.concatenate, zip(*map(unpack, held), strict=True)))
             held.clear()
             at = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-            sums = lambda x: np.add.reduceat(x.astype(np.int64), at)
-            write_part(f"{uri}/context", now, u[at], {"c": sums(c), "n1": sums(c == 1), "n2": sums(c == 2), "n3": sums(c > 2)})
-            write_part(f"{uri}/bigram", now, bigram_key(u, w), {"c": c.astype(np.uint32)})
+            sums = {"c": np.add.reduceat(c, at), **{f"n{k}": np.add.reduceat((c == k if k < 3 else c > 2).astype(np.int64), at) for k in (1, 2, 3)}}
+            hot = is_in(u[at], heavy)
+            write_part(f"{uri}/context", now, u[at][~hot], {k: v[~hot] for k, v in sums.items()})
+            write_part(f"{uri}/bigram", now, bigram_key(u, w, heavy), {"c": c.astype(np.uint32)})
             order = np.argsort(w, kind="stable")
             ws, cs = w[order], c[order]
             head = np.flatnonzero(np.concatenate([[True], ws[1:] != ws[:-1]]))
             of_count = np.zeros((5, len(head)), np.int64)
             of_count[:, 0] = [int((c == k).sum()) for k in range(5)]
-            yield pa.RecordBatch.from_pydict({"w": ws[head].view(np.int64), "c": np.add.reduceat(cs, head), "b": np.diff(np.append(head, len(ws))).astype(np.int64), **{f"n{k}": of_count[k] for k in (1, 2, 3, 4)}})
+            yield pa.RecordBatch.from_pydict({"hot": np.zeros(len(head), bool), "w": ws[head].view(np.int64), "c": np.add.reduceat(cs, head), "b": np.diff(np.append(head, len(ws))).astype(np.int64), **{f"n{k}": of_count[k] for k in (1, 2, 3, 4)}})
+            if hot.any():  # partial sums of heavy contexts, added up below
+                none = np.zeros(int(hot.sum()), np.int64)
+                yield pa.RecordBatch.from_pydict({"hot": np.ones(len(none), bool), "w": u[at][hot].view(np.int64), "c": sums["c"][hot], "b": none, **{f"n{k}": sums[f"n{k}"][hot] for k in (1, 2, 3)}, "n4": none})
 
         for batch in batches:
             for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
@@ -196,7 +245,11 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
 
     blobs = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "part int, blob binary")
     dealt = blobs.repartition(parts, "part").sortWithinPartitions("part")
-    seen = scratch.table(dealt.mapInArrow(reduce, "w long, c long, b long, n1 long, n2 long, n3 long, n4 long"), "words")
+    seen = scratch.table(dealt.mapInArrow(reduce, "hot boolean, w long, c long, b long, n1 long, n2 long, n3 long, n4 long"), "words")
+    found = seen.where("hot").groupBy("w").agg(*[F.sum(k) for k in ("c", "n1", "n2", "n3")]).collect()
+    of = {np.int64(r[0]).view(np.uint64): r[1:] for r in found}
+    heavy_sums = np.array([of.get(k, (0, 0, 0, 0)) for k in heavy], np.float64).reshape(-1, 4)
+    seen = seen.where("not hot")
     vocabulary = scratch.table(seen.groupBy("w").agg(F.sum("c").alias("c"), F.sum("b").alias("b")), "vocabulary")
     high = seen.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in (1, 2, 3, 4)]).first()
     low = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum("b"), F.lit(0)), *[F.coalesce(F.sum((F.col("b") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4)]).first()
@@ -205,7 +258,7 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
     d_high, d_low = discounts(list(high)), discounts(list(low)[3:])
     more = low[1] - low[3] - low[4]
     free = (d_low[0] * low[3] + d_low[1] * low[4] + d_low[2] * more) / low[2] if low[2] else 1.0
-    return Model(uri, parts, low[0], low[1], low[2], d_high, d_low, free)
+    return Model(uri, parts, low[0], low[1], low[2], d_high, d_low, free, heavy, heavy_sums)
 
 
 def held_out(doc_id: Column) -> Column:
