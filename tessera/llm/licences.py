@@ -64,6 +64,23 @@ TEMPLATES: dict[str, tuple[str, str]] = {
         "above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
         "following disclaimer in the documentation and/or other materials provided with the distribution.",
     ),
+    "CC-BY-4.0-short": ("cc by 4.0", "Licensed under CC BY 4.0."),
+    "CC-BY-SA-4.0-short": ("cc by-sa 4.0", "Licensed under CC BY-SA 4.0."),
+    "CC-BY-ND-4.0-short": ("cc by-nd 4.0", "Licensed under CC BY-ND 4.0."),
+    "CC-BY-NC-4.0-short": ("cc by-nc 4.0", "Licensed under CC BY-NC 4.0."),
+    "CC-BY-NC-SA-4.0-short": ("cc by-nc-sa 4.0", "Licensed under CC BY-NC-SA 4.0."),
+    "CC-BY-NC-ND-4.0-short": ("cc by-nc-nd 4.0", "Licensed under CC BY-NC-ND 4.0."),
+    "CC-BY-SA-4.0-statement": ("creative attribution-sharealike 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC-BY-ND-4.0-statement": ("creative attribution-noderivatives 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    "CC-BY-NC-4.0-statement": ("creative attribution-noncommercial 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC-BY-NC-SA-4.0-statement": ("creative attribution-noncommercial-sharealike 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "CC-BY-NC-ND-4.0-statement": ("creative attribution-noncommercial-noderivatives 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    "CC0-1.0-short": ("cc0", "Licensed under CC0 1.0."),
+    "CC0-1.0-statement": (
+        "cc0 waived",
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+    ),
+    "All-rights-reserved": ("all rights reserved", "All rights reserved."),
 }
 
 _OUTER = np.zeros(256, bool)

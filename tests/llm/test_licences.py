@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
+from pathlib import Path
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from wordmaker import prose, vocabulary
@@ -56,3 +58,28 @@ def test_planted_licences(spark, edge, none):
     assert span.startswith("Permission is hereby") and span.endswith("Software")
     assert sum(x["doc_id"] == 106 and x["licence"] == "MIT" for x in got) == 2
     assert licences.licence_regions(edge).count() == 0 and licences.licence_regions(none).count() == 0
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not Path(DATA).is_dir(), reason="no test tables")
+def test_every_licence_line_of_the_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    lines = {}
+    for d in docs.where("lower(text) rlike 'licen[sc]e|rights reserved'").select("doc_id", "text").collect():
+        at = 0
+        for line in d["text"].split("\n"):
+            if "license" in line.lower() or "licence" in line.lower() or "rights reserved" in line.lower():
+                lines[d["doc_id"], at, at + len(line.rstrip(" ."))] = line
+            at += len(line) + 1
+    found = [(x["doc_id"], x["start"], x["end"]) for x in licences.licence_regions(docs).collect()]
+    missed = {k: line for k, line in lines.items() if not any(d == k[0] and k[1] <= s and e <= k[2] for d, s, e in found)}
+    assert len(lines) >= 46 and not missed
+
+
+def test_creative_commons_variants_stay_apart(spark):
+    rows = [(i, f"one two. Licensed under CC {k} 4.0. three") for i, k in enumerate(["BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"])]
+    rows += [(6, "Licensed under CC BY-NC 3.0."), (7, "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."), (8, "all rights are his, some are reserved")]
+    got = sorted((x["doc_id"], x["licence"]) for x in licences.licence_regions(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(i, f"CC-{k}-4.0-short") for i, k in enumerate(["BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"])] + [(7, "CC-BY-NC-4.0-statement")]
