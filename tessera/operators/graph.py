@@ -111,6 +111,9 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, max_nod
         front = scratch.table(new, f"level-{d}")
         levels.append(front)
         seen = seen.unionByName(front)
+        # A seed with max_nodes nodes gains none from a deeper level, so only the others go on.
+        full = seen.where("depth > 0").groupBy("seed").count().where(F.col("count") >= max_nodes)
+        front = front.join(full, "seed", "left_anti")
         if front.isEmpty():
             break
     found = levels[1]

@@ -280,6 +280,35 @@ def call_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.call_flow(view(spark, sf_dir, "edges"), seeds, max_depth=2).select("step", "src_id", "dst_id", "confidence", "depth")
 
 
+def _every_twentieth(symbols: DataFrame) -> DataFrame:
+    return symbols.where("symbol_id % 20 = 0").select(F.col("symbol_id").alias("seed"), "symbol_id")
+
+
+@query()
+def blast_radius_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id divisible by 20 at the default depth; unrolled SQL is too slow for that."""
+    return graph.blast_radius(view(spark, sf_dir, "edges"), _every_twentieth(view(spark, sf_dir, "symbols")))
+
+
+@query()
+def blast_grouped_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.group_impact(graph.describe_impact(blast_radius_whole(spark, sf_dir), view(spark, sf_dir, "symbols")))
+
+
+@query()
+def component_impact_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every worker component at the default depth."""
+    seeds = view(spark, sf_dir, "symbols").where(paths.assign_layer(F.col("path")) == "worker").select(paths.assign_domain(F.col("path")).alias("seed"), "symbol_id")
+    found = graph.blast_radius(view(spark, sf_dir, "edges"), seeds)
+    return found.groupBy("seed").agg(F.count("*").alias("total"), F.round(F.sum("min_confidence"), 2).alias("confidence"))
+
+
+@query()
+def call_flow_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id divisible by 20 at the default depth."""
+    return graph.call_flow(view(spark, sf_dir, "edges"), _every_twentieth(view(spark, sf_dir, "symbols")))
+
+
 MODULE = "array_to_string(list_slice(list_filter(string_split({}.path, '/'), lambda x: x <> ''), 1, 2), '/')"
 
 
@@ -374,6 +403,14 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.nearest(vectors, asked).select("vec_id", F.round("distance", 5).alias("distance"))
 
 
+@query()
+def knn_cosine_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id divisible by 20 asks."""
+    vectors = view(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.nearest(vectors, asked).select("query_id", "vec_id", F.round("distance", 5).alias("distance"), "rank")
+
+
 STOP = ", ".join(f"'{w}'" for w in sorted(set(text.STOPWORDS)))
 
 
