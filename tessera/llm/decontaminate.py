@@ -5,18 +5,22 @@ An occurrence of an item of m bytes with at most e edits shares at least
 m - q + 1 - q e of its q-grams, on diagonals no more than e apart. Shared grams
 are counted in bands of 2 (e + 1) diagonals, e + 1 apart, so some band holds them
 all; bands under the bound are dropped, and the others are verified by an
-alignment in the band, all of a block's at once.
+alignment in the band, all of a block's at once. Items whose bound is below one
+gram are cut into e + 1 pieces instead, one of which an occurrence holds unedited.
 
 Items are read in blocks of bounded size; each block is one pass over all rows.
 
 Defined results: null and empty texts match nothing; null and blank items are
-passed over; items under SHORT bytes match only exactly, between spaces; equal
+passed over; items under SHORT bytes match only exactly, with no word character
+before or behind; equal
 items each match; repeated rows match alike; empty tables give no matches; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.textkit import LOWER, SPACE, blocks, utf8
 
 #: Gram length, edits as a share of an item's bytes, shortest item matched with edits, bytes of items in a block.
-Q, EDITS, SHORT, ITEM_BYTES = 8, 0.1, 48, 4 << 20
+Q, EDITS, SHORT, ITEM_BYTES = 8, 0.1, 16, 4 << 20
 _COST = 32
 
 
@@ -72,10 +76,11 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     short: list[int]
+    weak: list[int]
 
     @staticmethod
     def of(rows: list[tuple[int, str | None]]) -> Index:
-        ids, items, budget, need, short, parts = [], [], [], [], [], []
+        ids, items, budget, need, short, weak, parts = [], [], [], [], [], [], []
         for item_id, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             body = normalise(raw, np.array([0, len(raw)]))[0].tobytes().strip()
@@ -90,11 +95,14 @@ class Index:
             if m < SHORT:
                 short.append(i)
                 continue
+            if m - Q + 1 < Q * e + 1:
+                weak.append(i)
+                continue
             code = grams(np.frombuffer(body, np.uint8))
             parts.append((code, np.full(len(code), i), np.arange(len(code))))
         code, item, place = map(np.concatenate, zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         order = np.argsort(code, kind="stable")
-        return Index(np.array(ids, np.int64), items, np.array(budget, np.int64), np.array(need, np.int64), code[order], item[order], place[order], short)
+        return Index(np.array(ids, np.int64), items, np.array(budget, np.int64), np.array(need, np.int64), code[order], item[order], place[order], short, weak)
 
 
 def candidates(index: Index, data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -126,6 +134,58 @@ def candidates(index: Index, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.stack([row, item, band * (index.budget[item] + 1) - len(data)], axis=1)
 
 
+def places(whole: bytes, part: bytes) -> list[int]:
+    """Every place of ``part``, overlapping ones too."""
+    out, k = [], whole.find(part)
+    while k >= 0:
+        out.append(k)
+        k = whole.find(part, k + 1)
+    return out
+
+
+def piece_candidates(index: Index, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Bands as of ``candidates``, of the items whose grams say too little."""
+    whole, out = data.tobytes() if index.weak else b"", []
+    for i in index.weak:
+        body, step = index.items[i], int(index.budget[i]) + 1
+        cut = [k * len(body) // step for k in range(step + 1)]
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            pos = np.array(places(whole, body[lo:hi]), np.int64)
+            row = np.searchsorted(off, pos, side="right") - 1
+            inside = pos + hi - lo <= off[row + 1]
+            pos, row = pos[inside], row[inside]
+            band = (pos - lo + len(data)) // step
+            for b in (band, np.maximum(band - 1, 0)):
+                out.append(np.stack([row, np.full(len(row), i), b * step - len(data)], axis=1))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+
+
+def _word_byte(body: bytes, k: int, step: int) -> bool:
+    """Whether the character that ends (step -1) or begins (step 1) at byte k is of a word."""
+    if not 0 <= k < len(body):
+        return False
+    lo, hi = k, k + 1
+    while step < 0 and lo > 0 and body[lo] & 0xC0 == 0x80:
+        lo -= 1
+    while step > 0 and hi < len(body) and body[hi] & 0xC0 == 0x80:
+        hi += 1
+    c = body[lo:hi].decode(errors="replace")[0]
+    return c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M"
+
+
+def whole_short(index: Index, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(row, item, start, end, 0) of every exact occurrence of a short item."""
+    whole, out = data.tobytes() if index.short else b"", []
+    for i in index.short:
+        size = len(index.items[i])
+        pos = np.array(places(whole, index.items[i]), np.int64)
+        for k, r in zip(pos.tolist(), (np.searchsorted(off, pos, side="right") - 1).tolist(), strict=True):
+            lo, hi = int(off[r]), int(off[r + 1])
+            if k + size <= hi and not (k > lo and _word_byte(whole, k - 1, -1)) and not (k + size < hi and _word_byte(whole, k + size, 1)):
+                out.append((r, i, k, k + size, 0))
+    return np.array(out, np.int64).reshape(-1, 5)
+
+
 def align(index: Index, data: np.ndarray, off: np.ndarray, found: np.ndarray) -> np.ndarray:
     """(row, item, start, end, edits) of the best alignment of each band that is within its item's budget.
 
@@ -167,24 +227,18 @@ def matches(index: Index, column: pa.Array) -> np.ndarray:
     """(row, item, start, end, edits), places as bytes of the original text from the row's start; overlapping finds of an item count once."""
     raw, off = utf8(column)
     data, at, origin = normalise(raw, off)
-    found = candidates(index, data, at)
-    out = [align(index, data, at, found)] if len(found) else []
-    if index.short:
-        whole = data.tobytes()
-        for r in range(len(at) - 1):
-            body = b" " + whole[at[r] : at[r + 1]].strip() + b" "
-            lead = at[r] + (at[r + 1] > at[r] and data[at[r]] == 32)
-            for i in index.short:
-                k = body.find(b" " + index.items[i] + b" ")
-                if k >= 0:
-                    out.append(np.array([[r, i, lead + k, lead + k + len(index.items[i]), 0]]))
-    if not out:
-        return np.zeros((0, 5), np.int64)
+    out = [align(index, data, at, found) for found in (candidates(index, data, at), piece_candidates(index, data, at)) if len(found)]
+    out.append(whole_short(index, data, at))
     hits = np.concatenate(out)
     hits = hits[np.lexsort((hits[:, 2], hits[:, 4], hits[:, 1], hits[:, 0]))]
     kept: list[list[int]] = []
+    owner, spans = None, []
     for h in hits.tolist():
-        if not any(k[0] == h[0] and k[1] == h[1] and k[2] < h[3] and h[2] < k[3] for k in kept[-8:]):
+        if owner != (h[0], h[1]):
+            owner, spans = (h[0], h[1]), []
+        k = bisect(spans, (h[2], h[3]))
+        if (k == 0 or spans[k - 1][1] <= h[2]) and (k == len(spans) or h[3] <= spans[k][0]):
+            spans.insert(k, (h[2], h[3]))
             kept.append(h)
     hits = np.array(kept, np.int64).reshape(-1, 5)
     if len(hits):

@@ -85,3 +85,29 @@ def test_items_in_several_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "lead " + t) for i, t in items], "doc_id long, text string")
     assert sorted((x["doc_id"], x["item_id"]) for x in d.contaminated_regions(docs, bench).collect()) == [(i, i) for i, _ in items]
     assert docs.where(d.is_clean(bench, docs["text"])).count() == 0
+
+
+def test_every_occurrence_of_short_items_with_any_boundary():
+    index = d.Index.of([(1, "the small item")])
+    text = 'The small item, (the small item) "the small item". \u201cthe small item\u201d; the small items, athe small item \u00e9the small item the small item\u0301 the small item'
+    got = d.matches(index, pa.array(["x", text, "the small item"])).tolist()
+    found = [text.encode()[a:b].decode() for r, _, a, b, _ in got if r == 1]
+    assert len(found) == 5 and {f.lower() for f in found} == {"the small item"}
+    assert [r for r, *_ in got].count(2) == 1 and not any(r == 0 for r, *_ in got)
+
+
+def test_items_of_sixteen_bytes_and_more_match_with_edits():
+    r, words = random.Random(11), vocabulary(3)
+    items = [(m, prose(r, words, 30).encode().decode("ascii", "ignore")[:m].strip().ljust(m, "k")) for m in range(16, 60)]
+    texts = []
+    for _, t in items:
+        for e in (0, 1, 2, 3, 4, 6):
+            texts += [prose(r, words, 6) + ' "' + edited(r, t, e) + '", ' + prose(r, words, 6)]
+    index = d.Index.of(items)
+    assert index.budget.tolist() == [len(b) // 10 for b in index.items] and not index.short
+    got = {(a, b) for a, b, _, _, _ in d.matches(index, pa.array(texts)).tolist()}
+    for a, t in enumerate(texts):
+        for k in {a // 6, (a // 6 + 1) % len(items)}:
+            assert ((a, k) in got) == (least_edits(index.items[k], norm(t)) <= index.budget[k])
+    many = d.matches(index, pa.array([" | ".join([items[4][1]] * 30)]))
+    assert (many[:, 1] == 4).sum() == 30
