@@ -3,17 +3,22 @@
 Each source's share of all words follows its weight, no source above three times
 its size. A source takes its documents whole: some full passes, then for the
 rest an equal fraction of every length, then a bounded-knapsack dynamic program
-over the counts of lengths still free closes the gap. Documents of a length are
-picked in the order of a seeded hash.
+over the counts of lengths closes the gap, by giving documents back too. Documents
+of a length are picked in the order of a seeded hash.
 
 Defined results: sources are ranked by code point, null last; null or empty text
 has size 0 and is never repeated for weight; a source without words has target 0;
-repeated rows are rows of their own; an empty table gives an empty table; other
-columns pass through, and one named like an added column is replaced by it.
+repeated rows are rows of their own, and which of several equal ones is taken
+makes no difference; rows of one id and text go by their other columns; a very
+long text is one length like any other, and where it is most of its source the
+nearest sum below the target is taken; ids may be of any type; an empty table
+gives an empty table; other columns pass through, and one named like an added
+column is replaced by it. Sources are ranked in one task, a row each.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,52 +26,84 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm import sharding
 from tessera.sources.scratch import Scratch
 
 WORDS = r"[^\x20\x09-\x0D]+"
 ADDED = ("size", "source_size", "target", "taken", "times")
-#: Words of gap the dynamic program closes at most; its tables have one entry a word.
-GAP = 1 << 16
+#: Most sums the dynamic program looks at (4 bytes each).
+STATES = 1 << 25
 #: Hash slices of a (source, length) cell; only the slice at the cut is ranked row by row.
 SLICES = 1024
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int = GAP) -> np.ndarray:
-    """How many documents of each length to take, at most ``counts``, for a sum near ``budget``."""
+def _close(pieces: list[tuple[int, int, int]], low: int, high: int) -> dict[int, int]:
+    """Copies of each piece's length to add (or, if negative, to give back) for the largest sum up to ``high`` that the pieces reach without passing below ``low``.
+
+    ``via`` names the piece that first reached a sum; the sum before it was reached earlier, so no piece is used twice.
+    """
+    via = np.full(high - low + 1, -1, np.int32)
+    via[-low] = 0
+    for k, (_, _, w) in enumerate(pieces, 1):
+        if abs(w) < len(via):
+            old, new = (via[: len(via) - w], via[w:]) if w > 0 else (via[-w:], via[: len(via) + w])
+            hit = np.flatnonzero((old >= 0) & (new < 0))
+            new[hit] = k
+            if via[-1] >= 0:
+                break
+    at, moves = int(np.flatnonzero(via >= 0)[-1]), Counter()
+    while via[at]:
+        i, copies, w = pieces[via[at] - 1]
+        moves[i] += copies
+        at -= w
+    return moves
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, states: int = STATES) -> np.ndarray:
+    """How many documents of each length to take, at most ``counts``, for the largest sum that is no more than ``budget``.
+
+    An equal share of every length and then the longest documents that still fit
+    leave a small gap. The dynamic program closes it over sums around that choice,
+    giving documents back as well as adding more; its window widens until the gap
+    is closed or everything taken could be given back, when its answer is the best
+    there is. A window never passes ``states`` sums: beyond, the best found counts.
+    """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
+    some = lengths > 0
+    unit = int(np.gcd.reduce(lengths[some & (counts > 0)])) if total else 1
+    budget = max(budget, 0) // unit * unit  # every sum is a multiple
     take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
     left = budget - int((take * lengths).sum())
-    if left > gap:  # whole documents, longest first, until the table can close the rest
-        for i in np.argsort(-lengths, kind="stable").tolist():
-            if left <= gap:
-                break
-            more = min(int(counts[i] - take[i]), (left - gap // 2) // int(lengths[i])) if lengths[i] else 0
-            if more > 0:
-                take[i] += more
-                left -= more * int(lengths[i])
-    left = min(left, gap) if left > 0 else 0
-    via = np.full(left + 1, -1, np.int32)
-    via[0] = 0
-    items: list[tuple[int, int, int]] = [(0, 0, 0)]
-    for i in np.flatnonzero((lengths > 0) & (lengths <= left) & (counts > take)).tolist():
-        free, size = min(int(counts[i] - take[i]), left // int(lengths[i])), 1
-        while free > 0 and via[left] < 0:  # a count in binary pieces
-            k = min(size, free)
-            w = k * int(lengths[i])
-            new = np.flatnonzero((via[: left + 1 - w] >= 0) & (via[w:] < 0)) if w <= left else ()
-            via[np.asarray(new, np.int64) + w] = len(items)
-            items.append((i, k, w))
-            free, size = free - k, size * 2
-        if via[left] >= 0:
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        if some[i] and lengths[i] <= left:
+            more = min(int(counts[i] - take[i]), left // int(lengths[i]))
+            take[i] += more
+            left -= more * int(lengths[i])
+
+    def pieces(free: np.ndarray, sign: int, most: int) -> list[tuple[int, int, int]]:
+        """Counts in binary pieces: (length's place, copies, sum)."""
+        out = []
+        for i in np.flatnonzero(some & (free > 0) & (lengths <= most)).tolist():
+            rest, size = min(int(free[i]), most // int(lengths[i])), 1
+            while rest > 0:
+                k = min(size, rest)
+                out.append((i, sign * k, sign * k * int(lengths[i])))
+                rest, size = rest - k, size * 2
+        return out
+
+    taken, window = budget - left, 8 * int(lengths.max(initial=1))
+    while left:
+        window = min(window, taken, max(states - left, 0))
+        moves = _close([*pieces(take, -1, window), *pieces(counts - take, 1, window + left)], -window, left)
+        gain = sum(k * int(lengths[i]) for i, k in moves.items())
+        if gain == left or window in (taken, states - left) or left >= states:
+            for i, k in moves.items():
+                take[i] += k
             break
-    at = int(np.flatnonzero(via >= 0)[-1])
-    while at:
-        i, k, w = items[via[at]]
-        take[i] += k
-        at -= w
+        window *= 8
     return take
 
 
@@ -117,7 +154,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
     cut = scratch.table(cut.select("k", "k0", "size", "slice", "source_size", "target", "whole", "pick", "n"), "cut")
 
     met = named(rows, "size", "slice", "mark", "row").join(cut, ["k", "k0", "size", "slice"])
-    place = F.row_number().over(Window.partitionBy("k", "k0", "size", "slice").orderBy("mark"))
+    # Rows of equal mark differ in columns besides id and text only; maps have no order and go as JSON.
+    ties = [F.col("row").getField(c) if sharding.has_order(docs.schema[c].dataType) else F.to_json(F.struct(F.col("row").getField(c))) for c in keep]
+    place = F.row_number().over(Window.partitionBy("k", "k0", "size", "slice").orderBy("mark", *ties))
     times = F.col("whole") + F.when(F.col("pick") == F.col("n"), 1).when(F.col("pick") == 0, 0).otherwise(F.when(place <= F.col("pick"), 1).otherwise(0))
     return met.withColumn("times", times.cast("int")).select(*[F.col("row").getField(c).alias(c) for c in keep], "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 

@@ -22,7 +22,7 @@ def test_fit_never_passes_the_budget_and_reaches_what_can_be_reached(cells, budg
     for s, c in cells.items():
         reach = {r + s * k for r in reach for k in range(c + 1)}
     best = max(r for r in reach if r <= budget)
-    assert best - got <= max(cells) and (got == total if budget >= total else True)
+    assert got == (total if budget >= total else best)
 
 
 def test_fit_closes_a_large_gap():
@@ -30,7 +30,43 @@ def test_fit_closes_a_large_gap():
     size = np.unique(r.integers(1, 20_000, 500))
     n = r.integers(1, 4, len(size))
     budget = int((size * n).sum() * 0.41)
-    assert int((size * mixing.fit(size, n, budget, gap=30_000)).sum()) == budget
+    assert int((size * mixing.fit(size, n, budget)).sum()) == budget
+
+
+def best_sum(cells, budget):
+    reach = 1
+    for s, c in cells:
+        for _ in range(c):
+            reach |= reach << s
+    return (reach & ((1 << budget + 1) - 1)).bit_length() - 1
+
+
+def test_fit_is_exact_in_random_cases():
+    r = np.random.default_rng(4)
+    for _ in range(3000):
+        size = np.unique(r.integers(1, r.integers(3, 60), r.integers(1, 8)))
+        n = r.integers(1, 7, len(size))
+        budget = int(r.integers(0, int((size * n).sum()) + 1))
+        got = int((size * mixing.fit(size, n, budget)).sum())
+        assert got == best_sum(list(zip(size.tolist(), n.tolist(), strict=True)), budget)
+    cells = [(7, 2), (11, 3), (15, 1), (28, 1), (35, 5), (37, 6)]
+    assert int((np.array([s for s, _ in cells]) * mixing.fit(np.array([s for s, _ in cells]), np.array([c for _, c in cells]), 348)).sum()) == best_sum(cells, 348)
+
+
+def test_fit_with_long_documents():
+    take = lambda size, n, budget: mixing.fit(np.array(size), np.array(n), budget)
+    assert take([69_000, 80_000], [1, 1], 70_000).tolist() == [1, 0]
+    assert take([69_000, 80_000, 90_001], [1, 1, 1], 165_000).tolist() == [1, 0, 1]
+    r = np.random.default_rng(6)
+    for _ in range(40):
+        size = np.unique(r.integers(60_000, 400_000, 7))
+        n = r.integers(1, 3, len(size))
+        budget = int((size * n).sum() * r.random())
+        assert int((size * mixing.fit(size, n, budget)).sum()) == best_sum(list(zip(size.tolist(), n.tolist(), strict=True)), budget)
+    many = mixing.fit(np.array([0, 1000, 3000]), np.array([5, 10**9, 10**9]), 10**12 + 17)
+    assert int(many[1] * 1000 + many[2] * 3000) == 10**12
+    bounded = mixing.fit(np.array([2 << 20, 3 << 20, (1 << 22) + 1]), np.array([9, 9, 1]), (1 << 24) + (1 << 19), states=1 << 16)
+    assert 0 < int((np.array([2 << 20, 3 << 20, (1 << 22) + 1]) * bounded).sum()) <= (1 << 24) + (1 << 19)
 
 
 def plain_targets(sizes):
@@ -76,3 +112,10 @@ def test_mix_of_edge_rows(edge, edge_rows, none):
     rows = mixing.repeat_rows(mixing.mix_sources(edge), edge.columns)
     assert rows.columns == edge.columns and rows.count() == sum(r["times"] for r in got)
     assert mixing.mix_sources(none).count() == 0
+
+
+def test_rows_of_one_id_and_text_go_by_their_other_columns(spark):
+    rows = [(1, "a b c d e", "s", k, {"k": k}) for k in range(12)] + [(2, "one two three", "t", 0, None)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rank int, tags map<string,int>")
+    seen = [Counter((r["doc_id"], r["rank"], r["times"]) for r in mixing.mix_sources(docs.repartition(k)).collect()) for k in (1, 3, 5)]
+    assert seen[0] == seen[1] == seen[2]

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -46,3 +47,45 @@ def test_written_shards(spark, edge, edge_rows, tmp_path):
     sharding.write_shards(sharding.external_shuffle(edge, 3), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == len(edge_rows) and back.select("shard").distinct().count() == 3
+
+
+def test_copies_of_a_row_spread_over_buckets_and_places(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 64)
+    rows = [(7, "the same text", {"k": 1})] * 1000 + [(i, f"text {i}", None) for i in range(1000, 2000)] + [(None, None, {})] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>").repartition(4)
+    got = sharding.external_shuffle(docs, 1, bucket_bytes=1 << 13).collect()
+    assert Counter((r["doc_id"], r["text"], str(r["tags"])) for r in got) == Counter((i, t, str(m)) for i, t, m in rows)
+    places = sorted(r["slot"] for r in got if r["doc_id"] == 7)
+    assert sorted(r["slot"] for r in got) == list(range(2050))
+    tenth = Counter(p * 10 // 2050 for p in places)
+    assert len(tenth) == 10 and max(tenth.values()) < 160 and places[0] < 50 and places[-1] > 2000
+
+
+def test_rows_that_differ_in_one_other_column_are_kept_apart(spark):
+    docs = spark.createDataFrame([("a", "t", k % 3) for k in range(30)], "doc_id string, text string, n int")
+    got = sharding.external_shuffle(docs, 4).collect()
+    assert Counter((r["doc_id"], r["n"]) for r in got) == {("a", 0): 10, ("a", 1): 10, ("a", 2): 10}
+
+
+def plain_shuffle(counts, seed):
+    """An inside-out Fisher-Yates of each bucket."""
+    r, out = random.Random(seed), []
+    for n in counts:
+        a = []
+        for i in range(n):
+            j = r.randrange(i + 1)
+            a.append(i)
+            a[i], a[j] = a[j], i
+        out.append(a)
+    return out
+
+
+def test_places_are_a_permutation_of_each_bucket(spark):
+    """As a plain shuffle by bucket: every bucket's rows keep a gapless run of places, in an order unlike that of their hashes."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('t', id) as text")
+    got = sorted(sharding.external_shuffle(docs, 1, bucket_bytes=1 << 14).collect(), key=lambda r: r["slot"])
+    again = sorted(sharding.external_shuffle(docs, 1, bucket_bytes=1 << 14, seed=12).collect(), key=lambda r: r["slot"])
+    assert [r["slot"] for r in got] == list(range(3000)) and sum(a["doc_id"] == b["doc_id"] for a, b in zip(got, again, strict=True)) < 20
+    for order in [[r["doc_id"] for r in got], *plain_shuffle([3000], 5)]:
+        moved = sum(abs(x - k) for k, x in enumerate(order)) / 3000
+        assert 900 < moved < 1100  # a third of the length in the mean
