@@ -3,8 +3,8 @@
 A store is cut by key range into parts. Each part is a sorted ``uint64`` key
 array and one value array a column. Parts are written by Spark tasks under a
 temporary name and renamed, so a repeated task leaves the same file. On a local
-or mounted folder workers map the arrays; elsewhere they read a part's bytes
-when it is first needed.
+or mounted folder workers map the arrays; elsewhere they read an array when it is
+needed and keep what was used last, up to a fixed number of bytes.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from __future__ import annotations
 import io
 import os
 import uuid
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,12 +61,36 @@ def load(uri: str) -> np.ndarray | None:
         return np.load(io.BytesIO(f.read()))
 
 
+class Recent:
+    """Arrays a worker has opened: the least recently used go beyond ``files`` arrays, or ``most`` bytes of those that aren't mapped."""
+
+    def __init__(self, most: int = 256 << 20, files: int = 512) -> None:
+        self.most, self.files, self.held = most, files, 0
+        self._have: OrderedDict[str, np.ndarray | None] = OrderedDict()
+
+    @staticmethod
+    def _size(array: np.ndarray | None) -> int:
+        return 0 if array is None or isinstance(array, np.memmap) else array.nbytes
+
+    def get(self, uri: str, read: Callable[[str], np.ndarray | None]) -> np.ndarray | None:
+        if uri in self._have:
+            self._have.move_to_end(uri)
+            return self._have[uri]
+        array = self._have[uri] = read(uri)
+        self.held += self._size(array)
+        while (self.held > self.most or len(self._have) > self.files) and len(self._have) > 1:
+            self.held -= self._size(self._have.popitem(last=False)[1])
+        return array
+
+
+_ARRAYS = Recent()
+
+
 class HashStore:
     """Reader of a store; opening costs nothing until a part is asked for."""
 
     def __init__(self, uri: str, parts: int, columns: tuple[str, ...] = ()) -> None:
         self.uri, self.parts, self.columns = uri, parts, columns
-        self._have: dict[int, dict[str, np.ndarray] | None] = {}
 
     @staticmethod
     def opened(uri: str, parts: int, columns: tuple[str, ...] = ()) -> HashStore:
@@ -74,29 +99,36 @@ class HashStore:
             _OPEN[uri] = HashStore(uri, parts, columns)
         return _OPEN[uri]
 
-    def _part(self, p: int) -> dict[str, np.ndarray] | None:
-        if p not in self._have:
-            keys = load(f"{self.uri}/{p:06d}.key.npy")
-            self._have[p] = None if keys is None else {"": keys} | {c: load(f"{self.uri}/{p:06d}.{c}.npy") for c in self.columns}
-        return self._have[p]
-
-    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """Whether each key is there, and its values (zero if not). Queries go in key order, each distinct key once."""
-        distinct, back = np.unique(keys, return_inverse=True)
+    def _column(self, p: int, c: str) -> np.ndarray | None:
+        return _ARRAYS.get(f"{self.uri}/{p:06d}.{c}.npy", load)
+
+    def lookup(self, keys: np.ndarray, route: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Whether each key is there, and its values (zero if not). Queries go part by part in key order, each distinct key once.
+
+        ``route`` is what a key's part goes by, where that isn't the key itself.
+        """
+        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        part = part_of(distinct if route is None else route[first], self.parts)
+        if route is not None:
+            order = np.argsort(part.astype(np.int16 if self.parts < 1 << 15 else np.int64), kind="stable")
+            distinct, part = distinct[order], part[order]
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            back = place[back]
         found = np.zeros(len(distinct), bool)
-        values: dict[str, np.ndarray] = {}
-        cut = np.searchsorted(part_of(distinct, self.parts), np.arange(self.parts + 1))
+        values = {c: np.zeros(len(distinct), np.int64) for c in self.columns}
+        cut = np.searchsorted(part, np.arange(self.parts + 1))
         for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-            part = self._part(p)
-            if part is None or not len(part[""]):
+            have = self._column(p, "key")
+            if have is None or not len(have):
                 continue
-            ask, have = distinct[cut[p] : cut[p + 1]], part[""]
+            ask = distinct[cut[p] : cut[p + 1]]
             at = np.minimum(np.searchsorted(have, ask), len(have) - 1)
             hit = np.asarray(have[at]) == ask
             found[cut[p] : cut[p + 1]] = hit
             for c in self.columns:
-                values.setdefault(c, np.zeros(len(distinct), part[c].dtype))[cut[p] : cut[p + 1]][hit] = part[c][at[hit]]
-        return found[back], {c: values.get(c, np.zeros(len(distinct), np.int64))[back] for c in self.columns}
+                values[c][cut[p] : cut[p + 1]][hit] = self._column(p, c)[at[hit]]
+        return found[back], {c: v[back] for c, v in values.items()}
 
 
 def write_part(uri: str, p: int, keys: np.ndarray, values: dict[str, np.ndarray]) -> None:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 from wordmaker import prose, vocabulary
 
@@ -45,7 +46,7 @@ def test_matches_are_exactly_those_within_the_budget():
             texts.append(prose(r, words, 20) + " " + edited(r, t.upper() if e == 3 and t.isascii() else t, e).replace(" ", "  \n", 2) + " " + prose(r, words, 15))
     texts += [items[0][1] + " " + items[0][1], items[1][1], prose(r, words, 300)]
     index = d.Index.of(items)
-    got = {(a, int(index.ids[b])): e for a, b, _, _, e in d.matches(index, pa.array(texts)).tolist()}
+    got = {(a, int(index.ids[0, b])): e for a, b, _, _, e in d.matches(index, pa.array(texts)).tolist()}
     for a, t in enumerate(texts):
         for k, (i, body) in enumerate(items):
             best = least_edits(norm(body).strip(), norm(t))
@@ -59,7 +60,7 @@ def test_matches_are_exactly_those_within_the_budget():
 def test_short_items_match_only_whole():
     index = d.Index.of([(1, "the small item"), (2, None), (3, "  ")])
     got = d.matches(index, pa.array(["has The  small item here", "the small items", " the small item", None]))
-    assert got[:, 0].tolist() == [0, 2] and index.ids.tolist() == [1]
+    assert got[:, 0].tolist() == [0, 2] and index.ids[0].tolist() == [1]
     assert got[0, 2:4].tolist() == [4, 19]
 
 
@@ -81,7 +82,7 @@ def test_items_in_several_blocks(spark, monkeypatch):
     items = [(i, prose(r, words, 25)) for i in range(9)]
     monkeypatch.setattr(d, "ITEM_BYTES", 300)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert sum(1 for _ in d.item_blocks(bench)) > 2
+    assert len(d.index_items(bench).blocks) > 2
     docs = spark.createDataFrame([(i, "lead " + t) for i, t in items], "doc_id long, text string")
     assert sorted((x["doc_id"], x["item_id"]) for x in d.contaminated_regions(docs, bench).collect()) == [(i, i) for i, _ in items]
     assert docs.where(d.is_clean(bench, docs["text"])).count() == 0
@@ -104,10 +105,53 @@ def test_items_of_sixteen_bytes_and_more_match_with_edits():
         for e in (0, 1, 2, 3, 4, 6):
             texts += [prose(r, words, 6) + ' "' + edited(r, t, e) + '", ' + prose(r, words, 6)]
     index = d.Index.of(items)
-    assert index.budget.tolist() == [len(b) // 10 for b in index.items] and not index.short
+    assert index.budget.tolist() == [int(n) // 10 for n in np.diff(index.at)]
     got = {(a, b) for a, b, _, _, _ in d.matches(index, pa.array(texts)).tolist()}
     for a, t in enumerate(texts):
         for k in {a // 6, (a // 6 + 1) % len(items)}:
-            assert ((a, k) in got) == (least_edits(index.items[k], norm(t)) <= index.budget[k])
+            assert ((a, k) in got) == (least_edits(index.pattern(k).tobytes(), norm(t)) <= index.budget[k])
     many = d.matches(index, pa.array([" | ".join([items[4][1]] * 30)]))
     assert (many[:, 1] == 4).sum() == 30
+
+
+def test_every_piece_of_many_short_items():
+    """Against plain search: exact items of one byte to fifteen, each with its boundaries."""
+    r = random.Random(12)
+    items = [(i, "".join(r.choice("ab é") for _ in range(r.randint(1, 15))).strip() or "a") for i in range(60)]
+    text = " ".join("".join(r.choice("ab é.") for _ in range(30)) for _ in range(40))
+    index = d.Index.of(items)
+    got = {(int(index.ids[0, i]), a, b) for _, i, a, b, _ in d.matches(index, pa.array([text])).tolist()}
+    plain, at = norm(text), []
+    raw = text.encode()
+    for k in range(len(raw)):
+        if not (k and raw[k : k + 1] == b" " and raw[k - 1 : k] == b" "):
+            at.append(k)
+    word = lambda c: c.isalnum() or c == "_"
+    for i, t in items:
+        body, k, free = norm(t).strip(), 0, 0
+        while (k := plain.find(body, k)) >= 0:
+            left, right = plain[:k].decode(errors="ignore")[-1:], plain[k + len(body) :].decode(errors="ignore")[:1]
+            if k >= free and not (left and word(left)) and not (right and word(right)):
+                assert (i, at[k], at[k + len(body) - 1] + 1) in got
+                free = k + len(body)
+            k += 1
+
+
+def test_long_items_are_found_by_their_parts():
+    r, words = random.Random(13), vocabulary(2)
+    long = prose(r, words, 2500)
+    assert len(long) > 10_000
+    index = d.Index.of([(1, long), (2, prose(r, words, 40))])
+    texts = [long, "x " + edited(r, long, int(0.05 * len(long))) + " y", prose(r, words, 500), prose(r, words, 50) + long[3000:6000] + prose(r, words, 50)]
+    got = d.matches(index, pa.array(texts)).tolist()
+    assert {a for a, *_ in got} == {0, 1, 3} and all(i == 1 for _, i, *_ in [(a, int(index.ids[0, b])) for a, b, *_ in got])
+    assert [(a, b, c) for r_, _, a, b, c in got if r_ == 0] == [(0, len(long.encode()), 0)]
+    assert sum(b - a for r_, _, a, b, _ in got if r_ == 1) > 0.95 * len(long)
+    assert 1500 < sum(b - a for r_, _, a, b, _ in got if r_ == 3) <= 3100
+
+
+def test_null_item_ids_and_no_items(spark):
+    docs = spark.createDataFrame([(1, "say a question of this benchmark, then stop"), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a question of this benchmark")], "item_id long, text string")
+    assert [tuple(x) for x in d.contaminated_regions(docs, bench).collect()] == [(1, None, 4, 32, 0)]
+    assert d.contaminated_regions(docs, bench.where("false")).count() == 0 and docs.where(d.is_clean(bench.where("false"), docs["text"])).count() == 2
