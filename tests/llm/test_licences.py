@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,3 +84,62 @@ def test_creative_commons_variants_stay_apart(spark):
     rows += [(6, "Licensed under CC BY-NC 3.0."), (7, "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."), (8, "all rights are his, some are reserved")]
     got = sorted((x["doc_id"], x["licence"]) for x in licences.licence_regions(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(i, f"CC-{k}-4.0-short") for i, k in enumerate(["BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"])] + [(7, "CC-BY-NC-4.0-statement")]
+
+
+def exhaustive(sequence, word, must, need):
+    """Whether any stretch of the words, from any start to any end, covers the template; by template words alone if it is long enough."""
+    own = [i for i, w in enumerate(word) if w in set(sequence)]
+    tries = [[i for i in range(s, e)] for s in range(len(word)) for e in range(s + need, min(len(word), s + len(sequence) + max(2, len(sequence) // 4)) + 1)]
+    if len(sequence) >= licences.PHRASE:
+        tries += [own[s:e] for s in range(len(own)) for e in range(s + need, len(own) + 1)]
+    for t in tries:
+        pairs = licences.patience(sequence, [word[i] for i in t])
+        if len(pairs) >= need and must <= {sequence[i] for i, _ in pairs}:
+            return True
+    return False
+
+
+def test_finds_against_every_window():
+    """Recall and precision against all windows of random texts that hold edited templates among foreign words."""
+    r = random.Random(21)
+    both = only = extra = 0
+    for _ in range(300):
+        size = r.choice([5, 8, 14, 20])
+        words = [f"w{r.randrange(size)}" if r.random() < 0.4 else f"t{i}" for i in range(size)]
+        key = r.choice([w for w in words if words.count(w) == 1] or words)
+        catalogue = licences.Catalogue.of({"x": (key, " ".join(words))})
+        text = []
+        for _ in range(r.randint(0, 2)):
+            text += [f"f{r.randrange(30)}" for _ in range(r.randint(0, 10))]
+            gap = r.choice([0, 0, 1, 3])
+            for w in words:
+                text += [] if r.random() < 0.1 else [w]
+                text += [r.choice([f"f{r.randrange(30)}", f"w{r.randrange(size)}"]) for _ in range(r.randint(0, gap))]
+        raw = np.frombuffer(" ".join(text).encode(), np.uint8)
+        h, *_ = licences.bare_words(raw, np.array([0, len(raw)]))
+        at = np.minimum(np.searchsorted(catalogue.vocabulary, h), len(catalogue.vocabulary) - 1)
+        place = np.where(catalogue.vocabulary[at] == h, at, -1) if len(h) else np.zeros(0, np.int64)
+        got = bool(licences.find(catalogue, place, 0.8))
+        want = exhaustive(catalogue.sequences[0], place.tolist(), catalogue.must[0], licences.least_aligned(size, 0.8))
+        both, only, extra = both + (got and want), only + (want and not got), extra + (got and not want)
+    assert extra == 0 and both >= 100 and both / (both + only) >= 0.95
+
+
+def test_a_licence_with_foreign_words_between_its_own(spark):
+    r, words = random.Random(22), vocabulary(4)
+    rows = []
+    for i, (name, (_, body)) in enumerate(licences.TEMPLATES.items()):
+        tokens = body.split(" ")
+        if len(tokens) >= licences.PHRASE + 2:
+            rows.append((i, name, " ".join(x for w in tokens for x in (w, *prose(r, words, r.randint(0, 2)).split(" ")))))
+            rows.append((1000 + i, name, prose(r, words, 300) + " " + " ".join(w + " " + prose(r, words, 20) for w in tokens) + prose(r, words, 300)))
+    got = licences.licence_regions(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")).collect()
+    found = {(x["doc_id"], x["licence"]) for x in got}
+    assert {(i, n) for i, n, _ in rows} == found
+    assert all(x["span_words"] > x["template_words"] for x in got if x["doc_id"] >= 1000)
+
+
+def test_notices_of_one_family_stay_apart(spark):
+    names = [n for n in licences.TEMPLATES if n.endswith("or-later") or n in ("ISC", "0BSD", "MIT", "NCSA")]
+    docs = spark.createDataFrame([(i, licences.TEMPLATES[n][1]) for i, n in enumerate(names)], "doc_id long, text string")
+    assert sorted((x["doc_id"], x["licence"]) for x in licences.licence_regions(docs).collect()) == list(enumerate(names))
