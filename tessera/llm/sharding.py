@@ -98,7 +98,8 @@ def external_shuffle(docs: DataFrame, shards: int = 24, seed: int = 11, keep: li
 
     rows = rows.select("*", bucket, F.xxhash64(F.lit(seed + 2), "k1", "k2", "copy").alias("mark")).repartition(parts, "bucket")
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("mark", "k1", "k2", "copy"))
-    met = rows.withColumn("rank", rank).join(places, "bucket")
+    # Both sides are dealt and sorted by bucket already; places grow with the rows, so they are never broadcast.
+    met = rows.withColumn("rank", rank).join(places.hint("merge"), "bucket")
     place = F.col("before") + F.element_at("places", F.col("rank"))
     return met.withColumn("place", place).select(
         *[F.col(x).alias(c) for c, x in zip(keep, cell, strict=True)],
