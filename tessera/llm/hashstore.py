@@ -10,10 +10,12 @@ needed and keep what was used last, up to a fixed number of bytes.
 from __future__ import annotations
 
 import io
+import math
 import os
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _OPEN: dict[str, HashStore] = {}
+#: Keys of a part, which one task sorts and writes.
+PART_ROWS = 4_000_000
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -139,9 +143,23 @@ def write_part(uri: str, p: int, keys: np.ndarray, values: dict[str, np.ndarray]
         save(f"{uri}/{p:06d}.{c}.npy", v[order])
 
 
-def build(df: DataFrame, key: str, uri: str, parts: int) -> tuple[int, tuple[str, ...]]:
-    """Store ``df`` (distinct long keys, numeric columns) under ``uri``; returns its rows and value columns."""
+@dataclass(frozen=True)
+class Stored:
+    """Where a store is; small, so it travels with a task."""
+
+    uri: str
+    parts: int
+    columns: tuple[str, ...]
+    rows: int
+
+    def open(self) -> HashStore:
+        return HashStore.opened(self.uri, self.parts, self.columns)
+
+
+def build(df: DataFrame, key: str, uri: str) -> Stored:
+    """Store ``df`` (a written table of distinct long keys and numeric columns) under ``uri``, in parts of some PART_ROWS keys."""
     columns = tuple(c for c in df.columns if c != key)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / PART_ROWS))
     part = F.shiftright(F.shiftrightunsigned(F.col(key), 40) * F.lit(parts), 24).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,4 +186,4 @@ def build(df: DataFrame, key: str, uri: str, parts: int) -> tuple[int, tuple[str
         yield pa.RecordBatch.from_pydict({"n": pa.array([rows], pa.int64())})
 
     dealt = df.withColumn("_part", part).repartition(parts, "_part").sortWithinPartitions("_part")
-    return dealt.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], columns
+    return Stored(uri, parts, columns, dealt.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])

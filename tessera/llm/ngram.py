@@ -1,7 +1,8 @@
 """Interpolated modified Kneser-Ney bigram model.
 
-Spark counts; workers score. A first pass names heavy contexts (a bounded list);
-their bigrams are dealt by the pair, all others by the context. Each task packs
+Spark counts; workers score. The number of parts follows from the bytes of text.
+A first pass names heavy contexts (a bounded list); their bigrams are dealt by the
+pair, all others by the context. Each task packs
 its distinct bigrams into one blob a range, so the shuffle moves few bytes a bigram; a reducer merges the
 blobs of its range and writes the range's sorted hash arrays (bigram counts, and
 a context's total with its numbers of successors seen once, twice and more). A
@@ -16,13 +17,17 @@ with b(w) the distinct predecessors of w, V the training vocabulary, and the
 three discounts of each level from its counts of counts. An unseen context
 leaves q. Every text ends with one end token, and starts from a start context.
 
-Defined results: null or empty text is the end token alone; a null id counts as
-training; repeated rows count each time; with no training text every token has
-the uniform probability; other columns are ignored.
+Words and pairs are known by 64-bit hashes, counts are 64 bits wide.
+
+Defined results: null or empty text is the end token alone; ids are integers, a
+null id counts as training; repeated rows count each time; a very long text is
+counted and scored whole; with no training text every token has the uniform
+probability; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.hashstore import HashStore, build, part_of, write_part
+from tessera.llm.hashstore import HashStore, Stored, build, part_of, write_part
 from tessera.llm.textkit import blocks, mix, row_bounds, utf8, word_hashes, words
 from tessera.sources.scratch import Scratch
 
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Bytes of text tokenised at once; a task folds that much into its distinct bigrams before it packs them.
 BLOCK, HELD = 2 << 20, 2_000_000
+#: Bytes of text whose bigrams share a part; one task merges and sorts a part.
+PART_BYTES = 24 << 20
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,10 +73,10 @@ def is_in(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
 
 
-def bigram_key(u: np.ndarray, w: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """Top 24 bits of the context (so its bigrams share its part), 40 bits of the pair's hash; of the pair's hash alone for heavy contexts."""
+def bigram_key(u: np.ndarray, w: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pair's hash, and what its part goes by: the context (so its bigrams share a part), or the pair's hash for heavy contexts."""
     pair = mix(u * np.uint64(0x9E3779B97F4A7C15) + w)
-    return np.where(is_in(u, heavy), pair, (u & ~np.uint64((1 << 40) - 1)) | (pair >> np.uint64(24)))
+    return pair, np.where(is_in(u, heavy), pair, u)
 
 
 def _merge(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,6 +149,7 @@ class Model:
 
     uri: str
     parts: int
+    word: Stored | None
     tokens: int
     vocabulary: int
     bigrams: int
@@ -155,7 +163,7 @@ class Model:
         return (
             HashStore.opened(f"{self.uri}/bigram", self.parts, ("c",)),
             HashStore.opened(f"{self.uri}/context", self.parts, ("c", "n1", "n2", "n3")),
-            HashStore.opened(f"{self.uri}/word", self.parts, ("c", "b")),
+            self.word.open(),
         )
 
     def probabilities(self, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +179,7 @@ class Model:
         at = np.stack([found[c] for c in ("c", "n1", "n2", "n3")], axis=1).astype(np.float64)
         hot = is_in(u, self.heavy)
         at[hot] = self.heavy_sums[np.searchsorted(self.heavy, u[hot])]
-        _, pair = bigram.lookup(bigram_key(u, w, self.heavy))
+        _, pair = bigram.lookup(*bigram_key(u, w, self.heavy))
         c, total = pair["c"].astype(np.float64), at[:, 0]
         cut = np.array((0.0, *self.high))[np.minimum(c, 3).astype(int)]
         free = at[:, 1:] @ np.array(self.high)
@@ -183,7 +191,8 @@ class Model:
 def train(texts: DataFrame, scratch: Scratch) -> Model:
     """Count a model over column ``text`` of ``texts`` into the scratch folder."""
     spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string")).cast("long")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
     uri = scratch.path("model")
     heavy = heavy_contexts(texts, parts)
 
@@ -194,7 +203,7 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 u, w, c = _merge(*map(np.concatenate, zip(*held, strict=True)))
-                part = part_of(bigram_key(u, w, heavy), parts)
+                part = part_of(bigram_key(u, w, heavy)[1], parts)
                 order = np.argsort(part, kind="stable")
                 u, w, c = u[order], w[order], c[order]
                 cut = np.searchsorted(part[order], np.arange(parts + 1))
@@ -224,7 +233,7 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
             sums = {"c": np.add.reduceat(c, at), **{f"n{k}": np.add.reduceat((c == k if k < 3 else c > 2).astype(np.int64), at) for k in (1, 2, 3)}}
             hot = is_in(u[at], heavy)
             write_part(f"{uri}/context", now, u[at][~hot], {k: v[~hot] for k, v in sums.items()})
-            write_part(f"{uri}/bigram", now, bigram_key(u, w, heavy), {"c": c.astype(np.uint32)})
+            write_part(f"{uri}/bigram", now, bigram_key(u, w, heavy)[0], {"c": c.astype(np.uint32) if c.max() < 1 << 32 else c})
             order = np.argsort(w, kind="stable")
             ws, cs = w[order], c[order]
             head = np.flatnonzero(np.concatenate([[True], ws[1:] != ws[:-1]]))
@@ -253,12 +262,12 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
     vocabulary = scratch.table(seen.groupBy("w").agg(F.sum("c").alias("c"), F.sum("b").alias("b")), "vocabulary")
     high = seen.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in (1, 2, 3, 4)]).first()
     low = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum("b"), F.lit(0)), *[F.coalesce(F.sum((F.col("b") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4)]).first()
-    build(vocabulary, "w", f"{uri}/word", parts)
+    word = build(vocabulary, "w", f"{uri}/word")
     scratch.drop("words", "vocabulary")
     d_high, d_low = discounts(list(high)), discounts(list(low)[3:])
     more = low[1] - low[3] - low[4]
     free = (d_low[0] * low[3] + d_low[1] * low[4] + d_low[2] * more) / low[2] if low[2] else 1.0
-    return Model(uri, parts, low[0], low[1], low[2], d_high, d_low, free, heavy, heavy_sums)
+    return Model(uri, parts, word, low[0], low[1], low[2], d_high, d_low, free, heavy, heavy_sums)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -80,14 +80,21 @@ mark as (select *, (own * 17 + coalesce(lead(own) over (partition by doc_id, li
 least as (select *, m < coalesce(min(m) over (partition by doc_id, li order by wi rows between {units.REACH} preceding and 1 preceding), 2000) and m <= coalesce(min(m) over (partition by doc_id, li order by wi rows between 1 following and {units.REACH} following), 2000) as opens from mark),
 parts as (select *, sum(case when opens and wi > 1 then 1 else 0 end) over (partition by doc_id, li order by wi) as pi from least),
 counts as (select doc_id, li, count(distinct si) as sentences, count(distinct pi) as stretches from parts group by 1, 2),
-line_u as (select doc_id, 'line' as kind, min(s) as s, max(e) as e, count(*) as n, {LOWER.format("string_agg(word, ' ' order by wi)")} as t from parts group by doc_id, li),
-sentence_u as (select p.doc_id, 'sentence' as kind, min(s) as s, max(e) as e, count(*) as n, {LOWER.format("string_agg(word, ' ' order by wi)")} as t from parts p join counts c on p.doc_id = c.doc_id and p.li = c.li where c.sentences > 1 group by p.doc_id, p.li, si),
-stretch_u as (select p.doc_id, 'stretch' as kind, min(s) as s, max(e) as e, count(*) as n, {LOWER.format("string_agg(word, ' ' order by wi)")} as t from parts p join counts c on p.doc_id = c.doc_id and p.li = c.li where c.stretches > 1 group by p.doc_id, p.li, pi),
+line_u as (select doc_id, 'line' as kind, li, null as si, null as pi, min(s) as s, max(e) as e, count(*) as n, {LOWER.format("string_agg(word, ' ' order by wi)")} as t from parts group by doc_id, li),
+sentence_u as (select p.doc_id, 'sentence' as kind, p.li, si, null as pi, min(s) as s, max(e) as e, count(*) as n, {LOWER.format("string_agg(word, ' ' order by wi)")} as t from parts p join counts c on p.doc_id = c.doc_id and p.li = c.li where c.sentences > 1 group by p.doc_id, p.li, si),
+stretch_u as (select p.doc_id, 'stretch' as kind, p.li, null as si, pi, min(s) as s, max(e) as e, count(*) as n, {LOWER.format("string_agg(word, ' ' order by wi)")} as t from parts p join counts c on p.doc_id = c.doc_id and p.li = c.li where c.stretches > 1 group by p.doc_id, p.li, pi),
 unit as (select * from line_u union all select * from sentence_u union all select * from stretch_u x where not exists (select 1 from sentence_u y where x.doc_id = y.doc_id and x.s = y.s and x.e = y.e)),
-ranked as (select *, first_value(doc_id) over w as kept, first_value(s) over w as kept_s from unit where n >= {units.MIN_WORDS} window w as (partition by t order by doc_id, s)),
-gone as (select *, coalesce(max(e) over (partition by doc_id order by s, e desc rows between unbounded preceding and 1 preceding), 0) as reach from ranked where doc_id <> kept or s <> kept_s)
-select g.doc_id, cast(greatest(g.s, g.reach) as bigint) as start, cast(g.e as bigint) as "end", g.kind, g.kept as kept_doc_id, cast(strlen(substr(d.text, 1, cast(g.kept_s as int))) as bigint) as kept_start_byte
-from gone g join documents d on g.kept = d.doc_id where g.e > g.reach
+ranked as (select *, first_value(doc_id) over w as kept, first_value(s) over w as kept_s, count(*) over (partition by t) as many from unit where n >= {units.MIN_WORDS} window w as (partition by t order by doc_id, s)),
+hit as (select *, doc_id <> kept or s <> kept_s as again from ranked where many > 1),
+placed_word as (select p.*, row_number() over (partition by p.doc_id order by p.li, wi) as gw, coalesce(l.again, false) as la, coalesce(x.again, false) as sa, coalesce(t.again, false) as ta,
+    l.again = false or x.again = false or t.again = false as held, l.kept as lk, l.kept_s as ls, x.kept as xk, x.kept_s as xs, t.kept as tk, t.kept_s as ts
+    from parts p left join (select * from hit where kind = 'line') l on p.doc_id = l.doc_id and p.li = l.li left join (select * from hit where kind = 'sentence') x on p.doc_id = x.doc_id and p.li = x.li and p.si = x.si
+    left join (select * from hit where kind = 'stretch') t on p.doc_id = t.doc_id and p.li = t.li and p.pi = t.pi),
+again_word as (select *, gw - row_number() over (partition by doc_id order by gw) as run from placed_word where la or sa or ta),
+long_run as (select *, count(*) over (partition by doc_id, run) as words_run from again_word),
+gone as (select *, gw - row_number() over (partition by doc_id order by gw) as piece from long_run where words_run >= {units.MIN_RUN} and held is distinct from true),
+cell as (select doc_id, min(s) as s, max(e) as e, count(*) as words, arg_min(case when la then 'line' when sa then 'sentence' else 'stretch' end, gw) as kind, arg_min(case when la then lk when sa then xk else tk end, gw) as kept, arg_min(case when la then ls when sa then xs else ts end, gw) as kept_s from gone group by doc_id, piece)
+select c.doc_id, cast(c.s as bigint) as start, cast(c.e as bigint) as "end", c.words, c.kind, c.kept as kept_doc_id, cast(strlen(substr(d.text, 1, cast(c.kept_s as int))) as bigint) as kept_start_byte from cell c join documents d on c.kept = d.doc_id
 """
 
 JACCARD_SQL = f"""

@@ -3,19 +3,24 @@
 A unit is a line, and within it each sentence (a piece ended by ``.``, ``!`` or
 ``?`` before white space) and each stretch (words up to the next one whose mark,
 a small number of its and the next word's bytes, is least within REACH words), so
-that a passage inside a line is found too. Units are normalised (A-Z lower-cased, white space
-runs as one space, ends trimmed), hashed to 128 bits and grouped globally; the
-first occurrence by (doc_id, offset) stays and every later one is removed, with
-its offsets in the original text kept; what overlaps is listed once. Units under ``min_words`` words are left
-alone, so that common short lines of clean documents stay.
+that a passage inside a line is found too. Units are normalised (A-Z lower-cased,
+white space runs as one space, ends trimmed), hashed to 128 bits and grouped
+globally; the first occurrence by (doc_id, offset) stays.
+
+A word is repeated if a later occurrence of a unit covers it. Repeated words are
+removed where at least ``min_run`` of them follow each other, lines notwithstanding:
+a boilerplate line of a few words in clean documents stays, a passage goes. Words
+of a first occurrence that others point to are never removed, so what is kept is
+kept whole. Each removed piece keeps its offsets in the original text.
 
 The groups' first occurrences are stored as sorted hash arrays; a second scan
 looks every unit up, so no text moves and a unit that a third of all documents
 share is one row of the store.
 
-Defined results: null and empty texts have no units; a null id ranks last; of
-repeated rows (same id and text) the units are one occurrence, kept in each; an
-empty table gives an empty table; other columns are ignored.
+Defined results: null and empty texts have no units; ids are integers, a null id
+ranks last; of repeated rows (same id and text) the units are one occurrence, kept
+in each; units under ``min_words`` words aren't looked at; a very long text is
+handled whole; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.hashstore import HashStore, build
+from tessera.llm.hashstore import build
 from tessera.llm.textkit import LOWER, blocks, mix, row_bounds, utf8, word_hashes, words
 from tessera.sources.scratch import Scratch
 
-MIN_WORDS = 6
+#: Words of the shortest unit, and of the shortest run of repeated words that is removed.
+MIN_WORDS, MIN_RUN = 5, 20
 LINE, SENTENCE, STRETCH = 0, 1, 2
 KINDS = np.array(["line", "sentence", "stretch"])
 #: Words on either side among which a stretch opens at the least mark.
@@ -66,12 +72,12 @@ def _opens_stretch(data: np.ndarray, start: np.ndarray, end: np.ndarray, line: n
 
 
 def units(data: np.ndarray, off: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
-    """Every unit of a block: row, kind, start and end (bytes from the row's start), digests d1 and d2."""
+    """Every unit of a block: row, kind, first word and the one behind its last (in the block), start (bytes from the row's start), digests d1 and d2."""
     start, end, row = words(data, off)
     n = len(start)
     if not n:
         z = np.zeros(0, np.int64)
-        return {"row": z, "kind": z, "start": z, "end": z, "d1": z.astype(np.uint64), "d2": z.astype(np.uint64)}
+        return {"row": z, "kind": z, "first": z, "last": z, "start": z, "d1": z.astype(np.uint64), "d2": z.astype(np.uint64)}
     hashes = word_hashes(data, start, end)
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     line_of = lines[start]
@@ -95,15 +101,53 @@ def units(data: np.ndarray, off: np.ndarray, min_words: int) -> dict[str, np.nda
             first, last = first[other], last[other]
         keep = last - first >= min_words
         first, last = first[keep], last[keep]
-        found.append((row[first], np.full(len(first), kind), start[first] - off[row[first]], end[last - 1] - off[row[first]], _digest(hashes, first, last, 1), _digest(hashes, first, last, 2)))
-    return dict(zip(("row", "kind", "start", "end", "d1", "d2"), map(np.concatenate, zip(*found, strict=True)), strict=True))
+        found.append((row[first], np.full(len(first), kind), first, last, start[first] - off[row[first]], _digest(hashes, first, last, 1), _digest(hashes, first, last, 2)))
+    return dict(zip(("row", "kind", "first", "last", "start", "d1", "d2"), map(np.concatenate, zip(*found, strict=True)), strict=True))
+
+
+def _covered(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which of n words lie in any span [first, last)."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, first, 1)
+    np.add.at(step, last, -1)
+    return np.cumsum(step[:n]) > 0
+
 
+def _runs(of: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans [first, last) of consecutive true words in a row."""
+    at = np.flatnonzero(of)
+    if not len(at):
+        return at, at
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])
+    first = at[new]
+    return first, at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] + 1
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, with_text: bool = False) -> DataFrame:
-    """One row a removed unit: doc_id, start and end (characters in the original text, end excluded), kind, and where its first occurrence is.
+
+def repeated_pieces(row: np.ndarray, u: dict[str, np.ndarray], again: np.ndarray, own: np.ndarray, min_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, the one behind the last, and the widest unit over the first word, of every piece to remove.
+
+    ``row`` is each word's; ``again`` marks units that occurred before, ``own`` those that are the first of several.
+    """
+    n = len(row)
+    repeated = _covered(n, u["first"][again], u["last"][again])
+    first, last = _runs(repeated, row)
+    long = last - first >= min_run
+    gone = _covered(n, first[long], last[long]) & ~_covered(n, u["first"][own], u["last"][own])
+    first, last = _runs(gone, row)
+    over = np.full(n, -1, np.int64)
+    for kind in (STRETCH, SENTENCE, LINE):  # the widest kind is written last
+        k = np.flatnonzero(again & (u["kind"] == kind))
+        size = u["last"][k] - u["first"][k]
+        over[np.repeat(u["first"][k], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.repeat(k, size)
+    return first, last, over[first]
+
+
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, with_text: bool = False, min_run: int = MIN_RUN) -> DataFrame:
+    """One row a removed piece: doc_id, start and end (characters in the original text, end excluded), words, and of the widest repeated unit over its first word the kind and where its first occurrence is.
 
     ``with_text`` returns instead one row a document: doc_id, text without the
-    removed units, and ``removed``, their list.
+    removed pieces, and ``removed``, their list.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "units")
@@ -127,37 +171,30 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, with_text: bool
     groups = seen.groupBy("d1", "d2").agg(F.min(F.struct("doc", "start")).alias("first"), F.sum("n").alias("n")).where("n > 1")
     # The store's key is d1; two groups that share it (none expected below 2^32 units) keep the earlier's entry and d2 tells them apart.
     firsts = scratch.table(groups.groupBy("d1").agg(F.min(F.struct("first", "d2")).alias("m")).select("d1", "m.d2", "m.first.doc", "m.first.start"), "firsts")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _, columns = build(firsts, "d1", scratch.path("store"), parts)
     uri = scratch.path("store")
+    store = build(firsts, "d1", uri)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = HashStore.opened(uri, parts, columns)
         for b in blocks(batches, "text"):
             data, off = utf8(b.column("text"))
+            begin, end, of = words(data, off)
             u = units(data, off, min_words)
             ids = ids_of(b)
-            hit, got = store.lookup(u["d1"])
-            again = hit & (got["d2"] == u["d2"].view(np.int64)) & ((got["doc"] != ids[u["row"]]) | (got["start"] != u["start"]))
-            pick = np.flatnonzero(again)
-            pick = pick[np.lexsort((-u["end"][pick], u["start"][pick], u["row"][pick]))]
-            # What an earlier unit has removed is not listed again.
-            begin, reach, keep = u["start"].copy(), np.zeros(b.num_rows, np.int64), np.zeros(len(pick), bool)
-            for i, (k, r) in enumerate(zip(pick.tolist(), u["row"][pick].tolist(), strict=True)):
-                if u["end"][k] > reach[r]:
-                    keep[i], begin[k], reach[r] = True, max(begin[k], reach[r]), u["end"][k]
-            pick = pick[keep]
-            row = u["row"][pick]
+            hit, got = store.open().lookup(u["d1"])
+            hit &= got["d2"] == u["d2"].view(np.int64)
+            own = hit & (got["doc"] == ids[u["row"]]) & (got["start"] == u["start"])
+            first, last, unit = repeated_pieces(of, u, hit & ~own, own, min_run)
+            row = of[first]
             runes = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            char = lambda at: runes[off[row] + at] - runes[off[row]]
-            first = got["doc"][pick]
+            kept = got["doc"][unit]
             spans = {
                 "doc_id": pa.array(ids[row], mask=ids[row] == _NONE),
-                "start": char(begin[pick]),
-                "end": char(u["end"][pick]),
-                "kind": pa.array(KINDS[u["kind"][pick]], pa.string()),
-                "kept_doc_id": pa.array(first, mask=first == _NONE),
-                "kept_start_byte": got["start"][pick].astype(np.int64),
+                "start": runes[begin[first]] - runes[off[row]],
+                "end": runes[end[last - 1]] - runes[off[row]],
+                "words": last - first,
+                "kind": pa.array(KINDS[u["kind"][unit]], pa.string()),
+                "kept_doc_id": pa.array(kept, mask=kept == _NONE),
+                "kept_start_byte": got["start"][unit].astype(np.int64),
             }
             if not with_text:
                 yield pa.RecordBatch.from_pydict(spans)
@@ -165,15 +202,16 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, with_text: bool
             at = row_bounds(row, b.num_rows)
             raw, out = data.tobytes(), []
             for r in range(b.num_rows):
-                left, kept = int(off[r]), []
-                for k in pick[at[r] : at[r + 1]].tolist():
-                    kept.append(raw[left : off[r] + begin[k]])
-                    left = int(off[r] + u["end"][k])
-                out.append(b"".join([*kept, raw[left : off[r + 1]]]).decode())
-            cells = pa.StructArray.from_arrays([pa.array(spans["start"]), pa.array(spans["end"]), spans["kind"], spans["kept_doc_id"], pa.array(spans["kept_start_byte"])], ["start", "end", "kind", "kept_doc_id", "kept_start_byte"])
+                left, stay = int(off[r]), []
+                for k in range(at[r], at[r + 1]):
+                    stay.append(raw[left : begin[first[k]]])
+                    left = int(end[last[k] - 1])
+                out.append(b"".join([*stay, raw[left : off[r + 1]]]).decode())
+            names = [k for k in spans if k != "doc_id"]
+            cells = pa.StructArray.from_arrays([pa.array(spans[k]) for k in names], names)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), cells)], ["doc_id", "text", "removed"])
 
-    span = "start long, end long, kind string, kept_doc_id long, kept_start_byte long"
+    span = "start long, end long, words long, kind string, kept_doc_id long, kept_start_byte long"
     if with_text:
         return texts.mapInArrow(remove, "doc_id long, text string, removed array<struct<" + span.replace(" ", ":").replace(",:", ",") + ">>")
     return texts.mapInArrow(remove, "doc_id long, " + span)
