@@ -3,12 +3,16 @@
 Stored form: a RIFF/WAVE file in a binary column, 8 kHz mono, in one of three
 codings: mu-law (format 7), A-law (format 6) or IMA ADPCM (format 17, blocks of
 192 bytes). Reading expands the companded codings by a 256-entry table and
-decodes ADPCM one nibble step at a time across all blocks of a batch. The
-decoded samples are resampled to 16 kHz by a two-phase integer filter and can be
-kept as a PCM WAVE file.
-
-Defined results: null or empty text is 192 spaces; rows repeat as they come;
-other columns are ignored; an empty table gives an empty table.
+decodes ADPCM one nibble step at a time across all blocks at hand. The decoded
+samples are resampled to 16 kHz by a two-phase integer filter and kept as a PCM
+WAVE file. ``encode_media`` makes the files to store, ``describe_media`` works on
+stored files; both go through a file in segments, so beside a file and its PCM a
+worker holds a few megabytes whatever the length.
+
+Defined results: null or empty text is 192 spaces; ids are integers (null ids stay
+null); rows repeat as they come; a text over some 250 MB has more PCM than a cell
+holds (2 GB, 8 bytes a byte) and is described without ``pcm``; other columns are
+ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,16 +20,20 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import map_blocks, texts
+from tessera.llm.textkit import blocks, map_blocks, texts
+from tessera.sources.scratch import Scratch
 
 UNIT = 192
 RATE = 8000
+#: Stored bytes decoded at once, and most bytes of a cell.
+SEGMENT, CELL = UNIT * 4096, (1 << 31) - (1 << 16)
 CODECS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
 _NAMES = {v: k for k, v in CODECS.items()}
 _STEPS_PER_BLOCK = 2 * (UNIT - 4)
@@ -102,13 +110,14 @@ def write_wav(data: bytes, codec: str | None, rate: int = RATE) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body
 
 
-def read_wav(media: bytes) -> tuple[str | None, int, bytes]:
+def read_wav(media: bytes) -> tuple[str | None, int, memoryview]:
     """Codec (None: PCM), rate and data chunk of a WAVE file; other chunks are passed over."""
-    if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
+    if bytes(media[:4]) != b"RIFF" or bytes(media[8:12]) != b"WAVE":
         raise ValueError("not a WAVE file")
+    media = memoryview(media)
     at, kind, rate = 12, 1, 0
     while at + 8 <= len(media):
-        name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
+        name, size = bytes(media[at : at + 4]), struct.unpack_from("<I", media, at + 4)[0]
         if name == b"fmt ":
             kind, _, rate = struct.unpack_from("<HHI", media, at + 8)
         elif name == b"data":
@@ -127,56 +136,94 @@ def pick_codec(payload: bytes) -> str:
     return list(CODECS)[zlib.crc32(payload) % len(CODECS)]
 
 
-def _samples(coded: list[tuple[str | None, int, bytes]]) -> list[np.ndarray]:
-    """Decoded samples of stored files; all ADPCM blocks of the batch are decoded together."""
-    out: list = [expand(np.frombuffer(d, np.uint8), c) if c in TABLES else np.frombuffer(d, "<i2") if c is None else None for c, _, d in coded]
-    rows = [i for i, (c, _, _) in enumerate(coded) if c == "adpcm"]
-    if rows:
-        decoded = decode_adpcm(np.frombuffer(b"".join(coded[i][2] for i in rows), np.uint8))
-        at = 0
-        for i in rows:
-            n = len(coded[i][2]) // UNIT
-            out[i] = decoded[at : at + n].reshape(-1)
-            at += n
-    return out
+def decoded(codec: str | None, data: memoryview) -> Iterator[np.ndarray]:
+    """Samples of a data chunk, SEGMENT bytes of it at a time."""
+    for lo in range(0, len(data), SEGMENT):
+        part = np.frombuffer(data[lo : lo + SEGMENT], np.uint8)
+        yield decode_adpcm(part).reshape(-1) if codec == "adpcm" else part.view("<i2") if codec is None else expand(part, codec)
+
 
+def resampled(parts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """``resample`` of a sequence that comes in parts, in parts."""
+    held, lead = np.zeros(0, np.int16), 0  # samples not yet given out, behind ``lead`` that were
+    for part in parts:
+        held = np.concatenate([held, part])
+        ready = len(held) - 4  # these have all their neighbours
+        if ready > lead:
+            yield resample(held)[2 * lead : 2 * ready]
+            keep = max(0, ready - 3)
+            held, lead = held[keep:], ready - keep
+    if len(held) > lead:
+        yield resample(held)[2 * lead :]
 
-def _feature(codec: str, pcm: np.ndarray, wide: np.ndarray) -> str:
+
+class Features:
     """Integer features, so equal media give equal strings on any machine."""
-    x = pcm.astype(np.int64)
-    up = x >= 0
-    return f"{codec};n={len(x)};peak={np.abs(x).max()};power={int((x * x).sum()) // len(x)};mean={int(x.sum()) // len(x)};crossings={int((up[1:] != up[:-1]).sum())};pcm16k={zlib.crc32(wide.tobytes()):08x}"
 
+    def __init__(self) -> None:
+        self.n = self.peak = self.power = self.sum = self.crossings = 0
+        self.last: bool | None = None
+
+    def add(self, pcm: np.ndarray) -> np.ndarray:
+        x = pcm.astype(np.int64)
+        up = x >= 0
+        self.crossings += int((up[1:] != up[:-1]).sum()) + (self.last is not None and bool(up[0]) != self.last)
+        self.n, self.peak, self.power, self.sum, self.last = self.n + len(x), max(self.peak, int(np.abs(x).max())), self.power + int((x * x).sum()), self.sum + int(x.sum()), bool(up[-1])
+        return pcm
+
+    def text(self, codec: str, crc: int) -> str:
+        return f"{codec};n={self.n};peak={self.peak};power={self.power // self.n};mean={self.sum // self.n};crossings={self.crossings};pcm16k={crc:08x}"
 
-def telephony_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
-    """Store every text as a telephony WAVE file, read it back, decode, resample and describe it.
 
-    ``keep`` adds ``media`` (the stored file) and ``pcm`` (the 16 kHz PCM file) to
-    the digests; without it the files live only while their row is described.
-    """
+def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes and ``media``, the telephony WAVE file of every text, to be stored."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = texts(batch.column("text"))
-        stored = []
-        for t in raw:
-            payload = payload_of(t)
-            stored.append(write_wav(payload, pick_codec(payload)))
-        coded = [read_wav(m) for m in stored]
-        pcm = _samples(coded)
-        wide = [resample(x) for x in pcm]
-        cols = {
-            "doc_id": batch.column("doc_id"),
-            "n_bytes": pa.array([len(t) for t in raw], pa.int64()),
-            "payload_bytes": pa.array([len(d) for _, _, d in coded], pa.int64()),
-            "payload_sha256": [hashlib.sha256(d).hexdigest() for _, _, d in coded],
-            "tail_crc32": pa.array([zlib.crc32(d[-16:]) for _, _, d in coded], pa.int64()),
-            "media_bytes": pa.array([len(m) for m in stored], pa.int64()),
-            "media_sha256": [hashlib.sha256(m).hexdigest() for m in stored],
-            "feature": [_feature(c or "pcm", x, w) for (c, _, _), x, w in zip(coded, pcm, wide, strict=True)],
-        }
-        if keep:
-            cols |= {"media": pa.array(stored, pa.binary()), "pcm": pa.array([write_wav(w.astype("<i2").tobytes(), None, 2 * RATE) for w in wide], pa.binary())}
-        return pa.RecordBatch.from_pydict(cols)
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary, pcm binary" * keep
-    return map_blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text", run, schema)
+        stored = [write_wav(p, pick_codec(p)) for p in map(payload_of, raw)]
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array([len(t) for t in raw], pa.int64()), "media": pa.array(stored, pa.binary())})
+
+    return map_blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text", run, "doc_id long, n_bytes long, media binary")
+
+
+def described(media: bytes) -> dict[str, object]:
+    """What is read back from one stored file: payload digests, features, and the 16 kHz PCM file."""
+    codec, _, data = read_wav(media)
+    features, crc, digest = Features(), 0, hashlib.sha256()
+    wide = 2 * (len(data) // UNIT * (_STEPS_PER_BLOCK + 1) if codec == "adpcm" else len(data))  # samples at twice the rate
+    pcm = bytearray(write_wav(b"", None, 2 * RATE))
+    head = len(pcm)
+    struct.pack_into("<I", pcm, 4, head - 8 + 2 * wide)
+    struct.pack_into("<I", pcm, head - 4, 2 * wide)
+    digest.update(pcm)
+    fits = head + 2 * wide < CELL
+    for part in resampled(features.add(x) for x in decoded(codec, data)):
+        piece = part.astype("<i2", copy=False).tobytes()
+        crc = zlib.crc32(piece, crc)
+        digest.update(piece)
+        if fits:
+            pcm += piece
+    return {
+        "payload_bytes": len(data), "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-16:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
+        "feature": features.text(codec or "pcm", crc), "pcm_bytes": head + 2 * wide, "pcm_sha256": digest.hexdigest(), "pcm": pcm if fits else None,
+    }
+
+
+def describe_media(stored: DataFrame, keep_pcm: bool = True) -> DataFrame:
+    """Read stored files (doc_id, n_bytes, media): digests of payload and file, features, and the resampled PCM file with its length and digest."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string" + ", pcm binary" * keep_pcm
+    names = [x.split(" ")[0] for x in schema.split(", ")][2:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "media"):
+            rows = [described(b.column("media")[i].as_buffer()) for i in range(b.num_rows)]
+            kinds = {"payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "pcm_bytes": pa.int64(), "pcm": pa.binary()}
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_bytes": b.column("n_bytes")} | {c: pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in names})
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def telephony_media(docs: DataFrame, keep_pcm: bool = True) -> DataFrame:
+    """Store every text as a telephony WAVE file in the shared folder, then read the stored files back and describe them."""
+    stored = Scratch(docs.sparkSession, "media").table(encode_media(docs), "stored")
+    return describe_media(stored, keep_pcm)

@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.telephony_media(_table(spark, sf_dir, "documents"), keep=False)
+    return media.telephony_media(_table(spark, sf_dir, "documents"))
 
 
 def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
