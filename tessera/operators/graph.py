@@ -11,13 +11,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.paths import assign_domain, assign_layer, categorize_path, module_of, package_key, risk_level
+from tessera.functions.paths import assign_domain, assign_layer, categorize_path, module_of, package_key, parent_prefix, risk_level
+from tessera.functions.text import norm_route
 from tessera.sources.scratch import Scratch
 
 IMPACT_KINDS = ("calls", "emits", "subscribes", "implements", "extends")
 FLOW_KINDS = ("calls", "emits", "subscribes")
 DEFINITIONS = ("function", "method", "class")
-IMPORTED, UNIQUE, AMBIGUOUS, DYNAMIC, MOST_CANDIDATES = 0.9, 0.55, 0.3, 0.35, 5
+IMPORTED, UNIQUE, AMBIGUOUS, DYNAMIC, IMPORT_EDGE, ROUTE, MOST_CANDIDATES = 0.9, 0.55, 0.3, 0.35, 0.95, 0.4, 5
+# Calls that emit, subscribe or register a route, and the objects routes are registered on.
+EMIT_OPS = ("emit", "publish", "dispatch", "send", "fire", "trigger", "produce")
+SUBSCRIBE_OPS = ("on", "subscribe", "addlistener", "addeventlistener", "listen", "consume")
+HTTP_METHODS = ("get", "post", "put", "delete", "patch", "options", "head")
+ROUTE_RECEIVERS = ("app", "router", "api", "route", "blueprint", "bp", "server")
 KEEP_RATIO, SPLIT_FROM = 0.45, 8
 
 
@@ -29,12 +35,22 @@ def confidence(c: Column) -> Column:
 # -- edge construction ------------------------------------------------------------------------------------------------
 
 
-def enclosing_symbol(points: DataFrame, symbols: DataFrame, at: str = "byte") -> DataFrame:
-    """Innermost definition around each point: least span, then start, then id. Null if none."""
+def binned(spans: DataFrame, start: str, end: str, width: int, name: str = "bin") -> DataFrame:
+    """A row of ``spans`` for each bin of ``width`` that [start, end) touches."""
+    return spans.withColumn(name, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.greatest(F.col(end) - 1, F.col(start))) / width))))
+
+
+def enclosing_symbol(points: DataFrame, symbols: DataFrame, at: str = "byte", width: int = 2048) -> DataFrame:
+    """Innermost definition around each point: least span, then start, then id. Null if none.
+
+    Points meet spans by path and bin, so the points and spans of a long file don't all meet.
+    """
     spans = symbols.where(F.col("kind").isin(*DEFINITIONS)).select("path", "symbol_id", "start_byte", "end_byte")
-    met = points.join(spans, (points["path"] == spans["path"]) & (spans["start_byte"] <= points[at]) & (points[at] < spans["end_byte"]), "left")
+    spans = binned(spans, "start_byte", "end_byte", width)
+    asked = points.withColumn("bin", F.floor(F.col(at) / width))
+    met = asked.join(spans, (asked["path"] == spans["path"]) & (asked["bin"] == spans["bin"]) & (spans["start_byte"] <= asked[at]) & (asked[at] < spans["end_byte"]), "left")
     pick = F.min(F.when(F.col("symbol_id").isNotNull(), F.struct((F.col("end_byte") - F.col("start_byte")).alias("span"), "start_byte", "symbol_id")))
-    return met.groupBy(*[points[c] for c in points.columns]).agg(pick.alias("m")).select(*points.columns, F.col("m.symbol_id").alias("src_id"))
+    return met.groupBy(*[asked[c] for c in points.columns]).agg(pick.alias("m")).select(*points.columns, F.col("m.symbol_id").alias("src_id"))
 
 
 def resolve_modules(imports: DataFrame, candidates: DataFrame, files: DataFrame) -> DataFrame:
@@ -66,7 +82,9 @@ def call_edges(calls: DataFrame, symbols: DataFrame, bindings: DataFrame) -> Dat
     """Edges of (src_id, path, name) calls: through an import binding (path, alias, target_path), else by name.
 
     A name with more than one definition is cut to its first candidates before it
-    meets the calls, so a common name can't multiply them.
+    meets the calls, so a common name can't multiply them; the cut is taken before
+    the shuffle too (a group limit), so no task sorts all definitions of a name.
+    Where both ways find an edge, that of more confidence stays.
     """
     defs = symbols.where(F.col("kind").isin(*DEFINITIONS))
     first = defs.groupBy(F.col("path").alias("target_path"), "name").agg(F.min_by("symbol_id", F.struct("start_line", "symbol_id")).alias("dst_id"))
@@ -74,13 +92,74 @@ def call_edges(calls: DataFrame, symbols: DataFrame, bindings: DataFrame) -> Dat
     imported = calls.join(bound, ["path", "name"]).join(first, ["target_path", "name"]).where("src_id <> dst_id").groupBy("src_id", "path", "name").agg(F.min("dst_id").alias("dst_id"))
     imported = imported.select("src_id", "dst_id", "name", "path", F.lit("calls").alias("kind"), F.lit(IMPORTED).alias("confidence"), F.lit("import_resolved").alias("method"))
     rest = calls.join(imported.select("src_id", "path", "name"), ["src_id", "path", "name"], "left_anti")
-    by_name = Window.partitionBy("name")
-    found = defs.select("name", F.col("symbol_id").alias("dst_id"), F.row_number().over(by_name.orderBy("path", "start_line", "symbol_id")).alias("rank"), F.count("*").over(by_name).alias("definitions"))
     # One more than the cap, since a caller is never its own candidate.
-    met = rest.join(found.where(F.col("rank") <= MOST_CANDIDATES + 1), "name").where("src_id <> dst_id")
+    found = defs.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("path", "start_line", "symbol_id"))).where(F.col("rank") <= MOST_CANDIDATES + 1)
+    met = rest.join(found.select("name", F.col("symbol_id").alias("dst_id"), "rank"), "name").where("src_id <> dst_id")
     met = met.withColumn("place", F.row_number().over(Window.partitionBy("src_id", "path", "name").orderBy("rank"))).where(F.col("place") <= MOST_CANDIDATES)
     named = met.select("src_id", "dst_id", "name", "path", F.lit("calls").alias("kind"), F.when(F.count("*").over(Window.partitionBy("src_id", "path", "name")) == 1, UNIQUE).otherwise(AMBIGUOUS).alias("confidence"), F.lit("name_match").alias("method"))
-    return imported.unionByName(named).dropDuplicates(["src_id", "dst_id", "kind"])
+    best = F.max(F.struct(F.col("confidence"), F.col("method"), F.col("name"), F.col("path"))).alias("m")
+    return imported.unionByName(named).groupBy("src_id", "dst_id", "kind").agg(best).select("src_id", "dst_id", "m.name", "m.path", "kind", "m.confidence", "m.method")
+
+
+def import_edges(resolved: DataFrame) -> DataFrame:
+    """File to file (or outside module) edges of resolved imports (path, module, target_path), each once."""
+    inside = F.col("target_path").isNotNull()
+    rows = resolved.select("path", F.coalesce("target_path", "module").alias("dst_name"), F.when(inside, IMPORT_EDGE).otherwise(AMBIGUOUS).alias("confidence"), F.when(inside, "import_resolved").otherwise("name_match").alias("method"))
+    best = rows.groupBy("path", "dst_name").agg(F.max(F.struct("confidence", "method")).alias("m"))
+    return best.select("path", "dst_name", F.lit("imports").alias("kind"), "m.confidence", "m.method")
+
+
+def event_sites(calls: DataFrame, subscribing: bool) -> DataFrame:
+    """(symbol_id, event, path) of calls (src_id, path, name, str_arg) inside a symbol that emit, or subscribe to, a literal."""
+    rows = calls.where(F.lower("name").isin(*(SUBSCRIBE_OPS if subscribing else EMIT_OPS)) & (F.col("str_arg") != "") & F.col("src_id").isNotNull())
+    return rows.select(F.col("src_id").alias("symbol_id"), F.col("str_arg").alias("event"), "path").distinct()
+
+
+def route_edges(calls: DataFrame) -> DataFrame:
+    """Registrations of a path on an application object: (src_id or null, path, dst_name as METHOD /route)."""
+    rows = calls.where(F.lower("name").isin(*HTTP_METHODS) & F.lower("receiver").isin(*ROUTE_RECEIVERS) & F.col("str_arg").startswith("/"))
+    return rows.select("src_id", "path", F.concat_ws(" ", F.upper("name"), "str_arg").alias("dst_name")).distinct().select("src_id", "path", "dst_name", F.lit("route").alias("kind"), F.lit(ROUTE).alias("confidence"), F.lit("route_convention").alias("method"))
+
+
+EDGE_COLUMNS = {"src_id": "string", "dst_id": "string", "dst_name": "string", "kind": "string", "confidence": "double", "method": "string", "path": "string"}
+
+
+def union_edges(*parts: DataFrame) -> DataFrame:
+    """Calls, imports, routes and events as one edge table; what a part lacks is null."""
+    shaped = [p.select(*[(F.col(c) if c in p.columns else F.lit(None)).cast(k).alias(c) for c, k in EDGE_COLUMNS.items()]) for p in parts]
+    out = shaped[0]
+    for p in shaped[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def route_endpoints(edges: DataFrame, symbols: DataFrame, known: DataFrame) -> DataFrame:
+    """(method, route, file_path, handler_name, source) of route edges, with the symbol and file they sit in if any; those ``known`` (method, route, file_path) are left out."""
+    parsed = r"(?i)^\s*(GET|POST|PUT|DELETE|PATCH|OPTIONS|HEAD|WEBSOCKET)\s+(/\S*)\s*$"
+    rows = edges.where(F.col("kind") == "route").select("src_id", F.regexp_extract("dst_name", parsed, 1).alias("method"), F.regexp_extract("dst_name", parsed, 2).alias("route")).where("method <> ''")
+    met = rows.join(symbols.select(F.col("symbol_id").alias("src_id"), F.col("name").alias("handler_name"), F.col("path").alias("p")), "src_id", "left")
+    found = met.select(F.upper("method").alias("method"), norm_route(F.col("route")).alias("route"), F.translate(F.coalesce("p", F.lit("")), "\\", "/").alias("file_path"), "handler_name")
+    first = found.groupBy("method", "route", "file_path").agg(F.min("handler_name").alias("handler_name"))
+    return first.join(known.select("method", "route", "file_path").distinct(), ["method", "route", "file_path"], "left_anti").withColumn("source", F.lit("route_convention"))
+
+
+def graph_scope(files: DataFrame, symbols: DataFrame, edges: DataFrame, endpoints: DataFrame, jobs: DataFrame) -> dict[str, DataFrame]:
+    """What clustering and features read: files (path, symbol_count) and symbols without tests, file edges from symbol edges and imports, and the seeds of endpoints and jobs.
+
+    ``endpoints``: method, route, file_path, handler_name. ``jobs``: name, path, kind.
+    """
+    plain = lambda df: df.withColumn("path", F.translate("path", "\\", "/")).where(assign_layer(F.col("path")) != "test")
+    kept = plain(symbols)
+    units = plain(files).select("path").unionByName(kept.select("path")).distinct().join(kept.groupBy("path").agg(F.count("*").alias("symbol_count")), "path", "left")
+    units = units.withColumn("symbol_count", F.coalesce("symbol_count", F.lit(0)))
+    imports = edges.where("kind = 'imports' and src_id is null").select(F.col("path").alias("src"), F.translate("dst_name", "\\", "/").alias("dst"), confidence(F.col("confidence")).alias("weight"))
+    known = units.select("path")
+    imports = imports.where("src <> dst").join(known.withColumnRenamed("path", "src"), "src", "left_semi").join(known.withColumnRenamed("path", "dst"), "dst", "left_semi")
+    linked = file_edges(edges.where("src_id is not null and dst_id is not null"), kept).unionByName(imports)
+    at = kept.groupBy(F.col("path").alias("file_path"), "name").agg(F.max("symbol_id").alias("symbol_id"))
+    http = endpoints.select(F.concat_ws(" ", "method", "route").alias("title"), F.lit("http").alias("kind"), F.coalesce("handler_name", "route").alias("name"), "file_path")
+    work = jobs.select(F.col("name").alias("title"), F.when(F.col("kind") == "celery", "job").otherwise(F.col("kind")).alias("kind"), "name", F.translate("path", "\\", "/").alias("file_path"))
+    return {"files": units, "symbols": kept, "edges": linked, "seeds": http.unionByName(work).join(at, ["file_path", "name"], "left").select("title", "kind", "symbol_id", "file_path", "name")}
 
 
 def dynamic_edges(emits: DataFrame, subscribes: DataFrame) -> DataFrame:
@@ -200,6 +279,52 @@ def architecture_nodes(symbols: DataFrame, by_layer: bool = False, most_folders:
     return rows.groupBy(*keys).agg(F.count("*").alias("symbol_count"), F.countDistinct("path").alias("file_count"), folders.alias("folders"))
 
 
+def component_rollup(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(layer, domain, file_count, symbol_count, folders): components without tests, files without symbols too, and up to twelve folders of two segments."""
+    key = [assign_layer(F.col("path")).alias("layer"), assign_domain(F.col("path")).alias("domain")]
+    rows = files.select("path", F.lit(0).alias("n")).unionByName(symbols.select("path", F.lit(1).alias("n"))).select(*key, "path", "n").where("layer <> 'test'")
+    folders = F.slice(F.sort_array(F.collect_set(module_of(parent_prefix(F.col("path")), 2))), 1, 12)
+    return rows.groupBy("layer", "domain").agg(F.countDistinct("path").alias("file_count"), F.sum("n").alias("symbol_count"), F.array_join(folders, ",").alias("folders"))
+
+
+def hotspots(symbols: DataFrame, most: int = 6) -> DataFrame:
+    """(path, symbol_count, layer, domain) of the fullest files without tests."""
+    p = F.translate("path", "\\", "/")
+    rows = symbols.select(p.alias("path")).where(assign_layer(F.col("path")) != "test").groupBy("path").agg(F.count("*").alias("symbol_count"))
+    return rows.orderBy(F.desc("symbol_count"), "path").limit(most).select("path", "symbol_count", assign_layer(F.col("path")).alias("layer"), assign_domain(F.col("path")).alias("domain"))
+
+
+def folder_topk(symbols: DataFrame, most: int = 24) -> DataFrame:
+    """(folder, symbols) of the fullest folders without tests."""
+    rows = symbols.where(categorize_path(F.col("path")) != "tests").groupBy(parent_prefix(F.col("path")).alias("folder")).agg(F.count("*").alias("symbols"))
+    return rows.orderBy(F.desc("symbols"), "folder").limit(most)
+
+
+def layout(layers: DataFrame, x_gap: float = 200.0, y_gap: float = 140.0) -> DataFrame:
+    """(id, layer, x, y): nodes of a layer side by side in order of id."""
+    place = F.row_number().over(Window.partitionBy("layer").orderBy("id")) - 1
+    return layers.select("id", "layer", F.round(place * x_gap, 1).alias("x"), F.round(F.col("layer") * y_gap, 1).alias("y"))
+
+
+def topological_order(modules: DataFrame) -> DataFrame:
+    """(key, parent_key, level) of (key, parent_key): parents before children, a level a round; what hangs on no known parent goes under the application."""
+    scratch = Scratch(modules.sparkSession, "order")
+    known = modules.select(F.col("key").alias("parent_key")).distinct().withColumn("known", F.lit(True))
+    rows = scratch.table(modules.select("key", "parent_key").join(known, "parent_key", "left"), "rows")
+    front = scratch.table(rows.where("parent_key is null").select("key", "parent_key", F.lit(0).alias("level")), "0")
+    done, rest, level = front, rows.where("parent_key is not null"), 0
+    while True:
+        level += 1
+        met = rest.join(front.select(F.col("key").alias("parent_key")), "parent_key", "left_semi").select("key", "parent_key", F.lit(level).alias("level"))
+        front = scratch.table(met, str(level))
+        if front.isEmpty():
+            break
+        done = done.unionByName(front)
+    root = not done.where("key = 'application'").isEmpty()
+    left = rest.select("key").join(done.select("key"), "key", "left_anti")
+    return done.unionByName(left.select("key", F.lit("application" if root else None).cast("string").alias("parent_key"), F.lit(level + 1).alias("level")))
+
+
 def architecture_edges(edges: DataFrame, symbols: DataFrame, by_layer: bool = False, kinds: tuple[str, ...] = (*IMPACT_KINDS, "imports")) -> DataFrame:
     layer, domain = assign_layer(F.col("path")), assign_domain(F.col("path"))
     key = {"c": layer if by_layer else F.concat_ws(":", layer, domain), "layer": layer}
@@ -273,8 +398,57 @@ def connected_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().join(low, "id", "left").select("id", F.coalesce("m", "id").alias("component"))
 
 
+class forest:  # noqa: N801
+    """Components under union, named by their least member; calling it gives a member's component."""
+
+    def __init__(self, ids: list[str], pairs: list[tuple[str, str]] = ()) -> None:
+        self.parent = {x: x for x in ids}
+        self.size = dict.fromkeys(ids, 1)
+        for a, b in pairs:
+            self.join(a, b)
+
+    def __call__(self, x: str) -> str:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, a: str, b: str) -> tuple[int, int]:
+        """Sizes of the two components joined; zeros if they were one."""
+        x, y = sorted((self(a), self(b)))
+        if x == y:
+            return 0, 0
+        sizes = self.size[x], self.size[y]
+        self.parent[y] = x
+        self.size[x] += self.size.pop(y)
+        return sizes
+
+
+def weakest_cut(ids: list[str], pair: list[tuple[str, str]], least: int = 3, share: float = 0.6) -> int:
+    """Fewest of the weakest edges (``pair`` goes from weak to strong) whose loss leaves two parts of ``least`` members that together hold the share; 0 if a fifth of the edges doesn't.
+
+    Edges are put back from the strong end in one pass, with the number and members of such parts kept up to date.
+    """
+    if len(pair) < 2:
+        return 0
+    most = max(1, len(pair) // 5)
+    parts, members, best = 0, 0, 0
+    made = forest(ids)
+    for cut in range(len(pair), 0, -1):
+        if cut <= most and parts >= 2 and members >= int(share * len(ids)):
+            best = cut
+        x, y = made.join(*pair[cut - 1])
+        if x:
+            gone = [n for n in (x, y) if n >= least]
+            parts, members = parts - len(gone) + (x + y >= least), members - sum(gone) + (x + y if x + y >= least else 0)
+    return best
+
+
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, cluster): components over strong edges; lone nodes join their strongest neighbour if that edge is strong; nodes without edges go by package; large clusters are split at weak edges."""
+    """(id, cluster): components over strong edges; nodes without edges go by package; large clusters are split at weak edges.
+
+    A lone node with a strong edge to its strongest neighbour is in that neighbour's component already, since both are kept by the same ratio.
+    """
     pairs = undirected(edges)
     comp = connected_components(nodes, strong_edges(pairs))
     linked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().withColumn("linked", F.lit(True))
@@ -291,26 +465,9 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         ids = sorted(pdf["id"].dropna())
         edge = pdf[pdf["a"].notna()].sort_values(["w", "a", "b"])
         pair = list(zip(edge["a"], edge["b"], strict=True))
-        label = dict.fromkeys(ids, pdf["cluster"].iloc[0])
-        for cut in range(1, max(1, len(pair) // 5) + 1) if len(pair) >= 2 else ():
-            root = {x: x for x in ids}
-
-            def find(x: str, root: dict = root) -> str:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for a, b in pair[cut:]:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-            parts: dict[str, int] = {}
-            for x in ids:
-                parts[find(x)] = parts.get(find(x), 0) + 1
-            big = [k for k in parts.values() if k >= 3]
-            if len(big) >= 2 and sum(big) >= int(0.6 * len(ids)):
-                label = {x: find(x) for x in ids}
-                break
+        cut = weakest_cut(ids, pair)
+        root = forest(ids, pair[cut:]) if cut else None
+        label = {x: root(x) if root else pdf["cluster"].iloc[0] for x in ids}
         return pd.DataFrame({"id": ids, "cluster": [label[x] for x in ids]})
 
     large = work.groupBy("cluster").applyInPandas(split, "id string, cluster string")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import normalize_path
+from tessera.operators.graph import binned
 
 # Raw calls that a repository usually wraps, the definition line of a function, and severities.
 RAW_CALLS = (
@@ -18,6 +19,8 @@ DEFINITION = r"^\s*(?:export\s+)?(?:async\s+)?(?:def|function)\s+(\w+)|^\s*(?:ex
 SEVERITY = {"warning": 2, "info": 1}
 NOTABLE = ("cron", "routes", "tests", "workers")
 MOST_BODY = 40
+#: Lines of a bin in which added lines meet spans.
+LINES = 64
 
 
 def added_lines(patches: DataFrame) -> DataFrame:
@@ -35,9 +38,9 @@ def added_lines(patches: DataFrame) -> DataFrame:
 
 def changed_symbols(added: DataFrame, symbols: DataFrame) -> DataFrame:
     """Symbols with an added line in their span, and whether their first line is one."""
-    left = added.select(normalize_path(F.col("path")).alias("p"), "line")
-    right = symbols.withColumn("p", normalize_path(F.col("path")))
-    met = right.join(left, "p").where("line between start_line and end_line")
+    left = added.select(normalize_path(F.col("path")).alias("p"), "line", F.floor(F.col("line") / LINES).alias("bin"))
+    spans = symbols.select("symbol_id", "path", "start_line", "end_line", normalize_path(F.col("path")).alias("p"), (F.col("end_line") + 1).alias("stop"))
+    met = binned(spans, "start_line", "stop", LINES).join(left, ["p", "bin"]).where("line between start_line and end_line")
     return met.groupBy("symbol_id", "path").agg(F.bool_or(F.col("line") == F.col("start_line")).alias("is_signature_change"), F.count("*").alias("lines"))
 
 

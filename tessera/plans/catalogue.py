@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
 from tessera.functions.vectors import hash_embed
-from tessera.operators import evaluation, extract, graph, incremental, ownership, planning, retrieval, review, synthesis
+from tessera.operators import evaluation, extract, graph, incremental, ownership, planning, profile, retrieval, review, synthesis
 from tessera.sources.tables import table
 from tessera.streaming import maintenance
 
@@ -170,8 +170,7 @@ def endpoint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select regexp_replace(path, '/[^/]*$', '') as folder, count(*) as symbols from symbols where not regexp_matches(path, '^tests') group by 1 order by 2 desc, 1 limit 24")
 def folder_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "symbols").where(paths.categorize_path(F.col("path")) != "tests")
-    return rows.groupBy(paths.parent_prefix(F.col("path")).alias("folder")).agg(F.count("*").alias("symbols")).orderBy(F.desc("symbols"), "folder").limit(24)
+    return graph.folder_topk(view(spark, sf_dir, "symbols"))
 
 
 @query("select kind, count(*) as n, round(avg(confidence), 4) as confidence from edges group by 1")
@@ -831,4 +830,4 @@ def conversation_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def style_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     style = F.element_at(F.array(*[F.lit(x) for x in ("backend_api", "frontend", "cli", "library")]), (F.col("n_nationkey") % 4 + 1).cast("int"))
-    return synthesis.decide_style(view(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("repo_id"), style.alias("style"), (F.col("n_nationkey") / 10.0).alias("score")))
+    return profile.decide_style(view(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("repo_id"), style.alias("style"), (F.col("n_nationkey") / 10.0).alias("score"))).drop("reason")

@@ -60,30 +60,17 @@ def run_tool(name: str, *args: object, **kwargs: object) -> dict:
         return {"ok": False, "error": str(e)}
 
 
-def _quoted(pattern: str) -> str:
-    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _has(text: str, *parts: str) -> str:
-    return "(" + " or ".join(f"contains({text}, '{x}')" for x in parts) + ")"
-
-
-#: Bodies of the SQL functions, in the order they are made (later ones call earlier ones).
-NORMAL = "regexp_replace(translate(coalesce(p, ''), '\\\\', '/'), '^[./]+', '')"
-LEAD, AROUND = "concat('/', l)", "concat('/', l, '/')"
-IN_APP = f"(startswith(l, 'app/') or contains({LEAD}, '/app/'))"
+#: Bodies of the SQL functions, in the order they are made (later ones call earlier ones); paths go by the rule tables of the column functions.
+PLAIN = "lower(translate(coalesce(p, ''), '\\\\', '/'))"
+CATEGORIES = ((paths.CRON, "cron"), (paths.WORKER, "workers"), (paths.ROUTE, "routes"), ("", "other"))
 SQL_FUNCTIONS = {
-    "normalize_path(p string) returns string": NORMAL,
-    "categorize_path(p string, n string) returns string": f"""case when lower(translate(coalesce(p, ''), '\\\\', '/')) rlike {_quoted(paths.TEST)} or startswith(lower(coalesce(n, '')), 'test_') then 'tests'
-        when lower(coalesce(p, '')) rlike {_quoted(paths.CRON)} or lower(coalesce(n, '')) rlike {_quoted(paths.CRON)} then 'cron'
-        when lower(translate(coalesce(p, ''), '\\\\', '/')) rlike {_quoted(paths.WORKER)} then 'workers' when lower(translate(coalesce(p, ''), '\\\\', '/')) rlike {_quoted(paths.ROUTE)} then 'routes' else 'other' end""",
-    "layer_of_lower(l string) returns string": f"""case when {_has(AROUND, "/tests/", "/test/", "/__tests__/")} or startswith(element_at(split(l, '/'), -1), 'test_') or {_has("element_at(split(l, '/'), -1)", ".test.", ".spec.")} then 'test'
-        when {_has("l", "alembic/", "migrations/")} then 'data' when (contains({LEAD}, '/models.py') or contains({AROUND}, '/models/')) and not startswith(l, 'packages/') and not startswith(l, 'libs/') then 'data'
-        when {IN_APP} and (contains({AROUND}, '/api/') or endswith(l, '/route.ts') or endswith(l, '/route.js')) then 'api' when {IN_APP} then 'web'
-        when startswith(l, 'components/') or startswith(l, 'pages/') or startswith(l, 'src/components') then 'web' when {_has("l", "apps/web", "frontend/", "src/pages")} and not startswith(l, 'apps/api') then 'web'
-        when {_has("l", "apps/worker", "/workers/", "/worker/", "celery", "/jobs/", "/tasks/")} and not contains(l, 'node_modules') then 'worker'
-        when {_has("l", "apps/api", "backend/", "/routes/", "/controllers/", "webhooks")} then 'api' else 'lib' end""",
+    "normalize_path(p string) returns string": "regexp_replace(translate(coalesce(p, ''), '\\\\', '/'), '^[./]+', '')",
+    "categorize_path(p string, n string) returns string": f"""case when {PLAIN} rlike {paths.sql_string(paths.TEST)} or startswith(lower(coalesce(n, '')), 'test_') then 'tests'
+        when lower(coalesce(n, '')) rlike {paths.sql_string(paths.CRON)} then 'cron' else {paths.first_match(PLAIN, CATEGORIES)} end""",
+    "layer_of_lower(l string) returns string": paths.layer_sql("l"),
+    "domain_of_normal(q string) returns string": paths.domain_sql("q"),
     "assign_layer(p string) returns string": "layer_of_lower(lower(normalize_path(p)))",
+    "assign_domain(p string) returns string": "domain_of_normal(normalize_path(p))",
 }
 
 
@@ -120,7 +107,7 @@ class ChunksOf:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions with JVM bodies (normalize_path, categorize_path, assign_layer), hash_embed, and the table functions extract_symbols, extract_references and chunk_file."""
+    """SQL functions with JVM bodies (normalize_path, categorize_path, assign_layer, assign_domain), hash_embed, and the table functions extract_symbols, extract_references and chunk_file."""
     for head, body in SQL_FUNCTIONS.items():
         name, _, kind = head.partition(" returns ")
         spark.sql(f"create or replace temporary function {name} returns {kind} return {body}")

@@ -205,7 +205,114 @@ def test_extraction(spark):
 def test_repository_graph(spark):
     files = spark.createDataFrame([("service.py", "from gateway import send\n\ndef handle():\n    return send()\n"), ("gateway.py", "def send():\n    return 1\n")], "path string, text string")
     _, edges = extract.repository_graph(files)
-    assert rows(edges, "name", "confidence", "method") == [("send", 0.9, "import_resolved")]
+    assert rows(edges.where("kind = 'calls'"), "dst_name", "confidence", "method") == [("send", 0.9, "import_resolved")]
+    assert rows(edges.where("kind = 'imports'"), "path", "dst_name", "confidence") == [("service.py", "gateway.py", 0.95)]
+
+
+def test_repository_graph_with_events_routes_and_scripts(spark):
+    files = spark.createDataFrame(
+        [
+            ("api/a.py", "import os\nfrom .lib import helper as h\n\ndef a(bus):\n    bus.emit('evt')\n    h()\n"),
+            ("api/lib.py", "def helper():\n    pass\n"),
+            ("b.py", "def b(bus):\n    bus.on('evt')\n    helper()\n"),
+            ("web/app.ts", 'import { load } from "./load";\nrouter.get("/items", list);\nclass Store {\n  // save( {\n  save(x: string): void {\n    load("}");\n  }\n}\n'),
+            ("web/load.ts", "export const load = async (x) => {\n  return fetch(`${x} {`);\n};\n"),
+        ],
+        "path string, text string",
+    )
+    symbols, edges = extract.repository_graph(files)
+    name = {r["symbol_id"]: r["name"] for r in symbols.collect()}
+    got = {(name.get(r["src_id"]), name.get(r["dst_id"]) or r["dst_name"], r["kind"], r["confidence"]) for r in edges.collect()}
+    assert ("a", "b", "emits", 0.35) in got and (None, "GET /items", "route", 0.4) in got
+    assert (None, "api/lib.py", "imports", 0.95) in got and (None, "os", "imports", 0.3) in got and (None, "web/load.ts", "imports", 0.95) in got
+    assert ("b", "helper", "calls", 0.55) in got and ("save", "load", "calls", 0.9) in got
+    ends = graph.route_endpoints(edges, symbols, spark.createDataFrame([], "method string, route string, file_path string"))
+    assert rows(ends, "method", "route", "file_path", "source") == [("GET", "/items", "", "route_convention")]
+    jobs = spark.createDataFrame([("b", "b.py", "celery")], "name string, path string, kind string")
+    scope = graph.graph_scope(files, symbols, edges, ends.withColumn("file_path", F.lit("web/app.ts")), jobs)
+    assert rows(scope["seeds"], "title", "kind") == [("GET /items", "http"), ("b", "job")]
+    assert ("web/app.ts", "web/load.ts") in rows(scope["edges"], "src", "dst") and scope["files"].count() == 5
+
+
+def test_javascript_nesting(spark):
+    text = """/** Pays. */
+export class Gateway {
+  #n = 0;
+  constructor(a) { this.a = "{"; }
+  static async charge(x = f(1)) {
+    if (x) { while (y) { z(); } }
+    return () => { /* } */ };
+  }
+  get total() { return 1; }
+}
+export interface Pay { charge(): void }
+const arrow = (a, b) => a + b;
+function outer() {
+  function inner() {}
+}
+"""
+    got = extract.extract_symbols(spark.createDataFrame([("a.ts", text)], "path string, text string")).collect()
+    by = {r["name"]: r for r in got}
+    assert {(n, r["kind"], r["parent"]) for n, r in by.items()} == {
+        ("Gateway", "class", None), ("constructor", "method", "Gateway"), ("charge", "method", "Gateway"), ("total", "method", "Gateway"), ("Pay", "interface", None), ("arrow", "function", None), ("outer", "function", None), ("inner", "function", "outer"),
+    }
+    assert (by["Gateway"]["start_line"], by["Gateway"]["end_line"], by["Gateway"]["docstring"]) == (2, 10, "Pays.")
+    assert (by["charge"]["start_line"], by["charge"]["end_line"]) == (5, 8) and (by["inner"]["start_line"], by["outer"]["end_line"]) == (14, 15)
+    assert text.encode()[by["total"]["start_byte"] : by["total"]["end_byte"]].decode().strip() == "get total() { return 1; }"
+
+
+def test_manifests_and_entries(spark):
+    rows_ = [
+        ("pyproject.toml", '[project]\ndependencies = [\n  "FastAPI>=1",\n  "httpx [http2]",\n]\n[project.scripts]\nshop = "a:b"\n[project.optional-dependencies]\ndev = ["pytest"]\n'),
+        ("x/pyproject.toml", "[tool.poetry.dependencies]\npython = \"3\"\nDjango = {version = \"4\"}\n"),
+        ("bad/pyproject.toml", "[["), ("package.json", '{"dependencies": {"react": "1"}, "bin": {"go": "x"}}'), ("requirements.txt", "a==1 # b\n-r c\nd[e]>2\n"), ("go.mod", "module x"),
+    ]
+    got = {(r["path"], r["dependency"], r["script"]) for r in extract.manifests(spark.createDataFrame(rows_, "path string, text string")).collect()}
+    assert {x[1:] for x in got if x[0] == "pyproject.toml"} == {(None, "shop"), ("fastapi", None), ("httpx", None), ("pytest", None)}
+    assert {x[1] for x in got if x[0] == "x/pyproject.toml"} == {"python", "django"} and not any(x[0].startswith("bad") for x in got)
+    assert {x[1:] for x in got if x[0] == "package.json"} == {("react", None), (None, "go")} and {x[1] for x in got if x[0] == "requirements.txt"} == {"a", "d"}
+    entries = [("celery_app.py", "app = Celery('x')"), ("worker.py", "celery_app = make()"), ("cli/main.py", "print(1)"), ("web/app/shop/page.tsx", ""), ("src/main.tsx", ""), ("hooks/webhook_in.py", "def _a():\n  pass\nasync def handle():\n  pass\n"), ("a.py", None)]
+    got = rows(extract.entry_points(spark.createDataFrame(entries, "path string, text string")), "kind", "name")
+    assert got == [("cli", "main.py"), ("page", "/shop"), ("page", "main.tsx"), ("webhook", "handle"), ("webhook", "webhook_in.py"), ("worker", "celery_app.py"), ("worker", "worker.py")]
+
+
+def test_fewest_weak_edges_cut():
+    """Against trying every cut."""
+    import random
+
+    def tried(ids, pair):
+        for cut in range(1, max(1, len(pair) // 5) + 1) if len(pair) >= 2 else ():
+            made = graph.forest(ids, pair[cut:])
+            sizes = {}
+            for x in ids:
+                sizes[made(x)] = sizes.get(made(x), 0) + 1
+            big = [n for n in sizes.values() if n >= 3]
+            if len(big) >= 2 and sum(big) >= int(0.6 * len(ids)):
+                return cut
+        return 0
+
+    r = random.Random(4)
+    found = 0
+    for _ in range(300):
+        ids = [f"n{i}" for i in range(r.randint(6, 16))]
+        half = len(ids) // 2
+        inner = [tuple(sorted(r.sample(part, 2))) for part in (ids[:half], ids[half:]) for _ in range(r.randint(3, 14))]
+        pair = [(ids[0], ids[-1])] * r.randint(0, 2) + list(dict.fromkeys(inner))
+        found += tried(ids, pair) > 0
+        assert graph.weakest_cut(ids, pair) == tried(ids, pair)
+    assert found > 20
+
+
+def test_rollups_order_and_layout(spark):
+    symbols = spark.createDataFrame([("1", "apps/api/a.py"), ("2", "apps/api/a.py"), ("3", "apps/web/b.ts"), ("4", "tests/t.py")], "symbol_id string, path string")
+    assert rows(graph.hotspots(symbols), "path", "symbol_count") == [("apps/api/a.py", 2), ("apps/web/b.ts", 1)]
+    files = spark.createDataFrame([("apps/api/a.py",), ("apps/web/b.ts",), ("apps/web/c.ts",)], "path string")
+    assert rows(graph.component_rollup(symbols, files), "layer", "file_count", "symbol_count", "folders") == [("api", 1, 2, "apps/api"), ("web", 2, 1, "apps/web")]
+    tree = spark.createDataFrame([("application", None), ("s", "application"), ("m", "s"), ("lost", "gone"), ("x", "y"), ("y", "x")], "key string, parent_key string")
+    got = {r["key"]: (r["parent_key"], r["level"]) for r in graph.topological_order(tree).collect()}
+    assert [got[k][1] for k in ("application", "s", "m")] == [0, 1, 2] and {got[k][0] for k in ("lost", "x", "y")} == {"application"}
+    placed = graph.layout(spark.createDataFrame([("b", 0), ("a", 0), ("c", 1)], "id string, layer int"))
+    assert rows(placed) == [("a", 0, 0.0, 0.0), ("b", 0, 200.0, 0.0), ("c", 1, 0.0, 140.0)]
 
 
 def test_chunks(spark):

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import profile
 from tessera.operators import synthesis as s
 
 
@@ -24,12 +25,12 @@ def rows(df, *cols):
 )
 def test_styles(spark, scores, style, confidence):
     df = spark.createDataFrame([(1, k, v) for k, v in scores.items()], "repo_id int, style string, score double")
-    assert rows(s.decide_style(df)) == [(1, style, confidence)]
+    assert rows(profile.decide_style(df), "repo_id", "style", "confidence") == [(1, style, confidence)]
 
 
 def test_analyzers(spark):
     df = spark.createDataFrame([(1, "library", 0.7, ["SQLAlchemy", "FastAPI"], []), (2, "unknown", 0.2, [], []), (3, "cli", 0.8, [], ["external_llm"])], "repo_id int, style string, confidence double, frameworks array<string>, detectors array<string>")
-    assert rows(s.select_analyzers(df)) == [(1, ["db"]), (2, list(s.ANALYZERS)), (3, ["cli", "ai"])]
+    assert rows(profile.select_analyzers(df)) == [(1, ["db"]), (2, list(profile.ANALYZERS)), (3, ["cli", "ai"])]
 
 
 def test_hierarchy_and_tree(spark):
