@@ -202,6 +202,11 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, max_nod
     return found.withColumn("rank", rank).where(F.col("rank") <= max_nodes).drop("rank").withColumn("min_confidence", F.round("min_confidence", 3))
 
 
+def component_impact(edges: DataFrame, members: DataFrame, max_depth: int = 4, max_nodes: int = 400) -> DataFrame:
+    """What reaches any member (seed, symbol_id) of a component from outside of it."""
+    return blast_radius(edges, members, max_depth, max_nodes)
+
+
 def describe_impact(impact: DataFrame, symbols: DataFrame) -> DataFrame:
     return impact.join(symbols.select("symbol_id", "name", "path", "kind"), "symbol_id").withColumn("category", categorize_path(F.col("path"), F.col("name")))
 

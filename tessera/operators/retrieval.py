@@ -124,23 +124,82 @@ def hybrid(lists: DataFrame, k: int = K, limit: int = 20) -> DataFrame:
     return reciprocal_rank_fusion(met.where("channels > 1"), k, limit).select("query_id", "path", "score", "snippet", "sources", "rank").unionByName(alone)
 
 
-def lexical_channel(symbols: DataFrame, files: DataFrame, query_id: int, question: str, limit: int = 15) -> DataFrame:
-    """Symbol hits of the question's best identifiers, then grep on the first of them; one hit a path."""
-    spark = symbols.sparkSession
-    names = spark.range(1).select(F.slice(query_identifiers(F.lit(question)), 1, 6).alias("n")).first()["n"]
-    if not names:
-        return spark.createDataFrame([], "query_id long, channel string, rank int, path string, snippet string")
-    asked = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "query_id long, query string")
-    hits = symbol_ladder(symbols, asked, limit).select(F.col("query_id").alias("part"), "rank", "path", F.col("name").alias("snippet"))
-    found = grep(files, r"\b" + names[0] + r"\b", limit=limit).select(F.lit(99).cast("long").alias("part"), F.col("line").alias("rank"), "path", F.substring("text", 1, 400).alias("snippet"))
-    rows = first_per_key(hits.unionByName(found), ["path"], [F.col("part"), F.col("rank")]).withColumn("query_id", F.lit(query_id).cast("long"))
-    return _rank(rows.drop("rank"), [F.col("part"), F.col("path")], limit).select("query_id", F.lit("lexical").alias("channel"), "rank", "path", "snippet")
-
-
-def catalog_seed(entries: DataFrame, question: Column, retrieved: Column) -> DataFrame:
-    """Best catalogue entry (entry_id, kind, title, literal, path) for a question: token overlap, 5 for a literal in it, 1.5 where its path was retrieved (0.5 more for http), 4 for a job that is named."""
-    tokens = overlap_tokens(question)
-    score = F.size(F.array_intersect(overlap_tokens(F.concat_ws(" ", "title", "literal")), tokens)).cast("double")
-    score += F.when((F.length("literal") > 1) & F.lower(question).contains(F.lower("literal")), F.when(F.col("kind") == "job", 4.0).otherwise(5.0)).otherwise(0.0)
-    score += F.when(F.array_contains(retrieved, F.col("path")), F.when(F.col("kind") == "http", 2.0).otherwise(1.5)).otherwise(0.0)
-    return entries.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), F.col("kind") != "http", "title").limit(1)
+def lexical_channel(questions: DataFrame, symbols: DataFrame, files: DataFrame, limit: int = 15, most_names: int = 6) -> DataFrame:
+    """(query_id, channel, rank, path, snippet): symbols of each question's best identifiers, name after name until 2 * limit are found, then the lines that hold the first name; one hit a path.
+
+    A line holds a name if one of its runs of letters, digits and underscores is the name, so lines and names meet by equality.
+    """
+    named = questions.select("query_id", F.posexplode(F.slice(query_identifiers(F.col("query")), 1, most_names)).alias("part", "name"))
+    named = named.withColumn("asked", F.xxhash64("query_id", "part"))
+    hits = symbol_ladder(symbols, named.select(F.col("asked").alias("query_id"), F.col("name").alias("query")), limit)
+    hits = hits.select(F.col("query_id").alias("asked"), "rank", "path", F.col("name").alias("snippet")).join(named.select("asked", "query_id", "part"), "asked").drop("asked")
+    found = hits.groupBy("query_id", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = found.withColumn("before", before).where(F.col("before") < 2 * limit).select("query_id", "part")
+    hits = hits.join(wanted, ["query_id", "part"])
+    words = lines(files).select("path", "line", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]+)"), F.lit(1)))).alias("name"))
+    held = words.join(named.where("part = 0").select("query_id", "name"), "name").groupBy("query_id", "path").agg(F.min_by(F.struct("line", "text"), "line").alias("m"))
+    held = _rank(held, [F.col("path")], limit).select("query_id", F.lit(most_names).alias("part"), "rank", "path", F.substring("m.text", 1, 400).alias("snippet"))
+    rows = first_per_key(hits.unionByName(held), ["query_id", "path"], [F.col("part"), F.col("rank")])
+    return _rank(rows.withColumnRenamed("rank", "at"), [F.col("part"), F.col("at"), F.col("path")], limit).select("query_id", F.lit("lexical").alias("channel"), "rank", "path", "snippet")
+
+
+def semantic_channel(vectors: DataFrame, questions: DataFrame, limit: int = 15) -> DataFrame:
+    """The nearest chunks (vec_id, embedding, path, snippet) of questions (query_id, embedding); the nearest chunk of a path counts."""
+    near = nearest(vectors.select("vec_id", "embedding"), questions.select("query_id", "embedding"), limit)
+    met = near.join(vectors.select("vec_id", "path", "snippet"), "vec_id")
+    best = met.groupBy("query_id", "path").agg(F.min_by(F.struct("rank", "snippet"), "rank").alias("m"))
+    return _rank(best.select("query_id", "path", F.col("m.rank").alias("at"), "m.snippet"), [F.col("at")], limit).select("query_id", F.lit("semantic").alias("channel"), "rank", "path", "snippet")
+
+
+def retrieve(questions: DataFrame, symbols: DataFrame, files: DataFrame, vectors: DataFrame, pages: DataFrame, limit: int = 10, fresh: bool = True) -> DataFrame:
+    """Hybrid answers to (query_id, query, embedding): lexical and semantic channels of max(3 * limit, 15) and a wiki channel of ``limit``, fused; a stale index leaves the lexical one alone."""
+    wide = max(3 * limit, 15)
+    lists = lexical_channel(questions, symbols, files, wide)
+    if fresh:
+        wiki = wiki_overlap(pages, questions, limit).join(pages.select("slug", "title"), "slug")
+        lists = lists.unionByName(semantic_channel(vectors, questions, wide)).unionByName(wiki.select("query_id", F.lit("wiki").alias("channel"), "rank", F.col("slug").alias("path"), F.col("title").alias("snippet")))
+    return hybrid(lists, limit=limit)
+
+
+def catalog_scores(entries: DataFrame, questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, entry_id, kind, title, score) of catalogue entries (entry_id, kind, title, literal, path) that a question speaks of.
+
+    Shared tokens, 5 for a literal in the question (4 for a job's name), 1.5 where
+    the entry's path is among ``hits`` (query_id, path), 0.5 more for http. The
+    questions meet the catalogue in blocks.
+    """
+    found = hits.groupBy("query_id").agg(F.collect_set("path").alias("paths"))
+    asked = questions.select("query_id", F.lower("query").alias("q"), overlap_tokens(F.col("query")).alias("tokens")).join(found, "query_id", "left")
+    score = F.size(F.array_intersect(overlap_tokens(F.concat_ws(" ", "title", "literal")), F.col("tokens"))).cast("double")
+    score += F.when((F.length("literal") > 1) & F.col("q").contains(F.lower("literal")), F.when(F.col("kind") == "job", 4.0).otherwise(5.0)).otherwise(0.0)
+    score += F.when(F.coalesce(F.array_contains("paths", F.col("path")), F.lit(False)), F.when(F.col("kind") == "http", 2.0).otherwise(1.5)).otherwise(0.0)
+    met = _each(asked, lambda block: entries.crossJoin(block).withColumn("score", score).where("score > 0"))
+    return met.select("query_id", "entry_id", "kind", "title", "path", "literal", "score")
+
+
+def catalog_seed(entries: DataFrame, questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """The best entry of each question: by score, http before others, then title; else the first retrieved path that an entry has, http first."""
+    best = first_per_key(catalog_scores(entries, questions, hits), ["query_id"], [F.desc("score"), F.col("kind") != "http", F.col("title"), F.col("entry_id")])
+    met = hits.select("query_id", "rank", "path").join(entries.select("entry_id", "kind", "title", "path"), "path").join(best.select("query_id"), "query_id", "left_anti")
+    other = first_per_key(met, ["query_id"], [F.col("rank"), F.col("kind") != "http", F.col("title"), F.col("entry_id")])
+    return best.select("query_id", "entry_id", "kind", "title", "path", "score").unionByName(other.select("query_id", "entry_id", "kind", "title", "path", F.lit(1.0).alias("score")))
+
+
+def flow_query(questions: DataFrame, hits: DataFrame, entries: DataFrame, flows: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers, steps) of questions about a flow: retrieval picks a catalogue entry; a known flow (flow_id, title) of its title, or that names its literal, answers; else the entry's symbol is traced.
+
+    ``entries`` also have ``symbol_id`` (null: unknown). Answers: query_id, matched,
+    title, kind, flow_id. Steps: those of traced questions, by query_id.
+    """
+    from tessera.operators import graph
+
+    seeds = catalog_seed(entries, questions, hits).join(entries.select("entry_id", "literal", "symbol_id"), "entry_id")
+    known = flows.select("flow_id", F.lower("title").alias("t"), F.col("title").alias("flow_title"))
+    same = seeds.select("query_id", F.lower("title").alias("t")).join(known, "t").select("query_id", "flow_id", F.lit(0).alias("way"))
+    named = _each(seeds.where("kind = 'http' and literal <> ''").select("query_id", "literal"), lambda block: known.crossJoin(block).where(F.col("flow_title").contains(F.col("literal")))).select("query_id", "flow_id", F.lit(1).alias("way"))
+    flow = first_per_key(same.unionByName(named), ["query_id"], [F.col("way"), F.col("flow_id")]).select("query_id", "flow_id")
+    answers = questions.select("query_id").join(seeds, "query_id", "left").join(flow, "query_id", "left")
+    answers = answers.select("query_id", F.col("entry_id").isNotNull().alias("matched"), "title", "kind", "flow_id", "symbol_id")
+    traced = answers.where("matched and flow_id is null and symbol_id is not null").select(F.col("query_id").alias("seed"), "symbol_id")
+    return answers.drop("symbol_id"), graph.call_flow(edges, traced)

@@ -226,7 +226,7 @@ def emit_subscribe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dynamic_edges(side("purchase"), side("signup")).select("src_id", "dst_id", F.col("confidence").cast("double").alias("confidence"))
 
 
-def _levels(seeds: str, depth: int) -> str:
+def _levels(seeds: str, depth: int, most: int = 500) -> str:
     """Unrolled reverse traversal in SQL: one level an expression, best bottleneck over the parents one level nearer."""
     out = f"""back as (select dst_id as at, src_id as next, max(coalesce(nullif(confidence, 0), 0.5)) as c from edges where kind in ('calls', 'emits') group by 1, 2), l0 as ({seeds})"""
     for d in range(1, depth + 1):
@@ -234,78 +234,62 @@ def _levels(seeds: str, depth: int) -> str:
         out += f""", l{d} as (select f.seed, b.next as symbol_id, {d} as depth, max(least(f.min_confidence, b.c)) as min_confidence from l{d - 1} f join back b on f.symbol_id = b.at
             where not exists (select 1 from ({seen}) s where s.seed = f.seed and s.symbol_id = b.next) group by 1, 2)"""
     every = " union all ".join(f"select * from l{i}" for i in range(1, depth + 1))
-    return out + f", every as ({every}), ranked as (select *, row_number() over (partition by seed order by depth, min_confidence desc, symbol_id) as r from every), impact as (select seed, symbol_id, depth, round(min_confidence, 3) as min_confidence from ranked where r <= 500)"
+    return out + f", every as ({every}), ranked as (select *, row_number() over (partition by seed order by depth, min_confidence desc, symbol_id) as r from every), impact as (select seed, symbol_id, depth, round(min_confidence, 3) as min_confidence from ranked where r <= {most})"
 
 
-SEEDS = "select symbol_id as seed, symbol_id, 0 as depth, 1.0::double as min_confidence from symbols where symbol_id <= 5"
+SEEDS = "select symbol_id as seed, symbol_id, 0 as depth, 1.0::double as min_confidence from symbols where symbol_id % 20 = 0"
 
 
-def _impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = view(spark, sf_dir, "symbols").where("symbol_id <= 5").select(F.col("symbol_id").alias("seed"), "symbol_id")
-    return graph.blast_radius(view(spark, sf_dir, "edges"), seeds, max_depth=3)
+def _every_twentieth(symbols: DataFrame) -> DataFrame:
+    """The stated query set of searches."""
+    return symbols.where("symbol_id % 20 = 0").select(F.col("symbol_id").alias("seed"), "symbol_id")
 
 
-@query(f"with {_levels(SEEDS, 3)} select seed, symbol_id, depth, min_confidence from impact")
+@query(f"with {_levels(SEEDS, 4)} select seed, symbol_id, depth, min_confidence from impact")
 def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five targets: the traversal's feature is a target symbol, the edges are all of them."""
-    return _impact(spark, sf_dir)
+    return graph.blast_radius(view(spark, sf_dir, "edges"), _every_twentieth(view(spark, sf_dir, "symbols")))
 
 
-@query(f"with {_levels(SEEDS, 3)} select seed, {CATEGORY} as category, count(*) as n, max(min_confidence) as confidence, min(depth) as nearest from impact i join symbols s on i.symbol_id = s.symbol_id group by 1, 2")
+@query(f"with {_levels(SEEDS, 4)} select seed, {CATEGORY} as category, count(*) as n, max(min_confidence) as confidence, min(depth) as nearest from impact i join symbols s on i.symbol_id = s.symbol_id group by 1, 2")
 def blast_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.group_impact(graph.describe_impact(_impact(spark, sf_dir), view(spark, sf_dir, "symbols")))
+    return graph.group_impact(graph.describe_impact(blast_radius(spark, sf_dir), view(spark, sf_dir, "symbols")))
+
+
+@query(f"with {_levels(SEEDS, 4)}, named as (select seed, {CATEGORY} as category from impact i join symbols s on i.symbol_id = s.symbol_id) select seed, count(*) as total, case when bool_or(category in ('routes', 'workers', 'cron')) or count(*) >= 15 then 'high' when count(*) >= 5 then 'medium' else 'low' end as risk from named group by 1")
+def impact_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.impact_risk(graph.describe_impact(blast_radius(spark, sf_dir), view(spark, sf_dir, "symbols")))
 
 
 COMPONENT = f"select {DOMAIN} as seed, symbol_id, 0 as depth, 1.0::double as min_confidence from symbols where {LAYER} = 'worker'"
 
 
-@query(f"with {_levels(COMPONENT, 2)} select seed, count(*) as total, round(sum(min_confidence), 2) as confidence from impact group by 1")
+@query(f"with {_levels(COMPONENT, 4, 400)} select seed, count(*) as total, round(sum(min_confidence), 2) as confidence from impact group by 1")
 def component_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = view(spark, sf_dir, "symbols").where(paths.assign_layer(F.col("path")) == "worker").select(paths.assign_domain(F.col("path")).alias("seed"), "symbol_id")
-    found = graph.blast_radius(view(spark, sf_dir, "edges"), seeds, max_depth=2)
+    symbols = view(spark, sf_dir, "symbols")
+    found = graph.component_impact(view(spark, sf_dir, "edges"), symbols.where(paths.assign_layer(F.col("path")) == "worker").select(paths.assign_domain(F.col("path")).alias("seed"), "symbol_id"))
     return found.groupBy("seed").agg(F.count("*").alias("total"), F.round(F.sum("min_confidence"), 2).alias("confidence"))
 
 
-@query(
-    """with o as (select src_id, dst_id, max(coalesce(nullif(confidence, 0), 0.5)) as c from edges where kind in ('calls', 'emits') group by 1, 2),
-    s1 as (select 1 as depth, src_id, dst_id, c, row_number() over (order by c desc, dst_id) as pos from o where src_id = 1),
-    f1 as (select dst_id as node, min(pos) as place from s1 where dst_id <> 1 group by 1),
-    s2 as (select 2 as depth, o.src_id, o.dst_id, o.c, row_number() over (order by f1.place, o.c desc, o.dst_id) as pos from f1 join o on f1.node = o.src_id),
-    every as (select * from s1 union all select * from s2), r as (select *, row_number() over (order by depth, pos) as step from every)
-    select step, src_id, dst_id, round(c, 3) as confidence, depth from r where step <= 100"""
-)
-def call_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = view(spark, sf_dir, "symbols").where("symbol_id = 1").select(F.col("symbol_id").alias("seed"), "symbol_id")
-    return graph.call_flow(view(spark, sf_dir, "edges"), seeds, max_depth=2).select("step", "src_id", "dst_id", "confidence", "depth")
-
-
-def _every_twentieth(symbols: DataFrame) -> DataFrame:
-    return symbols.where("symbol_id % 20 = 0").select(F.col("symbol_id").alias("seed"), "symbol_id")
-
-
-@query()
-def blast_radius_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every id divisible by 20 at the default depth; unrolled SQL is too slow for that."""
-    return graph.blast_radius(view(spark, sf_dir, "edges"), _every_twentieth(view(spark, sf_dir, "symbols")))
-
-
-@query()
-def blast_grouped_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.group_impact(graph.describe_impact(blast_radius_whole(spark, sf_dir), view(spark, sf_dir, "symbols")))
+def _flow_sql(depth: int) -> str:
+    """Unrolled breadth-first steps of every seed, a hundred a seed and level."""
+    out = """o as (select src_id, dst_id, min(kind) as kind, any_value(c) as c from (select src_id, dst_id, kind, c, max(c) over (partition by src_id, dst_id) as m from (select src_id, dst_id, kind, coalesce(nullif(confidence, 0), 0.5) as c from edges where kind in ('calls', 'emits')) x) y where c = m group by 1, 2),
+        f0 as (select symbol_id as seed, symbol_id as node, 1 as place from symbols where symbol_id % 20 = 0)"""
+    for d in range(1, depth + 1):
+        seen = " union all ".join(f"select seed, node from f{i}" for i in range(d))
+        out += f""", s{d} as (select * from (select f.seed, {d} as depth, o.src_id, o.dst_id, o.kind, o.c, row_number() over (partition by f.seed order by f.place, o.c desc, o.dst_id, o.kind) as pos from f{d - 1} f join o on f.node = o.src_id) z where pos <= 100),
+            f{d} as (select seed, dst_id as node, min(pos) as place from s{d} s where not exists (select 1 from ({seen}) w where w.seed = s.seed and w.node = s.dst_id) group by 1, 2)"""
+    every = " union all ".join(f"select * from s{d}" for d in range(1, depth + 1))
+    return out + f", steps as (select *, row_number() over (partition by seed order by depth, pos) as step from ({every}) e)"
 
 
-@query()
-def component_impact_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every worker component at the default depth."""
-    seeds = view(spark, sf_dir, "symbols").where(paths.assign_layer(F.col("path")) == "worker").select(paths.assign_domain(F.col("path")).alias("seed"), "symbol_id")
-    found = graph.blast_radius(view(spark, sf_dir, "edges"), seeds)
-    return found.groupBy("seed").agg(F.count("*").alias("total"), F.round(F.sum("min_confidence"), 2).alias("confidence"))
+@query(f"with {_flow_sql(3)} select seed, step, src_id, dst_id, kind, round(c, 3) as confidence, depth from steps where step <= 100")
+def call_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.call_flow(view(spark, sf_dir, "edges"), _every_twentieth(view(spark, sf_dir, "symbols")))
 
 
-@query()
-def call_flow_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every id divisible by 20 at the default depth."""
-    return graph.call_flow(view(spark, sf_dir, "edges"), _every_twentieth(view(spark, sf_dir, "symbols")))
+@query(f"with {_flow_sql(3)} select seed, concat('flowchart TD', chr(10), string_agg(concat('    n', src_id, case when round(c, 3) >= 0.7 then ' -->' else ' -.->' end, case when kind = 'calls' then '' else concat('|', kind, '|') end, ' n', dst_id), chr(10) order by step)) as diagram from steps where step <= 100 group by 1")
+def flow_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.mermaid(call_flow(spark, sf_dir))
 
 
 MODULE = "array_to_string(list_slice(list_filter(string_split({}.path, '/'), lambda x: x <> ''), 1, 2), '/')"
@@ -336,13 +320,13 @@ def file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.file_edges(view(spark, sf_dir, "edges"), view(spark, sf_dir, "symbols"))
 
 
-NATION_EDGES = """nation_e as (select least(a, b) as a, greatest(a, b) as b, count(*) as w from (select concat('c', o_custkey) as a, concat('s', l_suppkey) as b from orders join lineitem on o_orderkey = l_orderkey where l_quantity >= 50) x group by 1, 2),
+NATION_EDGES = """nation_e as (select least(a, b) as a, greatest(a, b) as b, count(*) as w from (select concat('c', o_custkey) as a, concat('s', l_suppkey) as b from orders join lineitem on o_orderkey = l_orderkey ) x group by 1, 2),
     peak as (select v, max(w) as p from (select a as v, w from nation_e union all select b, w from nation_e) y group by 1),
     strong as (select n.a, n.b, n.w from nation_e n join peak x on n.a = x.v join peak y on n.b = y.v where n.w + 1e-9 >= 0.45 * greatest(x.p, y.p))"""
 
 
 def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = view(spark, sf_dir, "orders").join(view(spark, sf_dir, "lineitem").where("l_quantity >= 50"), F.col("o_orderkey") == F.col("l_orderkey"))
+    met = view(spark, sf_dir, "orders").join(view(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     return met.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
@@ -395,31 +379,27 @@ def _distance(a: str, b: str) -> str:
     return f"1 - list_dot_product({a}::double[], {b}::double[]) / (sqrt(list_dot_product({a}::double[], {a}::double[])) * sqrt(list_dot_product({b}::double[], {b}::double[])))"
 
 
-@query(f"""with q as (select embedding as e from embeddings where vec_id = 0) select vec_id, round({_distance("embedding", "e")}, 5) as distance from embeddings, q order by {_distance("embedding", "e")}, vec_id limit 10""")
-def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = view(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieval.nearest(vectors, asked).select("vec_id", F.round("distance", 5).alias("distance"))
+KNN = f"""asked as (select vec_id as query_id, embedding as q from embeddings where vec_id % 20 = 0), near as (select query_id, vec_id, {_distance("embedding", "q")} as distance from embeddings, asked),
+    knn as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from near)"""
 
 
-@query()
-def knn_cosine_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every id divisible by 20 asks."""
+@query(f"with {KNN} select query_id, vec_id, round(distance, 5) + 0.0 as distance, rank from knn where rank <= 10")
+def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = view(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieval.nearest(vectors, asked).select("query_id", "vec_id", F.round("distance", 5).alias("distance"), "rank")
+    return retrieval.nearest(vectors, asked).select("query_id", "vec_id", (F.round("distance", 5) + 0.0).alias("distance"), "rank")
 
 
 STOP = ", ".join(f"'{w}'" for w in sorted(set(text.STOPWORDS)))
 
 
-@query(
-    f"""with t as (select query_id, unnest(regexp_extract_all(query, '[A-Za-z_][A-Za-z0-9_]*')) as tok, generate_subscripts(regexp_extract_all(query, '[A-Za-z_][A-Za-z0-9_]*'), 1) as i from questions),
+IDENTIFIERS = f"""t as (select query_id, unnest(regexp_extract_all(query, '[A-Za-z_][A-Za-z0-9_]*')) as tok, generate_subscripts(regexp_extract_all(query, '[A-Za-z_][A-Za-z0-9_]*'), 1) as i from questions),
     f as (select *, row_number() over (partition by query_id, lower(tok) order by i) as n from t where length(tok) >= 3 and lower(tok) not in ({STOP})),
     s as (select query_id, tok, case when contains(tok, '_') then 20 else 0 end + case when regexp_matches(substr(tok, 2), '[A-Z]') then 15 else 0 end + case when regexp_matches(tok, '^[A-Z]') then 8 else 0 end + least(length(tok), 24) as score from f where n = 1),
-    r as (select *, row_number() over (partition by query_id order by score desc, length(tok) desc, tok) as rank from s)
-    select query_id, string_agg(tok, ',' order by rank) as identifiers from r where rank <= 8 group by 1"""
-)
+    ident as (select *, row_number() over (partition by query_id order by score desc, length(tok) desc, tok) as rank from s)"""
+
+
+@query(f"with {IDENTIFIERS} select query_id, string_agg(tok, ',' order by rank) as identifiers from ident where rank <= 8 group by 1")
 def query_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "questions").select("query_id", text.query_identifiers(F.col("query")).alias("t"))
     return rows.where(F.size("t") > 0).select("query_id", F.array_join(F.slice("t", 1, 8), ",").alias("identifiers"))
@@ -487,20 +467,45 @@ def wiki_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlap(spark, sf_dir).withColumn("score", F.round("score", 4))
 
 
-# Two channels: pages by overlap, and pages of the same host as the best page.
-LISTS = f"""{OVERLAP}, host as (select concat('p', page_id) as slug, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as host, url from pages),
-    chan as (select query_id, 'wiki' as channel, o.rank, o.slug as path, h.url as snippet from overlap_r o join host h on o.slug = h.slug where o.rank <= 15 union all
-    select * from (select o.query_id, 'host' as channel, row_number() over (partition by o.query_id order by h2.slug) as rank, h2.slug as path, concat(h2.url, '!') as snippet
-    from overlap_r o join host h on o.slug = h.slug join host h2 on h.host = h2.host where o.rank = 1 and o.query_id % 3 <> 0) z where rank <= 15)"""
+# The three channels: symbols and lines by name, vectors by distance, pages by overlap. A question asks with the vector of its number.
+LISTS = f"""{OVERLAP}, {IDENTIFIERS},
+    ladder as (select i.query_id, i.rank - 1 as part, y.path, y.name, y.start_line, y.symbol_id, case when name = tok then 100 when lower(name) = lower(tok) then 90 when starts_with(lower(name), lower(tok)) then 70 when contains(lower(name), lower(tok)) then 50 end as score from symbols y, ident i where i.rank <= 6),
+    ladder_best as (select *, row_number() over (partition by query_id, part, path order by score desc, start_line, symbol_id) as n from ladder where score is not null),
+    ladder_hit as (select query_id, part, path, name as snippet, row_number() over (partition by query_id, part order by score desc, path, start_line) as pos from ladder_best where n = 1),
+    ladder_sum as (select query_id, part, coalesce(sum(count(*)) over (partition by query_id order by part rows between unbounded preceding and 1 preceding), 0) as before from ladder_hit where pos <= 30 group by 1, 2),
+    doc_line as (select concat('d/', doc_id) as path, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as line from documents),
+    word_line as (select path, text, line, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]+'))) as w from doc_line),
+    held as (select i.query_id, w.path, arg_min(w.text, w.line) as text from word_line w join ident i on w.w = i.tok and i.rank = 1 group by 1, 2),
+    held_hit as (select query_id, 6 as part, path, substr(text, 1, 400) as snippet, row_number() over (partition by query_id order by path) as pos from held),
+    lexical_all as (select h.query_id, h.part, h.path, h.snippet, h.pos from ladder_hit h join ladder_sum u on h.query_id = u.query_id and h.part = u.part where u.before < 60 and h.pos <= 30 union all select * from held_hit where pos <= 30),
+    lexical_one as (select *, row_number() over (partition by query_id, path order by part, pos) as n from lexical_all),
+    lexical as (select query_id, 'lexical' as channel, row_number() over (partition by query_id order by part, pos, path) as rank, path, snippet from lexical_one where n = 1),
+    ask_vector as (select q.query_id, e.embedding as q from questions q join embeddings e on q.query_id = e.vec_id),
+    vector_near as (select a.query_id, e.vec_id, row_number() over (partition by a.query_id order by {_distance("e.embedding", "a.q")}, e.vec_id) as rank from embeddings e, ask_vector a),
+    wiki_page as (select concat('p', page_id) as slug, url from pages),
+    chan as (select * from lexical where rank <= 30 union all select query_id, 'semantic', rank, concat('d/', vec_id), concat('chunk ', vec_id) from vector_near where rank <= 30
+    union all select o.query_id, 'wiki', o.rank, o.slug, h.url from overlap_r o join wiki_page h on o.slug = h.slug where o.rank <= 10)"""
 FUSED = """fused as (select query_id, path, sum(1 / (60 + rank)) as score, arg_min(snippet, (-length(snippet), channel, rank)) as snippet, string_agg(distinct channel, ',' order by channel) as sources from chan group by 1, 2)"""
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    vectors = view(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.concat(F.lit("d/"), "vec_id").alias("path"), F.concat(F.lit("chunk "), "vec_id").alias("snippet"))
+    questions = view(spark, sf_dir, "questions").join(vectors.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+    pages = view(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("slug"), F.col("url").alias("title"), F.col("html").alias("body"))
+    return {"questions": questions, "symbols": view(spark, sf_dir, "symbols"), "files": _files(spark, sf_dir), "vectors": vectors, "pages": pages}
+
+
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = view(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("path"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), "url")
-    wiki = _overlap(spark, sf_dir).join(host, F.col("slug") == F.col("path"))
-    best = wiki.where("rank = 1 and query_id % 3 <> 0").select("query_id", "host")
-    near = retrieval._rank(best.join(host, "host"), [F.col("path")], 15)
-    return wiki.select("query_id", F.lit("wiki").alias("channel"), "rank", "path", F.col("url").alias("snippet")).unionByName(near.select("query_id", F.lit("host").alias("channel"), "rank", "path", F.concat("url", F.lit("!")).alias("snippet")))
+    a = _asked(spark, sf_dir)
+    asked = a["questions"].where("embedding is not null")
+    wiki = retrieval.wiki_overlap(a["pages"], a["questions"], 10).join(a["pages"], "slug").select("query_id", F.lit("wiki").alias("channel"), "rank", F.col("slug").alias("path"), F.col("title").alias("snippet"))
+    return retrieval.lexical_channel(a["questions"], a["symbols"], a["files"], 30).unionByName(retrieval.semantic_channel(a["vectors"], asked, 30)).unionByName(wiki)
+
+
+@query(f"with {LISTS} select query_id, rank, path, snippet from lexical where rank <= 30")
+def lexical_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _asked(spark, sf_dir)
+    return retrieval.lexical_channel(a["questions"], a["symbols"], a["files"], 30).drop("channel")
 
 
 @query(f"with {LISTS}, {FUSED}, r as (select *, row_number() over (partition by query_id order by round(score, 12) desc, path) as rank from fused) select query_id, path, round(score, 6) as score, snippet, sources, rank from r where rank <= 20")
@@ -510,18 +515,20 @@ def rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {LISTS}, n as (select query_id, count(distinct channel) as n from chan group by 1), {FUSED}, r as (select f.*, row_number() over (partition by f.query_id order by round(score, 12) desc, path) as rank from fused f join n on f.query_id = n.query_id where n.n > 1)
-    select query_id, path, round(score, 6) as score, snippet, sources, rank from r where rank <= 20 union all select c.query_id, path, round(1 / (60 + rank), 6), snippet, channel, rank from chan c join n on c.query_id = n.query_id where n.n = 1"""
+    select query_id, path, round(score, 6) as score, snippet, sources, rank from r where rank <= 10 union all select c.query_id, path, round(1 / (60 + rank), 6), snippet, channel, rank from chan c join n on c.query_id = n.query_id where n.n = 1 and rank <= 10"""
 )
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.hybrid(_lists(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    a = _asked(spark, sf_dir)
+    whole = retrieval.retrieve(a["questions"].where("embedding is not null"), a["symbols"], a["files"], a["vectors"], a["pages"], 10)
+    return whole.withColumn("score", F.round("score", 6))
 
 
 @query(
-    f"""with {LISTS}, want as (select o_custkey % 40 as id, concat('p', o_orderkey % 50) as path from orders), d as (select distinct id, path from want), top as (select distinct query_id as id, path from chan where rank <= 10)
+    f"""with {LISTS}, want as (select o_custkey % 40 as id, case when o_orderkey % 2 = 0 then concat('p', o_orderkey % 50) else concat('d/', o_orderkey % 50) end as path from orders), d as (select distinct id, path from want), top as (select distinct query_id as id, path from chan where rank <= 10)
     select d.id, round(count(top.path) / count(*), 4) as recall from d left join top on d.id = top.id and d.path = top.path group by 1"""
 )
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    want = view(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("id"), F.concat(F.lit("p"), F.col("o_orderkey") % 50).alias("path"))
+    want = view(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("id"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "p").otherwise("d/"), F.col("o_orderkey") % 50).alias("path"))
     got = _lists(spark, sf_dir).select(F.col("query_id").alias("id"), "path", "rank")
     return evaluation.recall_at_k(want, got, 10).withColumn("recall", F.round("recall", 4))
 
@@ -533,12 +540,12 @@ def abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- review -----------------------------------------------------------------------------------------------------------
 
-ADDED = "added as (select distinct concat('./', s.path) as path, cast(l_quantity as int) as line from lineitem join symbols s on l_partkey = s.symbol_id where l_linenumber = 1)"
+ADDED = "added as (select distinct concat('./', s.path) as path, cast(l_quantity as int) as line from lineitem join symbols s on l_partkey = s.symbol_id)"
 
 
 def _added(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = view(spark, sf_dir, "symbols").select("symbol_id", "path")
-    rows = view(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(symbols, F.col("l_partkey") == F.col("symbol_id"))
+    rows = view(spark, sf_dir, "lineitem").join(symbols, F.col("l_partkey") == F.col("symbol_id"))
     return rows.select(F.concat(F.lit("./"), "path").alias("path"), F.col("l_quantity").cast("int").alias("line")).distinct()
 
 
@@ -775,13 +782,13 @@ def page_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with c as (select event_id as sha, concat('Merge #', user_id % 60, ' and GH-', event_id % 90) as message, user_id % 60 as m from events), p as (select c_custkey as number, c_custkey * 3 as merge_sha from customer where c_custkey <= 50),
+    """with c as (select event_id as sha, concat('Merge #', user_id % 60, ' and GH-', event_id % 90) as message, user_id % 60 as m from events), p as (select c_custkey as number, c_custkey * 3 as merge_sha from customer),
     q as (select merge_sha, min(number) as merged from p group by 1) select c.sha, coalesce(q.merged, p.number) as pr_number from c left join q on c.sha = q.merge_sha left join p on c.m = p.number"""
 )
 def pull_request_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.concat(F.lit("Merge #"), F.col("user_id") % 60, F.lit(" and GH-"), F.col("event_id") % 90)
     commits = view(spark, sf_dir, "events").select(F.col("event_id").alias("sha"), message.alias("message"))
-    pulls = view(spark, sf_dir, "customer").where("c_custkey <= 50").select(F.col("c_custkey").alias("number"), (F.col("c_custkey") * 3).alias("merge_commit_sha"))
+    pulls = view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("number"), (F.col("c_custkey") * 3).alias("merge_commit_sha"))
     return ownership.link_pull_requests(commits, pulls).select("sha", F.col("pr_number").cast("long").alias("pr_number"))
 
 

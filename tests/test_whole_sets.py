@@ -45,10 +45,10 @@ def test_blast_radius_of_every_twentieth_symbol(spark, tables):
     edges, symbols = tables
     ids = [i for i, _, _ in symbols if i % 20 == 0]
     want = impact(edges, {i: [i] for i in ids})
-    got = {(r["seed"], r["symbol_id"]): (r["depth"], r["min_confidence"]) for r in catalogue.QUERIES["blast_radius_whole"](spark, DATA).collect()}
+    got = {(r["seed"], r["symbol_id"]): (r["depth"], r["min_confidence"]) for r in catalogue.QUERIES["blast_radius"](spark, DATA).collect()}
     assert len(ids) > 5 and got.keys() == want.keys() and max(d for d, _ in want.values()) > 3
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 0.00051 for k in want)
-    grouped = catalogue.QUERIES["blast_grouped_whole"](spark, DATA).collect()
+    grouped = catalogue.QUERIES["blast_grouped"](spark, DATA).collect()
     assert {r["seed"] for r in grouped} == {s for s, _ in want} and sum(r["n"] for r in grouped) == len(want)
 
 
@@ -71,7 +71,7 @@ def test_component_impact_at_full_depth(spark, tables):
     want = defaultdict(list)
     for (seed, _), (_, c) in impact(edges, groups).items():
         want[seed].append(c)
-    got = {r["seed"]: (r["total"], r["confidence"]) for r in catalogue.QUERIES["component_impact_whole"](spark, DATA).collect()}
+    got = {r["seed"]: (r["total"], r["confidence"]) for r in catalogue.QUERIES["component_impact"](spark, DATA).collect()}
     assert {k: n for k, (n, _) in got.items()} == {k: len(v) for k, v in want.items()}
     assert all(abs(got[k][1] - sum(v)) < 0.01 + 0.0005 * len(v) for k, v in want.items())
 
@@ -98,7 +98,7 @@ def test_call_flow_of_every_twentieth_symbol(spark, tables):
                         new.append(d)
             front = new
         want += steps[:100]
-    got = catalogue.QUERIES["call_flow_whole"](spark, DATA).select("seed", "step", "src_id", "dst_id", "depth").collect()
+    got = catalogue.QUERIES["call_flow"](spark, DATA).select("seed", "step", "src_id", "dst_id", "depth").collect()
     assert sorted(map(tuple, got)) == sorted(want) and max(w[4] for w in want) == 3
 
 
@@ -109,5 +109,5 @@ def test_nearest_of_every_twentieth_vector(spark):
     for q in (i for i in vectors if i % 20 == 0):
         near = sorted((1 - sum(x * y for x, y in zip(vectors[q], v, strict=True)) / (norm[q] * norm[i]), i) for i, v in vectors.items())[:10]
         want |= {(q, i) for _, i in near}
-    got = catalogue.QUERIES["knn_cosine_whole"](spark, DATA).collect()
+    got = catalogue.QUERIES["knn_cosine"](spark, DATA).collect()
     assert {(r["query_id"], r["vec_id"]) for r in got} == want and len(got) == len(want) > 10
