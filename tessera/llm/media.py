@@ -145,6 +145,9 @@ def decoded(codec: str | None, data: memoryview) -> Iterator[np.ndarray]:
 
 def resampled(parts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
     """``resample`` of a sequence that comes in parts, in parts."""
+    if isinstance(parts, list) and len(parts) == 1:
+        yield resample(parts[0])
+        return
     held, lead = np.zeros(0, np.int16), 0  # samples not yet given out, behind ``lead`` that were
     for part in parts:
         held = np.concatenate([held, part])
@@ -186,9 +189,26 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text", run, "doc_id long, n_bytes long, media binary")
 
 
-def described(media: bytes) -> dict[str, object]:
-    """What is read back from one stored file: payload digests, features, and the 16 kHz PCM file."""
+def decoded_together(files: list[tuple[str | None, int, memoryview]]) -> list[Iterable[np.ndarray]]:
+    """Samples of each of several small files; the ADPCM blocks of all are decoded at once."""
+    blocks_of = [data for codec, _, data in files if codec == "adpcm"]
+    samples = decode_adpcm(np.frombuffer(b"".join(blocks_of), np.uint8)) if blocks_of else None
+    out: list[Iterable[np.ndarray]] = []
+    at = 0
+    for codec, _, data in files:
+        if codec == "adpcm":
+            n = len(data) // UNIT
+            out.append([samples[at : at + n].reshape(-1)])
+            at += n
+        else:
+            out.append(decoded(codec, data))
+    return out
+
+
+def described(media: bytes, samples: Iterable[np.ndarray] | None = None) -> dict[str, object]:
+    """What is read back from one stored file: payload digests, features, and the 16 kHz PCM file; ``samples`` where they are decoded already."""
     codec, _, data = read_wav(media)
+    samples = decoded(codec, data) if samples is None else samples
     features, crc, digest = Features(), 0, hashlib.sha256()
     wide = 2 * (len(data) // UNIT * (_STEPS_PER_BLOCK + 1) if codec == "adpcm" else len(data))  # samples at twice the rate
     pcm = bytearray(write_wav(b"", None, 2 * RATE))
@@ -197,7 +217,7 @@ def described(media: bytes) -> dict[str, object]:
     struct.pack_into("<I", pcm, head - 4, 2 * wide)
     digest.update(pcm)
     fits = head + 2 * wide < CELL
-    for part in resampled(features.add(x) for x in decoded(codec, data)):
+    for part in resampled([features.add(samples[0])] if isinstance(samples, list) else (features.add(x) for x in samples)):
         piece = part.astype("<i2", copy=False).tobytes()
         crc = zlib.crc32(piece, crc)
         digest.update(piece)
@@ -216,7 +236,8 @@ def describe_media(stored: DataFrame, keep_pcm: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "media"):
-            rows = [described(b.column("media")[i].as_buffer()) for i in range(b.num_rows)]
+            files = [b.column("media")[i].as_buffer() for i in range(b.num_rows)]
+            rows = [described(files[0])] if len(files) == 1 else [described(f, x) for f, x in zip(files, decoded_together([read_wav(f) for f in files]), strict=True)]
             kinds = {"payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "pcm_bytes": pa.int64(), "pcm": pa.binary()}
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_bytes": b.column("n_bytes")} | {c: pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in names})
 
