@@ -85,3 +85,14 @@ def norm_route(path: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4)
+
+
+def clip(text: Column, most: int) -> Column:
+    """At most ``most`` characters; a cut text ends in an ellipsis."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, most - 1)), F.lit("…")))
+
+
+def diagram_label(text: Column) -> Column:
+    """A label that can stand between quotes in a diagram."""
+    return F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit('"'), F.lit("'")), r"[\r\n]+", " ")

@@ -70,3 +70,35 @@ def link_pull_requests(commits: DataFrame, pulls: DataFrame) -> DataFrame:
     out = commits.join(merged, commits["sha"] == merged["merge_commit_sha"], "left").withColumn("named", F.get(pr_numbers(F.col("message")), F.lit(0)))
     known = pulls.select(F.col("number").alias("known")).distinct()
     return out.join(known, out["named"] == known["known"], "left").select(*[out[c] for c in commits.columns], F.coalesce("merged", "known").alias("pr_number"))
+
+
+def commit_walk(commits: DataFrame, known: DataFrame, limit: int | None = None) -> DataFrame:
+    """Commits (sha, committed_at) newest first without those known, at most ``limit``."""
+    rows = commits.join(known.select("sha").distinct(), "sha", "left_anti").orderBy(F.desc("committed_at"), "sha")
+    return rows.limit(limit) if limit else rows
+
+
+def file_changes(diffs: DataFrame) -> DataFrame:
+    """(sha, path, old_path, additions, deletions) of diffs (sha, parent, old_path, new_path, additions, deletions): against the first parent only; a rename is one change of its new path."""
+    path = F.coalesce("new_path", "old_path")
+    rows = diffs.where((F.coalesce("parent", F.lit(0)) == 0) & path.isNotNull())
+    moved = F.when(F.col("new_path").isNotNull() & (F.col("old_path") != F.col("new_path")), F.col("old_path"))
+    return rows.groupBy("sha", path.alias("path")).agg(F.max(moved).alias("old_path"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
+
+
+def commit_rows(changes: DataFrame, commits: DataFrame, files: DataFrame) -> DataFrame:
+    """Changes (sha, file_id, additions, deletions) with their commit (sha, author_id, committed_at) and file (file_id, path); commits without an author are left out."""
+    met = changes.join(commits.where("author_id is not null").select("sha", "author_id", "committed_at"), "sha").join(files.select("file_id", "path"), "file_id")
+    return met.select("path", "author_id", "additions", "deletions", "committed_at", "sha")
+
+
+def with_authors(owned: DataFrame, authors: DataFrame) -> DataFrame:
+    """Ownership rows with the author's name (author_id, name); unknown authors are left out."""
+    return owned.join(authors.select("author_id", F.col("name").alias("author_name")), "author_id")
+
+
+def why_here(commits: DataFrame, authors: DataFrame, pulls: DataFrame) -> DataFrame:
+    """Commits (sha, author_id, message) with author name and the pull request they came by; either may be null."""
+    named = commits.join(authors.select("author_id", F.col("name").alias("author_name")), "author_id", "left")
+    titles = pulls.groupBy(F.col("number").alias("pr_number")).agg(F.min("title").alias("pr_title"))
+    return link_pull_requests(named, pulls).join(titles, "pr_number", "left")

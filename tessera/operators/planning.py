@@ -162,3 +162,18 @@ def staleness(found: DataFrame, stored: DataFrame) -> DataFrame:
     """Targets whose content hash is not the stored one."""
     met = found.join(stored.select("target", F.col("content_sha").alias("old")), "target", "left")
     return met.where(~F.col("content_sha").eqNullSafe(F.col("old"))).drop("old")
+
+
+def gate_verdict(recall: Column, baseline: float = 0.97) -> Column:
+    """PASS from the recorded baseline on."""
+    return F.when(recall + 1e-9 >= baseline, "PASS").otherwise("FAIL")
+
+
+def question_set(modules: DataFrame, features: DataFrame, most: int = 8) -> DataFrame:
+    """(pos, question): one of the whole, of the first four features, and of the first three modules; ``modules`` and ``features`` are (pos, name)."""
+    spark = modules.sparkSession
+    first = spark.createDataFrame([(0, 0, "What are the main modules, and how do they relate?")], "part int, pos int, question string")
+    of = lambda df, part, n, text: df.orderBy("pos").limit(n).select(F.lit(part).alias("part"), F.col("pos").cast("int").alias("pos"), text.alias("question"))
+    rows = first.unionByName(of(features, 1, 4, F.concat(F.lit("How does "), "name", F.lit(" work, and which modules does it cross?"))))
+    rows = rows.unionByName(of(modules, 2, 3, F.concat(F.lit("What is "), "name", F.lit(" responsible for?"))))
+    return rows.orderBy("part", "pos").limit(most).select(F.row_number().over(Window.orderBy("part", "pos")).alias("pos"), "question")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions.paths import parent_prefix
-from tessera.operators.incremental import push_paths
+from tessera.operators import extract
+from tessera.operators.incremental import latest_per_key, push_paths
 from tessera.operators.ownership import HALF_LIFE_DAYS, age_days
 from tessera.sources.scratch import Scratch
 
@@ -65,3 +67,101 @@ def latest_state(events: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Newest event of each key, as a running aggregate."""
     rest = [c for c in events.columns if c not in keys]
     return events.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("s")).select(*keys, "s.*")
+
+
+# -- deliveries ---------------------------------------------------------------------------------------------------------
+
+# Deliveries that are handled.
+EVENTS = ("installation", "installation_repositories", "push", "pull_request", "pull_request_review")
+
+
+def hmac_sha256(body: Column, secret: str) -> Column:
+    """Lower-case hex HMAC of a text, with built-in functions only."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(body, "UTF-8")), 256))), 256)
+
+
+def verified(deliveries: DataFrame, secret: str | None) -> DataFrame:
+    """Deliveries (event, signature, body) whose ``sha256=...`` signature holds; all of them without a secret."""
+    return deliveries.where(F.coalesce(F.lower("signature"), F.lit("")) == F.concat(F.lit("sha256="), hmac_sha256(F.col("body"), secret))) if secret else deliveries
+
+
+def route_deliveries(deliveries: DataFrame, handlers: dict[str, Callable[[DataFrame], None]], secret: str | None = None) -> dict[str, int]:
+    """Hand each kind of verified delivery to its handler; deliveries of other kinds are accepted and left. Returns rows by kind."""
+    good = verified(deliveries, secret).where(F.col("event").isin(*EVENTS)).dropDuplicates(["delivery_id"])
+    counts = {r[0]: r[1] for r in good.groupBy("event").count().collect()}
+    for event, handle in handlers.items():
+        if counts.get(event):
+            handle(good.where(F.col("event") == event))
+    return counts
+
+
+def delivery_stream(spark: SparkSession, folder: str, handlers: dict[str, Callable[[DataFrame], None]], checkpoint: str, secret: str | None = None) -> StreamingQuery:
+    """Deliveries as JSON files, verified and routed batch by batch."""
+    rows = spark.readStream.schema("delivery_id string, event string, signature string, body string, received_at timestamp").json(folder)
+    once = rows.withWatermark("received_at", "1 hour").dropDuplicatesWithinWatermark(["delivery_id"])
+    return once.writeStream.foreachBatch(lambda batch, n: route_deliveries(batch, handlers, secret) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def review_sink(spark: SparkSession, reviews: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Reviews (repo_id, pr_id, head_sha, ..., created_at) merged by (repo_id, pr_id, head_sha): a batch that runs again leaves the same rows, the newest of each."""
+
+    def merge(batch: DataFrame, n: int) -> None:
+        current = _current(spark, folder)
+        if current >= n:  # a batch that was merged before
+            return
+        old = spark.read.parquet(f"{folder}/{current}") if current >= 0 else batch.limit(0)
+        latest_per_key(old.unionByName(batch, allowMissingColumns=True), ["repo_id", "pr_id", "head_sha"], [F.desc("created_at")]).write.mode("overwrite").parquet(f"{folder}/{n}")
+
+    return reviews.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _current(spark: SparkSession, folder: str) -> int:
+    """Number of the last whole version (Spark marks it) under a folder; -1 before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return -1
+    whole = [int(x.getPath().getName()) for x in fs.listStatus(path) if x.getPath().getName().isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+    return max(whole, default=-1)
+
+
+def current_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{_current(spark, folder)}")
+
+
+def dismiss_latest(reviews: DataFrame, dismissed: DataFrame) -> DataFrame:
+    """Reviews with ``dismissed`` set on the newest of each (repo_id, pr_id) that a dismissal names."""
+    newest = reviews.groupBy("repo_id", "pr_id").agg(F.max(F.struct("created_at", "head_sha")).alias("m")).join(dismissed.select("repo_id", "pr_id").distinct(), ["repo_id", "pr_id"])
+    hit = newest.select("repo_id", "pr_id", F.col("m.head_sha").alias("head_sha"), F.lit(True).alias("hit"))
+    met = reviews.join(hit, ["repo_id", "pr_id", "head_sha"], "left")
+    return met.withColumn("dismissed", F.coalesce("dismissed", F.lit(False)) | F.coalesce("hit", F.lit(False))).drop("hit")
+
+
+# -- incremental sync ---------------------------------------------------------------------------------------------------
+
+
+def sync_files(files: DataFrame, changed: DataFrame, symbols: DataFrame, edges: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
+    """The graph and chunks after a push: only changed files (path) are parsed and chunked again; edges from them, and edges into symbols that are gone, are linked again.
+
+    From FULL_FROM changed paths on, everything is built anew. ``files`` is the tree
+    after the push; a changed path that isn't there was deleted.
+    """
+    if changed.select("path").distinct().limit(FULL_FROM).count() >= FULL_FROM:
+        new_symbols, new_edges = extract.repository_graph(files)
+        return {"symbols": new_symbols, "edges": new_edges, "chunks": extract.chunk_files(files, new_symbols)}
+    paths = F.broadcast(changed.select("path").distinct())
+    touched = files.join(paths, "path", "left_semi")
+    fresh = extract.extract_symbols(touched).withColumn("symbol_id", extract.symbol_id())
+    kept = symbols.join(paths, "path", "left_anti")
+    every = kept.unionByName(fresh.select(*kept.columns))
+    # Files that call into a changed one may point to symbols that moved.
+    moved = symbols.join(paths, "path", "left_semi").select(F.col("symbol_id").alias("dst_id"))
+    callers = edges.join(moved, "dst_id", "left_semi").select("path").where("path is not null")
+    importers = edges.where("kind = 'imports'").join(changed.select(F.col("path").alias("dst_name")), "dst_name", "left_semi").select("path")
+    again = paths.unionByName(callers).unionByName(importers).distinct()
+    linked = extract.link_files(files.join(F.broadcast(again), "path", "left_semi"), files, every)
+    old = edges.join(again, "path", "left_anti")
+    return {"symbols": every, "edges": old.unionByName(linked), "chunks": chunks.join(paths, "path", "left_anti").unionByName(extract.chunk_files(touched, fresh).select(*chunks.columns))}

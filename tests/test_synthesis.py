@@ -95,9 +95,46 @@ def test_pages_and_gate(spark):
     ends = spark.createDataFrame([("GET", "/x", "a.py")], "method string, route string, file_path string")
     plan = spark.createDataFrame([("api", True), ("execution_flows", False)], "key string, enabled boolean")
     pages = s.assemble_pages(spark.createDataFrame([("Hello",)], "body string"), modules, feats, ends, plan)
-    assert [r[0] for r in rows(pages, "slug")] == ["api", "architecture", "module-auth", "module-billing", "overview"]
+    assert [r[0] for r in rows(pages, "slug")] == ["api", "architecture", "diagram/architecture", "module-auth", "module-billing", "overview"]
+    more = spark.createDataFrame([(k, True) for k in ("data", "security", "testing", "deploy", "public_api", "execution_flows")], "key string, enabled boolean")
+    guarded = ends.withColumn("auth_hint", F.lit("session"))
+    every = {r["slug"]: r for r in s.assemble_pages(spark.createDataFrame([("Hello",)], "body string"), modules, feats, guarded, more, "a library").collect()}
+    assert set(every) == {"architecture", "data", "deploy", "diagram/architecture", "feature-login", "module-auth", "module-billing", "overview", "public-api", "security", "testing"}
+    assert every["security"]["body"] == "GET /x" and every["data"]["body"] == "No data facts were found." and every["public-api"]["body"].endswith("profile is a library.")
     checks = s.validate_pages(pages, spark.createDataFrame([("a.py",)], "path string"), spark.createDataFrame([("module:m1",), ("module:m2",)], "ref string"))
-    assert rows(checks.where("not ok"), "slug", "ref") == [("module-auth", "gone.py")]
+    assert rows(checks.where("not ok"), "slug", "ref") == [("architecture", "gone.py"), ("module-auth", "gone.py"), ("overview", "gone.py")]
+
+
+def test_narrative_of_facts(spark):
+    facts = spark.createDataFrame([(["Python", "TypeScript"], ["FastAPI"])], "languages array<string>, frameworks array<string>")
+    folders = spark.createDataFrame([(1, "apps/api"), (2, "tests"), (3, "packages/core"), (4, "apps/api/routes")], "pos int, folder string")
+    ends = spark.createDataFrame([(1, "GET", "/x")], "pos int, method string, route string")
+    none = spark.createDataFrame([], "name string")
+    got = s.narrative(facts, folders, ends, none)
+    assert rows(got["summary"]) == [("This is a Python / TypeScript repository using FastAPI.",)]
+    assert [r["name"] for r in got["domains"].collect()] == ["API", "Core", "API routes"] and [r["layer"] for r in got["layers"].collect()] == ["api", "lib"]
+    assert [r["question"] for r in got["questions"].collect()][2:] == ["How does a request get handled?", "What does GET /x do?", "If I change a central module, what breaks?"]
+    assert s.component_of(" api:Billing ") == ("api", "Billing") and s.component_of("api") == ("api", None) == s.component_of("api:")
+
+
+def test_profiles_of_repositories(spark):
+    facts = spark.createDataFrame(
+        [(1, 1, 0, 0, 0, 1, 0, 1, [], 3), (2, 0, 0, 0, 3, 0, 0, 1, [], 3), (3, 0, 0, 1, 0, 0, 0, 1, [], 2), (4, 0, 0, 0, 0, 0, 0, 1, ["prompts"], 2), (5, 0, 0, 0, 0, 0, 0, 1, [], 2), (6, 0, 0, 0, 0, 0, 0, 0, [], 0), (7, 0, 1, 0, 0, 0, 0, 1, [], 2), (8, 0, 0, 0, 0, 0, 3, 0, [], 3)],
+        "repo_id int, http_entries int, page_entries int, worker_entries int, scripts int, endpoints int, infra_files int, manifests int, areas array<string>, files int",
+    )
+    packages = spark.createDataFrame([(1, "FastAPI", True), (1, "sqlalchemy-utils", True), (2, "click", True), (3, "celery", True), (4, "langchain/tools", False), (7, "next", True), (7, "react-dom", True), (4, "my/langchain", False)], "repo_id int, package string, declared boolean")
+    frames = profile.package_frameworks(packages)
+    assert ("SQLAlchemy", True) in rows(frames.where("repo_id = 1"), "name", "declared")
+    none = spark.createDataFrame([(4, "OpenAI", "llm")], "repo_id int, name string, kind string")
+    got = {r["repo_id"]: r for r in profile.repository_profile(facts, frames, none).collect()}
+    assert {k: r["style"] for k, r in got.items()} == {1: "backend_api", 2: "cli", 3: "event_driven", 4: "ml_system", 5: "library", 6: "unknown", 7: "frontend", 8: "infra"}
+    assert got[1]["analyzers"] == ["http", "db"] and got[2]["analyzers"] == ["cli"] and got[3]["analyzers"] == ["db", "worker", "event"] and "ai" in got[4]["analyzers"]
+    assert got[5]["analyzers"] == [] and got[6]["analyzers"] == list(profile.ANALYZERS) and got[8]["analyzers"] == ["docker", "ci"] and got[7]["analyzers"] == ["http", "ui"]
+    files = spark.createDataFrame([(1, "apps/api/main.py", "x"), (1, "apps/web/a.tsx", "@tool"), (1, "Dockerfile", ""), (1, ".github/workflows/c.yml", ""), (1, "prompts/__init__.py", None)], "repo_id int, path string, text string")
+    f = profile.file_facts(files).collect()[0]
+    assert (f["api_folders"], f["web_folders"], f["python_files"], f["script_files"], f["tools"], f["infra_files"], f["ci_files"], f["files"], f["exports"], f["areas"]) == (1, 1, 2, 1, 1, 1, 1, 5, 1, ["prompts"])
+    entries = spark.createDataFrame([(1, "app/api/route.ts", "http_app"), (1, "main.py", "http_app")], "repo_id int, path string, kind string")
+    assert rows(profile.entry_facts(entries), "http_entries", "next_entries") == [(1, 1)]
 
 
 def test_narrative_and_grounding(spark):
