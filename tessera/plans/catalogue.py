@@ -7,6 +7,8 @@ start from the same rows.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 from typing import Any
 
@@ -22,6 +24,7 @@ from tessera.streaming import maintenance
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 AS_OF = "2024-02-01 00:00:00"
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 ADAPTERS = {
     "commit_files": """select concat(event_type, '/', cast(floor(k / 10.0) as int), '/f', k, '.py') as path, user_id as author_id, cast(floor(value) as bigint) as additions, 0 as deletions, ts as committed_at, event_id as sha
@@ -43,12 +46,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in ADAPTERS:
         return table(spark, sf_dir, name)
     sql = ADAPTERS[name]
-    used = {t: table(spark, sf_dir, t) for t in ("events", "part", "lineitem", "benchmark", "conversations") if f" {t}" in sql}
-    for t in used:
-        sql = sql.replace(f" {t} ", f" {{{t}}} ").replace(f" {t})", f" {{{t}}})")
-        if sql.endswith(f" {t}"):
-            sql = sql[: -len(t)] + f"{{{t}}}"
-    return spark.sql(sql, **used)
+    for t in TABLES:
+        if re.search(rf"\b(from|join) {t}\b", sql):
+            temporary = f"adapted_{t}_{zlib.crc32(sf_dir.encode())}"
+            table(spark, sf_dir, t).createOrReplaceTempView(temporary)
+            sql = re.sub(rf"\b(from|join) {t}\b", rf"\1 {temporary}", sql)
+    return spark.sql(sql)
 
 
 def query(oracle: str | None = None, **named: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
