@@ -14,12 +14,17 @@ one chunk at a time.
 
 Defined results: turns go by turn number, null last, ties by role and text; role
 names are trimmed and lower-cased, and any other or null role is relabelled at
-less cost; null text is empty; null conv_id is one conversation; repeated rows
-are turns of their own; an empty table gives an empty table.
+less cost; null text is empty; what looks like a delimiter in a text gets a
+backslash behind its angle bracket (``unescape`` takes it away); null conv_id is one
+conversation, other ids are integers; repeated rows are turns of their own; a very
+long text is one turn; an empty table gives an empty table; other columns are
+ignored, whatever their names. Of repairs that cost the same the choice follows from
+the turns and from where chunks end (every CHUNK turn numbers), not from partitions.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -42,6 +47,16 @@ FAR = 1 << 40
 CHUNK = 4096
 NAMES = ("", *ROLES)
 Step = tuple[int, str, tuple[int, ...], int]
+_DELIMITER = re.compile(r"<(\\*)\|")
+
+
+def escape(text: str) -> str:
+    """Text in which no delimiter can begin."""
+    return _DELIMITER.sub(r"<\\\1|", text)
+
+
+def unescape(text: str) -> str:
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
 
 @cache
@@ -225,7 +240,7 @@ def repair_roles(turns: DataFrame) -> DataFrame:
         def add(turn: int | None, role_in: str | None, action: str, to: int, cost: int, text: str) -> None:
             nonlocal state
             lead = "\n" if action == "merge" else ("<|end|>\n" if state != BEGIN else "") + f"<|{NAMES[to]}|>\n"
-            out.append((conv_id, chunk, len(out), turn, role_in, action, NAMES[to], cost, lead + text))
+            out.append((conv_id, chunk, len(out), turn, role_in, action, NAMES[to], cost, lead + escape(text)))
             state = to
 
         for r, (cost, action, path, to) in zip(run, found, strict=True):

@@ -9,9 +9,12 @@ logistic. The evidence of a text counts in proportion to words / (words + SHORT)
 so that a handful of words is left near the prior.
 
 Defined results: null or empty text has the statistics of zero words and gets a
-score like any other; a label row without a document or without a quality is
-passed over; several labels of one id count as their mean, 1 from one half on;
-with one class only, every score is that class; repeated rows score alike.
+score like any other; ids are integers, a null id is scored and never learned from;
+a label row without a document or without a quality is passed over; several labels
+of one id count as their mean, 1 from one half on; with one class only, every score
+is that class; repeated rows score alike; a very long text has statistics of all of
+its words; an empty table gives no rows, and without labels every score is one half;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ FEATURES = (
     "lines", "line_length", "shouted", "symbol_words", "repeat_next", "distinct", "top_share", "short_words", "space", "ended",
 )
 SHORT = 60.0
+#: Labelled documents learned from where the sample is bounded (16 bytes each are broadcast).
+MOST_LABELS = 200_000
 _CLASS = {name: np.zeros(256, np.float64) for name in ("upper", "lower", "digit", "mark", "symbol", "pipe", "other", "space", "line", "high")}
 _CLASS["upper"][65:91] = _CLASS["lower"][97:123] = _CLASS["digit"][48:58] = _CLASS["high"][192:] = 1
 _CLASS["mark"][list(b"!?")] = _CLASS["symbol"][list(b"*$%&#@^~=+<>")] = _CLASS["pipe"][list(b"|")] = _CLASS["line"][10] = 1
@@ -86,10 +91,10 @@ assert len(FEATURES) == 21 and LOWER[65] == 97
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Per class: mean, inverse Cholesky factor, log prior less half the log determinant."""
+    """Per class: mean, Cholesky factor of the covariance, log prior less half the log determinant."""
 
     mean: np.ndarray
-    whiten: np.ndarray
+    factor: np.ndarray
     offset: np.ndarray
     temper: float
     prior: float
@@ -97,9 +102,9 @@ class Discriminant:
     def score(self, x: np.ndarray) -> np.ndarray:
         """Tempered probability of class 1."""
         density = []
-        for mean, whiten, offset in zip(self.mean, self.whiten, self.offset, strict=True):
-            z = (x - mean) @ whiten.T
-            density.append(offset - 0.5 * np.einsum("ij,ij->i", z, z))
+        for mean, factor, offset in zip(self.mean, self.factor, self.offset, strict=True):
+            z = np.linalg.solve(factor, (x - mean).T)
+            density.append(offset - 0.5 * np.einsum("ij,ij->j", z, z))
         with np.errstate(invalid="ignore"):
             gap = np.nan_to_num((density[1] - density[0] - self.prior) / self.temper, nan=0.0, posinf=1e6, neginf=-1e6)
         count = np.expm1(x[:, 1])
@@ -114,7 +119,7 @@ def solve(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrink: floa
     centre = {c: (s / n if n else np.zeros(d)) for c, (n, s, _) in moments.items()}
     scatter = {c: (ss - n * np.outer(centre[c], centre[c]) if n else np.zeros((d, d))) for c, (n, _, ss) in moments.items()}
     pooled = sum(scatter.values()) / max(total - 2, 1)
-    mean, whiten, offset = [], [], []
+    mean, factors, offset = [], [], []
     for c in (0, 1):
         n = moments[c][0]
         own = scatter[c] / max(n - 1, 1)
@@ -123,10 +128,10 @@ def solve(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrink: floa
         cov = (1 - ridge) * cov + (ridge * np.trace(cov) / d + 1e-6) * np.eye(d)
         factor = np.linalg.cholesky((cov + cov.T) / 2)
         mean.append(centre[c])
-        whiten.append(np.linalg.inv(factor))
+        factors.append(factor)
         offset.append((np.log(n / total) if n else -np.inf) - np.log(np.diag(factor)).sum() if total else 0.0)
     prior = float(np.log((moments[1][0] + 1) / (moments[0][0] + 1)))
-    return Discriminant(np.array(mean), np.array(whiten), np.array(offset), temper, prior)
+    return Discriminant(np.array(mean), np.array(factors), np.array(offset), temper, prior)
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
@@ -168,10 +173,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of labels that aren't held out."""
+    return labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+
+
 def fit(stats: DataFrame, labels: DataFrame) -> Discriminant:
     """Learn from labelled rows of ``stats`` that aren't held out."""
-    y = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    return solve(moments_of(stats.join(y, "doc_id").select("y", "x")))
+    return solve(moments_of(stats.join(learnable(labels), "doc_id").select("y", "x")))
+
+
+def fit_texts(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Discriminant:
+    """Learn from the texts of at most ``most`` labelled documents (those of least id hash), without statistics of the others."""
+    y = learnable(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text"):
+            x = statistics(b.column("text"))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("y"), flat], ["y", "x"])
+
+    return solve(moments_of(rows.select("y", F.col("text").cast("string").alias("text")).mapInArrow(run, "y int, x array<double>")))
 
 
 def score_statistics(stats: DataFrame, model: Discriminant, threshold: float = 0.7) -> DataFrame:

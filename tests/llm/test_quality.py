@@ -35,7 +35,7 @@ def test_held_out_labels_change_nothing(spark):
     stats = quality.document_statistics(docs)
     wrong = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = quality.fit(stats, labels), quality.fit(stats, wrong)
-    assert np.allclose(a.mean, b.mean) and np.allclose(a.whiten, b.whiten)
+    assert np.allclose(a.mean, b.mean) and np.allclose(a.factor, b.factor)
 
 
 def test_moments_are_those_of_numpy(spark):
@@ -66,3 +66,32 @@ def test_edge_rows_and_empty_labels(spark, edge, edge_rows, none):
         kept = edge.withColumn("q", quality.quality_score(model, F.col("text")))
         assert kept.where("q is null or q < 0 or q > 1").count() == 0 and kept.count() == len(edge_rows)
     assert quality.document_statistics(none).count() == 0
+
+
+def test_scores_against_a_plain_density():
+    """Shrunken covariances, their inverse and determinant, and the two densities, each written out."""
+    r = np.random.default_rng(7)
+    d = len(quality.FEATURES)
+    x = {0: r.normal(0, 1, (300, d)) @ r.normal(0, 1, (d, d)), 1: r.normal(0.5, 1, (500, d)) @ r.normal(0, 0.5, (d, d))}
+    moments = {c: (float(len(v)), v.sum(0), v.T @ v) for c, v in x.items()}
+    model = quality.solve(moments, shrink=0.2, ridge=0.01)
+    pooled = sum((v - v.mean(0)).T @ (v - v.mean(0)) for v in x.values()) / (800 - 2)
+    test = np.abs(r.normal(0, 1, (40, d)))
+    logs = []
+    for c in (0, 1):
+        cov = 0.8 * np.cov(x[c].T) + 0.2 * pooled
+        cov = 0.99 * cov + (0.01 * np.trace(cov) / d + 1e-6) * np.eye(d)
+        gap = test - x[c].mean(0)
+        logs.append([np.log(len(x[c]) / 800) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * g @ np.linalg.inv(cov) @ g for g in gap])
+    prior = np.log(501 / 301)
+    words = np.expm1(test[:, 1])
+    want = 1 / (1 + np.exp(-np.clip(prior + (np.array(logs[1]) - np.array(logs[0]) - prior) / 4 * words / (words + quality.SHORT), -40, 40)))
+    assert np.allclose(model.score(test), want, atol=1e-6)
+
+
+def test_fit_of_texts_is_the_fit_of_statistics(spark, edge):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10, 80)] + [(None, 1, 0), (5000, 1, 0)], "doc_id long, quality int, toxic int")
+    a, b = quality.fit(quality.document_statistics(edge), labels), quality.fit_texts(edge, labels)
+    assert np.allclose(a.mean, b.mean) and np.allclose(a.factor, b.factor)
+    few = quality.fit_texts(edge, labels, most=5)
+    assert not np.allclose(few.mean, b.mean)
