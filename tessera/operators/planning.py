@@ -146,18 +146,6 @@ def publish_gate(checks: DataFrame) -> DataFrame:
     return checks.agg(F.count("*").alias("checks"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.bool_and("ok"), F.lit(True)).alias("publish"))
 
 
-def parent_summaries(leaves: DataFrame, tree: DataFrame, scratch, passes: int = 4) -> DataFrame:
-    """(id, summary): children's names under each parent, bottom up, at most ``passes`` levels."""
-    known = leaves
-    for i in range(passes):
-        up = tree.join(known, tree["id"] == known["id"]).groupBy(F.col("parent").alias("id")).agg(F.concat(F.lit("Groups "), F.array_join(F.array_sort(F.collect_set(known["id"])), ", "), F.lit(".")).alias("summary"))
-        new = up.where("id is not null").join(known.select("id"), "id", "left_anti")
-        if new.isEmpty():
-            break
-        known = scratch.table(known.unionByName(new), f"summaries-{i}")
-    return known
-
-
 def staleness(found: DataFrame, stored: DataFrame) -> DataFrame:
     """Targets whose content hash is not the stored one."""
     met = found.join(stored.select("target", F.col("content_sha").alias("old")), "target", "left")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions import paths, text
 from tessera.functions.vectors import hash_embed
 from tessera.operators import evaluation, extract, graph, incremental, ownership, planning, profile, retrieval, review, synthesis
+from tessera.sources.scratch import Scratch
 from tessera.sources.tables import table
 from tessera.streaming import maintenance
 
@@ -45,6 +46,18 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An adapter's rows, or a driver table."""
     if name not in ADAPTERS:
         return table(spark, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if name == "edges":  # a self-join that every graph query reads: written once a session
+        if key not in _EDGES:
+            _EDGES[key] = Scratch(spark, "edges").table(_adapted(spark, sf_dir, name), "edges")
+        return _EDGES[key]
+    return _adapted(spark, sf_dir, name)
+
+
+_EDGES: dict[tuple[str, str], DataFrame] = {}
+
+
+def _adapted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = ADAPTERS[name]
     for t in TABLES:
         if re.search(rf"\b(from|join) {t}\b", sql):

@@ -10,7 +10,7 @@ from pyspark.sql.functions import udtf
 
 from tessera.functions import paths
 from tessera.functions.vectors import hash_embed
-from tessera.operators import extract, graph, ownership, retrieval
+from tessera.operators import extract, graph, ownership, retrieval, synthesis
 from tessera.sources import tables
 
 TOOLS: dict[str, Callable[..., DataFrame]] = {
@@ -18,13 +18,17 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "read_file": tables.read_file,
     "glob": tables.glob_files,
     "grep": retrieval.grep,
-    "search_code": retrieval.hybrid,
+    "search_code": retrieval.retrieve,
     "find_symbol": retrieval.symbol_ladder,
     "git_log": ownership.git_log,
     "who_owns": ownership.who_owns,
-    "why_here": ownership.link_pull_requests,
+    "why_here": ownership.why_here,
     "analyze_impact": graph.blast_radius,
     "call_flow": graph.call_flow,
+    "query_flow": retrieval.flow_query,
+    "component_members": synthesis.component_members,
+    "list_pages": tables.list_pages,
+    "list_repositories": tables.list_repositories,
 }
 
 

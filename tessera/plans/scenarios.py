@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
-from tessera.operators import extract, graph, incremental, ownership, planning, profile, retrieval, review, synthesis
+from tessera.operators import extract, graph, incremental, ownership, planning, profile, retrieval, review, summaries, synthesis
 from tessera.plans.catalogue import ADAPTERS, AS_OF, CALLS, CATEGORY, DOMAIN, LAYER, LISTS, OWNED, _asked, _flow_sql, _lists, _owned, query, view
 from tessera.sources import tables
 
@@ -529,3 +529,48 @@ def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "symbols")
     return rows.agg(F.count_if(paths.is_embeddable(F.col("path")) & paths.is_scanned(F.col("path")) & ~paths.is_infra(F.col("path")) & ~paths.is_ci(F.col("path"))).alias("source"), F.count_if(F.col("path").startswith("jobs")).alias("jobs"))
+
+
+# -- summaries --------------------------------------------------------------------------------------------------------
+
+ATOMS = """atom as (select p_partkey as symbol_id, concat('f', p_size, '.py') as path, p_size as start_line, case p_partkey % 3 when 0 then concat(p_name, ' (function) in f', p_size, '.py: ', p_type) when 1 then concat(p_name, ' is a function in f', p_size, '.py, signature def ', p_brand, '.') else concat(p_name, ' is a function in f', p_size, '.py.') end as summary, case p_partkey % 3 when 0 then 0.62 when 1 then 0.5 else 0.4 end as confidence from part)"""
+
+
+def _atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "part").selectExpr(
+        "p_partkey as symbol_id", "p_name as name", "'function' as kind", "concat('f', p_size, '.py') as path", "p_size as start_line", "case p_partkey % 3 when 0 then concat('  ', p_type, '\\nmore') end as docstring", "case p_partkey % 3 when 2 then null else concat('def ', p_brand) end as signature"
+    )
+    return summaries.symbol_summaries(rows)
+
+
+@query(f"with {ATOMS} select symbol_id, summary, confidence::double as confidence from atom")
+def symbol_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _atoms(spark, sf_dir).select("symbol_id", "summary", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query(
+    f"""with {ATOMS}, leaf as (select p_size % 10 as id, list_sort(list(distinct concat('f', p_size, '.py'))) as files from part group by 1), held as (select l.id, a.path, a.start_line, rtrim(a.summary, '.') as line from leaf l join atom a on list_contains(l.files, a.path)),
+    r as (select *, row_number() over (partition by id order by path, start_line, line) as n from held), m as (select id, string_agg(line, '; ' order by n) as members from r where n <= 3 group by 1)
+    select l.id, concat('M', l.id, ' covers ', array_to_string(l.files[1:4], ', '), '.', case when l.id % 2 = 0 then concat(' Cohesion ', printf('%.2f', l.id / 10.0), ', coupling 0.25. Members: ', m.members, '.') else '' end) as summary from leaf l join m on l.id = m.id"""
+)
+def leaf_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = view(spark, sf_dir, "part").groupBy((F.col("p_size") % 10).alias("id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("f"), "p_size", F.lit(".py")))).alias("files"))
+    leaves = leaves.selectExpr("id", "concat('M', id) as name", "files", "id / 10.0D as cohesion", "0.25D as coupling", "id % 2 = 0 as deep")
+    return summaries.leaf_summaries(leaves, _atoms(spark, sf_dir))
+
+
+@query(
+    """with n as (select n_regionkey, string_agg(concat(n_name, ' (', n_name, ' sells)'), '; ' order by concat('n', n_nationkey)) as bits from nation group by 1), r as (select concat('r', r_regionkey) as id, concat(r_name, ' brings together ', bits, '.') as summary, concat(r_name, ' (', r_name, ' brings together ', bits, ')') as bit from region join n on r_regionkey = n_regionkey)
+    select id, summary from r union all select 'world', concat('World brings together ', string_agg(bit, '; ' order by id), '.') from r union all select concat('n', n_nationkey), concat(n_name, ' sells. More.') from nation"""
+)
+def parent_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = view(spark, sf_dir, "nation").selectExpr("concat('n', n_nationkey) as id", "concat('r', n_regionkey) as parent_id", "n_name as name")
+    regions = view(spark, sf_dir, "region").selectExpr("concat('r', r_regionkey) as id", "'world' as parent_id", "r_name as name")
+    world = spark.createDataFrame([("world", None, "World")], "id string, parent_id string, name string")
+    return summaries.parent_summaries(nations.unionByName(regions).unionByName(world), nations.select("id", F.concat("name", F.lit(" sells. More.")).alias("summary")))
+
+
+@query("with t as (select conv_id, turn, regexp_extract_all(text, '[A-Za-z0-9_./-]+/[A-Za-z0-9_.-]+[.][A-Za-z0-9_]+') as p from (select conv_id, turn, concat('see src/f', conv_id % 30, '.py and x/src/f', turn, '.py or f/no.py') as text from conversations) c), a as (select distinct conv_id * 1000 + turn as id, unnest(p) as path from t), k as (select distinct concat('src/f', p_size % 20, '.py') as f from part) select id, path from a where not exists (select 1 from k where k.f = a.path or a.path like concat('%/', k.f) or k.f like concat('%/', a.path))")
+def ungrounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = view(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn as id", "concat('see src/f', conv_id % 30, '.py and x/src/f', turn, '.py or f/no.py') as text")
+    return synthesis.ungrounded_paths(texts, view(spark, sf_dir, "part").selectExpr("concat('src/f', p_size % 20, '.py') as path"))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import profile
+from tessera.operators import planning, profile
 from tessera.operators import synthesis as s
 
 
@@ -144,3 +144,22 @@ def test_narrative_and_grounding(spark):
     assert rows(s.ungrounded_paths(texts, spark.createDataFrame([("src/a.py",)], "path string"))) == [("src/b.py", 1)]
     member = spark.createDataFrame([("apps/x/a.py", "1"), ("apps/x/b.py", "1"), ("apps/y/c.py", "2"), ("lib/d.py", "2")], "id string, cluster string")
     assert rows(s.boundary(member)) == [("1", "apps/x"), ("2", None)]
+
+
+def test_summaries(spark):
+    from tessera.operators import summaries
+
+    hops = spark.createDataFrame([("f", 1, "a", "b", 0.9), ("f", 2, "b", "c", 0.3)], "id string, step int, src string, dst string, confidence double")
+    feats = spark.createDataFrame([("f", "Login", "a.py", ["Core", "Web"], "calls"), ("g", "Lone", None, [], "calls")], "id string, name string, entry_file string, modules array<string>, resolution string")
+    got = dict(rows(summaries.feature_summaries(feats, hops)))
+    assert got["f"] == "Login starts in a.py. Confirmed steps (calls): a → b. Inferred steps: b → c. Touches Core, Web."
+    assert got["g"] == "Lone starts. Confirmed steps (calls): none. Inferred steps: none. Touches no other module."
+    kids = spark.createDataFrame([(1, "Core", "Does it. Well."), (2, "Web", None)], "pos int, name string, summary string")
+    named = spark.createDataFrame([(1, "Login")], "pos int, name string")
+    assert rows(summaries.overview_summary(kids, named, "library")) == [("This library is explained from its modules — Core: Does it; Web. Cross-cutting features: Login.",)]
+    assert rows(summaries.overview_summary(kids.where("false"), named.where("false"), "cli")) == [("This cli does not have responsibility modules yet.",)]
+    found = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "target string, content_sha string")
+    stored = spark.createDataFrame([("a", "1", "x"), ("b", "2", "x"), ("c", "1", " ")], "target string, content_sha string, summary string")
+    assert rows(summaries.unchanged(found, stored)) == [("a", "1")]
+    q = planning.question_set(spark.createDataFrame([(1, "A"), (2, "B"), (3, "C"), (4, "D")], "pos int, name string"), named)
+    assert [r["question"] for r in q.orderBy("pos").collect()][1:] == ["How does Login work, and which modules does it cross?", "What is A responsible for?", "What is B responsible for?", "What is C responsible for?"]
