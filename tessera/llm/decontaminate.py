@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.hashstore import Recent, load, save
+from tessera.llm.hashstore import Recent, save
 from tessera.llm.textkit import LOWER, SPACE, blocks, utf8
 from tessera.sources.scratch import Scratch
 
@@ -334,7 +334,7 @@ class Items:
 
     def __iter__(self) -> Iterator[Index]:
         for b in self.blocks:
-            yield Index(**{f.name: _KEPT.get(f"{self.uri}/{b:06d}.{f.name}.npy", load) for f in fields(Index)})
+            yield Index(**_KEPT.get(f"{self.uri}/{b:06d}").by_name)
 
 
 def index_items(benchmark: DataFrame) -> Items:
@@ -351,8 +351,7 @@ def index_items(benchmark: DataFrame) -> Items:
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 index = Index.of([h[1:] for h in held])
-                for f in fields(Index):
-                    save(f"{uri}/{held[0][0]:06d}.{f.name}.npy", getattr(index, f.name))
+                save(f"{uri}/{held[0][0]:06d}", **{f.name: getattr(index, f.name) for f in fields(Index)})
                 yield pa.RecordBatch.from_pydict({"block": pa.array([held[0][0]], pa.int32())})
                 held.clear()
 

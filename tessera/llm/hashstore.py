@@ -1,17 +1,20 @@
 """Sorted hash arrays in the shared folder, memory-mapped by workers.
 
-A store is cut by key range into parts. Each part is a sorted ``uint64`` key
-array and one value array a column. Parts are written by Spark tasks under a
+A store is cut by key range into parts. Each part is one file of a sorted ``uint64``
+key array and one value array a column. Parts are written by Spark tasks under a
 temporary name and renamed, so a repeated task leaves the same file. On a local
-or mounted folder workers map the arrays; elsewhere they read an array when it is
+or mounted folder workers map the files; elsewhere they read a file when it is
 needed and keep what was used last, up to a fixed number of bytes.
 """
 
 from __future__ import annotations
 
-import io
+import json
 import math
+import mmap
 import os
+import struct
+import time
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 _OPEN: dict[str, HashStore] = {}
 #: Keys of a part, which one task sorts and writes.
 PART_ROWS = 4_000_000
+#: Arrays of a file begin at multiples of this; seconds after which an unused file is closed.
+ALIGN, IDLE = 64, 30.0
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -37,15 +42,18 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def save(uri: str, array: np.ndarray) -> None:
-    """Write one array whole, then give it its name."""
+def save(uri: str, **arrays: np.ndarray) -> None:
+    """Write arrays one behind the other as one file, then give it its name: their number, then of each its name, type and length, then their bytes."""
     system, path = _place(uri)
     system.create_dir(os.path.dirname(path), recursive=True)
-    buffer = io.BytesIO()
-    np.save(buffer, array)
+    head = json.dumps([(k, v.dtype.str, v.shape) for k, v in arrays.items()]).encode()
+    head = struct.pack("<q", len(head)) + head
     temporary = f"{path}.{uuid.uuid4().hex}"
     with system.open_output_stream(temporary) as out:
-        out.write(buffer.getbuffer())
+        out.write(head.ljust(-(-len(head) // ALIGN) * ALIGN, b"\0"))
+        for v in arrays.values():
+            out.write(np.ascontiguousarray(v).data.cast("B") if v.size else b"")
+            out.write(b"\0" * (-v.nbytes % ALIGN))
     try:
         system.move(temporary, path)
     except OSError:  # a copy of this task was first, with the same bytes
@@ -54,37 +62,59 @@ def save(uri: str, array: np.ndarray) -> None:
         system.delete_file(temporary)
 
 
-def load(uri: str) -> np.ndarray | None:
-    """A written array, mapped where the folder is mounted; None if there is none."""
+def load(uri: str) -> Arrays | None:
+    """A written file's arrays, mapped where the folder is mounted; None if there is none."""
     system, path = _place(uri)
     if system.get_file_info(path).type == fs.FileType.NotFound:
         return None
-    if isinstance(system, fs.LocalFileSystem):
-        return np.load(path, mmap_mode="r")
-    with system.open_input_file(path) as f:
-        return np.load(io.BytesIO(f.read()))
+    if mapped := isinstance(system, fs.LocalFileSystem):
+        with open(path, "rb") as f:
+            raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    else:
+        with system.open_input_file(path) as f:
+            raw = f.read()
+    (size,) = struct.unpack_from("<q", raw)
+    at, out = -(-(8 + size) // ALIGN) * ALIGN, {}
+    for name, kind, shape in json.loads(raw[8 : 8 + size]):
+        count = math.prod(shape)
+        out[name] = np.frombuffer(raw, kind, count, at).reshape(shape)
+        at += -(-out[name].nbytes // ALIGN) * ALIGN
+    return Arrays(out, 0 if mapped else len(raw))
+
+
+@dataclass(frozen=True)
+class Arrays:
+    """A file's arrays by name, and the bytes they hold in memory of their own."""
+
+    by_name: dict[str, np.ndarray]
+    held: int
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.by_name[name]
 
 
 class Recent:
-    """Arrays a worker has opened: the least recently used go beyond ``files`` arrays, or ``most`` bytes of those that aren't mapped."""
+    """Files a worker has opened. Those not used for IDLE seconds go when another is opened, and the least recently used go beyond ``files``, or ``most`` bytes of what isn't mapped."""
 
-    def __init__(self, most: int = 256 << 20, files: int = 512) -> None:
+    def __init__(self, most: int = 256 << 20, files: int = 2048) -> None:
         self.most, self.files, self.held = most, files, 0
-        self._have: OrderedDict[str, np.ndarray | None] = OrderedDict()
-
-    @staticmethod
-    def _size(array: np.ndarray | None) -> int:
-        return 0 if array is None or isinstance(array, np.memmap) else array.nbytes
+        self._have: OrderedDict[str, Arrays | None] = OrderedDict()
+        self._used: dict[str, float] = {}
 
-    def get(self, uri: str, read: Callable[[str], np.ndarray | None]) -> np.ndarray | None:
+    def get(self, uri: str) -> Arrays | None:
+        now = time.monotonic()
         if uri in self._have:
             self._have.move_to_end(uri)
+            self._used[uri] = now
             return self._have[uri]
-        array = self._have[uri] = read(uri)
-        self.held += self._size(array)
-        while (self.held > self.most or len(self._have) > self.files) and len(self._have) > 1:
-            self.held -= self._size(self._have.popitem(last=False)[1])
-        return array
+        found = self._have[uri] = load(uri)
+        self._used[uri] = now
+        self.held += found.held if found else 0
+        while len(self._have) > 1 and (self.held > self.most or len(self._have) > self.files or now - self._used[next(iter(self._have))] > IDLE):
+            name, gone = self._have.popitem(last=False)
+            del self._used[name]
+            self.held -= gone.held if gone else 0
+        return found
 
 
 _ARRAYS = Recent()
@@ -103,9 +133,6 @@ class HashStore:
             _OPEN[uri] = HashStore(uri, parts, columns)
         return _OPEN[uri]
 
-    def _column(self, p: int, c: str) -> np.ndarray | None:
-        return _ARRAYS.get(f"{self.uri}/{p:06d}.{c}.npy", load)
-
     def lookup(self, keys: np.ndarray, route: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Whether each key is there, and its values (zero if not). Queries go part by part in key order, each distinct key once.
 
@@ -123,24 +150,23 @@ class HashStore:
         values = {c: np.zeros(len(distinct), np.int64) for c in self.columns}
         cut = np.searchsorted(part, np.arange(self.parts + 1))
         for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-            have = self._column(p, "key")
-            if have is None or not len(have):
+            part_arrays = _ARRAYS.get(f"{self.uri}/{p:06d}")
+            if part_arrays is None or not len(part_arrays["key"]):
                 continue
+            have = part_arrays["key"]
             ask = distinct[cut[p] : cut[p + 1]]
             at = np.minimum(np.searchsorted(have, ask), len(have) - 1)
             hit = np.asarray(have[at]) == ask
             found[cut[p] : cut[p + 1]] = hit
             for c in self.columns:
-                values[c][cut[p] : cut[p + 1]][hit] = self._column(p, c)[at[hit]]
+                values[c][cut[p] : cut[p + 1]][hit] = part_arrays[c][at[hit]]
         return found[back], {c: v[back] for c, v in values.items()}
 
 
 def write_part(uri: str, p: int, keys: np.ndarray, values: dict[str, np.ndarray]) -> None:
     """Write a part's arrays in key order; keys must be distinct."""
     order = np.argsort(keys)
-    save(f"{uri}/{p:06d}.key.npy", keys[order])
-    for c, v in values.items():
-        save(f"{uri}/{p:06d}.{c}.npy", v[order])
+    save(f"{uri}/{p:06d}", key=keys[order], **{c: v[order] for c, v in values.items()})
 
 
 @dataclass(frozen=True)

@@ -44,7 +44,7 @@ from tessera.sources.scratch import Scratch
 
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Bytes of text tokenised at once; a task folds that much into its distinct bigrams before it packs them.
-BLOCK, HELD = 2 << 20, 2_000_000
+BLOCK, HELD = 1 << 20, 1_000_000
 #: Bytes of text whose bigrams share a part; one task merges and sorts a part.
 PART_BYTES = 24 << 20
 
