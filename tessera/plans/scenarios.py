@@ -192,9 +192,9 @@ def architecture_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.architecture_nodes(view(spark, sf_dir, "symbols")).select(F.concat_ws(":", "layer", "domain").alias("id"), "symbol_count", "file_count")
 
 
-@query(f"select path, name, kind, start_line, end_line from symbols where {LAYER} = 'worker' and {DOMAIN} = 'Brand 11' order by path, start_line, name limit 30")
+@query(f"select path, name, kind, start_line, end_line from symbols where {LAYER} = 'worker' order by path, start_line, name limit 30")
 def component_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthesis.component_symbols(view(spark, sf_dir, "symbols"), *synthesis.component_of("worker:Brand 11"))
+    return synthesis.component_symbols(view(spark, sf_dir, "symbols"), *synthesis.component_of("worker"))
 
 
 def _relaxed(rounds: int) -> str:
