@@ -7,6 +7,8 @@ executors.
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -202,6 +204,22 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, max_nod
     return found.withColumn("rank", rank).where(F.col("rank") <= max_nodes).drop("rank").withColumn("min_confidence", F.round("min_confidence", 3))
 
 
+def recursive_reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 4) -> DataFrame:
+    """(seed, symbol_id, depth) of what reaches a seed, as one recursive query.
+
+    For graphs with few paths to a node, such as hierarchies: every path is walked up
+    to the depth, where ``blast_radius`` walks every node once.
+    """
+    spark, tag = edges.sparkSession, uuid.uuid4().hex
+    edges.where("src_id is not null and dst_id is not null").select("src_id", "dst_id").createOrReplaceTempView(f"edges_{tag}")
+    seeds.select("seed", "symbol_id").createOrReplaceTempView(f"seeds_{tag}")
+    return spark.sql(
+        f"""with recursive reach(seed, symbol_id, depth) as (select seed, symbol_id, 0 from seeds_{tag} union all
+        select r.seed, e.src_id, r.depth + 1 from reach r join edges_{tag} e on e.dst_id = r.symbol_id where r.depth < {int(max_depth)})
+        select r.seed, r.symbol_id, min(depth) as depth from reach r left anti join seeds_{tag} s on r.seed = s.seed and r.symbol_id = s.symbol_id group by 1, 2"""
+    )
+
+
 def component_impact(edges: DataFrame, members: DataFrame, max_depth: int = 4, max_nodes: int = 400) -> DataFrame:
     """What reaches any member (seed, symbol_id) of a component from outside of it."""
     return blast_radius(edges, members, max_depth, max_nodes)

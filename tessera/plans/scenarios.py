@@ -170,6 +170,12 @@ def patched_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.patch_edges(edges, changed, new).groupBy("src_path").agg(F.count("*").alias("n"), F.sum("dst").alias("dst"))
 
 
+@query("recursive with e as (select concat('c', c_custkey) as src, concat('n', c_nationkey) as dst from customer union all select concat('n', n_nationkey), concat('r', n_regionkey) from nation), reach(seed, symbol_id, depth) as (select concat('r', r_regionkey), concat('r', r_regionkey), 0 from region union select r.seed, e.src, r.depth + 1 from reach r join e on e.dst = r.symbol_id where r.depth < 4) select seed, symbol_id, min(depth) as depth from reach where symbol_id <> seed group by 1, 2")
+def recursive_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = view(spark, sf_dir, "customer").selectExpr("concat('c', c_custkey) as src_id", "concat('n', c_nationkey) as dst_id").unionByName(view(spark, sf_dir, "nation").selectExpr("concat('n', n_nationkey) as src_id", "concat('r', n_regionkey) as dst_id"))
+    return graph.recursive_reach(edges, view(spark, sf_dir, "region").selectExpr("concat('r', r_regionkey) as seed", "concat('r', r_regionkey) as symbol_id"))
+
+
 # -- rollups ----------------------------------------------------------------------------------------------------------
 
 
