@@ -154,9 +154,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
     cut = scratch.table(cut.select("k", "k0", "size", "slice", "source_size", "target", "whole", "pick", "n"), "cut")
 
     met = named(rows, "size", "slice", "mark", "row").join(cut, ["k", "k0", "size", "slice"])
-    # Rows of equal mark differ in columns besides id and text only; maps have no order and go as JSON.
+    # Rows of equal mark differ in columns besides id and text only and go by a hash of all; maps go as JSON.
     ties = [F.col("row").getField(c) if sharding.has_order(docs.schema[c].dataType) else F.to_json(F.struct(F.col("row").getField(c))) for c in keep]
-    place = F.row_number().over(Window.partitionBy("k", "k0", "size", "slice").orderBy("mark", *ties))
+    place = F.row_number().over(Window.partitionBy("k", "k0", "size", "slice").orderBy("mark", F.xxhash64(*ties)))
     times = F.col("whole") + F.when(F.col("pick") == F.col("n"), 1).when(F.col("pick") == 0, 0).otherwise(F.when(place <= F.col("pick"), 1).otherwise(0))
     return met.withColumn("times", times.cast("int")).select(*[F.col("row").getField(c).alias(c) for c in keep], "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 
