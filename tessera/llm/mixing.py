@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -62,7 +63,7 @@ def _close(pieces: list[tuple[int, int, int]], low: int, high: int) -> dict[int,
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, states: int = STATES) -> np.ndarray:
     """How many documents of each length to take, at most ``counts``, for the largest sum that is no more than ``budget``.
 
-    An equal share of every length and then the longest documents that still fit
+    An equal share of all lengths and then the longest documents that still fit
     leave a small gap. The dynamic program closes it over sums around that choice,
     giving documents back as well as adding more; its window widens until the gap
     is closed or everything taken could be given back, when its answer is the best
@@ -75,8 +76,16 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, states: int = STAT
     some = lengths > 0
     unit = int(np.gcd.reduce(lengths[some & (counts > 0)])) if total else 1
     budget = max(budget, 0) // unit * unit  # every sum is a multiple
-    take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+    # Every so-manieth document in order of length, so that no length is preferred.
+    upto = [c * budget // total for c in accumulate((counts * some).tolist(), initial=0)]
+    take = np.diff(np.array(upto, np.int64))
     left = budget - int((take * lengths).sum())
+    while left < 0:  # that may be a little too much: the shortest document that mends it goes, else the longest
+        taken = np.flatnonzero(some & (take > 0))
+        enough = taken[lengths[taken] >= -left]
+        i = int(enough[np.argmin(lengths[enough])] if len(enough) else taken[np.argmax(lengths[taken])])
+        take[i] -= 1
+        left += int(lengths[i])
     for i in np.argsort(-lengths, kind="stable").tolist():
         if some[i] and lengths[i] <= left:
             more = min(int(counts[i] - take[i]), left // int(lengths[i]))
