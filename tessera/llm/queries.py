@@ -1,13 +1,16 @@
-"""The ten queries over the driver's tables, and the SQL of those that SQL can express."""
+"""The queries of the operators over the driver's tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, jaccard, licences, media, mixing, ngram, quality, sharding, units
+from tessera.llm import bpe, chat, decontaminate, jaccard, licences, media, mixing, ngram, quality, sharding, units
 from tessera.sources.scratch import Scratch
 
 
@@ -61,9 +64,26 @@ def op10_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair_roles(_table(spark, sf_dir, "conversations"))
 
 
+def token_digest(ids: pd.Series) -> pd.Series:
+    return ids.map(lambda x: hashlib.sha256(np.asarray(x).astype("<u4").tobytes()).hexdigest())
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """``path``: the vocabulary file, by default the public one of 50,257 ids."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    vocabulary = bpe.shared(spark, path)
+    encoded = bpe.encode_texts(_table(spark, sf_dir, "documents"), vocabulary)
+    decoded = bpe.decode_ids(encoded, vocabulary, keep=["doc_id", "ids"])
+    digest = F.pandas_udf(token_digest, "string")("ids").alias("ids_sha256")
+    return decoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), digest, F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_telephony_media, op2_unit_dedup, op3_jaccard_join, op4_source_mix, op5_decontaminate, op6_quality_discriminant, op7_licence_patience, op8_external_shuffle, op9_kneser_ney, op10_role_repair)
+    for f in (op1_telephony_media, op2_unit_dedup, op3_jaccard_join, op4_source_mix, op5_decontaminate, op6_quality_discriminant, op7_licence_patience, op8_external_shuffle, op9_kneser_ney, op10_role_repair, op11_byte_bpe)
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

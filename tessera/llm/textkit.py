@@ -114,15 +114,15 @@ def _powers(n: int, base: int, cache: dict[int, np.ndarray] = {}) -> np.ndarray:
 _INVERSE = pow(_MULT, -1, 2**64)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each lower-cased (A-Z) word: prefix sums of a byte polynomial, taken run by run."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hash of each word, lower-cased (A-Z) if ``fold``: prefix sums of a byte polynomial, taken run by run."""
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + _RUN, side="right")))
         lo, hi = int(start[i]), int(end[j - 1])
         sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTES[LOWER[data[lo:hi]]] * _powers(hi - lo, _MULT)[: hi - lo], out=sums[1:])
+        np.cumsum(_BYTES[LOWER[data[lo:hi]] if fold else data[lo:hi]] * _powers(hi - lo, _MULT)[: hi - lo], out=sums[1:])
         s, e = start[i:j] - lo, end[i:j] - lo
         out[i:j] = mix((sums[e] - sums[s]) * _powers(hi - lo, _INVERSE)[s] + (e - s).astype(np.uint64) * _LENGTH)
         i = j
