@@ -36,10 +36,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import blocks, utf8, word_hashes
+from tessera.llm.textkit import blocks, release, utf8, word_hashes
 
-#: Bytes of a word that is merged as a row of ranks, and words that a worker remembers.
-SHORT, REMEMBERED = 64, 1 << 18
+#: Bytes of a word that is merged as a row of ranks, rows merged at once, and words that a worker remembers.
+SHORT, ROWS, REMEMBERED = 64, 4096, 1 << 16
 #: Merges a vocabulary may hold: it is sent to every executor.
 MOST_MERGES = 1 << 21
 NONE = np.iinfo(np.int32).max
@@ -241,8 +241,10 @@ class Vocabulary:
                 else:
                     new[max(4, 1 << (len(words[i]) - 1).bit_length())].append(i)
         for places in new.values():
-            for i, ids in zip(places, self.merge_rows([words[i] for i in places]), strict=True):
-                out[i] = memory[words[i]] = ids
+            for lo in range(0, len(places), ROWS):
+                some = places[lo : lo + ROWS]
+                for i, ids in zip(some, self.merge_rows([words[i] for i in some]), strict=True):
+                    out[i] = memory[words[i]] = ids
         return out
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,30 +339,43 @@ def shared(spark: SparkSession, path: str) -> Broadcast[Vocabulary]:
     return spark.sparkContext.broadcast(read_vocabulary(path))
 
 
-def encode_texts(texts: DataFrame, vocabulary: Broadcast[Vocabulary], text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``ids`` (array of int) of every row."""
+def encode_texts(texts: DataFrame, vocabulary: Broadcast[Vocabulary], text: str = "text", keep: Sequence[str] = ("doc_id",), packed: bool = False) -> DataFrame:
+    """``keep`` and ``ids`` of every row: an array of int, or if ``packed`` the ids as little-endian 32-bit numbers in one binary value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "_text"):
             ids, bounds = vocabulary.value.encode(*utf8(b.column("_text")))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], names=out.names)
+            if packed:
+                column = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((bounds * 4).astype("<i4")), pa.py_buffer(ids.astype("<u4"))])
+            else:
+                column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], column], names=out.names)
 
     rows = texts.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), *keep)
-    out = texts.select(*keep, F.lit(None).cast("array<int>").alias("ids")).schema
+    out = texts.select(*keep, F.lit(None).cast("binary" if packed else "array<int>").alias("ids")).schema
     return rows.mapInArrow(run, out)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: Broadcast[Vocabulary], ids: str = "ids", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``text`` of every row's ids."""
+    """``keep`` and ``text`` of every row's ids, which are an array or packed."""
+    packed = encoded.schema[ids].dataType.simpleString() == "binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(0)
-            data, bounds = vocabulary.value.decode(lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False))
-            at = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
-            raw, cut = data.tobytes(), bounds[at].tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.string())], names=out.names)
-
-    rows = encoded.select(F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")).alias("_ids"), *keep)
+        for batch in batches:
+            for b in blocks([batch], "_ids") if packed else [batch]:
+                lists = b.column(0)
+                if packed:
+                    raw, at = utf8(lists)
+                    numbers, at = np.frombuffer(raw.tobytes(), "<i4"), at // 4
+                else:
+                    numbers = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                    at = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+                data, bounds = vocabulary.value.decode(numbers)
+                raw, cut = data.tobytes(), bounds[at].tolist()
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.string())], names=out.names)
+        release()
+
+    none = F.lit(b"") if packed else F.array().cast("array<int>")
+    rows = encoded.select(F.coalesce(F.col(ids) if packed else F.col(ids).cast("array<int>"), none).alias("_ids"), *keep)
     out = encoded.select(*keep, F.lit(None).cast("string").alias("text")).schema
     return rows.mapInArrow(run, out)

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,10 +61,6 @@ def op10_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair_roles(_table(spark, sf_dir, "conversations"))
 
 
-def token_digest(ids: pd.Series) -> pd.Series:
-    return ids.map(lambda x: hashlib.sha256(np.asarray(x).astype("<u4").tobytes()).hexdigest())
-
-
 def op11_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """``path``: the vocabulary file, by default the public one of 50,257 ids."""
     if path is None:
@@ -75,10 +68,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     vocabulary = bpe.shared(spark, path)
-    encoded = bpe.encode_texts(_table(spark, sf_dir, "documents"), vocabulary)
-    decoded = bpe.decode_ids(encoded, vocabulary, keep=["doc_id", "ids"])
-    digest = F.pandas_udf(token_digest, "string")("ids").alias("ids_sha256")
-    return decoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), digest, F.sha2("text", 256).alias("decoded_sha256"))
+    encoded = bpe.encode_texts(_table(spark, sf_dir, "documents"), vocabulary, packed=True)
+    counted = encoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    decoded = bpe.decode_ids(counted, vocabulary, keep=["doc_id", "n_tokens", "ids_sha256"])
+    return decoded.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

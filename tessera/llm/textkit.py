@@ -83,11 +83,11 @@ def map_blocks(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.Recor
     return df.mapInArrow(run, schema)
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every run of bytes other than space and 0x09-0x0D; rows never share a word."""
+def words(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every run of bytes other than ``gaps`` (space and 0x09-0x0D); rows never share a word."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    ink = ~SPACE[data]
+    ink = ~gaps[data]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     edges = off[1:-1]

@@ -95,8 +95,10 @@ def test_rows_and_columns(spark, edge, edge_rows, none, library):
     want = [(i, s, library.encode(t or "", add_special_tokens=False).ids) for i, t, _, s, *_ in edge_rows]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     assert bpe.encode_texts(none, v).count() == 0
-    back = bpe.decode_ids(bpe.encode_texts(edge, v), v)
-    assert sorted(map(str, (tuple(r) for r in back.collect()))) == sorted(str((i, t or "")) for i, t, *_ in edge_rows)
+    assert sorted(map(str, ((r[0], r[1], list(np.frombuffer(r[2], "<u4"))) for r in bpe.encode_texts(clash, v, keep=["doc_id", "source"], packed=True).collect()))) == sorted(str((i, s, list(np.array(x, "<u4")))) for i, s, x in want)
+    for packed in (False, True):
+        back = bpe.decode_ids(bpe.encode_texts(edge, v, packed=packed), v)
+        assert sorted(map(str, (tuple(r) for r in back.collect()))) == sorted(str((i, t or "")) for i, t, *_ in edge_rows)
 
 
 def test_other_vocabularies_are_refused():
