@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import logging
+import re
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import is_scanned, is_source
+from tessera.sources import tree
 
 logger = logging.getLogger(__name__)
 MOST_ENTRIES, MOST_LINES, MOST_GLOB, BINARY_SNIFF = 500, 400, 300, 8192
@@ -25,10 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def source_files(spark: SparkSession, root: str, manifests: bool = False) -> DataFrame:
-    """(path, length, text) of a tree's source files; on demand its manifests, environment examples, infrastructure and workflow files too. Skipped folders are left out by path."""
+    """(path, length, text) of a tree's source files; on demand its manifests, environment examples, infrastructure and workflow files too.
+
+    Skipped folders aren't entered (``sources.tree``). A store that only Spark opens
+    is listed by Spark instead, which leaves out names that begin with a dot or an
+    underscore and opens what it then leaves out by path.
+    """
+    if tree.opens(root):
+        return tree.read_tree(spark, root, "repository" if manifests else "source")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    plain = root.rstrip("/").removeprefix("file:")
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + plain + "/", "")
+    path = F.regexp_replace("path", "^" + re.escape(root.rstrip("/")) + "/", "")
     rows = raw.select(path.alias("path"), "content", "length")
     return rows.where(is_scanned(F.col("path")) if manifests else is_source(F.col("path"))).select("path", "length", F.decode("content", "UTF-8").alias("text"))
 
