@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import ancestors, parent_prefix
+from tessera.operators.history import reachable
 
 HALF_LIFE_DAYS, SHARE, INACTIVE_DAYS = 90.0, 0.70, 180
 
@@ -72,8 +73,10 @@ def link_pull_requests(commits: DataFrame, pulls: DataFrame) -> DataFrame:
     return out.join(known, out["named"] == known["known"], "left").select(*[out[c] for c in commits.columns], F.coalesce("merged", "known").alias("pr_number"))
 
 
-def commit_walk(commits: DataFrame, known: DataFrame, limit: int | None = None) -> DataFrame:
-    """Commits (sha, committed_at) newest first without those known, at most ``limit``."""
+def commit_walk(commits: DataFrame, known: DataFrame, limit: int | None = None, heads: DataFrame | None = None) -> DataFrame:
+    """Commits (sha, committed_at) newest first without those known, at most ``limit``; with ``heads`` (sha) only what they reach over ``parents``."""
+    if heads is not None:
+        commits = commits.join(reachable(commits, heads), "sha", "left_semi")
     rows = commits.join(known.select("sha").distinct(), "sha", "left_anti").orderBy(F.desc("committed_at"), "sha")
     return rows.limit(limit) if limit else rows
 

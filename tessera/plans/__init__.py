@@ -1 +1 @@
-from tessera.plans import catalogue, scenarios  # noqa: F401  registers the queries
+from tessera.plans import catalogue, mechanisms, scenarios  # noqa: F401  registers the queries
