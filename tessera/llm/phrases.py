@@ -42,7 +42,7 @@ PIECE_END[list(b".,;:!?\n\v\f\r")] = True
 GAP = PIECE_END.copy()
 GAP[[32, 9]] = True
 #: Bytes of text tokenised at once, occurrences that a task counts before it sends them (under 2^21, so that ranks fit), bytes of text whose occurrences share a part.
-BLOCK, HELD, PART_BYTES = 2 << 20, 1 << 20, 8 << 20
+BLOCK, HELD, PART_BYTES = 1 << 20, 1 << 19, 8 << 20
 #: Most Spark partitions of the projection; larger inputs have several parts in one, read one after the other.
 MOST_PARTITIONS = 1 << 15
 #: Heavy prefixes and words of shared keys that are sent to the tasks; the list of the former may be any, the latter are a few in 10^10 words.
