@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import overlap_tokens, query_identifiers, trigrams
 from tessera.functions.vectors import cosine_distance
+from tessera.operators import vectorindex
+from tessera.operators.vectorindex import VectorIndex
+from tessera.sources.scratch import Scratch
 
 K, MOST_LINES, LINE_CLIP = 60, 200, 1000
 #: Rows of a broadcast block of queries (a vector query is some hundred bytes, a name some tens).
@@ -45,14 +48,10 @@ def _rank(rows: DataFrame, order: list[Column], limit: int | None, key: str = "q
     return out.where(F.col("rank") <= limit) if limit else out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """(query_id, vec_id, distance, rank) by exact cosine distance, ties by id.
-
-    ``queries`` is a stated query set: every row meets every query, in blocks.
-    """
-    asked = queries.select("query_id", F.col("embedding").alias("q"))
-    met = _each(asked, lambda block: vectors.crossJoin(block).select("query_id", "vec_id", cosine_distance(F.col("embedding"), F.col("q")).alias("distance")))
-    return _rank(met, [F.col("distance"), F.col("vec_id")], limit)
+def nearest(vectors: DataFrame, queries: DataFrame, limit: int = 10, index: VectorIndex | None = None) -> DataFrame:
+    """(query_id, vec_id, distance, rank) by exact cosine distance, ties by id; over ``index`` if there is one, else over one made for this query set."""
+    scratch = Scratch(vectors.sparkSession, "nearest")
+    return (index or vectorindex.build(vectors, scratch.path("index"))).search(queries, limit, scratch)
 
 
 def top_nearest(vectors: DataFrame, query: list[float], limit: int = 10) -> DataFrame:
