@@ -6,41 +6,17 @@ Queries are rows too, so a batch of questions is one plan. A ranked list is
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import overlap_tokens, query_identifiers, trigrams
 from tessera.functions.vectors import cosine_distance
-from tessera.operators import vectorindex
+from tessera.operators import gramindex, vectorindex
+from tessera.operators.gramindex import GramIndex
 from tessera.operators.vectorindex import VectorIndex
 from tessera.sources.scratch import Scratch
 
 K, MOST_LINES, LINE_CLIP = 60, 200, 1000
-#: Rows of a broadcast block of queries (a vector query is some hundred bytes, a name some tens).
-MOST_QUERIES = 5000
-
-
-def in_blocks(queries: DataFrame, key: str = "query_id", most: int = MOST_QUERIES) -> list[DataFrame]:
-    """A stated query set in broadcast blocks of at most ``most`` rows, by key range; one pass over the data each."""
-    count = queries.count()
-    if count <= most:
-        return [F.broadcast(queries)]
-    cuts = [r[0] for r in queries.select(key).withColumn("_n", F.row_number().over(Window.orderBy(key))).where(F.col("_n") % most == 0).collect()]
-    edges = [None, *cuts, None]
-    out = []
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        part = queries if lo is None else queries.where(F.col(key) > lo)
-        out.append(F.broadcast(part if hi is None else part.where(F.col(key) <= hi)))
-    return out
-
-
-def _each(queries: DataFrame, meet: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    first, *rest = map(meet, in_blocks(queries))
-    for x in rest:
-        first = first.unionByName(x)
-    return first
 
 
 def _rank(rows: DataFrame, order: list[Column], limit: int | None, key: str = "query_id") -> DataFrame:
@@ -64,13 +40,22 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def symbol_ladder(symbols: DataFrame, names: DataFrame, limit: int | None = None) -> DataFrame:
-    """Exact 100, case-blind 90, prefix 70, substring 50; the best symbol of a path; by (-score, path, line)."""
-    name, q = F.col("name"), F.trim("query")
-    low, ql = F.lower(name), F.lower(q)
-    score = F.when(name == q, 100).when(low == ql, 90).when(low.startswith(ql), 70).when(low.contains(ql), 50)
-    met = _each(names, lambda block: symbols.crossJoin(block).withColumn("score", score).where("score is not null"))
-    best = first_per_key(met, ["query_id", "path"], [F.desc("score"), F.col("start_line"), F.col("symbol_id")])
+def symbol_names(symbols: DataFrame, path: str) -> GramIndex:
+    """The index of lower-cased names that ``symbol_ladder`` looks up."""
+    return gramindex.build(symbols.select(F.lower("name").alias("low")).where("low is not null").distinct(), path, F.col("low"))
+
+
+def symbol_ladder(symbols: DataFrame, names: DataFrame, limit: int | None = None, index: GramIndex | None = None) -> DataFrame:
+    """Exact 100, case-blind 90, prefix 70, substring 50; the best symbol of a path; by (-score, path, line).
+
+    Names meet over a trigram index: ``index`` if there is one, else one made for these symbols.
+    """
+    index = index or symbol_names(symbols, Scratch(symbols.sparkSession, "ladder").path("names"))
+    asked = names.select("query_id", F.trim("query").alias("q"), F.lower(F.trim("query")).alias("ql"))
+    found = index.containing(asked.select(F.col("ql").alias("ask_id"), F.col("ql").alias("needle")).distinct()).select("low", F.col("needle").alias("ql"))
+    met = found.join(symbols.withColumn("low", F.lower("name")), "low").join(asked, "ql")
+    score = F.when(F.col("name") == F.col("q"), 100).when(F.col("low") == F.col("ql"), 90).when(F.col("low").startswith(F.col("ql")), 70).otherwise(50)
+    best = first_per_key(met.withColumn("score", score), ["query_id", "path"], [F.desc("score"), F.col("start_line"), F.col("symbol_id")])
     return _rank(best, [F.desc("score"), F.col("path"), F.col("start_line")], limit).select("query_id", "rank", "path", "symbol_id", "name", "start_line", "score")
 
 
@@ -89,8 +74,15 @@ def lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame
     return files.select(F.col(path).alias("path"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
 
 
-def grep(files: DataFrame, pattern: str, ignore_case: bool = False, path_prefix: str | None = None, limit: int | None = MOST_LINES) -> DataFrame:
-    """Lines that match, clipped, in (path, line) order."""
+def file_lines(files: DataFrame, path: str) -> GramIndex:
+    """The index of files (path, text) that ``grep`` looks up."""
+    return gramindex.build(files.select("path", F.col("text").alias("body")), path, gramindex.ascii_lower(F.col("body")), by_line=True)
+
+
+def grep(files: DataFrame | None, pattern: str, ignore_case: bool = False, path_prefix: str | None = None, limit: int | None = MOST_LINES, index: GramIndex | None = None) -> DataFrame:
+    """Lines that match, clipped, in (path, line) order; of ``files``, or of those that ``index`` (``file_lines``) can't rule out."""
+    if index is not None:
+        files = index.matching(pattern).select("path", F.col("body").alias("text"))
     rows = files.where(F.col("path").startswith(path_prefix)) if path_prefix else files
     found = lines(rows).where(F.col("text").rlike(("(?i)" if ignore_case else "") + pattern)).withColumn("text", F.substring("text", 1, LINE_CLIP))
     return found.orderBy("path", "line").limit(limit) if limit else found
@@ -129,9 +121,11 @@ def lexical_channel(questions: DataFrame, symbols: DataFrame, files: DataFrame,
     A line holds a name if one of its runs of letters, digits and underscores is the name, so lines and names meet by equality.
     """
     named = questions.select("query_id", F.posexplode(F.slice(query_identifiers(F.col("query")), 1, most_names)).alias("part", "name"))
-    named = named.withColumn("asked", F.xxhash64("query_id", "part"))
+    scratch = Scratch(questions.sparkSession, "lexical")
+    named = scratch.table(named.withColumn("asked", F.xxhash64("query_id", "part")), "named")
     hits = symbol_ladder(symbols, named.select(F.col("asked").alias("query_id"), F.col("name").alias("query")), limit)
     hits = hits.select(F.col("query_id").alias("asked"), "rank", "path", F.col("name").alias("snippet")).join(named.select("asked", "query_id", "part"), "asked").drop("asked")
+    hits = scratch.table(hits, "hits")
     found = hits.groupBy("query_id", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wanted = found.withColumn("before", before).where(F.col("before") < 2 * limit).select("query_id", "part")
@@ -152,34 +146,39 @@ def semantic_channel(vectors: DataFrame, questions: DataFrame, limit: int = 15)
 
 
 def retrieve(questions: DataFrame, symbols: DataFrame, files: DataFrame, vectors: DataFrame, pages: DataFrame, limit: int = 10, fresh: bool = True) -> DataFrame:
-    """Hybrid answers to (query_id, query, embedding): lexical and semantic channels of max(3 * limit, 15) and a wiki channel of ``limit``, fused; a stale index leaves the lexical one alone."""
+    """Hybrid answers to (query_id, query, embedding): lexical and semantic channels of max(3 * limit, 15) and a wiki channel of ``limit``, fused; a stale index leaves the lexical one alone. The lists are written once."""
     wide = max(3 * limit, 15)
     lists = lexical_channel(questions, symbols, files, wide)
     if fresh:
         wiki = wiki_overlap(pages, questions, limit).join(pages.select("slug", "title"), "slug")
         lists = lists.unionByName(semantic_channel(vectors, questions, wide)).unionByName(wiki.select("query_id", F.lit("wiki").alias("channel"), "rank", F.col("slug").alias("path"), F.col("title").alias("snippet")))
-    return hybrid(lists, limit=limit)
+    return hybrid(Scratch(questions.sparkSession, "channels").table(lists, "lists"), limit=limit)
 
 
 def catalog_scores(entries: DataFrame, questions: DataFrame, hits: DataFrame) -> DataFrame:
-    """(query_id, entry_id, kind, title, score) of catalogue entries (entry_id, kind, title, literal, path) that a question speaks of.
+    """(query_id, entry_id, kind, title, path, literal, score) of catalogue entries (entry_id, kind, title, literal, path) that a question speaks of.
 
     Shared tokens, 5 for a literal in the question (4 for a job's name), 1.5 where
-    the entry's path is among ``hits`` (query_id, path), 0.5 more for http. The
-    questions meet the catalogue in blocks.
+    the entry's path is among ``hits`` (query_id, path), 0.5 more for http. Each
+    part is a join of its own: on tokens, over a trigram index of the questions, on
+    paths.
     """
-    found = hits.groupBy("query_id").agg(F.collect_set("path").alias("paths"))
-    asked = questions.select("query_id", F.lower("query").alias("q"), overlap_tokens(F.col("query")).alias("tokens")).join(found, "query_id", "left")
-    score = F.size(F.array_intersect(overlap_tokens(F.concat_ws(" ", "title", "literal")), F.col("tokens"))).cast("double")
-    score += F.when((F.length("literal") > 1) & F.col("q").contains(F.lower("literal")), F.when(F.col("kind") == "job", 4.0).otherwise(5.0)).otherwise(0.0)
-    score += F.when(F.coalesce(F.array_contains("paths", F.col("path")), F.lit(False)), F.when(F.col("kind") == "http", 2.0).otherwise(1.5)).otherwise(0.0)
-    met = _each(asked, lambda block: entries.crossJoin(block).withColumn("score", score).where("score > 0"))
-    return met.select("query_id", "entry_id", "kind", "title", "path", "literal", "score")
+    scratch = Scratch(entries.sparkSession, "catalog")
+    asked = questions.select("query_id", F.explode(overlap_tokens(F.col("query"))).alias("token"))
+    named = entries.select("entry_id", F.explode(overlap_tokens(F.concat_ws(" ", "title", "literal"))).alias("token"))
+    shared = named.join(asked, "token").groupBy("query_id", "entry_id").agg(F.count("*").cast("double").alias("score"))
+    spoken = entries.where(F.length("literal") > 1).select("entry_id", "kind", F.lower("literal").alias("needle"))
+    met = gramindex.containing(questions.select("query_id", F.lower("query").alias("low")).where("low is not null"), F.col("low"), spoken.select(F.col("needle").alias("ask_id"), "needle").distinct(), scratch)
+    said = met.select("query_id", "needle").join(spoken, "needle").select("query_id", "entry_id", F.when(F.col("kind") == "job", 4.0).otherwise(5.0).alias("score"))
+    at = hits.select("query_id", "path").distinct().join(entries.select("entry_id", "kind", "path"), "path").select("query_id", "entry_id", F.when(F.col("kind") == "http", 2.0).otherwise(1.5).alias("score"))
+    total = shared.unionByName(said).unionByName(at).groupBy("query_id", "entry_id").agg(F.sum("score").alias("score"))
+    return total.join(entries.select("entry_id", "kind", "title", "path", "literal"), "entry_id").select("query_id", "entry_id", "kind", "title", "path", "literal", "score")
 
 
 def catalog_seed(entries: DataFrame, questions: DataFrame, hits: DataFrame) -> DataFrame:
     """The best entry of each question: by score, http before others, then title; else the first retrieved path that an entry has, http first."""
-    best = first_per_key(catalog_scores(entries, questions, hits), ["query_id"], [F.desc("score"), F.col("kind") != "http", F.col("title"), F.col("entry_id")])
+    scores = Scratch(entries.sparkSession, "seeds").table(catalog_scores(entries, questions, hits), "scores")
+    best = first_per_key(scores, ["query_id"], [F.desc("score"), F.col("kind") != "http", F.col("title"), F.col("entry_id")])
     met = hits.select("query_id", "rank", "path").join(entries.select("entry_id", "kind", "title", "path"), "path").join(best.select("query_id"), "query_id", "left_anti")
     other = first_per_key(met, ["query_id"], [F.col("rank"), F.col("kind") != "http", F.col("title"), F.col("entry_id")])
     return best.select("query_id", "entry_id", "kind", "title", "path", "score").unionByName(other.select("query_id", "entry_id", "kind", "title", "path", F.lit(1.0).alias("score")))
@@ -193,10 +192,13 @@ def flow_query(questions: DataFrame, hits: DataFrame, entries: DataFrame, flows:
     """
     from tessera.operators import graph
 
-    seeds = catalog_seed(entries, questions, hits).join(entries.select("entry_id", "literal", "symbol_id"), "entry_id")
+    scratch = Scratch(entries.sparkSession, "flows")
+    seeds = scratch.table(catalog_seed(entries, questions, hits).join(entries.select("entry_id", "literal", "symbol_id"), "entry_id"), "seeds")
     known = flows.select("flow_id", F.lower("title").alias("t"), F.col("title").alias("flow_title"))
     same = seeds.select("query_id", F.lower("title").alias("t")).join(known, "t").select("query_id", "flow_id", F.lit(0).alias("way"))
-    named = _each(seeds.where("kind = 'http' and literal <> ''").select("query_id", "literal"), lambda block: known.crossJoin(block).where(F.col("flow_title").contains(F.col("literal")))).select("query_id", "flow_id", F.lit(1).alias("way"))
+    literals = seeds.where("kind = 'http' and literal <> ''").select("query_id", F.col("literal").alias("needle"))
+    held = gramindex.containing(known.where("flow_title is not null"), F.col("flow_title"), literals.select(F.col("needle").alias("ask_id"), "needle").distinct(), scratch, "titles")
+    named = held.select("flow_id", "needle").join(literals, "needle").select("query_id", "flow_id", F.lit(1).alias("way"))
     flow = first_per_key(same.unionByName(named), ["query_id"], [F.col("way"), F.col("flow_id")]).select("query_id", "flow_id")
     answers = questions.select("query_id").join(seeds, "query_id", "left").join(flow, "query_id", "left")
     answers = answers.select("query_id", F.col("entry_id").isNotNull().alias("matched"), "title", "kind", "flow_id", "symbol_id")

@@ -515,7 +515,8 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _asked(spark, sf_dir)
     asked = a["questions"].where("embedding is not null")
     wiki = retrieval.wiki_overlap(a["pages"], a["questions"], 10).join(a["pages"], "slug").select("query_id", F.lit("wiki").alias("channel"), "rank", F.col("slug").alias("path"), F.col("title").alias("snippet"))
-    return retrieval.lexical_channel(a["questions"], a["symbols"], a["files"], 30).unionByName(retrieval.semantic_channel(a["vectors"], asked, 30)).unionByName(wiki)
+    lists = retrieval.lexical_channel(a["questions"], a["symbols"], a["files"], 30).unionByName(retrieval.semantic_channel(a["vectors"], asked, 30)).unionByName(wiki)
+    return Scratch(spark, "channels").table(lists, "lists")
 
 
 @query(f"with {LISTS} select query_id, rank, path, snippet from lexical where rank <= 30")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import history, ownership
+from tessera.operators import history, ownership, retrieval
 from tessera.plans.catalogue import ADAPTERS, query, view
 from tessera.sources import tables, tree
 from tessera.sources.scratch import Scratch
@@ -19,6 +19,27 @@ ADAPTERS |= {
 }
 
 
+PATTERNS = ("licen[cs]ed? under", "(copyright|\\(c\\)) [0-9]{4}", "https?://[a-z]+", "[a-z]+@[a-z]+[.](com|org)", "q[uvw]x+z")
+
+
+# -- indexes ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""with l as (select concat('d/', doc_id) as path, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as line from documents), p as (select unnest([{", ".join(f"'{p}'" for p in PATTERNS)}]) as pattern)
+    select pattern, path, cast(line as int) as line, substr(text, 1, 1000) as text from l, p where regexp_matches(text, concat('(?i)', pattern))"""
+)
+def grep_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several expressions over one stored index of the documents; only what it can't rule out is read again."""
+    files = view(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), "doc_id").alias("path"), "text")
+    index = retrieval.file_lines(files, Scratch(spark, "grep").path("index"))
+    found = [retrieval.grep(None, p, ignore_case=True, limit=None, index=index).select(F.lit(p).alias("pattern"), "path", "line", "text") for p in PATTERNS]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 # -- trees and history ------------------------------------------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from tessera.functions import paths, text
 from tessera.operators import extract, graph, incremental, ownership, planning, profile, retrieval, review, summaries, synthesis
 from tessera.plans.catalogue import ADAPTERS, AS_OF, CALLS, CATEGORY, DOMAIN, LAYER, LISTS, OWNED, _asked, _flow_sql, _lists, _owned, query, view
 from tessera.sources import tables
+from tessera.sources.scratch import Scratch
 
 ADAPTERS |= {
     "repo_facts": """select c_nationkey as repo_id, count(*) as files, sum(case when c_custkey % 29 = 0 then 1 else 0 end) as http_entries, sum(case when c_custkey % 31 = 0 then 1 else 0 end) as page_entries,
@@ -283,7 +284,7 @@ SEED = f"""{LISTS}, cat as (select entry_id, kind, title, literal, path from cat
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lists(spark, sf_dir).groupBy("query_id", "path").agg(F.min("rank").alias("rank"))
+    return Scratch(spark, "hits").table(_lists(spark, sf_dir).groupBy("query_id", "path").agg(F.min("rank").alias("rank")), "hits")
 
 
 @query(f"with {SEED} select query_id, entry_id, kind, title, score::double as score from seed")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation, extract, graph, incremental, ownership, planning, retrieval, review
+from tessera.operators import evaluation, extract, graph, incremental, ownership, planning, retrieval, review, vectorindex
 
 
 def rows(df, *cols):
@@ -334,5 +334,5 @@ def test_query_blocks_give_the_same_rows(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(30)], "vec_id long, embedding array<float>")
     q = v.select(F.col("vec_id").alias("query_id"), "embedding")
     whole = rows(retrieval.nearest(v, q, 3), "query_id", "vec_id", "rank")
-    monkeypatch.setattr(retrieval.in_blocks, "__defaults__", ("query_id", 7))
-    assert rows(retrieval.nearest(v, q, 3), "query_id", "vec_id", "rank") == whole and len(retrieval.in_blocks(q)) > 3
+    monkeypatch.setattr(vectorindex, "BLOCK", 7)
+    assert rows(retrieval.nearest(v, q, 3), "query_id", "vec_id", "rank") == whole

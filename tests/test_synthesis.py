@@ -141,7 +141,7 @@ def test_narrative_and_grounding(spark):
     drafts = spark.createDataFrame([(1, "A", "", ["./src", "no"]), (2, "A", "w", ["src"]), (3, "B", None, ["no"]), (4, " ", None, ["src"])], "pos int, name string, why string, folders array<string>")
     assert rows(s.sanitize_domains(drafts, spark.createDataFrame([("src",)], "folder string"))) == [(1, "A", ["src"], "Code under src")]
     texts = spark.createDataFrame([(1, "see src/a.py and src/b.py")], "id int, text string")
-    assert rows(s.ungrounded_paths(texts, spark.createDataFrame([("src/a.py",)], "path string"))) == [("src/b.py", 1)]
+    assert rows(s.ungrounded_paths(texts, spark.createDataFrame([("src/a.py",)], "path string"))) == [(1, "src/b.py")]
     member = spark.createDataFrame([("apps/x/a.py", "1"), ("apps/x/b.py", "1"), ("apps/y/c.py", "2"), ("lib/d.py", "2")], "id string, cluster string")
     assert rows(s.boundary(member)) == [("1", "apps/x"), ("2", None)]
 
