@@ -16,15 +16,19 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.scratch import Scratch
 
-#: Row numbers of a block (a power of two), grams a needle is looked up by.
-BLOCK_BITS, RAREST = 14, 3
+#: Row numbers of a block (a power of two), grams a needle is looked up by, characters whose lists a task makes at once.
+BLOCK_BITS, RAREST, PIECE = 14, 3, 1 << 20
 #: Alternatives and class members that an expression is written out to.
 MOST_WAYS, MOST_LETTERS = 64, 8
 ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -35,21 +39,41 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def grams(text: Column) -> Column:
-    """Distinct runs of one to three characters."""
-
-    def around(c: Column) -> Column:
-        at = lambda i: F.coalesce(F.get(c, i), F.lit(""))
-        return F.transform(c, lambda x, i: F.array(x, F.concat(x, at(i + 1)), F.concat(x, at(i + 1), at(i + 2))))
-
-    # An array of one array, so that the text is cut into characters once.
-    return F.array_distinct(F.flatten(F.flatten(F.transform(F.array(F.split(text, "")), around))))
+def gram_codes(texts: list[str], breaks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Every run of one to three characters of the texts as one number (21 bits a character), and the text each is of. ``breaks``: no run crosses a line end."""
+    joined = "".join(texts)
+    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    on = np.ones(len(c), bool)
+    if breaks:
+        on = c != ord("\n") + 1
+    code, out, of = c << 42, [], []
+    for k in range(3):
+        if k:
+            both = np.zeros(len(c), bool)
+            if len(c) > k:
+                both[:-k] = (row[k:] == row[:-k]) & (c[k:] != ord("\n") + 1 if breaks else True)
+                code = code.copy()
+                code[:-k] |= c[k:] << (42 - 21 * k)
+            on = on & both
+        out.append(code[on])
+        of.append(row[on])
+    return np.concatenate(out), np.concatenate(of)
+
+
+def _needle(needle: str) -> list[int]:
+    codes, _ = gram_codes([needle])
+    return np.unique(codes[len(codes) - max(1, len(needle) - 2) :]).tolist()
 
 
 def needle_grams(needle: Column) -> Column:
     """What a row must hold to contain a needle: its trigrams, or itself if it is shorter."""
-    three = F.filter(grams(needle), lambda g: F.length(g) == 3)
-    return F.when(F.length(needle) >= 3, three).otherwise(F.array(needle))
+
+    @F.pandas_udf("array<long>")
+    def held(needles: pd.Series) -> pd.Series:
+        return needles.map(lambda x: _needle(x) if x else None)
+
+    return held(needle)
 
 
 @dataclass(frozen=True)
@@ -95,8 +119,8 @@ class GramIndex:
         ways = required(pattern)
         if ways is None:
             return self.rows().drop("rid")
-        held = [(i, sorted({g for literal in way for g in ([literal[k : k + 3] for k in range(len(literal) - 2)] or [literal])})) for i, way in enumerate(ways)]
-        found = self.candidates(self.spark.createDataFrame(held, "ask_id int, grams array<string>")).select("rid").distinct()
+        held = [(i, sorted({g for literal in way for g in _needle(literal)})) for i, way in enumerate(ways)]
+        found = self.candidates(self.spark.createDataFrame(held, "ask_id int, grams array<long>")).select("rid").distinct()
         return self.rows().join(found, "rid", "left_semi").drop("rid")
 
 
@@ -105,9 +129,28 @@ def build(rows: DataFrame, path: str, text: Column, by_line: bool = False) -> Gr
     spark = rows.sparkSession
     index = GramIndex(spark, path)
     rows.withColumn("text", text).withColumn("rid", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/rows")
-    pieces = index.rows().select("rid", (F.explode(F.split("text", "\n")) if by_line else F.col("text")).alias("text")).where("text <> ''")
-    held = pieces.select("rid", F.explode(grams(F.col("text"))).alias("gram"))
-    lists = held.groupBy("gram", F.shiftright("rid", BLOCK_BITS).alias("block")).agg(F.array_sort(F.collect_set("rid")).alias("ids"))
+    bits = BLOCK_BITS
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lists of as many rows as PIECE characters fill."""
+        for batch in batches:
+            texts, rids = batch.column("text").to_pylist(), batch.column("rid").to_numpy()
+            size = np.cumsum([len(t) for t in texts])
+            cuts = [0, *(np.flatnonzero(np.diff(size // PIECE)) + 1).tolist(), len(texts)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                code, row = gram_codes(texts[lo:hi], by_line)
+                rid = rids[lo:hi][row]
+                order = np.lexsort((rid, code))
+                code, rid = code[order], rid[order]
+                new = np.append(True, (code[1:] != code[:-1]) | (rid[1:] != rid[:-1])) if len(code) else np.zeros(0, bool)
+                code, rid = code[new], rid[new]
+                block = rid >> bits
+                head = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1]))) if len(code) else np.zeros(0, np.int64)
+                ids = pa.ListArray.from_arrays(pa.array(np.append(head, len(rid)).astype(np.int32)), pa.array(rid))
+                yield pa.RecordBatch.from_arrays([pa.array(code[head]), pa.array(block[head]), ids], names=["gram", "block", "ids"])
+
+    pieces = index.rows().select("rid", "text").where("text <> ''").mapInArrow(post, "gram long, block long, ids array<long>")
+    lists = pieces.groupBy("gram", "block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
     lists.write.mode("overwrite").parquet(f"{path}/postings")
     index.postings().groupBy("gram").agg(F.sum(F.size("ids")).alias("n")).write.mode("overwrite").parquet(f"{path}/totals")
     return index
