@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import assign_domain, assign_layer, categorize_path, module_of, package_key, parent_prefix, risk_level
 from tessera.functions.text import norm_route
+from tessera.operators import forest
 from tessera.sources.scratch import Scratch
 
 IMPACT_KINDS = ("calls", "emits", "subscribes", "implements", "extends")
@@ -421,52 +421,6 @@ def connected_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().join(low, "id", "left").select("id", F.coalesce("m", "id").alias("component"))
 
 
-class forest:  # noqa: N801
-    """Components under union, named by their least member; calling it gives a member's component."""
-
-    def __init__(self, ids: list[str], pairs: list[tuple[str, str]] = ()) -> None:
-        self.parent = {x: x for x in ids}
-        self.size = dict.fromkeys(ids, 1)
-        for a, b in pairs:
-            self.join(a, b)
-
-    def __call__(self, x: str) -> str:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def join(self, a: str, b: str) -> tuple[int, int]:
-        """Sizes of the two components joined; zeros if they were one."""
-        x, y = sorted((self(a), self(b)))
-        if x == y:
-            return 0, 0
-        sizes = self.size[x], self.size[y]
-        self.parent[y] = x
-        self.size[x] += self.size.pop(y)
-        return sizes
-
-
-def weakest_cut(ids: list[str], pair: list[tuple[str, str]], least: int = 3, share: float = 0.6) -> int:
-    """Fewest of the weakest edges (``pair`` goes from weak to strong) whose loss leaves two parts of ``least`` members that together hold the share; 0 if a fifth of the edges doesn't.
-
-    Edges are put back from the strong end in one pass, with the number and members of such parts kept up to date.
-    """
-    if len(pair) < 2:
-        return 0
-    most = max(1, len(pair) // 5)
-    parts, members, best = 0, 0, 0
-    made = forest(ids)
-    for cut in range(len(pair), 0, -1):
-        if cut <= most and parts >= 2 and members >= int(share * len(ids)):
-            best = cut
-        x, y = made.join(*pair[cut - 1])
-        if x:
-            gone = [n for n in (x, y) if n >= least]
-            parts, members = parts - len(gone) + (x + y >= least), members - sum(gone) + (x + y if x + y >= least else 0)
-    return best
-
-
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, cluster): components over strong edges; nodes without edges go by package; large clusters are split at weak edges.
 
@@ -477,24 +431,17 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     linked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().withColumn("linked", F.lit(True))
     comp = comp.join(linked, "id", "left").withColumn("cluster", F.when(F.col("linked"), F.col("component")).otherwise(F.concat(F.lit("package:"), package_key(F.col("id")))))
     member = comp.select("id", "cluster")
-    inside = pairs.join(member.withColumnRenamed("id", "a"), "a").join(member.select(F.col("id").alias("b"), F.col("cluster").alias("other")), "b").where("cluster = other")
-    sizes = member.groupBy("cluster").agg(F.count("*").alias("size"))
-    rows = member.join(sizes, "cluster").where(F.col("size") >= SPLIT_FROM)
-    work = rows.select("cluster", "id", F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("w")).unionByName(
-        inside.join(rows.select("cluster").distinct(), "cluster", "left_semi").select("cluster", F.lit(None).cast("string").alias("id"), "a", "b", "w")
-    )
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(pdf["id"].dropna())
-        edge = pdf[pdf["a"].notna()].sort_values(["w", "a", "b"])
-        pair = list(zip(edge["a"], edge["b"], strict=True))
-        cut = weakest_cut(ids, pair)
-        root = forest(ids, pair[cut:]) if cut else None
-        label = {x: root(x) if root else pdf["cluster"].iloc[0] for x in ids}
-        return pd.DataFrame({"id": ids, "cluster": [label[x] for x in ids]})
-
-    large = work.groupBy("cluster").applyInPandas(split, "id string, cluster string")
-    return member.join(rows.select("id"), "id", "left_anti").unionByName(large)
+    scratch = Scratch(nodes.sparkSession, "clusters")
+    member = scratch.table(member, "member")
+    large = member.join(member.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") >= SPLIT_FROM).select("cluster"), "cluster", "left_semi")
+    inside = pairs.join(large.withColumnRenamed("id", "a"), "a").join(large.select(F.col("id").alias("b"), F.col("cluster").alias("other")), "b").where("cluster = other").select("cluster", "a", "b", "w")
+    inside = scratch.table(inside, "inside")
+    tree = scratch.table(forest.spanning_forest(inside.select("a", "b", "w"), scratch, connected_components), "forest")
+    cut = scratch.table(forest.weakest_cuts(large, inside, tree, scratch, connected_components), "cuts")
+    parted = large.join(cut.select("cluster"), "cluster", "left_semi").select("id")
+    kept = tree.join(inside.select("a", "b", "cluster"), ["a", "b"]).join(cut, "cluster").where(F.struct("w", "a", "b") > F.col("e")).select("a", "b")
+    parts = connected_components(parted, kept).select("id", F.col("component").alias("cluster"))
+    return member.join(parted, "id", "left_anti").unionByName(parts)
 
 
 def cohesion(pairs: DataFrame, member: DataFrame) -> DataFrame:

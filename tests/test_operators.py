@@ -276,33 +276,6 @@ def test_manifests_and_entries(spark):
     assert got == [("cli", "main.py"), ("page", "/shop"), ("page", "main.tsx"), ("webhook", "handle"), ("webhook", "webhook_in.py"), ("worker", "celery_app.py"), ("worker", "worker.py")]
 
 
-def test_fewest_weak_edges_cut():
-    """Against trying every cut."""
-    import random
-
-    def tried(ids, pair):
-        for cut in range(1, max(1, len(pair) // 5) + 1) if len(pair) >= 2 else ():
-            made = graph.forest(ids, pair[cut:])
-            sizes = {}
-            for x in ids:
-                sizes[made(x)] = sizes.get(made(x), 0) + 1
-            big = [n for n in sizes.values() if n >= 3]
-            if len(big) >= 2 and sum(big) >= int(0.6 * len(ids)):
-                return cut
-        return 0
-
-    r = random.Random(4)
-    found = 0
-    for _ in range(300):
-        ids = [f"n{i}" for i in range(r.randint(6, 16))]
-        half = len(ids) // 2
-        inner = [tuple(sorted(r.sample(part, 2))) for part in (ids[:half], ids[half:]) for _ in range(r.randint(3, 14))]
-        pair = [(ids[0], ids[-1])] * r.randint(0, 2) + list(dict.fromkeys(inner))
-        found += tried(ids, pair) > 0
-        assert graph.weakest_cut(ids, pair) == tried(ids, pair)
-    assert found > 20
-
-
 def test_rollups_order_and_layout(spark):
     symbols = spark.createDataFrame([("1", "apps/api/a.py"), ("2", "apps/api/a.py"), ("3", "apps/web/b.ts"), ("4", "tests/t.py")], "symbol_id string, path string")
     assert rows(graph.hotspots(symbols), "path", "symbol_count") == [("apps/api/a.py", 2), ("apps/web/b.ts", 1)]
