@@ -81,13 +81,14 @@ def _first(code: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """A block of patterns (items, or parts of long ones): their bytes, budgets, and sorted grams with pattern and place.
+    """A block of patterns (items, and parts of long ones): their bytes, budgets, and sorted grams with pattern and place.
 
-    Patterns without grams have pieces instead: a piece's length, first bytes, pattern and place, sorted by length and bytes.
+    ``owner`` is the pattern of the whole item (an item's own, if it isn't cut), ``shift`` a part's place in it. Patterns without grams have pieces instead: a piece's length, first bytes, pattern and place, sorted by length and bytes.
     """
 
     ids: np.ndarray
     owner: np.ndarray
+    shift: np.ndarray
     body: np.ndarray
     at: np.ndarray
     budget: np.ndarray
@@ -103,20 +104,25 @@ class Index:
 
     @staticmethod
     def of(rows: list[tuple[int | None, str | None]]) -> Index:
-        ids, owner, items, budget, need, parts, pieces = [], [], [], [], [], [], []
-        for k, (item_id, text) in enumerate(rows):
+        ids, owner, shift, items, budget, need, parts, pieces = [], [], [], [], [], [], [], []
+
+        def add(item_id: int | None, body: bytes, of: int, at: int) -> tuple[int, int, int]:
+            i, m = len(ids), len(body)
+            e = int(EDITS * m) if m >= SHORT else 0
+            for have, x in zip((ids, owner, shift, items, budget, need), (item_id, of, at, body, e, m - Q + 1 - Q * e), strict=True):
+                have.append(x)
+            return i, m, e
+
+        for item_id, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             whole = normalise(raw, np.array([0, len(raw)]))[0].tobytes().strip()
-            cut = -(-len(whole) // PART)
+            cut, of = -(-len(whole) // PART), len(ids)
+            if cut > 1:
+                add(item_id, whole, of, 0)
             for j in range(cut):
-                body = whole[j * len(whole) // cut : (j + 1) * len(whole) // cut]
-                i, m = len(ids), len(body)
-                e = int(EDITS * m) if m >= SHORT else 0
-                ids.append(item_id)
-                owner.append(k)
-                items.append(body)
-                budget.append(e)
-                need.append(m - Q + 1 - Q * e)
+                at = j * len(whole) // cut
+                body = whole[at : (j + 1) * len(whole) // cut]
+                i, m, e = add(item_id, body, of, at)
                 code = grams(np.frombuffer(body, np.uint8))
                 if need[-1] > 0 and m >= SHORT:
                     parts.append((code[: m - Q + 1], np.full(m - Q + 1, i, np.int32), np.arange(m - Q + 1, dtype=np.int32)))
@@ -134,7 +140,7 @@ class Index:
         known = np.array([i if i is not None else 0 for i in ids], np.int64)
         named = np.array([i is not None for i in ids], bool)
         body = np.frombuffer(b"".join(items), np.uint8)
-        return Index(np.stack([known, named.astype(np.int64)]), np.array(owner, np.int64), body, at, np.array(budget, np.int64), np.array(need, np.int64), code[order], item[order], place[order], seen, size, head, of, where)
+        return Index(np.stack([known, named.astype(np.int64)]), np.array(owner, np.int64), np.array(shift, np.int64), body, at, np.array(budget, np.int64), np.array(need, np.int64), code[order], item[order], place[order], seen, size, head, of, where)
 
     def pattern(self, i: int) -> np.ndarray:
         return self.body[self.at[i] : self.at[i + 1]]
@@ -257,6 +263,8 @@ def _align(index: Index, text: Block, found: np.ndarray) -> np.ndarray:
     best = np.full((len(found), width), far)
     one = np.int64(1) << _COST
     for i in range(pattern.shape[1]):
+        if i % 64 == 63 and ((cell.min(axis=1) >> _COST) > e).all() and not (m <= i).any():
+            return np.zeros((0, 5), np.int64)
         at = start + i
         same = (data[np.clip(at, 0, len(data) - 1)] == pattern[:, i : i + 1]) & (at >= left) & (at < right)
         down = np.full_like(cell, far)
@@ -288,8 +296,8 @@ def align(index: Index, text: Block, found: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _joined(index: Index, hits: np.ndarray) -> np.ndarray:
-    """Finds of an item, overlapping ones once (the one of fewest edits), those of adjoining parts as one region."""
+def _joined(hits: np.ndarray) -> np.ndarray:
+    """Finds of an item, overlapping ones once (the one of fewest edits)."""
     hits = hits[np.lexsort((hits[:, 2], hits[:, 4], hits[:, 1], hits[:, 0]))]
     kept: list[list[int]] = []
     last, spans = None, []
@@ -300,23 +308,32 @@ def _joined(index: Index, hits: np.ndarray) -> np.ndarray:
         if (k == 0 or spans[k - 1][1] <= h[2]) and (k == len(spans) or h[3] <= spans[k][0]):
             spans.insert(k, (h[2], h[3]))
             kept.append(h)
-    out: list[list[int]] = []
-    slack = int(EDITS * PART)
-    for h in sorted(kept, key=lambda h: (h[0], index.owner[h[1]], h[2])):
-        if out and out[-1][0] == h[0] and h[1] == out[-1][5] + 1 and index.owner[h[1]] == index.owner[out[-1][1]] and h[2] - out[-1][3] <= slack:
-            out[-1][3], out[-1][4], out[-1][5] = max(out[-1][3], h[3]), out[-1][4] + h[4], h[1]
-        else:
-            out.append([*h, h[1]])
-    return np.array([h[:5] for h in out], np.int64).reshape(-1, 5)
+    return np.array(kept, np.int64).reshape(-1, 5)
+
+
+def whole_items(index: Index, text: Block, hits: np.ndarray) -> np.ndarray:
+    """Finds with those of parts replaced by their whole items, aligned around them, where these are within their budgets."""
+    part = index.owner[hits[:, 1]] != hits[:, 1]
+    row, of, first = hits[part, 0], index.owner[hits[part, 1]], hits[part, 2] - index.shift[hits[part, 1]]
+    order = np.lexsort((first, of, row))
+    bands: list[tuple[int, int, int]] = []
+    last = None
+    for r, i, d in zip(row[order].tolist(), of[order].tolist(), first[order].tolist(), strict=True):
+        e = int(index.budget[i])
+        # A band has 2 e diagonals on either side, of which the find needs e and a part's own budget.
+        if last is None or last[:2] != (r, i) or d - last[2] > e // 2 - 1:
+            last = (r, i, d)
+            bands.append((r, i, d - e - 1))
+    return np.concatenate([hits[~part], align(index, text, np.array(bands, np.int64).reshape(-1, 3))])
 
 
 def matches(index: Index, text: Block | pa.Array) -> np.ndarray:
     """(row, pattern, start, end, edits), places as bytes of the original text from the row's start."""
     text = text if isinstance(text, Block) else Block.of(text)
     bands, hits = pieced(index, text)
-    hits = np.concatenate([align(index, text, candidates(index, text)), align(index, text, bands), hits])
+    hits = whole_items(index, text, np.concatenate([align(index, text, candidates(index, text)), align(index, text, bands), hits]))
     if len(hits):
-        hits = _joined(index, hits)
+        hits = _joined(hits)
         lead = text.raw_off[hits[:, 0]]
         hits[:, 2], hits[:, 3] = text.origin[np.minimum(hits[:, 2], len(text.origin) - 1)] - lead, text.origin[hits[:, 3] - 1] + 1 - lead
     return hits

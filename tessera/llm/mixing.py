@@ -67,7 +67,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, states: int = STAT
     leave a small gap. The dynamic program closes it over sums around that choice,
     giving documents back as well as adding more; its window widens until the gap
     is closed or everything taken could be given back, when its answer is the best
-    there is. A window never passes ``states`` sums: beyond, the best found counts.
+    there is. A window never passes ``states`` sums: beyond, the sums that can be
+    reached at all are listed, as few long documents have few; only where these are
+    more than ``states`` too does the best found count.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
@@ -103,19 +105,44 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, states: int = STAT
                 rest, size = rest - k, size * 2
         return out
 
-    taken, window = budget - left, 8 * int(lengths.max(initial=1))
+    taken, window, limited = budget - left, 8 * int(lengths.max(initial=1)), left >= states
     while left:
         window = min(window, taken, max(states - left, 0))
         moves = _close([*pieces(take, -1, window), *pieces(counts - take, 1, window + left)], -window, left)
         gain = sum(k * int(lengths[i]) for i, k in moves.items())
         if gain == left or window in (taken, states - left) or left >= states:
+            limited = gain < left and (window < taken or left >= states)
             for i, k in moves.items():
                 take[i] += k
             break
         window *= 8
+    listed = _listed(pieces(counts, 1, budget), budget, states) if limited else None
+    if listed is not None:
+        take = np.zeros_like(take)
+        for i, k in listed.items():
+            take[i] = k
     return take
 
 
+def _listed(pieces: list[tuple[int, int, int]], budget: int, states: int) -> dict[int, int] | None:
+    """Copies by place of the largest sum within the budget, from a list of all sums that pieces reach; None if there are more than ``states``."""
+    sums, added = np.zeros(1, np.int64), []
+    for _, _, size in pieces:
+        new = np.setdiff1d(sums[: int(np.searchsorted(sums, budget - size, side="right"))] + size, sums, assume_unique=True)
+        added.append(new)
+        sums = np.union1d(sums, new)
+        if len(sums) > states:
+            return None
+    # A sum came with the first piece that reached it; what is left of it was there before.
+    out: dict[int, int] = {}
+    at = int(sums[-1])
+    for (i, k, size), new in zip(reversed(pieces), reversed(added), strict=True):
+        j = int(np.searchsorted(new, at))
+        if j < len(new) and new[j] == at:
+            out[i], at = out.get(i, 0) + k, at - size
+    return out
+
+
 def targets(sources: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
     """Add ``target`` to (source, source_size): shares by cycled weight, capped sources' excess reshared until none is above its cap."""
     ranked = sources.select("source", "source_size", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).alias("rank"))
@@ -172,4 +199,17 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
 
 def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each row ``times`` times."""
-    return mixed.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"`{c}`") for c in columns])
+    kept = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    return mixed.where("times > 0").select(kept, F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns, whatever these are called."""
+    clash = [c for c in docs.columns if c.lower() in ADDED]
+    if not clash:
+        return repeat_rows(mix_sources(docs), docs.columns)
+    plain = [c for c in docs.columns if c not in clash]
+    own = next(f"own{i}" for i in range(len(docs.columns) + 1) if f"own{i}" not in plain)
+    packed = docs.select(*[F.col(f"`{c}`") for c in plain], F.struct(*[F.col(f"`{c}`") for c in clash]).alias(own))
+    mixed = repeat_rows(mix_sources(packed), packed.columns)
+    return mixed.select(*[F.col(f"`{c}`") if c in plain else F.col(own).getField(c).alias(c) for c in docs.columns])

@@ -112,6 +112,12 @@ def external_shuffle(docs: DataFrame, shards: int = 24, seed: int = 11, keep: li
     )
 
 
+def shuffled_rows(docs: DataFrame, **named: int) -> DataFrame:
+    """``external_shuffle`` of all columns; those of ``docs`` that bear a name it adds come as ``own_<name>``."""
+    of = {c: f"own_{c}" for c in docs.columns if c.lower() in ADDED}
+    return external_shuffle(docs.select(*[F.col(f"`{c}`").alias(of.get(c, c)) for c in docs.columns]), **named)
+
+
 def write_shards(shuffled: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     """One folder a shard, in files of some ``file_bytes`` that hold ranges of slots in order."""
     shards, total = shuffled.agg(F.countDistinct("shard"), F.coalesce(F.sum("size"), F.lit(0))).first()

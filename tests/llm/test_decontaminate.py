@@ -137,17 +137,46 @@ def test_every_piece_of_many_short_items():
             k += 1
 
 
-def test_long_items_are_found_by_their_parts():
+def fewest_edits(item, text):
+    """Edits from the item to the nearest stretch of the text."""
+    t, ramp = np.frombuffer(text, np.uint8), np.arange(len(text) + 1)
+    cell = np.zeros(len(t) + 1, np.int64)
+    for i, c in enumerate(item):
+        new = np.append(i + 1, np.minimum(cell[:-1] + (t != c), cell[1:] + 1))
+        cell = np.minimum.accumulate(new - ramp) + ramp
+    return int(cell.min())
+
+
+def test_long_items_count_as_wholes():
+    """A quote of a part isn't the item; the whole is, with edits up to a tenth of it, wherever they fall."""
     r, words = random.Random(13), vocabulary(2)
     long = prose(r, words, 2500)
     assert len(long) > 10_000
     index = d.Index.of([(1, long), (2, prose(r, words, 40))])
-    texts = [long, "x " + edited(r, long, int(0.05 * len(long))) + " y", prose(r, words, 500), prose(r, words, 50) + long[3000:6000] + prose(r, words, 50)]
+    texts = [long, "x " + edited(r, long, int(0.05 * len(long))) + " y", prose(r, words, 500), prose(r, words, 50) + long[3000:6000] + prose(r, words, 50), long[:4000] + prose(r, words, 300) + long[4000:], long * 2]
     got = d.matches(index, pa.array(texts)).tolist()
-    assert {a for a, *_ in got} == {0, 1, 3} and all(i == 1 for _, i, *_ in [(a, int(index.ids[0, b])) for a, b, *_ in got])
+    assert sorted(a for a, *_ in got) == [0, 1, 5, 5] and {int(index.ids[0, b]) for _, b, *_ in got} == {1}
     assert [(a, b, c) for r_, _, a, b, c in got if r_ == 0] == [(0, len(long.encode()), 0)]
     assert sum(b - a for r_, _, a, b, _ in got if r_ == 1) > 0.95 * len(long)
-    assert 1500 < sum(b - a for r_, _, a, b, _ in got if r_ == 3) <= 3100
+
+
+def test_long_items_against_edit_distance():
+    r, words = random.Random(14), vocabulary(3)
+    for n in (230, 300, 420, 700):
+        item = norm(prose(r, words, n)).strip()
+        budget = int(d.EDITS * len(item))
+        assert len(item) > d.PART
+        index, text = d.Index.of([(1, item.decode())]), []
+        for share in (0, 0.5, 0.9, 1.0, 1.1, 1.5):
+            text.append(prose(r, words, 30) + " " + edited(r, item.decode(), int(share * budget)) + " " + prose(r, words, 30))
+        for hole in (0.05, 0.09, 0.11, 0.2, 0.6):  # one stretch lost, or foreign words put in
+            k = int(hole * len(item))
+            text += [item[: len(item) // 3].decode("utf-8", "ignore") + item[len(item) // 3 + k :].decode("utf-8", "ignore"), item[:600].decode("utf-8", "ignore") + "\u00a0" * (k // 2) + item[600:].decode("utf-8", "ignore")]
+        found = {int(h[0]): int(h[4]) for h in d.matches(index, pa.array(text))}
+        for i, t in enumerate(text):
+            fewest = fewest_edits(item, norm(t))
+            assert (i in found) == (fewest <= budget), (n, i, fewest, budget)
+            assert i not in found or found[i] == fewest
 
 
 def test_null_item_ids_and_no_items(spark):

@@ -1,5 +1,7 @@
+import random
 import re
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
 import pytest
@@ -119,3 +121,19 @@ def test_rows_of_one_id_and_text_go_by_their_other_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rank int, tags map<string,int>")
     seen = [Counter((r["doc_id"], r["rank"], r["times"]) for r in mixing.mix_sources(docs.repartition(k)).collect()) for k in (1, 3, 5)]
     assert seen[0] == seen[1] == seen[2]
+
+
+def test_few_long_lengths_are_fitted_exactly():
+    """Sums beyond the program's window, but few of them."""
+    lengths, counts = np.array([30_000_001, 40_000_003, 50_000_007]), np.array([2, 2, 2])
+    take = mixing.fit(lengths, counts, 100_000_013)
+    assert int((take * lengths).sum()) == 100_000_005 and (take <= counts).all()
+    r = random.Random(21)
+    for _ in range(300):
+        n = r.randint(1, 4)
+        lengths = np.array(sorted(r.sample(range(1, 10**9), n)))
+        counts = np.array([r.randint(0, 3) for _ in range(n)])
+        budget = r.randint(0, int((lengths * counts).sum()) + 5)
+        best = max(s for c in product(*[range(k + 1) for k in counts]) if (s := int((np.array(c) * lengths).sum())) <= budget)
+        take = mixing.fit(lengths, counts, budget, 300)
+        assert int((take * lengths).sum()) == best and (take >= 0).all() and (take <= counts).all()
