@@ -367,20 +367,34 @@ def file_edges(edges: DataFrame, symbols: DataFrame, kinds: tuple[str, ...] = ("
 
 
 def layering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, layer): longest path by relaxation over the (small) module table; cycles stop at the number of nodes."""
+    """(id, layer): the longest path that ends in a node; with n nodes, n for those on a cycle or behind one.
+
+    That is where relaxing all edges n + 1 times, with n as the limit, comes to rest:
+    nodes are peeled off round by round, those without a predecessor left first, and
+    what is never peeled is on a cycle or behind one. Rounds follow the longest path
+    outside cycles, and each handles the edges that are left.
+    """
     scratch = Scratch(nodes.sparkSession, "layers")
-    n = nodes.count()
-    now = scratch.table(nodes.select("id", F.lit(0).cast("int").alias("layer")), "0")
-    edges = scratch.table(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
-    for i in range(1, n + 2):
-        pushed = edges.join(now, edges["src"] == now["id"]).groupBy("dst").agg(F.least(F.max("layer") + 1, F.lit(n)).alias("up"))
-        new = now.join(pushed, now["id"] == pushed["dst"], "left").select("id", F.greatest("layer", F.coalesce("up", F.lit(0))).cast("int").alias("layer"), (F.coalesce("up", F.lit(0)) > F.col("layer")).alias("moved"))
-        new = scratch.table(new, str(i))
-        moved = new.where("moved").limit(1).count()
-        now = new.select("id", "layer")
-        if not moved:
+    ids = scratch.table(nodes.select("id").distinct(), "ids")
+    left = edges.where("src <> dst").select("src", "dst").distinct()
+    left = scratch.table(left.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "edges-0")
+    behind = scratch.table(left.select(F.col("dst").alias("id")).distinct(), "behind-0")
+    done = [ids.join(behind, "id", "left_anti").select("id", F.lit(0).alias("layer"))]
+    while True:
+        turn = len(done)
+        # Edges from nodes that still have a predecessor stay.
+        left = scratch.table(left.join(behind.withColumnRenamed("id", "src"), "src", "left_semi"), f"edges-{turn}")
+        now = scratch.table(left.select(F.col("dst").alias("id")).distinct(), f"behind-{turn}")
+        free = scratch.table(behind.join(now, "id", "left_anti").select("id", F.lit(turn).alias("layer")), f"layer-{turn}")
+        if free.isEmpty():
             break
-    return now
+        done.append(free)
+        behind = now
+    n = ids.count()
+    out = behind.select("id", F.lit(n).alias("layer"))
+    for layer in done:
+        out = out.unionByName(layer)
+    return out
 
 
 # -- clustering -------------------------------------------------------------------------------------------------------

@@ -375,7 +375,8 @@ def cohesion_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cohesion(pairs, member)
 
 
-@query()
+@query("""recursive with n as (select count(distinct split_part(path, '/', 1)) as n from symbols), e as (select distinct split_part(s.path, '/', 1) as src, split_part(d.path, '/', 1) as dst from edges e join symbols s on e.src_id = s.symbol_id join symbols d on e.dst_id = d.symbol_id where split_part(s.path, '/', 1) <> split_part(d.path, '/', 1)),
+    walk(id, layer) as (select distinct split_part(path, '/', 1), 0 from symbols union select e.dst, layer + 1 from walk join e on e.src = walk.id, n where layer < n) select id, max(layer) as layer from walk group by 1""")
 def layering(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = view(spark, sf_dir, "symbols")
     return graph.layering(graph.module_nodes(symbols, 1), graph.module_graph(view(spark, sf_dir, "edges"), symbols, 1))

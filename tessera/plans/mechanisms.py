@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import history, ownership, retrieval
+from tessera.operators import forest, graph, history, ownership, retrieval
 from tessera.plans.catalogue import ADAPTERS, query, view
 from tessera.sources import tables, tree
 from tessera.sources.scratch import Scratch
@@ -40,6 +40,40 @@ def grep_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+# -- graphs -----------------------------------------------------------------------------------------------------------
+
+DEPENDS = """depends as (select distinct concat('s', l_suppkey) as src, concat('p', l_partkey) as dst from lineitem union select concat('p', p_partkey), p_brand from part union select p_brand, p_type from part where p_size < 5
+    union select p_type, split_part(p_type, ' ', 1) from part union select p_type, concat(p_brand, '+') from part where p_size = 50 union select concat(p_brand, '+'), p_type from part where p_size = 49)"""
+
+
+@query(
+    f"""recursive with {DEPENDS}, node as (select src as id from depends union select dst from depends), n as (select count(*) as n from node),
+    walk(id, layer) as (select id, 0 from node union select d.dst, layer + 1 from walk join depends d on d.src = walk.id, n where layer < n and d.src <> d.dst) select id, max(layer) as layer from walk group by 1"""
+)
+def dependency_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers, parts, brands and types as a graph of some thousand nodes, with cycles between types and brands."""
+    part = view(spark, sf_dir, "part")
+    two = lambda a, b, where="true": part.where(where).select(F.expr(a).alias("src"), F.expr(b).alias("dst"))
+    first = "split_part(p_type, ' ', 1)"
+    edges = view(spark, sf_dir, "lineitem").selectExpr("concat('s', l_suppkey) as src", "concat('p', l_partkey) as dst")
+    for more in (two("concat('p', p_partkey)", "p_brand"), two("p_brand", "p_type", "p_size < 5"), two("p_type", first), two("p_type", "concat(p_brand, '+')", "p_size = 50"), two("concat(p_brand, '+')", "p_type", "p_size = 49")):
+        edges = edges.unionByName(more)
+    nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    return graph.layering(nodes, edges)
+
+
+@query(
+    """with pair as (select least(src_id, dst_id) as a, greatest(src_id, dst_id) as b, sum(cast(confidence as double)) as w from edges where src_id <> dst_id group by 1, 2), member as (select symbol_id as id, split_part(path, '/', 1) as cluster from symbols),
+    met as (select x.cluster, a as src, b as dst, round(w, 3) as weight from pair join member x on a = x.id join member y on b = y.id where x.cluster = y.cluster), ranked as (select *, row_number() over (partition by cluster order by weight desc, src, dst) as rank from met)
+    select cluster, src, dst, weight, cast(rank as int) as rank from ranked where rank <= 12"""
+)
+def cluster_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heaviest inner edges of each top folder."""
+    pairs = graph.undirected(view(spark, sf_dir, "edges").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), F.col("confidence").cast("double").alias("weight")))
+    member = view(spark, sf_dir, "symbols").select(F.col("symbol_id").alias("id"), F.split_part("path", F.lit("/"), F.lit(1)).alias("cluster"))
+    return forest.evidence_edges(pairs, member)
+
+
 # -- trees and history ------------------------------------------------------------------------------------------------
 
 

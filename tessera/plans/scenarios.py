@@ -206,7 +206,7 @@ def component_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _relaxed(rounds: int) -> str:
     out = "n as (select count(distinct regexp_extract(path, '^([^/]+)', 1)) as n from symbols), node as (select distinct regexp_extract(path, '^([^/]+)', 1) as id from symbols), "
-    out += "e as (select distinct regexp_extract(s.path, '^([^/]+)', 1) as src, regexp_extract(d.path, '^([^/]+)', 1) as dst from edges e join symbols s on e.src_id = s.symbol_id join symbols d on e.dst_id = d.symbol_id where regexp_extract(s.path, '^([^/]+)', 1) <> regexp_extract(d.path, '^([^/]+)', 1) and (e.src_id + e.dst_id) % 997 = 0 and s.path < d.path), l0 as (select id, 0 as layer from node)"
+    out += "e as (select distinct regexp_extract(s.path, '^([^/]+)', 1) as src, regexp_extract(d.path, '^([^/]+)', 1) as dst from edges e join symbols s on e.src_id = s.symbol_id join symbols d on e.dst_id = d.symbol_id where regexp_extract(s.path, '^([^/]+)', 1) <> regexp_extract(d.path, '^([^/]+)', 1)), l0 as (select id, 0 as layer from node)"
     for i in range(1, rounds + 1):
         out += f", l{i} as (select a.id, greatest(a.layer, coalesce(max(case when b.layer is not null then least(b.layer + 1, n.n) end), 0)) as layer from l{i - 1} a cross join n left join e on e.dst = a.id left join l{i - 1} b on e.src = b.id group by a.id, a.layer)"
     return out + f", layered as (select id, cast(layer as int) as layer from l{rounds})"
@@ -214,13 +214,13 @@ def _relaxed(rounds: int) -> str:
 
 def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = lambda end: view(spark, sf_dir, "symbols").select(F.col("symbol_id").alias(f"{end}_id"), F.col("path").alias(f"{end}_path"), paths.module_of(F.col("path"), 1).alias(end))
-    edges = view(spark, sf_dir, "edges").where("(src_id + dst_id) % 997 = 0").join(top("src"), "src_id").join(top("dst"), "dst_id").where("src <> dst and src_path < dst_path").select("src", "dst").distinct()
+    edges = view(spark, sf_dir, "edges").join(top("src"), "src_id").join(top("dst"), "dst_id").where("src <> dst").select("src", "dst").distinct()
     return graph.layering(top("src").select(F.col("src").alias("id")).distinct(), edges)
 
 
 @query(f"with {_relaxed(10)}, placed as (select id, layer, row_number() over (partition by layer order by id) - 1 as r from layered) select id, layer, r * 200.0::double as x, layer * 140.0::double as y from placed")
 def layered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layers of the top folders over a thinned, acyclic edge set (all edges together make one cycle), and where nodes are drawn."""
+    """Layers of the top folders over all edges, which together make a cycle, and where nodes are drawn; ``dependency_layers`` has many layers."""
     return graph.layout(_layers(spark, sf_dir))
 
 

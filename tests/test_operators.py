@@ -1,5 +1,8 @@
 """Scenarios on small literal inputs."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluation, extract, graph, incremental, ownership, planning, retrieval, review, vectorindex
@@ -78,7 +81,27 @@ def test_layering_chain_and_cycle(spark):
     chain = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
     assert rows(graph.layering(n, chain)) == [("a", 0), ("b", 1), ("c", 2)]
     loop = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
-    assert {r[0] for r in rows(graph.layering(n, loop))} == {"a", "b", "c"}
+    assert rows(graph.layering(n, loop)) == [("a", 3), ("b", 3), ("c", 0)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_layering_is_where_relaxation_rests(spark, seed):
+    """Random graphs with and without cycles, against n + 1 rounds over all edges."""
+    r = random.Random(seed)
+    ids, edges = [], []
+    for g in range(25):
+        mine = [f"{g}-{i}" for i in range(r.randint(1, 9))]
+        ids += mine
+        edges += [(a, b) for a in mine for b in mine if r.random() < 0.25 and (a < b or r.random() < 0.15)]
+    edges += [("0-0", "0-0"), ("gone", "0-0"), ("0-0", "gone")]
+    n, layer = len(ids), dict.fromkeys(ids, 0)
+    for _ in range(n + 1):
+        before = dict(layer)
+        for a, b in edges:
+            if a != b and a in before and b in before:
+                layer[b] = max(layer[b], min(before[a] + 1, n))
+    got = graph.layering(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(edges, "src string, dst string"))
+    assert dict(map(tuple, got.collect())) == layer and n in layer.values() and 2 in layer.values()
 
 
 def test_clusters_split_and_fall_back(spark):
