@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import is_scanned, is_source
 from tessera.sources import tree
+from tessera.sources.mergetable import MergeTable
 
 logger = logging.getLogger(__name__)
 MOST_ENTRIES, MOST_LINES, MOST_GLOB, BINARY_SNIFF = 500, 400, 300, 8192
@@ -219,26 +220,21 @@ class RunLedger:
         return rows.groupBy("run_id").agg(last).select("run_id", "s.*")
 
 
-def ingest_history(spark: SparkSession, folder: str, commits: DataFrame, changes: DataFrame, version: str) -> dict[str, str]:
-    """Commits not seen before, then their authors and files by key, then their changes: the tables' new versions by name.
+def ingest_history(spark: SparkSession, folder: str, commits: DataFrame, changes: DataFrame, number: int) -> dict[str, DataFrame]:
+    """Commits not seen before, then their authors and files by key, then their changes: the tables by name, as they are after the batch.
 
-    ``commits``: sha, author_id, author_name, committed_at. ``changes``: sha, path, additions, deletions.
+    ``commits``: sha, author_id, author_name, committed_at. ``changes``: sha, path,
+    additions, deletions. Each batch, numbered upwards, writes its own rows alone.
     """
-    try:
-        seen = spark.read.parquet(f"{folder}/commits").select("sha")
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        seen = spark.createDataFrame([], "sha string")
-    new = commits.join(seen, "sha", "left_anti")
+    of = {"authors": ["author_id"], "files": ["path"], "commits": ["sha"], "commit_files": ["sha", "path"]}
+    stored = {name: MergeTable(spark, f"{folder}/{name}", keys, "committed_at") for name, keys in of.items()}
+    seen = stored["commits"].read()
+    new = commits if seen is None else commits.join(seen.select("sha"), "sha", "left_anti")
     touched = changes.join(new.select("sha", "committed_at"), "sha")
-    out = {
-        "authors": upsert(spark, new.select("author_id", "author_name", "committed_at"), f"{folder}/authors", ["author_id"], F.desc("committed_at"), version),
-        "files": upsert(spark, touched.select("path", "committed_at", "sha"), f"{folder}/files", ["path"], F.desc("committed_at"), version),
-        "commits": upsert(spark, new, f"{folder}/commits", ["sha"], F.desc("committed_at"), version),
-        "commit_files": upsert(spark, touched, f"{folder}/commit_files", ["sha", "path"], F.desc("committed_at"), version),
-    }
-    return out
+    rows = {"authors": new.select("author_id", "author_name", "committed_at"), "files": touched.select("path", "committed_at", "sha"), "commit_files": touched, "commits": new}
+    for name, batch in rows.items():  # commits last: a batch that fails before is taken up whole when it runs again
+        stored[name].write(batch, number)
+    return {name: stored[name].read() for name in of}
 
 
 # -- listings ---------------------------------------------------------------------------------------------------------

@@ -11,8 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions.paths import parent_prefix
 from tessera.operators import extract
-from tessera.operators.incremental import latest_per_key, push_paths
+from tessera.operators.incremental import push_paths
 from tessera.operators.ownership import HALF_LIFE_DAYS, age_days
+from tessera.sources.mergetable import MergeTable
 from tessera.sources.scratch import Scratch
 
 PUSH = "delivery_id string, ref string, after string, repository_id long, commits array<struct<added:array<string>,modified:array<string>,removed:array<string>>>"
@@ -105,31 +106,18 @@ def delivery_stream(spark: SparkSession, folder: str, handlers: dict[str, Callab
     return once.writeStream.foreachBatch(lambda batch, n: route_deliveries(batch, handlers, secret) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def review_sink(spark: SparkSession, reviews: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Reviews (repo_id, pr_id, head_sha, ..., created_at) merged by (repo_id, pr_id, head_sha): a batch that runs again leaves the same rows, the newest of each."""
-
-    def merge(batch: DataFrame, n: int) -> None:
-        current = _current(spark, folder)
-        if current >= n:  # a batch that was merged before
-            return
-        old = spark.read.parquet(f"{folder}/{current}") if current >= 0 else batch.limit(0)
-        latest_per_key(old.unionByName(batch, allowMissingColumns=True), ["repo_id", "pr_id", "head_sha"], [F.desc("created_at")]).write.mode("overwrite").parquet(f"{folder}/{n}")
+def _reviews(spark: SparkSession, folder: str) -> MergeTable:
+    return MergeTable(spark, folder, ["repo_id", "pr_id", "head_sha"], "created_at")
 
-    return reviews.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-def _current(spark: SparkSession, folder: str) -> int:
-    """Number of the last whole version (Spark marks it) under a folder; -1 before the first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return -1
-    whole = [int(x.getPath().getName()) for x in fs.listStatus(path) if x.getPath().getName().isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
-    return max(whole, default=-1)
+def review_sink(spark: SparkSession, reviews: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Reviews (repo_id, pr_id, head_sha, ..., created_at) merged by (repo_id, pr_id, head_sha): a batch writes its own rows alone, and one that runs again leaves the same rows, the newest of each."""
+    table = _reviews(spark, folder)
+    return reviews.writeStream.foreachBatch(lambda batch, n: table.write(batch, n) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{_current(spark, folder)}")
+def current_reviews(spark: SparkSession, folder: str) -> DataFrame | None:
+    return _reviews(spark, folder).read()
 
 
 def dismiss_latest(reviews: DataFrame, dismissed: DataFrame) -> DataFrame:

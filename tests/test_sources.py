@@ -92,8 +92,9 @@ def test_cache_ledger_and_trace(spark, tmp_path):
 def test_history_in_two_steps(spark, tmp_path):
     commits = spark.createDataFrame([("c1", 1, "Ann", "2024-01-01"), ("c2", 2, "Bo", "2024-01-02")], "sha string, author_id int, author_name string, committed_at string")
     changes = spark.createDataFrame([("c1", "a.py", 3, 1), ("c2", "a.py", 1, 0), ("c2", "b.py", 5, 5)], "sha string, path string, additions int, deletions int")
-    got = tables.ingest_history(spark, str(tmp_path / "h"), commits, changes, "v1")
-    assert {k: spark.read.parquet(p).count() for k, p in got.items()} == {"authors": 2, "files": 2, "commits": 2, "commit_files": 3}
+    for number, seen in enumerate((commits.where("sha = 'c1'"), commits, commits)):
+        got = tables.ingest_history(spark, str(tmp_path / "h"), seen, changes, number)
+        assert {k: df.count() for k, df in got.items()} == ({"authors": 2, "files": 2, "commits": 2, "commit_files": 3} if number else {"authors": 1, "files": 1, "commits": 1, "commit_files": 1})
 
 
 def test_windows_and_listings(spark):
