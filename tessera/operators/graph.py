@@ -86,13 +86,16 @@ def call_edges(calls: DataFrame, symbols: DataFrame, bindings: DataFrame) -> Dat
     A name with more than one definition is cut to its first candidates before it
     meets the calls, so a common name can't multiply them; the cut is taken before
     the shuffle too (a group limit), so no task sorts all definitions of a name.
-    Where both ways find an edge, that of more confidence stays.
+    Where both ways find an edge, that of more confidence stays. Calls, definitions
+    and what imports resolve are written once, as each is read more than once.
     """
-    defs = symbols.where(F.col("kind").isin(*DEFINITIONS))
+    scratch = Scratch(calls.sparkSession, "calls")
+    calls = scratch.table(calls.select("src_id", "path", "name").distinct(), "calls")
+    defs = scratch.table(symbols.where(F.col("kind").isin(*DEFINITIONS)).select("symbol_id", "path", "name", "start_line"), "definitions")
     first = defs.groupBy(F.col("path").alias("target_path"), "name").agg(F.min_by("symbol_id", F.struct("start_line", "symbol_id")).alias("dst_id"))
     bound = bindings.select(F.col("path"), F.col("alias").alias("name"), "target_path")
     imported = calls.join(bound, ["path", "name"]).join(first, ["target_path", "name"]).where("src_id <> dst_id").groupBy("src_id", "path", "name").agg(F.min("dst_id").alias("dst_id"))
-    imported = imported.select("src_id", "dst_id", "name", "path", F.lit("calls").alias("kind"), F.lit(IMPORTED).alias("confidence"), F.lit("import_resolved").alias("method"))
+    imported = scratch.table(imported.select("src_id", "dst_id", "name", "path", F.lit("calls").alias("kind"), F.lit(IMPORTED).alias("confidence"), F.lit("import_resolved").alias("method")), "imported")
     rest = calls.join(imported.select("src_id", "path", "name"), ["src_id", "path", "name"], "left_anti")
     # One more than the cap, since a caller is never its own candidate.
     found = defs.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("path", "start_line", "symbol_id"))).where(F.col("rank") <= MOST_CANDIDATES + 1)

@@ -103,6 +103,7 @@ def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     symbols = view(spark, sf_dir, "symbols")
     made = view(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 50 + 1).alias("target"))
     calls = made.join(symbols.select("symbol_id", "name"), F.col("target") == F.col("symbol_id")).select(F.col("l_partkey").alias("src_id"), F.concat(F.lit("f"), "l_suppkey", F.lit(".py")).alias("path"), "name").distinct()
+    calls = Scratch(spark, "calls").table(calls, "calls")
     bound = calls.select("path", "name").join(symbols.where("symbol_id % 3 = 0").select("name", F.col("path").alias("target_path")), "name").select("path", F.col("name").alias("alias"), "target_path").distinct()
     return calls, symbols, bound
 
