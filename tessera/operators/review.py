@@ -125,3 +125,8 @@ def eligible(pulls: DataFrame, actions: tuple[str, ...] = ("opened", "reopened",
 def render_review(findings: DataFrame, key: str = "pr_id") -> DataFrame:
     line = F.format_string("- **%s** `%s:%d` %s (%.2f)", "severity", "path", "line", "message", "confidence")
     return findings.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+
+
+def outside_paths(hits: DataFrame, changed: DataFrame) -> DataFrame:
+    """Hits (path, ...) in files that aren't among the changed ones (path), however either writes its paths."""
+    return hits.withColumn("_at", normalize_path(F.col("path"))).join(changed.select(normalize_path(F.col("path")).alias("_at")), "_at", "left_anti").drop("_at")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import paths
 from tessera.operators import forest, graph, history, ownership, retrieval
 from tessera.plans.catalogue import ADAPTERS, query, view
 from tessera.sources import tables, tree
@@ -85,6 +86,13 @@ def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.source_files(spark, root, manifests=True).select("path", "length", F.md5("text").alias("digest"))
 
 
+@query("select path, kind in (0, 2, 3, 4, 7) as scanned, kind = 7 as infra, kind = 4 as ci, kind in (0, 1, 2, 5) as embeddable, kind in (0, 2) as source from tree_files")
+def tree_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rules hold for each path: sources, manifests, workflows, deployment files, skipped folders."""
+    p = F.col("path")
+    return view(spark, sf_dir, "tree_files").select("path", paths.is_scanned(p).alias("scanned"), paths.is_infra(p).alias("infra"), paths.is_ci(p).alias("ci"), paths.is_embeddable(p).alias("embeddable"), paths.is_source(p).alias("source"))
+
+
 @query(
     """recursive with up as (select sha, first_up as up from history where first_up is not null union all select sha, second_up from history where second_up in (select sha from history)),
     reach(sha) as (select max(sha) from history where branch = 0 union select u.up from reach r join up u on u.sha = r.sha) select sha, committed_at from history where sha in (select sha from reach)"""

@@ -273,6 +273,24 @@ def capability_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthesis.features(calls, seeds, symbols, member)
 
 
+@query(
+    f"""with {FEATURE_FLOW}, walked as (select symbol_id as seed, symbol_id, 1.0 as confidence from symbols where symbol_id % 20 = 0 union all select seed, dst_id, round(c, 3) from steps where step <= 40),
+    sent as (select src_id, concat('e', dst_id) as event from edges where kind = 'emits'), heard as (select src_id as consumer, concat('e', dst_id) as event from edges where kind = 'imports'),
+    brought as (select distinct w.seed, h.consumer as symbol_id from walked w join sent s on w.symbol_id = s.src_id join heard h on s.event = h.event where not exists (select 1 from walked x where x.seed = w.seed and x.symbol_id = h.consumer)),
+    reach as (select * from walked union all select seed, symbol_id, 0.45 from brought),
+    met as (select r.*, s.path, regexp_replace(s.path, '/[^/]*$', '') as folder, split_part(s.path, '/', 1) as cluster from reach r join symbols s on r.symbol_id = s.symbol_id),
+    f as (select seed, count(distinct symbol_id) as symbols, count(distinct path) as files, count(distinct folder) as folders, count(distinct cluster) as modules, round(case when count(*) = 1 then 0.55 else min(confidence) end, 3) as confidence from met group by 1)
+    select seed, symbols, files, folders, modules, confidence::double as confidence from f where folders >= 2 or modules >= 2 order by modules desc, folders desc, confidence desc, seed limit 24"""
+)
+def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capabilities whose producers bring in the subscribers of their events."""
+    symbols = view(spark, sf_dir, "symbols")
+    seeds = symbols.where("symbol_id % 20 = 0").select(F.col("symbol_id").alias("seed"), "symbol_id")
+    member = symbols.select(F.col("path").alias("id"), F.split("path", "/")[0].alias("cluster")).distinct()
+    edges = view(spark, sf_dir, "edges").withColumn("dst_name", F.when(F.col("kind") != "calls", F.concat(F.lit("e"), "dst_id")))
+    return synthesis.features(edges.withColumn("kind", F.when(F.col("kind") == "imports", "subscribes").otherwise(F.col("kind"))), seeds, symbols, member)
+
+
 # -- retrieval --------------------------------------------------------------------------------------------------------
 
 TOKEN = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]{{3,}}'))"
@@ -399,8 +417,7 @@ def eligible_pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select count(*) as outside from symbols s where not exists (select 1 from part p where ltrim(s.path, './') = concat('tests/', lower(replace(p.p_brand, '#', '_')), '/', lower(replace(p.p_type, ' ', '_')), '.py'))")
 def outside_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = view(spark, sf_dir, "part").selectExpr("concat('./tests/', lower(replace(p_brand, '#', '_')), '/', lower(replace(p_type, ' ', '_')), '.py') as path")
-    rows = view(spark, sf_dir, "symbols").withColumn("p", paths.normalize_path(F.col("path")))
-    return rows.join(changed.select(paths.normalize_path(F.col("path")).alias("p")), "p", "left_anti").agg(F.count("*").alias("outside"))
+    return review.outside_paths(view(spark, sf_dir, "symbols"), changed).agg(F.count("*").alias("outside"))
 
 
 # -- history ----------------------------------------------------------------------------------------------------------
