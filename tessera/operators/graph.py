@@ -45,14 +45,18 @@ def binned(spans: DataFrame, start: str, end: str, width: int, name: str = "bin"
 def enclosing_symbol(points: DataFrame, symbols: DataFrame, at: str = "byte", width: int = 2048) -> DataFrame:
     """Innermost definition around each point: least span, then start, then id. Null if none.
 
-    Points meet spans by path and bin, so the points and spans of a long file don't all meet.
+    Places (path, position) meet spans by path and bin, so the places and spans of a
+    long file don't all meet. Points of one place, and definitions of one span, meet
+    once; points are written once.
     """
-    spans = symbols.where(F.col("kind").isin(*DEFINITIONS)).select("path", "symbol_id", "start_byte", "end_byte")
-    spans = binned(spans, "start_byte", "end_byte", width)
-    asked = points.withColumn("bin", F.floor(F.col(at) / width))
-    met = asked.join(spans, (asked["path"] == spans["path"]) & (asked["bin"] == spans["bin"]) & (spans["start_byte"] <= asked[at]) & (asked[at] < spans["end_byte"]), "left")
-    pick = F.min(F.when(F.col("symbol_id").isNotNull(), F.struct((F.col("end_byte") - F.col("start_byte")).alias("span"), "start_byte", "symbol_id")))
-    return met.groupBy(*[asked[c] for c in points.columns]).agg(pick.alias("m")).select(*points.columns, F.col("m.symbol_id").alias("src_id"))
+    scratch = Scratch(points.sparkSession, "enclosing")
+    asked = scratch.table(points.distinct(), "points")
+    spans = symbols.where(F.col("kind").isin(*DEFINITIONS) & F.col("symbol_id").isNotNull()).groupBy("path", "start_byte", "end_byte").agg(F.min("symbol_id").alias("symbol_id"))
+    places = asked.select("path", F.col(at).alias("_at")).distinct().withColumn("bin", F.floor(F.col("_at") / width))
+    met = places.join(binned(spans, "start_byte", "end_byte", width), ["path", "bin"]).where("start_byte <= _at and _at < end_byte")
+    pick = F.min(F.struct((F.col("end_byte") - F.col("start_byte")).alias("span"), "start_byte", "symbol_id"))
+    found = scratch.table(met.groupBy("path", "_at").agg(pick.alias("m")).select("path", F.col("_at").alias(at), F.col("m.symbol_id").alias("src_id")), "found")
+    return asked.join(found, ["path", at], "left").select(*points.columns, "src_id")
 
 
 def resolve_modules(imports: DataFrame, candidates: DataFrame, files: DataFrame) -> DataFrame:

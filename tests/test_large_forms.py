@@ -48,3 +48,23 @@ def joined_rows(df):
         kids = node.children()
         todo += [kids.apply(i) for i in range(kids.size())]
     return most
+
+
+def written_joins(monkeypatch):
+    """The most rows of a join in each table that is written from now on."""
+    from tessera.sources.scratch import Scratch
+
+    found, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: (found.append(joined_rows(df)), table(self, df, name))[1])
+    return found
+
+
+def test_points_of_one_place_meet_a_span_once(spark, monkeypatch):
+    from tessera.operators import graph
+
+    points = spark.range(300).selectExpr("id as point_id", "'a' as path", "cast(id % 3 * 10 as int) as byte").unionByName(spark.sql("select 0L as point_id, 'a' as path, 0 as byte"))
+    symbols = spark.range(100).selectExpr("id as symbol_id", "'a' as path", "'class' as kind", "0 as start_byte", "15 as end_byte")
+    found = written_joins(monkeypatch)
+    got = graph.enclosing_symbol(points, symbols).collect()
+    assert len(got) == 300 and {(r["byte"], r["src_id"]) for r in got} == {(0, 0), (10, 0), (20, None)}
+    assert max(found) <= 3
