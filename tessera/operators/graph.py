@@ -173,8 +173,14 @@ def graph_scope(files: DataFrame, symbols: DataFrame, edges: DataFrame, endpoint
 
 def dynamic_edges(emits: DataFrame, subscribes: DataFrame) -> DataFrame:
     """Emitter to subscriber of one event literal, each pair once."""
-    met = emits.join(subscribes.select(F.col("symbol_id").alias("dst_id"), "event"), "event").where("symbol_id <> dst_id")
-    return met.groupBy(F.col("symbol_id").alias("src_id"), "dst_id").agg(F.min("event").alias("event")).select("src_id", "dst_id", F.lit("emits").alias("kind"), F.lit(DYNAMIC).alias("confidence"), F.concat(F.lit("consumer "), "event").alias("dst_name"))
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.select(F.col("symbol_id").alias(name), "event").where(F.col(name).isNotNull() & F.col("event").isNotNull())
+        sets = rows.groupBy(name).agg(F.array_sort(F.collect_set("event")).alias("every"))
+        return sets.select(name, F.posexplode("every").alias("at", "event"), "every").select(name, "event", F.expr("slice(every, 1, at)").alias(f"{name}_before"))
+
+    # A pair is made at its first common event only: pairs, of which there may be far more than sites, are never shuffled.
+    met = side(emits, "src_id").join(side(subscribes, "dst_id"), "event").where("src_id <> dst_id and not arrays_overlap(src_id_before, dst_id_before)")
+    return met.select("src_id", "dst_id", F.lit("emits").alias("kind"), F.lit(DYNAMIC).alias("confidence"), F.concat(F.lit("consumer "), "event").alias("dst_name"))
 
 
 # -- traversal --------------------------------------------------------------------------------------------------------

@@ -68,3 +68,16 @@ def test_points_of_one_place_meet_a_span_once(spark, monkeypatch):
     got = graph.enclosing_symbol(points, symbols).collect()
     assert len(got) == 300 and {(r["byte"], r["src_id"]) for r in got} == {(0, 0), (10, 0), (20, None)}
     assert max(found) <= 3
+
+
+def test_event_pairs_are_made_once(spark):
+    from tessera.operators import graph
+
+    rows = lambda step, n: [(i, f"e{k}") for i in range(n) for k in range(6) if (i * step + k) % 3 != 1]
+    emits, subscribes = rows(1, 8), rows(2, 9) + [(None, "e0")]
+    want = {(a, b): min(e for s, e in emits if s == a for t, f in subscribes if t == b and e == f) for a, x in emits for b, y in subscribes if x == y and b is not None and a != b}
+    frame = lambda r: spark.createDataFrame(r, "symbol_id int, event string")
+    got = graph.dynamic_edges(frame(emits), frame(subscribes))
+    assert sorted((r["src_id"], r["dst_id"], r["dst_name"]) for r in got.collect()) == sorted((*k, f"consumer {v}") for k, v in want.items())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # pairs aren't grouped
