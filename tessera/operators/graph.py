@@ -84,23 +84,40 @@ def module_candidates(imports: DataFrame) -> DataFrame:
     return imports.select("import_id", F.posexplode(F.when(js, script).otherwise(python)).alias("pos", "candidate"))
 
 
-def call_edges(calls: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFrame:
+def least_two(rows: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, least, second): the two least ``dst_id`` of each key; null where there is no second."""
+    least = rows.groupBy(*keys).agg(F.min("dst_id").alias("least"))
+    second = rows.join(least, [*keys]).where("dst_id <> least").groupBy(*keys).agg(F.min("dst_id").alias("second"))
+    return least.join(second, [*keys], "left")
+
+
+def call_edges(calls: DataFrame, symbols: DataFrame, bindings: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Edges of (src_id, path, name) calls: through an import binding (path, alias, target_path), else by name.
 
+    With ``targets`` (module, target_path) bindings are (path, alias, module), and an
+    alias may stand for a definition in any file of its module. Calls meet no more than
+    two definitions of an alias, the least and the next for a caller that is the least.
     A name with more than one definition is cut to its first candidates before it
     meets the calls, so a common name can't multiply them; the cut is taken before
     the shuffle too (a group limit), so no task sorts all definitions of a name.
-    Where both ways find an edge, that of more confidence stays. Calls, definitions
-    and what imports resolve are written once, as each is read more than once.
+    Where both ways find an edge, that of more confidence stays. Definitions and calls
+    with what imports resolve are written once, as each is read more than once.
     """
     scratch = Scratch(calls.sparkSession, "calls")
-    calls = scratch.table(calls.select("src_id", "path", "name").distinct(), "calls")
+    calls = calls.select("src_id", "path", "name").distinct()
     defs = scratch.table(symbols.where(F.col("kind").isin(*DEFINITIONS)).select("symbol_id", "path", "name", "start_line"), "definitions")
     first = defs.groupBy(F.col("path").alias("target_path"), "name").agg(F.min_by("symbol_id", F.struct("start_line", "symbol_id")).alias("dst_id"))
-    bound = bindings.select(F.col("path"), F.col("alias").alias("name"), "target_path")
-    imported = calls.join(bound, ["path", "name"]).join(first, ["target_path", "name"]).where("src_id <> dst_id").groupBy("src_id", "path", "name").agg(F.min("dst_id").alias("dst_id"))
-    imported = scratch.table(imported.select("src_id", "dst_id", "name", "path", F.lit("calls").alias("kind"), F.lit(IMPORTED).alias("confidence"), F.lit("import_resolved").alias("method")), "imported")
-    rest = calls.join(imported.select("src_id", "path", "name"), ["src_id", "path", "name"], "left_anti")
+    bound = bindings.select("path", F.col("alias").alias("name"), F.col("target_path" if targets is None else "module").alias("module"))
+    if targets is None:
+        options = first.withColumnRenamed("target_path", "module")
+    else:
+        two = least_two(scratch.table(targets.join(bound.select("module", "name").distinct(), "module").join(first, ["target_path", "name"]).select("module", "name", "dst_id"), "options"), "module", "name")
+        options = two.select("module", "name", F.explode(F.array_compact(F.array("least", "second"))).alias("dst_id"))
+    meant = scratch.table(least_two(scratch.table(bound.join(options, ["module", "name"]).select("path", "name", "dst_id"), "bound"), "path", "name"), "meant")
+    resolved = calls.join(meant, ["path", "name"], "left").select("src_id", "path", "name", F.when(F.col("src_id") != F.col("least"), F.col("least")).when(F.col("src_id") != F.col("second"), F.col("second")).alias("dst_id"))
+    resolved = scratch.table(resolved, "resolved")
+    imported = resolved.where("dst_id is not null").select("src_id", "dst_id", "name", "path", F.lit("calls").alias("kind"), F.lit(IMPORTED).alias("confidence"), F.lit("import_resolved").alias("method"))
+    rest = resolved.where("dst_id is null").drop("dst_id")
     # One more than the cap, since a caller is never its own candidate.
     found = defs.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("path", "start_line", "symbol_id"))).where(F.col("rank") <= MOST_CANDIDATES + 1)
     met = rest.join(found.select("name", F.col("symbol_id").alias("dst_id"), "rank"), "name").where("src_id <> dst_id")

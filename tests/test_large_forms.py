@@ -81,3 +81,18 @@ def test_event_pairs_are_made_once(spark):
     assert sorted((r["src_id"], r["dst_id"], r["dst_name"]) for r in got.collect()) == sorted((*k, f"consumer {v}") for k, v in want.items())
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")  # pairs aren't grouped
+
+
+def test_calls_meet_two_definitions_of_an_alias(spark, monkeypatch):
+    from tessera.operators import graph
+
+    symbols = spark.range(60).selectExpr("id as symbol_id", "'run' as name", "concat('t', id) as path", "'function' as kind", "1 as start_line")
+    calls = spark.range(50).selectExpr("id as src_id", "'c' as path", "'run' as name")
+    found = written_joins(monkeypatch)
+    bound = spark.createDataFrame([("c", "run", "m")], "path string, alias string, module string")
+    targets = symbols.selectExpr("'m' as module", "path as target_path")
+    by_module = graph.call_edges(calls, symbols, bound, targets).collect()
+    direct = graph.call_edges(calls, symbols, targets.selectExpr("'c' as path", "'run' as alias", "target_path")).collect()
+    want = sorted((i, 1 if i == 0 else 0) for i in range(50))
+    assert sorted((r["src_id"], r["dst_id"]) for r in by_module) == want == sorted((r["src_id"], r["dst_id"]) for r in direct)
+    assert max(found) <= 60
