@@ -2,8 +2,8 @@
 
 Reach goes along first parents by doubling: a table of each commit's ancestor
 2^k steps up, and from a set of commits all their first-parent ancestors in as many
-joins as there are tables. What merges bring in starts the next round, so rounds
-follow the nesting of merged branches, not the length of the history.
+joins as there are tables, a few joins a plan. What merges bring in starts the next
+round, so rounds follow the nesting of merged branches, not the length of the history.
 
 Renames are pairs of a deleted and an added file of one commit, chosen best first.
 Files of equal content are paired by path. Of the others, each pair that shares at
@@ -22,6 +22,8 @@ from tessera.sources.scratch import Scratch
 
 #: Per cent of the larger file's bytes that a rename keeps.
 SIMILAR = 50
+#: Joins of one plan: all of a long history in one plan held its tables and stages in the driver at once.
+JOINS = 4
 
 
 def reachable(commits: DataFrame, heads: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -37,17 +39,21 @@ def reachable(commits: DataFrame, heads: DataFrame, scratch: Scratch | None = No
         if twice.isEmpty():
             break
         jumps.append(twice)
-    reached = scratch.table(heads.select("sha").distinct().join(known, "sha").where("false"), "reached-0")
+    reached = scratch.table(known.where("false"), "reached-0")
     new = scratch.table(heads.select("sha").distinct().join(known, "sha", "left_semi"), "new-0")
     turn = 0
     while not new.isEmpty():
         turn += 1
-        for jump in reversed(jumps):  # each commit stays, and its ancestor of that table comes
-            new = new.join(jump, "sha", "left").select(F.explode(F.array_compact(F.array("sha", "up"))).alias("sha")).distinct()
-        new = scratch.table(new, f"line-{turn}")
-        before, reached = reached, scratch.table(reached.unionByName(new).distinct(), f"reached-{turn}")
-        merged = new.join(before, "sha", "left_anti").join(links, "sha").select(F.col("up").alias("sha")).distinct()
+        line, written = new, []
+        for i, jump in enumerate(reversed(jumps), 1):  # each commit stays, and its ancestor of that table comes
+            line = line.join(jump.hint("merge"), "sha", "left").select(F.explode(F.array_compact(F.array("sha", "up"))).alias("sha")).distinct()
+            if i % JOINS == 0 or i == len(jumps):
+                written.append(f"line-{turn}-{i}")
+                line = scratch.table(line, written[-1])
+        merged = links.join(line, "sha", "left_semi").select(F.col("up").alias("sha")).distinct()
+        reached = scratch.table(reached.unionByName(line).distinct(), f"reached-{turn}")
         new = scratch.table(merged.join(reached, "sha", "left_anti"), f"new-{turn}")
+        scratch.drop(f"reached-{turn - 1}", f"new-{turn - 1}", *written)
     return reached
 
 

@@ -19,6 +19,28 @@ def test_verdicts_round_hundredths_as_duckdb(spark, tmp_path):
     assert want[0] == 0.28
 
 
+def test_reach_joins_few_tables_a_plan(spark, monkeypatch):
+    """A long line with side branches, some merged: what is reached, and how many joins a plan has."""
+    from tessera.operators import history
+    from tessera.sources.scratch import Scratch
+
+    ups = {i: [i - 1] for i in range(1, 300)} | {0: []}
+    ups |= {1000 + i: [1000 + i - 1] for i in range(1, 40)} | {1000: [150], 2000: [1039], 2001: [2000]}
+    ups[250] = [249, 1020]
+    want, stack = set(), [280]
+    while stack:
+        at = stack.pop()
+        if at not in want:
+            want.add(at)
+            stack += ups[at]
+    joins, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: (joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")), table(self, df, name))[1])
+    commits = spark.createDataFrame(list(ups.items()), "sha long, parents array<long>")
+    got = history.reachable(commits, spark.createDataFrame([(280,)], "sha long"))
+    assert sorted(r["sha"] for r in got.collect()) == sorted(want)
+    assert 1 < max(joins) <= 4
+
+
 def test_handlers_are_picked_before_references_meet_them(spark):
     from tessera.operators import synthesis
 
