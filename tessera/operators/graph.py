@@ -457,6 +457,7 @@ def connected_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         small = large.join(least, large["a"] == least["u"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
         i += 1
         now = scratch.table(small, str(i))
+        scratch.drop(str(i - 1))
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:
             break
@@ -470,16 +471,16 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     A lone node with a strong edge to its strongest neighbour is in that neighbour's component already, since both are kept by the same ratio.
     """
-    pairs = undirected(edges)
+    scratch = Scratch(nodes.sparkSession, "clusters")
+    pairs = scratch.table(undirected(edges), "pairs")
     comp = connected_components(nodes, strong_edges(pairs))
     linked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().withColumn("linked", F.lit(True))
     comp = comp.join(linked, "id", "left").withColumn("cluster", F.when(F.col("linked"), F.col("component")).otherwise(F.concat(F.lit("package:"), package_key(F.col("id")))))
-    member = comp.select("id", "cluster")
-    scratch = Scratch(nodes.sparkSession, "clusters")
-    member = scratch.table(member, "member")
+    member = scratch.table(comp.select("id", "cluster"), "member")
     large = member.join(member.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") >= SPLIT_FROM).select("cluster"), "cluster", "left_semi")
     inside = pairs.join(large.withColumnRenamed("id", "a"), "a").join(large.select(F.col("id").alias("b"), F.col("cluster").alias("other")), "b").where("cluster = other").select("cluster", "a", "b", "w")
     inside = scratch.table(inside, "inside")
+    scratch.drop("pairs")
     tree = scratch.table(forest.spanning_forest(inside.select("a", "b", "w"), scratch, connected_components), "forest")
     cut = scratch.table(forest.weakest_cuts(large, inside, tree, scratch, connected_components), "cuts")
     parted = large.join(cut.select("cluster"), "cluster", "left_semi").select("id")

@@ -1,8 +1,10 @@
+import os
 import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import forest, graph
 from tessera.sources.scratch import Scratch
@@ -113,3 +115,20 @@ def test_evidence_and_labels(spark):
     assert rows(forest.evidence_edges(pairs, member, inner=False)) == [("x", "c", "d", 9.0, 1), ("y", "c", "d", 9.0, 1)]
     labels = spark.createDataFrame([("x", " Billing \n core ", ["a", "c"]), ("x", "Auth", ["a", "d"]), ("y", "Web", []), ("y", "bad[1]", ["d"]), ("y", "n" * 81, ["d"]), ("y", None, ["d"]), ("z", "Gone", ["a"]), ("y", "Two", None)], "cluster string, name string, paths array<string>")
     assert rows(forest.accepted_labels(labels, member)) == [("x", "Billing core")]
+
+
+def test_components_keep_one_round(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(graph, "Scratch", lambda *a: made.append(Scratch(*a)) or made[-1])
+    edges = spark.createDataFrame([(f"v{i:03}", f"v{i + 1:03}") for i in range(60)], "a string, b string")
+    nodes = edges.select(F.col("a").alias("id"))
+    assert {r["component"] for r in graph.connected_components(nodes, edges).collect()} == {"v000"}
+    assert len(os.listdir(made[0].root.removeprefix("file://"))) == 1
+
+
+def test_forest_rounds_keep_no_ends(spark):
+    scratch = Scratch(spark, "t")
+    pairs = spark.createDataFrame([(f"v{i:03}", f"v{i + 1:03}", float(i % 7)) for i in range(60)], "a string, b string, w double")
+    assert forest.spanning_forest(pairs, scratch, graph.connected_components).count() == 60
+    left = {n.split("-")[0] for n in os.listdir(scratch.root.removeprefix("file://")) if not n.endswith(".crc")}
+    assert "edges" not in left and "name" not in left
