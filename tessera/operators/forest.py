@@ -23,8 +23,7 @@ from tessera.sources.scratch import Scratch
 
 def spanning_forest(pairs: DataFrame, scratch: Scratch, components) -> DataFrame:  # noqa: ANN001
     """The edges (a, b, w, a < b) of the maximum spanning forest of ``pairs``; of equal weights the edge with greater ends counts as heavier. ``components``: (nodes, pairs) to (id, component)."""
-    edges = scratch.table(pairs.where("a <> b").select("a", "b", "w", F.struct("w", "a", "b").alias("e")), "edges")
-    ends = edges.select("e", F.col("a").alias("x"), F.col("b").alias("y"))
+    ends = pairs.where("a <> b").select(F.struct("w", "a", "b").alias("e"), F.col("a").alias("x"), F.col("b").alias("y"))
     chosen, turn = None, 0
     ends = scratch.table(ends, "ends-0")
     while not ends.isEmpty():
@@ -39,8 +38,9 @@ def spanning_forest(pairs: DataFrame, scratch: Scratch, components) -> DataFrame
         # Of several edges between two components only the heaviest can be chosen.
         low, high = F.least("x", "y"), F.greatest("x", "y")
         ends = scratch.table(moved.groupBy(low.alias("x"), high.alias("y")).agg(F.max("e").alias("e")), f"ends-{turn}")
+        scratch.drop(f"ends-{turn - 1}", f"name-{turn}")
     if chosen is None:
-        return edges.select("a", "b", "w")
+        return ends.select("e.a", "e.b", "e.w")
     return chosen.distinct().select("e.a", "e.b", "e.w")
 
 
