@@ -2,10 +2,12 @@
 
 The driver lists folders from the root down, without entering skipped ones, until
 the tree ends or MOST_LISTED entries are seen; what was found is cut into
-partitions by bytes, and folders not yet entered become partitions of their own,
-which a task lists. Nothing below a skipped folder is listed, and no file that the
-filters exclude is opened. Filters on ``path`` and ``length`` are pushed and count
-before a file is opened; a prefix of ``path`` also prunes folders.
+partitions by bytes. Tasks list the rest: folders not yet entered in groups, and a
+folder with more entries than the driver may see in shares by name. Nothing below a
+skipped folder is listed, and no file that the filters exclude is opened. Filters on
+``path`` and ``length`` are pushed and count before a file is opened; a prefix of
+``path`` also prunes folders. ``read_tree`` only lists with it: the files found are
+dealt by path before they are read, so that no task reads a whole folder.
 
 Options: ``path`` (the root), ``scan`` (``source``: source suffixes; ``repository``:
 manifests, environment examples, infrastructure and workflows too; ``all``),
@@ -18,9 +20,11 @@ import os
 import re
 import stat
 import uuid
+import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -32,16 +36,19 @@ from tessera.functions.paths import CI, INFRA, MANIFEST, SKIP_DIRS, SOURCE_SUFFI
 
 #: Entries the driver lists, and the bytes and files of a partition.
 MOST_LISTED, PART_BYTES, PART_FILES = 200_000, 64 << 20, 5000
+#: Folders that a task lists, and the tasks among which few folders or one large folder are shared.
+PART_FOLDERS, SHARES = 1000, 64
 #: Bytes of text in a batch of rows.
 BATCH_BYTES = 4 << 20
 
 
 @dataclass
 class Slice(InputPartition):
-    """Files to read (path, length), and folders whose files the task finds itself."""
+    """Files to read (path, length), and folders whose files the task finds itself; of what these folders hold, share k of n by name."""
 
     files: tuple[tuple[str, int], ...] = ()
     folders: tuple[str, ...] = ()
+    share: tuple[int, int] = (0, 1)
 
     def __post_init__(self) -> None:
         super().__init__(None)
@@ -79,12 +86,15 @@ class Folder:
     def place(self, path: str) -> str:
         return f"{self.root}/{path}" if path else self.root
 
-    def entries(self, path: str) -> Iterator[tuple[str, bool, int]]:
-        """(path, is a folder, length) of what a folder holds, by name."""
+    def entries(self, path: str, share: tuple[int, int] = (0, 1)) -> Iterator[tuple[str, bool, int]]:
+        """(path, is a folder, length) of a share by name of what a folder holds, in no order."""
         lead = path + "/" if path else ""
+        k, n = share
         if self.local:
             with os.scandir(self.place(path)) as found:
-                for e in sorted(found, key=lambda e: e.name):
+                for e in found:
+                    if zlib.crc32(os.fsencode(e.name)) % n != k:
+                        continue
                     if e.is_dir(follow_symlinks=False):
                         yield lead + e.name, True, 0
                     else:
@@ -95,8 +105,8 @@ class Folder:
                         if stat.S_ISREG(info.st_mode):
                             yield lead + e.name, False, info.st_size
             return
-        for e in sorted(self.system.get_file_info(fs.FileSelector(self.place(path))), key=lambda e: e.base_name):
-            if e.type in (fs.FileType.Directory, fs.FileType.File):
+        for e in self.system.get_file_info(fs.FileSelector(self.place(path))):
+            if e.type in (fs.FileType.Directory, fs.FileType.File) and zlib.crc32(os.fsencode(e.base_name)) % n == k:
                 yield lead + e.base_name, e.type == fs.FileType.Directory, e.size or 0
 
     def read(self, path: str) -> bytes:
@@ -157,29 +167,43 @@ class TreeReader(DataSourceReader):
                 return False
         return kept_folder(folder, self.scan)
 
-    def _walk(self, tree: Folder, queue: deque[str], most: float) -> Iterator[tuple[str, int]]:
-        """Files below the folders of the queue, until ``most`` entries are seen; folders not entered stay in it."""
-        seen = 0
-        while queue and seen < most:
-            for path, is_folder, length in tree.entries(queue.popleft()):
-                seen += 1
-                if is_folder:
-                    if self._enters(path):
-                        queue.append(path)
-                elif kept_file(path, self.scan) and self._passes(path, length):
-                    yield path, length
+    def _kept(self, found: Iterable[tuple[str, bool, int]], folders: deque[str]) -> Iterator[tuple[str, int]]:
+        """The files among entries that are rows; folders to enter go to ``folders``."""
+        for path, is_folder, length in found:
+            if is_folder:
+                if self._enters(path):
+                    folders.append(path)
+            elif kept_file(path, self.scan) and self._passes(path, length):
+                yield path, length
+
+    def _below(self, tree: Folder, part: Slice) -> Iterator[tuple[str, int]]:
+        """All files of a partition's folders."""
+        inner: deque[str] = deque()
+        for folder in part.folders:
+            yield from self._kept(tree.entries(folder, part.share), inner)
+            while inner:
+                yield from self._kept(tree.entries(inner.pop()), inner)
 
     def partitions(self) -> Sequence[InputPartition]:
-        queue, out, held, size = deque([""]), [], [], 0
-        for path, length in self._walk(Folder(self.root), queue, MOST_LISTED):
-            held.append((path, length))
-            size += length if self.content else 0
-            if size >= PART_BYTES or len(held) >= PART_FILES:
-                out.append(Slice(files=tuple(held)))
-                held, size = [], 0
+        tree, queue, out, held, size, left = Folder(self.root), deque([""]), [], [], 0, MOST_LISTED
+        while queue and left > 0:
+            folder = queue.popleft()
+            found = list(islice(tree.entries(folder), left + 1))
+            if len(found) > left:
+                out += [Slice(folders=(folder,), share=(k, SHARES)) for k in range(SHARES)]
+                break
+            left -= len(found)
+            for path, length in self._kept(found, queue):
+                held.append((path, length))
+                size += length if self.content else 0
+                if size >= PART_BYTES or len(held) >= PART_FILES:
+                    out.append(Slice(files=tuple(held)))
+                    held, size = [], 0
         if held:
             out.append(Slice(files=tuple(held)))
-        return [*out, *(Slice(folders=(folder,)) for folder in queue)] or [Slice()]
+        rest = tuple(queue)
+        groups = max(min(len(rest), SHARES), -(-len(rest) // PART_FOLDERS))
+        return [*out, *(Slice(folders=rest[k::groups]) for k in range(groups))] or [Slice()]
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         tree = Folder(self.root)
@@ -191,7 +215,7 @@ class TreeReader(DataSourceReader):
             types = [pa.string(), pa.int64(), pa.string()][: 3 if self.content else 2]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names=["path", "length", "text"][: len(types)])
 
-        for path, length in [*partition.files] if partition.files else self._walk(tree, deque(partition.folders), float("inf")):
+        for path, length in partition.files or self._below(tree, partition):
             text = tree.read(path).decode("utf-8", "replace") if self.content else ""
             rows.append((path, length, text))
             size += length if self.content else 64
@@ -215,10 +239,34 @@ class TreeSource(DataSource):
 
 
 def read_tree(spark: SparkSession, root: str, scan: str = "source", content: bool = True) -> DataFrame:
-    """(path, length, text) of a tree's files; without ``content`` (path, length) only. The session's pushdown to Python sources, which this source needs, is turned on."""
+    """(path, length, text) of a tree's files; without ``content`` (path, length) only. The session's pushdown to Python sources, which this source needs, is turned on.
+
+    Files are dealt by path over the session's shuffle partitions before they are read.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TreeSource)
-    return spark.read.format("source_tree").option("scan", scan).option("content", str(content).lower()).load(root)
+    listed = spark.read.format("source_tree").option("scan", scan).option("content", "false").load(root)
+    if not content:
+        return listed
+
+    @F.arrow_udf("array<string>")
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tree = Folder(root)
+        for b in batches:
+            rows, size = [], 0
+            for path in b.to_pylist():
+                body = tree.read(path)
+                rows.append([body.decode("utf-8", "replace")])
+                size += len(body)
+                if size >= BATCH_BYTES:
+                    yield pa.array(rows, pa.list_(pa.string()))
+                    rows, size = [], 0
+            if rows:
+                yield pa.array(rows, pa.list_(pa.string()))
+
+    dealt = listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    # Exploded, since a filter on the text of a plain call would read each file twice; filters on path and length still pass below.
+    return dealt.select("path", "length", F.explode(texts("path")).alias("text"))
 
 
 def write_tree(files: DataFrame, root: str) -> int:

@@ -129,3 +129,44 @@ def test_empty_and_unknown(spark, tmp_path):
     assert tree.read_tree(spark, str(tmp_path / "e")).count() == 0
     with pytest.raises(Exception, match="isn't source"):
         tree.read_tree(spark, str(tmp_path / "e"), "half").count()
+
+
+def wide(root):
+    """A tree as tree_scan's: many folders of one file beside a folder of many files."""
+    for i in range(300):
+        (root / f"pkg{i}").mkdir(parents=True)
+        (root / f"pkg{i}/package.json").write_text("{" + " " * (i % 9) + "}")
+    (root / ".github/workflows").mkdir(parents=True)
+    for i in range(200):
+        (root / f".github/workflows/w{i}.yml").write_text(f"on: {i}")
+    return plain(str(root), "repository")
+
+
+@pytest.mark.parametrize("most", [1, 40, 301, 350, 10_000])
+def test_many_folders_are_few_partitions(tmp_path, monkeypatch, most):
+    """Folders that the driver doesn't enter are listed in groups, a large one in shares; before, each was a partition."""
+    want = wide(tmp_path / "t")
+    monkeypatch.setattr(tree, "MOST_LISTED", most)
+    monkeypatch.setattr(tree, "PART_FOLDERS", 100, raising=False)
+    monkeypatch.setattr(tree, "SHARES", 8, raising=False)
+    listed = []
+    entries = tree.Folder.entries
+    monkeypatch.setattr(tree.Folder, "entries", lambda self, path, *share: (listed.append(e[0]) or e for e in entries(self, path, *share)))
+    reader = tree.TreeReader({"path": str(tmp_path / "t"), "scan": "repository"})
+    parts = reader.partitions()
+    assert len(parts) <= 9 and len(listed) <= most + 1
+    assert sorted((r["path"], r["length"], r["text"]) for p in parts for b in reader.read(p) for r in b.to_pylist()) == want
+
+
+def test_files_of_one_folder_are_read_by_many_tasks(spark, tmp_path):
+    want = wide(tmp_path / "t")
+    files = tree.read_tree(spark, str(tmp_path / "t"), "repository")
+    assert sorted(tuple(r) for r in files.collect()) == want
+    flows = files.where("path like '.github/%'").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(flows) == 4 and max(r["count"] for r in flows) < 100
+
+
+def test_texts_are_read_once(spark, root):
+    found = tree.read_tree(spark, root).where("text like '# a/x.py%'")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r["path"] for r in found.collect()] == ["a/x.py"]
