@@ -26,7 +26,7 @@ EMIT_OPS = ("emit", "publish", "dispatch", "send", "fire", "trigger", "produce")
 SUBSCRIBE_OPS = ("on", "subscribe", "addlistener", "addeventlistener", "listen", "consume")
 HTTP_METHODS = ("get", "post", "put", "delete", "patch", "options", "head")
 ROUTE_RECEIVERS = ("app", "router", "api", "route", "blueprint", "bp", "server")
-KEEP_RATIO, SPLIT_FROM = 0.45, 8
+KEEP_RATIO, SPLIT_FROM, PAIRS = 0.45, 8, 1 << 22
 
 
 def confidence(c: Column) -> Column:
@@ -91,15 +91,33 @@ def least_two(rows: DataFrame, *keys: str) -> DataFrame:
     return least.join(second, [*keys], "left")
 
 
-def call_edges(calls: DataFrame, symbols: DataFrame, bindings: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+def name_matches(rest: DataFrame, defs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(src_id, dst_id, name, path, alone) of every definition, but the caller, that bears the name of a call (src_id, path, name); ``alone`` where it is the only one.
+
+    A caller meets a name once, whatever the number of its files. Of a name with many
+    calls and definitions, calls are dealt over parts of some PAIRS pairs each, so no
+    task makes all pairs of a name.
+    """
+    callers = scratch.table(rest.where("src_id is not null").groupBy("src_id", "name").agg(F.max("path").alias("path")), "callers")
+    defs = defs.where("symbol_id is not null").select(F.col("symbol_id").alias("dst_id"), "name")
+    names = callers.groupBy("name").agg(F.count("*").alias("made")).join(defs.groupBy("name").agg(F.count("*").alias("defined")), "name")
+    names = scratch.table(names.select("name", "defined", F.ceil(F.col("made") * F.col("defined") / PAIRS).alias("parts")), "names")
+    own = defs.groupBy(F.col("dst_id").alias("src_id"), "name").agg(F.count("*").alias("own"))
+    asked = callers.join(names, "name").join(own, ["src_id", "name"], "left").withColumn("part", F.pmod(F.xxhash64("src_id"), "parts"))
+    asked = asked.select("src_id", "name", "path", "part", (F.col("defined") - F.coalesce("own", F.lit(0)) == 1).alias("alone"))
+    dealt = defs.join(names, "name").select("dst_id", "name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return asked.join(dealt, ["name", "part"]).where("src_id <> dst_id").select("src_id", "dst_id", "name", "path", "alone")
+
+
+def call_edges(calls: DataFrame, symbols: DataFrame, bindings: DataFrame, targets: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Edges of (src_id, path, name) calls: through an import binding (path, alias, target_path), else by name.
 
     With ``targets`` (module, target_path) bindings are (path, alias, module), and an
     alias may stand for a definition in any file of its module. Calls meet no more than
     two definitions of an alias, the least and the next for a caller that is the least.
-    A name with more than one definition is cut to its first candidates before it
-    meets the calls, so a common name can't multiply them; the cut is taken before
-    the shuffle too (a group limit), so no task sorts all definitions of a name.
+    A call by name gives an edge to each definition of that name. With ``most`` it gives
+    its first candidates only: a name is cut to these before it meets the calls, and
+    before the shuffle too (a group limit), so no task sorts all definitions of a name.
     Where both ways find an edge, that of more confidence stays. Definitions and calls
     with what imports resolve are written once, as each is read more than once.
     """
@@ -118,11 +136,15 @@ def call_edges(calls: DataFrame, symbols: DataFrame, bindings: DataFrame, target
     resolved = scratch.table(resolved, "resolved")
     imported = resolved.where("dst_id is not null").select("src_id", "dst_id", "name", "path", F.lit("calls").alias("kind"), F.lit(IMPORTED).alias("confidence"), F.lit("import_resolved").alias("method"))
     rest = resolved.where("dst_id is null").drop("dst_id")
-    # One more than the cap, since a caller is never its own candidate.
-    found = defs.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("path", "start_line", "symbol_id"))).where(F.col("rank") <= MOST_CANDIDATES + 1)
-    met = rest.join(found.select("name", F.col("symbol_id").alias("dst_id"), "rank"), "name").where("src_id <> dst_id")
-    met = met.withColumn("place", F.row_number().over(Window.partitionBy("src_id", "path", "name").orderBy("rank"))).where(F.col("place") <= MOST_CANDIDATES)
-    named = met.select("src_id", "dst_id", "name", "path", F.lit("calls").alias("kind"), F.when(F.count("*").over(Window.partitionBy("src_id", "path", "name")) == 1, UNIQUE).otherwise(AMBIGUOUS).alias("confidence"), F.lit("name_match").alias("method"))
+    if most is None:
+        met = name_matches(rest, defs, scratch)
+    else:
+        # One more than the cap, since a caller is never its own candidate.
+        found = defs.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("path", "start_line", "symbol_id"))).where(F.col("rank") <= most + 1)
+        met = rest.join(found.select("name", F.col("symbol_id").alias("dst_id"), "rank"), "name").where("src_id <> dst_id")
+        met = met.withColumn("place", F.row_number().over(Window.partitionBy("src_id", "path", "name").orderBy("rank"))).where(F.col("place") <= most)
+        met = met.withColumn("alone", F.count("*").over(Window.partitionBy("src_id", "path", "name")) == 1)
+    named = met.select("src_id", "dst_id", "name", "path", F.lit("calls").alias("kind"), F.when(F.col("alone"), UNIQUE).otherwise(AMBIGUOUS).alias("confidence"), F.lit("name_match").alias("method"))
     best = F.max(F.struct(F.col("confidence"), F.col("method"), F.col("name"), F.col("path"))).alias("m")
     return imported.unionByName(named).groupBy("src_id", "dst_id", "kind").agg(best).select("src_id", "dst_id", "m.name", "m.path", "kind", "m.confidence", "m.method")
 

@@ -1,6 +1,7 @@
 """Queries that differed from their SQL, or grew beyond memory, disk or time over larger tables."""
 
 import datetime
+import decimal
 
 import duckdb
 
@@ -118,3 +119,23 @@ def test_calls_meet_two_definitions_of_an_alias(spark, monkeypatch):
     want = sorted((i, 1 if i == 0 else 0) for i in range(50))
     assert sorted((r["src_id"], r["dst_id"]) for r in by_module) == want == sorted((r["src_id"], r["dst_id"]) for r in direct)
     assert max(found) <= 60
+
+
+def test_calls_by_name_meet_every_definition(spark, tmp_path, monkeypatch):
+    """More definitions of a name than the first five, with the pairs of the name dealt over parts."""
+    from tessera.operators import graph
+
+    monkeypatch.setattr(graph, "PAIRS", 40)
+    # Symbols 1 to 40, of which no multiple of three is called by a name that others share: no call is bound by an import.
+    part = spark.range(1, 41).selectExpr("id as p_partkey", "if(id % 3 = 0, concat('own ', id), if(id = 40, 'lone', 'run all')) as p_name", "cast(id % 5 as int) as p_size", "concat('b#', id) as p_brand", "'t' as p_type")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(1, 31).selectExpr("id as l_partkey", "id % 4 as l_suppkey", "cast(id % 7 as int) as l_linenumber").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(1, 31).selectExpr("id as event_id", "timestamp '2024-01-01' as ts", "id % 9 as user_id", "'view' as event_type", "1.0D as value", "'{}' as props").write.parquet(str(tmp_path / "events.parquet"))
+    duck = duckdb.connect()
+    for t in ("part", "lineitem", "events"):
+        duck.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("call_resolution",):
+        got = sorted(tuple(map(str, r)) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted(tuple(str(float(v) if isinstance(v, decimal.Decimal) else v) for v in r) for r in duck.execute(catalogue.ORACLE[name]).fetchall())
+    edges = catalogue.QUERIES["call_resolution"](spark, str(tmp_path)).where("confidence = 0.3").groupBy("src_id").count().collect()
+    assert max(r["count"] for r in edges) >= 25
