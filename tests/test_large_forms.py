@@ -134,7 +134,7 @@ def test_calls_by_name_meet_every_definition(spark, tmp_path, monkeypatch):
     duck = duckdb.connect()
     for t in ("part", "lineitem", "events"):
         duck.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
-    for name in ("call_resolution",):
+    for name in ("call_resolution", "graph_union"):
         got = sorted(tuple(map(str, r)) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect())
         assert got == sorted(tuple(str(float(v) if isinstance(v, decimal.Decimal) else v) for v in r) for r in duck.execute(catalogue.ORACLE[name]).fetchall())
     edges = catalogue.QUERIES["call_resolution"](spark, str(tmp_path)).where("confidence = 0.3").groupBy("src_id").count().collect()
