@@ -27,6 +27,8 @@ SUBSCRIBE_OPS = ("on", "subscribe", "addlistener", "addeventlistener", "listen",
 HTTP_METHODS = ("get", "post", "put", "delete", "patch", "options", "head")
 ROUTE_RECEIVERS = ("app", "router", "api", "route", "blueprint", "bp", "server")
 KEEP_RATIO, SPLIT_FROM, PAIRS = 0.45, 8, 1 << 22
+#: Sites of an event a block, blocks that meet a task, and 64-bit bitmaps of frequent events.
+EMITS, SUBSCRIBES, UNITS, MASKS = 1 << 12, 1 << 13, 8, 4
 
 
 def confidence(c: Column) -> Column:
@@ -211,14 +213,45 @@ def graph_scope(files: DataFrame, symbols: DataFrame, edges: DataFrame, endpoint
 
 
 def dynamic_edges(emits: DataFrame, subscribes: DataFrame) -> DataFrame:
-    """Emitter to subscriber of one event literal, each pair once."""
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.select(F.col("symbol_id").alias(name), "event").where(F.col(name).isNotNull() & F.col("event").isNotNull())
-        sets = rows.groupBy(name).agg(F.array_sort(F.collect_set("event")).alias("every"))
-        return sets.select(name, F.posexplode("every").alias("at", "event"), "every").select(name, "event", F.expr("slice(every, 1, at)").alias(f"{name}_before"))
+    """Emitter to subscriber of one event literal, each pair once.
 
-    # A pair is made at its first common event only: pairs, of which there may be far more than sites, are never shuffled.
-    met = side(emits, "src_id").join(side(subscribes, "dst_id"), "event").where("src_id <> dst_id and not arrays_overlap(src_id_before, dst_id_before)")
+    A pair is made at its first common event only, so pairs, of which there may be far
+    more than sites, are never shuffled. Whether two symbols have an earlier event in
+    common is told by bitmaps for the events with most pairs, by lists for the others.
+    The sites of an event meet in blocks, so neither an event's sites nor its pairs are
+    one task's.
+    """
+    spark = emits.sparkSession
+    scratch = Scratch(spark, "events")
+    sites = {}
+    for name, rows in (("src_id", emits), ("dst_id", subscribes)):
+        rows = rows.select(F.col("symbol_id").alias(name), "event").where(F.col(name).isNotNull() & F.col("event").isNotNull())
+        sites[name] = rows.distinct()
+    count = lambda name: sites[name].groupBy("event").agg(F.count("*").alias(f"{name}s"))
+    events = scratch.table(count("src_id").join(count("dst_id"), "event"), "both")
+    most = events.orderBy(F.desc(F.col("src_ids") * F.col("dst_ids")), "event").limit(64 * MASKS)
+    coded = most.select("event", (F.row_number().over(Window.orderBy("event")) - 1).alias("code"))
+    blocks = [F.ceil(F.col("src_ids") / EMITS).alias("src_blocks"), F.ceil(F.col("dst_ids") / SUBSCRIBES).alias("dst_blocks")]
+    events = scratch.table(events.join(coded, "event", "left").select("event", "code", *blocks), "events")
+    units = events.agg(F.sum(F.col("src_blocks") * F.col("dst_blocks"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), units // UNITS)
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+
+    def side(name: str, other: str) -> DataFrame:
+        w = Window.partitionBy(name).orderBy("event").rowsBetween(Window.unboundedPreceding, -1)
+        mask = lambda i: F.when(F.floor(F.col("code") / 64) == i, F.expr("shiftleft(1L, code % 64)"))
+        before = [F.coalesce(F.bit_or(mask(i)).over(w), F.lit(0)).alias(f"{name}_{i}") for i in range(MASKS)]
+        before.append(F.collect_list(F.when(F.col("code").isNull(), F.col("event"))).over(w).alias(f"{name}_rest"))
+        rows = sites[name].join(events, "event").select(name, "event", "src_blocks", "dst_blocks", *before)
+        own = F.pmod(F.xxhash64(name), f"{name[:3]}_blocks").alias(f"{name[:3]}_block")
+        rows = rows.select(name, "event", *[c for c in rows.columns if c.startswith(f"{name}_")], own, upto(f"{other[:3]}_blocks").alias(f"{other[:3]}_block"))
+        return rows.repartition(parts, "event", "src_block", "dst_block")
+
+    met = side("src_id", "dst_id").join(side("dst_id", "src_id").hint("shuffle_hash"), ["event", "src_block", "dst_block"])
+    first = F.lit(True)
+    for i in range(MASKS):
+        first = first & (F.col(f"src_id_{i}").bitwiseAND(F.col(f"dst_id_{i}")) == 0)
+    met = met.where((F.col("src_id") != F.col("dst_id")) & first & ((F.size("src_id_rest") == 0) | (F.size("dst_id_rest") == 0) | ~F.arrays_overlap("src_id_rest", "dst_id_rest")))
     return met.select("src_id", "dst_id", F.lit("emits").alias("kind"), F.lit(DYNAMIC).alias("confidence"), F.concat(F.lit("consumer "), "event").alias("dst_name"))
 
 

@@ -139,3 +139,24 @@ def test_calls_by_name_meet_every_definition(spark, tmp_path, monkeypatch):
         assert got == sorted(tuple(str(float(v) if isinstance(v, decimal.Decimal) else v) for v in r) for r in duck.execute(catalogue.ORACLE[name]).fetchall())
     edges = catalogue.QUERIES["call_resolution"](spark, str(tmp_path)).where("confidence = 0.3").groupBy("src_id").count().collect()
     assert max(r["count"] for r in edges) >= 25
+
+
+def test_events_meet_in_blocks(spark, monkeypatch):
+    """Sites of one event are dealt over blocks, and events beyond the bitmaps are told by lists."""
+    from tessera.operators import graph
+
+    monkeypatch.setattr(graph, "EMITS", 3)
+    monkeypatch.setattr(graph, "SUBSCRIBES", 4)
+    monkeypatch.setattr(graph, "MASKS", 1)
+    emits = [(i, f"e{k}") for i in range(20) for k in range(90) if (i * 7 + k * k) % 11 == 0]
+    subscribes = [(i, f"e{k}") for i in range(15, 40) for k in range(90) if (i * 5 + k) % 13 == 0]
+    want = {}
+    for a, x in emits:
+        for b, y in subscribes:
+            if x == y and a != b:
+                want[a, b] = min(x, want.get((a, b), x))
+    frame = lambda r: spark.createDataFrame(r, "symbol_id int, event string")
+    got = graph.dynamic_edges(frame(emits), frame(subscribes))
+    assert sorted((r["src_id"], r["dst_id"], r["dst_name"]) for r in got.collect()) == sorted((*k, f"consumer {v}") for k, v in want.items())
+    assert "dst_block" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert "ShuffledHashJoin" in got._jdf.queryExecution().executedPlan().toString()
