@@ -10,20 +10,97 @@ appear, each lost forest edge takes one or two members off the one large part, a
 members of large parts only grow fewer; so the first cut that leaves two such parts
 is the only one that can still hold the share. It is the lightest forest edge with
 three or more members on either side over heavier edges, which an edge's ends and
-their strongest neighbours tell. No step holds a component in one task.
+their strongest neighbours tell. No step holds a component of more than PART edges in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.scratch import Scratch
 
 
+#: Edges that a task joins at once.
+PART = 1 << 18
+
+
+def root_of(parent: dict, x):  # noqa: ANN001, ANN201
+    """The root of ``x``, with paths halved."""
+    while (up := parent.get(x, x)) != x:
+        parent[x] = x = parent.get(up, up)
+    return x
+
+
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of a task's edges as (vertex, least vertex that they connect it with)."""
+    parent: dict = {}
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = root_of(parent, a), root_of(parent, b)  # noqa: PLW2901
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    if parent:
+        every = list(parent)
+        yield pa.RecordBatch.from_pydict({"a": every, "b": [root_of(parent, v) for v in every]}, schema=schema)
+
+
+def _acyclic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that close no cycle with those before them in their part (group, part)."""
+    now, parent = None, {}
+    for batch in batches:
+        keep = []
+        for group, part, x, y in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "x", "y")), strict=True):
+            if now != (group, part):
+                now, parent = (group, part), {}
+            x, y = root_of(parent, x), root_of(parent, y)  # noqa: PLW2901
+            keep.append(x != y)
+            parent[x] = y
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _thinned(ends: DataFrame, scratch: Scratch) -> DataFrame:
+    """``ends`` (group, e, x, y) without edges that are the lightest of a cycle in a part of some PART edges of their group; ``parts`` says in how many a group was dealt, so where it is 1 the forest is there.
+
+    Groups are dealt anew as long as a fifth of the edges goes.
+    """
+    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    ends, turn, before = scratch.table(ends, "thin-0"), 0, None
+    while True:
+        turn += 1
+        sizes = ends.groupBy("group").agg(F.ceil(F.count("*") / PART).alias("parts"))
+        dealt = ends.select("group", "e", "x", "y").join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("e"), "parts"))
+        dealt = dealt.repartition(parts, "group", "part").sortWithinPartitions("group", "part", F.desc("e"))
+        now = scratch.table(dealt.mapInArrow(_acyclic, dealt.schema), f"thin-{turn}")
+        scratch.drop(f"thin-{turn - 1}")
+        left, most = now.agg(F.count("*"), F.max("parts")).first()
+        if (most or 1) == 1 or (before is not None and left > 0.8 * before):
+            return now
+        ends, before = now, left
+
+
 def spanning_forest(pairs: DataFrame, scratch: Scratch, components) -> DataFrame:  # noqa: ANN001
-    """The edges (a, b, w, a < b) of the maximum spanning forest of ``pairs``; of equal weights the edge with greater ends counts as heavier. ``components``: (nodes, pairs) to (id, component)."""
-    ends = pairs.where("a <> b").select(F.struct("w", "a", "b").alias("e"), F.col("a").alias("x"), F.col("b").alias("y"))
+    """The edges (a, b, w, a < b) of the maximum spanning forest of ``pairs``; of equal weights the edge with greater ends counts as heavier. ``components``: (nodes, pairs) to (id, component).
+
+    Edges that are the lightest of a cycle go first, in parts of bounded size; with a
+    column ``cluster`` parts are dealt by it, and no edge may connect two clusters.
+    Groups that are one part by then are done, others go on in rounds.
+    """
+    group = F.col("cluster").cast("string") if "cluster" in pairs.columns else F.lit("")
+    thin = _thinned(pairs.where("a <> b").select(group.alias("group"), F.struct("w", "a", "b").alias("e"), F.col("a").alias("x"), F.col("b").alias("y")), scratch)
+    done = thin.where("parts = 1").select("e.a", "e.b", "e.w").distinct()
+    if thin.where("parts > 1").isEmpty():
+        return done
+    return done.unionByName(_rounds(thin.where("parts > 1").select("e", "x", "y"), scratch, components))
+
+
+def _rounds(ends: DataFrame, scratch: Scratch, components) -> DataFrame:  # noqa: ANN001
+    """The spanning forest (a, b, w) of edges (e, x, y) by rounds of heaviest edges."""
     chosen, turn = None, 0
     ends = scratch.table(ends, "ends-0")
     while not ends.isEmpty():

@@ -500,11 +500,20 @@ def strong_edges(pairs: DataFrame, ratio: float = KEEP_RATIO) -> DataFrame:
 
 
 def connected_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, component): least id reachable over ``pairs`` (a, b); by alternating large and small stars, a written table a round."""
+    """(id, component): least id reachable over ``pairs`` (a, b); by alternating large and small stars, a written table a round.
+
+    Tasks first make stars of parts of bounded size; edges that fit one part are done by then.
+    """
     scratch = Scratch(nodes.sparkSession, "components")
     now = scratch.table(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "0")
+    parts = -(-now.count() // forest.PART)
     state, i = None, 0
-    while True:
+    if parts:
+        i += 1
+        starred = now.repartition(parts, "a", "b").mapInArrow(forest.stars, now.schema)
+        now = scratch.table(starred.where("a <> b").distinct(), str(i))
+        scratch.drop(str(i - 1))
+    while parts > 1:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(low, both["a"] == low["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -536,7 +545,7 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     inside = pairs.join(large.withColumnRenamed("id", "a"), "a").join(large.select(F.col("id").alias("b"), F.col("cluster").alias("other")), "b").where("cluster = other").select("cluster", "a", "b", "w")
     inside = scratch.table(inside, "inside")
     scratch.drop("pairs")
-    tree = scratch.table(forest.spanning_forest(inside.select("a", "b", "w"), scratch, connected_components), "forest")
+    tree = scratch.table(forest.spanning_forest(inside.select("cluster", "a", "b", "w"), scratch, connected_components), "forest")
     cut = scratch.table(forest.weakest_cuts(large, inside, tree, scratch, connected_components), "cuts")
     parted = large.join(cut.select("cluster"), "cluster", "left_semi").select("id")
     kept = tree.join(inside.select("a", "b", "cluster"), ["a", "b"]).join(cut, "cluster").where(F.struct("w", "a", "b") > F.col("e")).select("a", "b")

@@ -132,3 +132,35 @@ def test_forest_rounds_keep_no_ends(spark):
     assert forest.spanning_forest(pairs, scratch, graph.connected_components).count() == 60
     left = {n.split("-")[0] for n in os.listdir(scratch.root.removeprefix("file://")) if not n.endswith(".crc")}
     assert "edges" not in left and "name" not in left
+
+
+def test_forest_in_parts_of_bounded_size(spark, monkeypatch, tmp_path):
+    """Thinned in parts, by cluster, in one part or in rounds: always the edges of a single pass over the sorted edges."""
+    import random
+
+    from tessera.operators import forest, graph
+    from tessera.sources.scratch import Scratch
+
+    rng = random.Random(5)
+    # A dense cluster that thins to one part, and a long path that never does.
+    dense = {(f"a{i:03}", f"a{j:03}", float(rng.randint(1, 9))) for i in range(12) for j in range(i + 1, 12)}
+    path = {(f"b{i:03}", f"b{i + 1:03}", float(rng.randint(1, 9))) for i in range(70)}
+    lone = {("c0", "c1", 1.0)}
+    edges = [("A", *e) for e in sorted(dense)] + [("B", *e) for e in sorted(path)] + [("C", *e) for e in sorted(lone)]
+    parent, want = {}, []
+    for _, a, b, w in sorted(edges, key=lambda e: (e[3], e[1], e[2]), reverse=True):
+        x, y = forest.root_of(parent, a), forest.root_of(parent, b)
+        if x != y:
+            parent[x] = y
+            want.append((a, b, w))
+    rows = spark.createDataFrame(edges, "cluster string, a string, b string, w double")
+    written, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: (written.append(name), table(self, df, name))[1])
+    found = lambda df: sorted(tuple(r) for r in forest.spanning_forest(df, Scratch(spark, "test"), graph.connected_components).collect())
+    assert found(rows) == sorted(want)
+    assert written == ["thin-0", "thin-1"]
+    monkeypatch.setattr(forest, "PART", 20)
+    assert found(rows) == sorted(want)
+    assert "best-1" in written
+    got = {r["id"]: r["component"] for r in graph.connected_components(rows.selectExpr("explode(array(a, b)) as id"), rows).collect()}
+    assert got == {v: {"a": "a000", "b": "b000", "c": "c0"}[v[0]] for v in got} and len(got) == 85
